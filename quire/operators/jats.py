@@ -168,29 +168,36 @@ def _has(inside: Column, tag: str, attr: tuple[str, str] | None) -> Column:
     return inside.rlike(rf"""<{tag}\s(?:[^>]*\s)?{attr[0]}\s*=\s*["']{attr[1]}["']""")
 
 
-def _before(inside: Column, tag: str, xml: Column, otherwise: str) -> Column:
-    at = F.regexp_instr(inside, F.lit(rf"<{tag}[\s/>]"))
-    end = F.concat(xml, inside) if otherwise == "first" else F.concat(inside, xml)
-    spliced = F.concat(F.substring(inside, F.lit(1), at - 1), xml, F.substring(inside, at, F.length(inside)))
-    return F.when(at > 0, spliced).otherwise(end)
+def _at(tag: str) -> Column:
+    return F.regexp_instr(F.col("__in"), F.lit(rf"<{tag}[\s/>]"))
 
 
-def _inserted(inside: Column, wanted: dict[str, Column], scope: str) -> Column:
-    out = inside
-    for tag, (parent, attr, place) in _PLACES.items():
+def _grow(staged: DataFrame, wanted: dict[str, Column], scope: str) -> DataFrame:
+    """Add ``__new``: the scope's inside ``__in`` with the missing elements put in their places."""
+    seen = F.regexp_replace("__in", _COMMENT, "")
+    head, tail = [], []
+    grown = staged.withColumn("__seen", seen)
+    for i, (tag, (parent, attr, place)) in enumerate(_PLACES.items()):
         if parent != scope:
             continue
-        xml = wanted[tag]
+        name = f"__p_{i}"
+        new = F.when(wanted[tag].isNotNull() & ~_has(F.col("__seen"), tag, attr), wanted[tag])
+        grown = grown.withColumn(name, F.coalesce(new, F.lit("")))
+        piece = F.col(name)
+        if place.startswith("before:"):
+            target, place = place.removeprefix("before:").split("/")
+            at, text = _at(target), F.col("__in")
+            spliced = F.concat(F.substring(text, F.lit(1), at - 1), piece, F.substring(text, at, F.length(text)))
+            grown = grown.withColumn("__lone", F.when(at == 0, piece).otherwise(F.lit(""))).withColumn(
+                "__in", F.when(at > 0, spliced).otherwise(text)
+            )
+            piece = F.col(f"__lone_{i}")
+            grown = grown.withColumnRenamed("__lone", f"__lone_{i}")
         if place == "first":
-            grown = F.concat(xml, out)
-        elif place == "last":
-            grown = F.concat(out, xml)
+            head.insert(0, piece)
         else:
-            target, fallback = place.removeprefix("before:").split("/")
-            grown = _before(out, target, xml, fallback)
-        # presence is judged on the article as it came in
-        out = F.when(xml.isNotNull() & ~_has(F.regexp_replace(inside, _COMMENT, ""), tag, attr), grown).otherwise(out)
-    return out
+            tail.append(piece)
+    return grown.withColumn("__new", F.concat(*head, F.col("__in"), *tail))
 
 
 def enrich_jats(articles: DataFrame, earned: Column, xml: str = "xml", pub: str = "pub") -> DataFrame:
@@ -214,18 +221,16 @@ def enrich_jats(articles: DataFrame, earned: Column, xml: str = "xml", pub: str
     out = F.when((opening != "") & kind.isNotNull(), _splice(source, opening, typed)).otherwise(source)
     staged = staged.withColumn("__xml", out)
     for scope in SCOPES:
-        staged = staged.withColumn("__in", _scope_body(F.col("__xml"), scope)).withColumn(
-            "__new", _inserted(F.col("__in"), wanted, scope)
-        )
         whole = F.regexp_extract("__xml", rf"(?s)<{scope}(?:\s[^>]*?)?(?:/>|(?<!/)>.*?</{scope}\s*>)", 0)
-        head = F.regexp_replace(F.regexp_extract(whole, r"^<[^>]*>", 0), r"\s*/?>$", "")
+        staged = staged.withColumn("__whole", whole).withColumn("__in", _scope_body(F.col("__xml"), scope))
+        staged = staged.withColumn("__old", F.col("__in"))
+        staged = _grow(staged, wanted, scope)
+        head = F.regexp_replace(F.regexp_extract("__whole", r"^<[^>]*>", 0), r"\s*/?>$", "")
         rebuilt = F.concat(head, F.lit(">"), F.col("__new"), F.lit(f"</{scope}>"))
+        changed = F.coalesce(F.col("__new") != F.col("__old"), F.lit(False))
         staged = staged.withColumn(
-            "__xml",
-            F.when(F.col("__in").isNotNull() & (F.col("__new") != F.col("__in")), _splice(F.col("__xml"), whole, rebuilt)).otherwise(
-                F.col("__xml")
-            ),
-        )
+            "__xml", F.when(changed, _splice(F.col("__xml"), F.col("__whole"), rebuilt)).otherwise(F.col("__xml"))
+        ).drop("__seen")
     error = F.when(opening == "", "No <article> element found — not a JATS file?")
     kept = [c for c in articles.columns if c != xml]
     return staged.select(*kept, F.col("__xml").alias(xml), error.alias("jats_error"))

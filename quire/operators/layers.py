@@ -201,6 +201,11 @@ def node_at(nodes: Column, dotted: str) -> Column:
     return F.try_element_at(F.filter(nodes, lambda n: n["key"] == wanted), F.lit(1))
 
 
+def json_at(nodes: Column, dotted: str) -> Column:
+    """JSON text of the node at a dotted path."""
+    return node_at(nodes, dotted)["value_json"]
+
+
 def json_text(kind: Column, value_json: Column) -> Column:
     """A scalar node as text, as Python's ``str`` would show it; null for null, maps and lists."""
     return (

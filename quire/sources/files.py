@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,20 +38,65 @@ def located(files: DataFrame, path: Column) -> DataFrame:
         inside.alias("path"),
         name.alias("name"),
         F.lower(F.regexp_extract(name, r"^.+(\.[^.]+)$", 1)).alias("ext"),
-        *[F.col(c) for c in files.columns if c != "path"],
+        *[F.col(c) for c in files.columns if c not in FILE_COLUMNS[:5]],
     )
 
 
-def scan_files(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """Inventory of every file below ``root/manuscripts``; bytes are read only when asked for."""
+def _filesystem(root: str) -> tuple[fs.FileSystem, str]:
+    if "://" not in root:
+        return fs.LocalFileSystem(), root
+    return fs.FileSystem.from_uri(root.replace("s3a://", "s3://", 1))
+
+
+def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for root in batch["root"]:
+            system, base = _filesystem(root)
+            found = system.get_file_info(fs.FileSelector(f"{base}/manuscripts"))
+            names = [i.base_name for i in found if i.type == fs.FileType.Directory]
+            for start in range(0, len(names), 10000):
+                part = names[start : start + 10000]
+                yield pd.DataFrame({"root": [root] * len(part), "folder": part})
+
+
+def _list_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for root, folder in zip(batch["root"], batch["folder"], strict=True):
+            system, base = _filesystem(root)
+            top = f"{base}/manuscripts/{folder}"
+            found = [i for i in system.get_file_info(fs.FileSelector(top, recursive=True)) if i.is_file]
+            yield pd.DataFrame(
+                {
+                    "path": [f"/manuscripts/{folder}/{i.path[len(top) + 1 :]}" for i in found],
+                    "length": [i.size for i in found],
+                    "mtime": [i.mtime for i in found],
+                }
+            )
+
+
+def scan_files(spark: SparkSession, root: str) -> DataFrame:
+    """Inventory of every file below ``root/manuscripts``, without reading any.
+
+    Spark's own file sources leave out empty files and names that start with
+    an underscore, which are part of a manuscript folder. The folders are
+    therefore listed by tasks, a share of the folders each; nothing passes
+    through the driver.
+    """
+    roots = spark.createDataFrame([(root,)], "root string")
+    folders = roots.mapInPandas(_list_folders, "root string, folder string").repartition("folder")
+    listed = folders.mapInPandas(_list_files, "path string, length long, mtime timestamp")
+    return located(listed, F.col("path"))
+
+
+def scan_bytes(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """Inventory rows with ``content`` of the files whose name matches a glob pattern."""
     raw = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", pattern)
         .load(f"{root}/manuscripts")
         .withColumnRenamed("modificationTime", "mtime")
     )
-    if not content:
-        raw = raw.drop("content")
     return located(raw, F.col("path"))
 
 
@@ -79,9 +125,25 @@ def scan_canonical(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def scan_registry(spark: SparkSession, root: str) -> DataFrame:
-    """(manuscript_id, text) of the editors' metadata files; a folder without one has no row."""
-    return _in_folder_root(_scan_text(spark, f"{root}/manuscripts", REGISTRY_NAME))
+def _read_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for root, key, path in zip(batch["root"], batch["manuscript_id"], batch["path"], strict=True):
+            system, base = _filesystem(root)
+            with system.open_input_stream(f"{base}/manuscripts/{key}/{path}") as source:
+                yield pd.DataFrame({"manuscript_id": [key], "text": [source.read().decode("utf-8", "replace")]})
+
+
+def scan_registry(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:
+    """(manuscript_id, text) of the editors' metadata files; a folder without one has no row.
+
+    The file name starts with an underscore, so the tasks open the files that
+    the inventory names instead of going through a Spark file source.
+    """
+    inventory = scan_files(spark, root) if files is None else files
+    found = inventory.filter((F.col("area") == "root") & (F.col("name") == REGISTRY_NAME))
+    named = found.select(F.lit(root).alias("root"), "manuscript_id", "path")
+    texts = named.mapInPandas(_read_texts, "manuscript_id string, text string")
+    return texts.withColumn("text", unix_newlines(F.col("text")))
 
 
 def scan_theme(spark: SparkSession, root: str) -> DataFrame:
@@ -124,14 +186,7 @@ def encode_galleys(files: DataFrame) -> DataFrame:
 
 def scan_galleys(spark: SparkSession, root: str) -> DataFrame:
     """Rendered outputs lying in the manuscript folders, with their bytes."""
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "article.{pdf,html,xml}")
-        .load(f"{root}/manuscripts")
-        .drop("modificationTime")
-    )
-    found = located(raw, F.col("path")).filter(F.col("area") == "root")
+    found = scan_bytes(spark, root, "article.{pdf,html,xml}").filter(F.col("area") == "root")
     return found.filter(F.col("name").isin(*[g[0] for g in GALLEYS]))
 
 
