@@ -12,6 +12,8 @@ from quire.functions.values import is_blank, is_missing
 from quire.operators.layers import node_at
 from quire.profile import ARTICLE_TYPES, NO_AUTHORS, NO_EMAIL, Profile
 
+PLACEHOLDER = "TODO"
+
 
 def finding(
     rows: DataFrame, level: str, rule: str, message: Column, file: Column, key: str = "manuscript_id"
@@ -92,9 +94,11 @@ def missing_bibliography(meta: DataFrame, files: DataFrame, file: Column) -> Dat
     return finding(lost, "error", "bibliography", message, file)
 
 
-def placeholders(bodies: DataFrame, text: str = "body", key: str = "manuscript_id") -> DataFrame:
-    """Rows whose text still holds a ``TODO`` mark."""
-    return bodies.filter(F.col(text).rlike(r"\bTODO\b")).select(key)
+def placeholders(
+    bodies: DataFrame, text: str = "body", key: str = "manuscript_id", mark: str = PLACEHOLDER
+) -> DataFrame:
+    """Rows whose text still holds a ``TODO`` (or another marked word)."""
+    return bodies.filter(F.col(text).rlike(rf"\b{mark}\b")).select(key)
 
 
 def validate_conventions(merged: DataFrame, meta: DataFrame, authors: DataFrame, file: Column) -> DataFrame:

@@ -206,6 +206,12 @@ def json_at(nodes: Column, dotted: str) -> Column:
     return node_at(nodes, dotted)["value_json"]
 
 
+def json_lookup(json: Column, dotted: str) -> Column:
+    """Scalar text at a dotted path of a JSON document; each part is a key, not a pattern."""
+    path = "$" + "".join(f'["{part}"]' for part in dotted.split("."))
+    return F.try_variant_get(F.try_parse_json(json), path, "string")
+
+
 def json_text(kind: Column, value_json: Column) -> Column:
     """A scalar node as text, as Python's ``str`` would show it; null for null, maps and lists."""
     return (

@@ -103,7 +103,7 @@ def _when_filled(value: Column, element: Column) -> Column:
     return F.when(optional(value).isNotNull(), element)
 
 
-def package_record(p: DataFrame) -> Column:
+def package_record() -> Column:
     """Nested record of one article: the column layout of the import schema.
 
     Expects the columns of :func:`quire.operators.layers.with_defaults` plus
@@ -186,13 +186,13 @@ def package_record(p: DataFrame) -> Column:
         optional(pub["license_url"]).alias("licenseUrl"),
         _text(locale, F.col("copyright_holder")).alias("copyrightHolder"),
         F.coalesce(pub["year"], F.lit("")).alias("copyrightYear"),
-        F.struct(F.lit(_SWORD).alias("_xmlns"), F.transform(_list("authors"), author).alias("author")).alias("authors"),
-        F.transform(_list("galleys"), article_galley).alias("article_galley"),
+        F.struct(F.lit(_SWORD).alias("_xmlns"), F.transform(F.col("authors"), author).alias("author")).alias("authors"),
+        F.transform(F.col("galleys"), article_galley).alias("article_galley"),
         F.when(
             F.size("keywords") > 0, F.struct(locale.alias("_locale"), F.col("keywords").alias("keyword"))
         ).alias("keywords"),
     )
-    article = F.struct(
+    return F.struct(
         F.lit(_SWORD).alias("_xmlns"),
         locale.alias("_locale"),
         date.alias("_date_submitted"),
@@ -201,19 +201,9 @@ def package_record(p: DataFrame) -> Column:
         F.lit("1").alias("_current_publication_id"),
         F.lit("production").alias("_stage"),
         _identifier("internal", "ignore", F.lit("1")).alias("id"),
-        F.transform(_list("galleys"), submission_file).alias("submission_file"),
+        F.transform(F.col("galleys"), submission_file).alias("submission_file"),
         publication.alias("publication"),
     )
-    return F.struct(
-        F.lit(_SWORD).alias("_xmlns"),
-        F.lit(_XSI).alias("_xmlns:xsi"),
-        F.lit(_SCHEMA).alias("_xsi:schemaLocation"),
-        article.alias("article"),
-    )
-
-
-def _list(name: str) -> Column:
-    return F.col(name)
 
 
 def _identifier(kind: str, advice: str, value: Column) -> Column:
@@ -227,12 +217,16 @@ def render_xml(record: Column, row_tag: str) -> Column:
 
 def render_packages(packages: DataFrame, key: str = "manuscript_id") -> DataFrame:
     """(key, article_id, galleys, xml) of the records of :func:`package_record`."""
-    declaration = F.lit('<?xml version="1.0" encoding="UTF-8"?>\n')
+    # the XML writer takes no prefixed attribute names, so the fixed root element is plain text
+    opening = (
+        '<?xml version="1.0" encoding="UTF-8"?>\n'
+        f'<articles xmlns="{_SWORD}" xmlns:xsi="{_XSI}" xsi:schemaLocation="{_SCHEMA}">\n'
+    )
     return packages.select(
         key,
         F.col("pub.article_id").alias("article_id"),
         F.size("galleys").alias("galleys"),
-        F.concat(declaration, render_xml(package_record(packages), "articles")).alias("xml"),
+        F.concat(F.lit(opening), render_xml(package_record(), "article"), F.lit("\n</articles>\n")).alias("xml"),
     )
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import split_name, strip
 from quire.functions.values import noreply
 from quire.operators.layers import json_at
+from quire.operators.skew import number_rows
 
 
 def _items(json_list: Column) -> Column:
@@ -117,9 +118,8 @@ def resolve_affiliations(refs: DataFrame, affiliations: DataFrame, key: str = "m
     listed = affiliations.select(key, F.col("aff_id").alias("ref"), F.col("number").alias("listed"), F.col("name").alias("listed_name"))
     found = refs.join(listed, [key, "ref"], "left")
     kept = found.filter(F.col("listed").isNotNull() | F.col("inline_name").isNotNull())
-    # an author's own references only: a handful of rows per group
-    own = Window.partitionBy(key, "seq").orderBy("pos")
-    return kept.withColumn("n", F.row_number().over(own)).select(
+    numbered = number_rows(kept, [key, "seq"], [F.col("pos")], F.col("pos"), "n")
+    return numbered.select(
         key,
         "seq",
         "pos",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import normalize_doi
-from quire.functions.values import short_author, year_letters
+from quire.functions.values import bibliography_authors, short_author, year_letters
 from quire.operators.skew import number_rows, text_rank
 
 
@@ -36,6 +36,29 @@ def short_authors(refs: DataFrame) -> DataFrame:
     return refs.withColumn("short_author", F.coalesce(short, F.col("title")))
 
 
+def author_lists(people: DataFrame, key: str, seq: str, family: str) -> DataFrame:
+    """(key, n_authors, short_author, bibliography_authors) of one row per (key, seq) author.
+
+    No list longer than 21 names is ever collected: the first twenty and the
+    last decide both forms.
+    """
+    numbered = number_rows(people, [key], [F.col(seq)], F.col(seq), "__rn")
+    sizes = people.groupBy(key).agg(F.count(F.lit(1)).alias("n_authors"))
+    name = F.col(family)
+    shown = numbered.join(sizes, [key]).filter((F.col("__rn") <= 20) | (F.col("__rn") == F.col("n_authors")))
+    listed = shown.groupBy(key, "n_authors").agg(
+        F.max(F.when(F.col("__rn") == 1, name)).alias("__first"),
+        F.max(F.when(F.col("__rn") == 2, name)).alias("__second"),
+        F.sort_array(F.collect_list(F.struct("__rn", name.alias("name")))).alias("__names"),
+    )
+    return listed.select(
+        key,
+        "n_authors",
+        short_author(F.col("n_authors"), F.col("__first"), F.col("__second")).alias("short_author"),
+        bibliography_authors(F.col("__names.name")).alias("bibliography_authors"),
+    )
+
+
 def author_sort_key(authors: Column) -> Column:
     """All names, family first, as one text to sort by."""
     return F.array_join(F.transform(authors, lambda a: F.concat_ws(", ", a["family"], a["given"])), "; ")
@@ -120,7 +143,7 @@ def theme_catalog(meta: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 __all__ = [
-    "author_sort_key", "clear_date_parts", "date_group", "duplicate_dois", "duplicate_refs", "reference_order",
+    "author_lists", "author_sort_key", "clear_date_parts", "date_group", "duplicate_dois", "duplicate_refs", "reference_order",
     "resolve_citations", "short_authors", "sort_cluster", "sort_references", "text_rank", "theme_catalog",
     "uncited_refs", "undefined_citations", "year_suffix",
 ]
