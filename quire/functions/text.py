@@ -61,16 +61,21 @@ def macro_argument(tex: Column, macro: str) -> Column:
         moved = depth + F.when(piece == "{", 1).when(piece == "}", -1).otherwise(0)
         return F.when(depth == 0, state).otherwise(F.struct(moved.alias("depth"), (used + 1).alias("used")))
 
-    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("used"))
-    argument = F.aggregate(
-        pieces,
-        start,
-        step,
-        lambda s: F.when(
-            s["depth"] == 0, F.array_join(F.slice(pieces, F.lit(1), F.greatest(s["used"] - 1, F.lit(0))), "")
-        ).otherwise(F.substring(rest, F.lit(1), F.greatest(F.length(rest) - 1, F.lit(0)))),
-    )
-    return F.when(at > 0, collapse_ws(argument))
+    def argument(found: Column) -> Column:
+        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("used"))
+        all_pieces = F.array_join(found, "")
+        return F.aggregate(
+            found,
+            start,
+            step,
+            lambda s: F.when(
+                s["depth"] == 0, F.array_join(F.slice(found, F.lit(1), F.greatest(s["used"] - 1, F.lit(0))), "")
+            ).otherwise(F.substring(all_pieces, F.lit(1), F.greatest(F.length(all_pieces) - 1, F.lit(0)))),
+        )
+
+    # bound once: the fold and its result both walk the pieces
+    bound = F.element_at(F.transform(F.array(pieces), argument), 1)
+    return F.when(at > 0, collapse_ws(bound))
 
 
 def split_keywords(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import macro_argument, rewrite_links, split_front_matter, split_keywords, strip
+from quire.functions.values import let
 from quire.profile import BIBLIOGRAPHY_NAME, SKELETON_FRONT_MATTER, Profile
 
 
@@ -28,15 +29,27 @@ def assemble_front_matter(text: Column, abstract: Column, keywords: Column) -> C
     not occur anywhere in the front matter; a text without any front matter
     gets the skeleton to fill in.
     """
-    parts = split_front_matter(text)
-    front = F.coalesce(parts["front_matter"], F.lit(""))
-    front = _with_line(front, "abstract", F.concat(F.lit("\nabstract: >\n  "), abstract, F.lit("\n")))
     listed = F.array_join(split_keywords(keywords), ", ")
-    front = _with_line(front, "keywords", F.concat(F.lit("\nkeywords: ["), listed, F.lit("]\n")))
-    filled = strip(_with_line(front, "bibliography", F.lit(f"\nbibliography: {BIBLIOGRAPHY_NAME}\n")))
-    chosen = F.when(strip(front) != "", filled).otherwise(F.lit(SKELETON_FRONT_MATTER))
-    end = F.when(strip(front) != "", F.lit("")).otherwise(F.lit("\n"))
-    return F.concat(F.lit("---\n"), chosen, F.lit("\n---\n\n"), parts["body"], end)
+
+    def assemble(parts: Column) -> Column:
+        front = F.coalesce(parts["front_matter"], F.lit(""))
+        lines = (
+            ("abstract", F.concat(F.lit("\nabstract: >\n  "), abstract, F.lit("\n"))),
+            ("keywords", F.concat(F.lit("\nkeywords: ["), listed, F.lit("]\n"))),
+        )
+        return _completed(front, lines, parts["body"])
+
+    return let(split_front_matter(text), assemble)
+
+
+def _completed(front: Column, lines: tuple, body: Column) -> Column:
+    if lines:
+        (word, line), *others = lines
+        return let(_with_line(front, word, line), lambda f: _completed(f, tuple(others), body))
+    listed = strip(_with_line(front, "bibliography", F.lit(f"\nbibliography: {BIBLIOGRAPHY_NAME}\n")))
+    filled = F.concat(F.lit("---\n"), listed, F.lit("\n---\n\n"), body)
+    empty = F.concat(F.lit(f"---\n{SKELETON_FRONT_MATTER}\n---\n\n"), body, F.lit("\n"))
+    return F.when(strip(front) != "", filled).otherwise(empty)
 
 
 def _with_line(front: Column, word: str, line: Column) -> Column:

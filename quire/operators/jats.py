@@ -168,35 +168,33 @@ def _has(inside: Column, tag: str, attr: tuple[str, str] | None) -> Column:
     return inside.rlike(rf"""<{tag}\s(?:[^>]*\s)?{attr[0]}\s*=\s*["']{attr[1]}["']""")
 
 
-def _at(tag: str) -> Column:
-    return F.regexp_instr(F.col("__in"), F.lit(rf"<{tag}[\s/>]"))
+def _spliced(tag: str, piece: Column) -> Column:
+    """``__in`` with ``piece`` in front of the first such element, or unchanged."""
+    text = F.col("__in")
+    at = F.regexp_instr(text, F.lit(rf"<{tag}[\s/>]"))
+    around = F.concat(F.substring(text, F.lit(1), at - 1), piece, F.substring(text, at, F.length(text)))
+    return F.when(at > 0, around).otherwise(text)
 
 
 def _grow(staged: DataFrame, wanted: dict[str, Column], scope: str) -> DataFrame:
     """Add ``__new``: the scope's inside ``__in`` with the missing elements put in their places."""
-    seen = F.regexp_replace("__in", _COMMENT, "")
-    head, tail = [], []
-    grown = staged.withColumn("__seen", seen)
-    for i, (tag, (parent, attr, place)) in enumerate(_PLACES.items()):
-        if parent != scope:
-            continue
-        name = f"__p_{i}"
+    own = {tag: (attr, place) for tag, (parent, attr, place) in _PLACES.items() if parent == scope}
+    pieces, head, tail, before = {}, [], [], {}
+    for i, (tag, (attr, place)) in enumerate(own.items()):
         new = F.when(wanted[tag].isNotNull() & ~_has(F.col("__seen"), tag, attr), wanted[tag])
-        grown = grown.withColumn(name, F.coalesce(new, F.lit("")))
-        piece = F.col(name)
+        pieces[f"__p_{i}"] = F.coalesce(new, F.lit(""))
+        piece = F.col(f"__p_{i}")
         if place.startswith("before:"):
             target, place = place.removeprefix("before:").split("/")
-            at, text = _at(target), F.col("__in")
-            spliced = F.concat(F.substring(text, F.lit(1), at - 1), piece, F.substring(text, at, F.length(text)))
-            grown = grown.withColumn("__lone", F.when(at == 0, piece).otherwise(F.lit(""))).withColumn(
-                "__in", F.when(at > 0, spliced).otherwise(text)
-            )
-            piece = F.col(f"__lone_{i}")
-            grown = grown.withColumnRenamed("__lone", f"__lone_{i}")
+            before[target] = piece
+            piece = F.when(F.col("__seen").rlike(rf"<{target}[\s/>]"), "").otherwise(piece)
         if place == "first":
             head.insert(0, piece)
         else:
             tail.append(piece)
+    grown = staged.withColumn("__seen", F.regexp_replace("__in", _COMMENT, "")).withColumns(pieces)
+    for target, piece in before.items():
+        grown = grown.withColumn("__in", _spliced(target, piece))
     return grown.withColumn("__new", F.concat(*head, F.col("__in"), *tail))
 
 
@@ -222,15 +220,15 @@ def enrich_jats(articles: DataFrame, earned: Column, xml: str = "xml", pub: str
     staged = staged.withColumn("__xml", out)
     for scope in SCOPES:
         whole = F.regexp_extract("__xml", rf"(?s)<{scope}(?:\s[^>]*?)?(?:/>|(?<!/)>.*?</{scope}\s*>)", 0)
-        staged = staged.withColumn("__whole", whole).withColumn("__in", _scope_body(F.col("__xml"), scope))
-        staged = staged.withColumn("__old", F.col("__in"))
+        inside = _scope_body(F.col("__xml"), scope)
+        staged = staged.withColumns({"__whole": whole, "__in": inside, "__old": inside})
         staged = _grow(staged, wanted, scope)
         head = F.regexp_replace(F.regexp_extract("__whole", r"^<[^>]*>", 0), r"\s*/?>$", "")
         rebuilt = F.concat(head, F.lit(">"), F.col("__new"), F.lit(f"</{scope}>"))
         changed = F.coalesce(F.col("__new") != F.col("__old"), F.lit(False))
         staged = staged.withColumn(
             "__xml", F.when(changed, _splice(F.col("__xml"), F.col("__whole"), rebuilt)).otherwise(F.col("__xml"))
-        ).drop("__seen")
+        )
     error = F.when(opening == "", "No <article> element found — not a JATS file?")
     kept = [c for c in articles.columns if c != xml]
     return staged.select(*kept, F.col("__xml").alias(xml), error.alias("jats_error"))

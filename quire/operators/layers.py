@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,42 +151,36 @@ def merge_rows(nodes: DataFrame, key: str = "manuscript_id") -> DataFrame:
     Works per (key, path) instead of per key, so a key with very many nodes
     spreads over tasks, and every step combines before its shuffle.
     """
-    paths = F.concat(F.array_join("path", SEP), F.lit(SEP))
-    rows = nodes.select(key, "rank", "path", "kind", "value_json", paths.alias("at"))
-    heights = rows.groupBy(key, "at").agg(
-        F.max(F.when(F.col("kind") != "map", F.col("rank"))).alias("leaf_rank"),
-        F.max(F.when(F.col("kind") == "map", F.col("rank"))).alias("map_rank"),
+    at = F.concat(F.array_join("path", SEP), F.lit(SEP))
+    by_path = (
+        nodes.groupBy(key, at.alias("at"))
+        .agg(F.first("path").alias("path"), F.collect_set(F.struct("rank", "kind", "value_json")).alias("versions"))
+        .withColumn("leaf_rank", _top_rank(lambda v: v["kind"] != "map"))
+        .withColumn("map_rank", _top_rank(lambda v: v["kind"] == "map"))
     )
     above = F.transform(
-        F.sequence(F.lit(1), F.size("path")),
+        F.sequence(F.lit(1), F.size("path") - 1),
         lambda d: F.concat(F.array_join(F.slice("path", F.lit(1), d), SEP), F.lit(SEP)),
     )
-    by_path = rows.groupBy(key, "at").agg(
-        F.first("path").alias("path"),
-        F.collect_set(F.struct("rank", "kind", "value_json")).alias("versions"),
-    )
-    masks = (
-        by_path.select(key, "at", F.explode(above).alias("above"))
-        .join(heights.withColumnRenamed("at", "above"), [key, "above"])
-        .groupBy(key, "at")
-        .agg(
-            F.max("leaf_rank").alias("any_leaf"),
-            F.max(F.when(F.col("above") == F.col("at"), F.col("map_rank"))).alias("own_map"),
-        )
-    )
+    nested = by_path.filter(F.size("path") > 1).select(key, "at", F.explode(above).alias("above"))
+    opaque = by_path.filter(F.col("leaf_rank").isNotNull()).select(key, F.col("at").alias("above"), "leaf_rank")
+    masks = nested.join(opaque, [key, "above"]).groupBy(key, "at").agg(F.max("leaf_rank").alias("above_leaf"))
 
     def survives(v: Column) -> Column:
-        below_leaf = F.coalesce(v["rank"] < F.col("any_leaf"), F.lit(False))
-        below_map = F.coalesce((v["rank"] < F.col("own_map")) & (v["kind"] != "map"), F.lit(False))
-        return ~below_leaf & ~below_map
+        masked = v["rank"] < F.greatest("above_leaf", "leaf_rank")
+        replaced = (v["kind"] != "map") & (v["rank"] < F.col("map_rank"))
+        return ~F.coalesce(masked, F.lit(False)) & ~F.coalesce(replaced, F.lit(False))
 
-    best = F.array_max(F.filter("versions", survives))
-    merged = by_path.join(masks, [key, "at"]).withColumn("best", best)
+    merged = by_path.join(masks, [key, "at"], "left").withColumn("best", F.array_max(F.filter("versions", survives)))
     return merged.filter(F.col("best").isNotNull()).select(
         key, "path", F.col("best.rank").alias("rank"), F.col("best.kind").alias("kind"), F.col("best.value_json").alias("value_json")
     )
 
 
+def _top_rank(which: Callable[[Column], Column]) -> Column:
+    return F.array_max(F.transform(F.filter("versions", which), lambda v: v["rank"]))
+
+
 def theme_rank(nodes: DataFrame, key: str = "manuscript_id") -> DataFrame:
     """(key, path, rank): the highest layer that sets each path, masks not considered."""
     return nodes.groupBy(key, "path").agg(F.max("rank").alias("rank"))

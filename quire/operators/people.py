@@ -118,7 +118,7 @@ def resolve_affiliations(refs: DataFrame, affiliations: DataFrame, key: str = "m
     listed = affiliations.select(key, F.col("aff_id").alias("ref"), F.col("number").alias("listed"), F.col("name").alias("listed_name"))
     found = refs.join(listed, [key, "ref"], "left")
     kept = found.filter(F.col("listed").isNotNull() | F.col("inline_name").isNotNull())
-    numbered = number_rows(kept, [key, "seq"], [F.col("pos")], F.col("pos"), "n")
+    numbered = number_rows(kept, [key, "seq"], [F.col("pos")], F.col("pos"), "n", sized_by=refs)
     return numbered.select(
         key,
         "seq",
@@ -162,8 +162,8 @@ def affiliation_line(affiliations: DataFrame, key: str = "manuscript_id") -> Dat
 
 def first_email(authors: DataFrame, key: str = "manuscript_id") -> DataFrame:
     """(key, email): the first non-empty email in author order."""
-    filled = authors.filter(F.col("email") != "")
-    return filled.groupBy(key).agg(F.min_by("email", "seq").alias("email"))
+    place = F.when(F.col("email") != "", F.col("seq"))
+    return authors.groupBy(key).agg(F.min_by("email", place).alias("email"))
 
 
 def fallback_email(manuscripts: DataFrame, authors: DataFrame, journal_path: Column, key: str = "manuscript_id") -> DataFrame:

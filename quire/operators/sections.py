@@ -27,9 +27,11 @@ def split_sections(body: Column) -> Column:
     def cut(pieces: Column) -> Column:
         heads = F.filter(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.element_at(pieces, i).rlike(_HEADING))
         starts = F.when(F.size(pieces) > 0, F.array_distinct(F.concat(F.array(F.lit(1)), heads)))
-        return F.transform(
+        return let(
             F.coalesce(starts, F.array().cast("array<int>")),
-            lambda at, n: _section(pieces, at, F.coalesce(F.get(starts, n + 1), F.size(pieces) + 1)),
+            lambda s: F.transform(
+                s, lambda at, n: _section(pieces, at, F.coalesce(F.get(s, n + 1), F.size(pieces) + 1))
+            ),
         )
 
     return let(F.regexp_extract_all(body, F.lit(_PIECES), F.lit(0)), cut)
@@ -37,11 +39,12 @@ def split_sections(body: Column) -> Column:
 
 def _section(pieces: Column, at: Column, until: Column) -> Column:
     first = F.element_at(pieces, at)
-    headed = first.rlike(_HEADING)
+    level = F.length(F.regexp_extract(first, r"^(#{1,6})[ \t]", 1))
+    headed = level > 0
     line = F.regexp_replace(first, r"\n$", "")
     title = strip(F.regexp_replace(F.regexp_replace(line, r"^#{1,6}[ \t]+", ""), r"\{[^}]*\}[ \t]*$", ""))
     return F.struct(
-        F.when(headed, F.length(F.regexp_extract(first, r"^(#{1,6})", 1))).otherwise(0).alias("level"),
+        level.alias("level"),
         F.when(headed, title).alias("title"),
         (headed & line.rlike(_UNNUMBERED)).alias("unnumbered"),
         F.array_join(

@@ -70,14 +70,20 @@ def text_rank(text: Column) -> Column:
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], slice_by: Column, name: str
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    slice_by: Column,
+    name: str,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """``row_number()`` per key, splitting hot keys over tasks.
 
     Without hot keys this is the plain window. A hot key is numbered per slice
-    and each slice starts where the slices before it ended.
+    and each slice starts where the slices before it ended. ``sized_by`` is an
+    optional cheaper table whose keys have at least as many rows each.
     """
-    hot = hot_keys(df, keys)
+    hot = hot_keys(df if sized_by is None else sized_by, keys)
     if hot is None:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     sliced = _sliced(df, keys, slice_by, hot)

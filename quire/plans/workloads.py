@@ -14,6 +14,7 @@ from quire.functions import text as T
 from quire.functions import values as V
 from quire.operators import badges, canonical, findings, jats, layers, package, people, references, sections, skew, sources
 from quire.profile import Profile
+from quire.session import spread
 from quire.sources import sinks
 from quire.sources.files import bibliography_rows, encode_galleys
 from quire.streaming import submissions
@@ -23,7 +24,7 @@ FENCE = "---\n"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def _text(*parts: Column | str) -> Column:

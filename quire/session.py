@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # the per-row work is heavy, so small stages should still use every core
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Arrow batches carry whole documents, so count rows conservatively
@@ -51,6 +53,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when a table is stored in fewer pieces than there are cores; large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def use_checkpoint_dir(spark: SparkSession) -> None:
     """Point ``DataFrame.checkpoint`` at the configured folder, unless it already has one."""
     if spark.sparkContext.getCheckpointDir() is None:
