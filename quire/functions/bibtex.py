@@ -27,8 +27,8 @@ def entry_key(entry: Column) -> Column:
     return F.regexp_extract(entry, _ENTRY_HEAD, 2)
 
 
-def _value_end(text: str, at: int) -> int:
-    """Where the value that starts at ``at`` ends: a comma or brace outside braces and quotes."""
+def _value_end(text: str, at: int, closing: str) -> int:
+    """Where the value that starts at ``at`` ends: a comma or the entry's end outside braces and quotes."""
     depth, quoted = 0, False
     while at < len(text):
         mark = text[at]
@@ -36,12 +36,10 @@ def _value_end(text: str, at: int) -> int:
             at += 1
         elif mark == '"' and depth == 0:
             quoted = not quoted
-        elif mark == "{":
-            depth += 1
-        elif mark == "}":
-            if depth == 0:
-                break
-            depth -= 1
+        elif mark == closing and depth == 0 and not quoted:
+            break
+        elif mark in "{}":
+            depth += 1 if mark == "{" else -1
         elif mark == "," and depth == 0 and not quoted:
             break
         at += 1
@@ -50,9 +48,11 @@ def _value_end(text: str, at: int) -> int:
 
 def _fields(entry: str | None) -> dict[str, str]:
     fields: dict[str, str] = {}
+    opening = re.search(r"[{(]", entry or "")
+    closing = ")" if opening and opening.group() == "(" else "}"
     at = (entry or "").find(",")
     while at >= 0 and (found := _FIELD_START.search(entry, at)):
-        end = _value_end(entry, found.end())
+        end = _value_end(entry, found.end(), closing)
         raw = " ".join(entry[found.end() : end].split())
         if len(raw) >= 2 and raw[0] + raw[-1] in ("{}", '""'):
             raw = raw[1:-1].strip()

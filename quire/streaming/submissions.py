@@ -61,7 +61,8 @@ def publish_incremental(
 
     Each batch writes its own ``batch=<n>`` folder in overwrite mode and is
     compared with the earlier ones only, so a batch that is run again after a
-    failure gives the same folder.
+    failure gives the same folder. The checkpoint holds the batch numbers and
+    belongs to the table.
     """
 
     def publish(batch: DataFrame, number: int) -> None:
