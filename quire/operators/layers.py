@@ -146,10 +146,13 @@ def union_layers(*layers: DataFrame) -> DataFrame:
 
 
 def merge_rows(nodes: DataFrame, key: str = "manuscript_id") -> DataFrame:
-    """The merge of :func:`merge_nodes` on (key, rank, path, kind, value_json) rows.
+    """The merge of :func:`merge_nodes` on (key, rank, path, kind, value_json) rows; maps are rows too.
 
     Works per (key, path) instead of per key, so a key with very many nodes
-    spreads over tasks, and every step combines before its shuffle.
+    spreads over tasks. Only paths that are a map in one layer and something
+    else in another can cut nodes off, which leaves a short table to look
+    prefixes up in; the aggregate after that look-up keeps the partitioning of
+    the first one.
     """
     at = F.concat(F.array_join("path", SEP), F.lit(SEP))
     by_path = (
@@ -158,20 +161,27 @@ def merge_rows(nodes: DataFrame, key: str = "manuscript_id") -> DataFrame:
         .withColumn("leaf_rank", _top_rank(lambda v: v["kind"] != "map"))
         .withColumn("map_rank", _top_rank(lambda v: v["kind"] == "map"))
     )
+    leaf, branch = (F.max(F.when(test, F.col("rank"))) for test in (F.col("kind") != "map", F.col("kind") == "map"))
+    cuts = (
+        nodes.groupBy(key, at.alias("above"))
+        .agg(leaf.alias("cut"), branch.alias("branch"))
+        .filter(F.col("cut").isNotNull() & F.col("branch").isNotNull())
+        .drop("branch")
+    )
     above = F.transform(
-        F.sequence(F.lit(1), F.size("path") - 1),
+        F.when(F.size("path") > 1, F.sequence(F.lit(1), F.size("path") - 1)),
         lambda d: F.concat(F.array_join(F.slice("path", F.lit(1), d), SEP), F.lit(SEP)),
     )
-    nested = by_path.filter(F.size("path") > 1).select(key, "at", F.explode(above).alias("above"))
-    opaque = by_path.filter(F.col("leaf_rank").isNotNull()).select(key, F.col("at").alias("above"), "leaf_rank")
-    masks = nested.join(opaque, [key, "above"]).groupBy(key, "at").agg(F.max("leaf_rank").alias("above_leaf"))
+    looked_up = by_path.withColumn("above", F.explode_outer(above)).join(cuts, [key, "above"], "left")
+    kept = [F.first(c).alias(c) for c in ("path", "versions", "leaf_rank", "map_rank")]
+    masked = looked_up.groupBy(key, "at").agg(*kept, F.max("cut").alias("cut"))
 
     def survives(v: Column) -> Column:
-        masked = v["rank"] < F.greatest("above_leaf", "leaf_rank")
+        hidden = v["rank"] < F.greatest("cut", "leaf_rank")
         replaced = (v["kind"] != "map") & (v["rank"] < F.col("map_rank"))
-        return ~F.coalesce(masked, F.lit(False)) & ~F.coalesce(replaced, F.lit(False))
+        return ~F.coalesce(hidden, F.lit(False)) & ~F.coalesce(replaced, F.lit(False))
 
-    merged = by_path.join(masks, [key, "at"], "left").withColumn("best", F.array_max(F.filter("versions", survives)))
+    merged = masked.withColumn("best", F.array_max(F.filter("versions", survives)))
     return merged.filter(F.col("best").isNotNull()).select(
         key, "path", F.col("best.rank").alias("rank"), F.col("best.kind").alias("kind"), F.col("best.value_json").alias("value_json")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import normalize_doi
 from quire.functions.values import bibliography_authors, short_author, year_letters
-from quire.operators.skew import number_rows, text_rank
+from quire.operators.skew import number_rows
 
 
 def resolve_citations(citations: DataFrame, refs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -106,8 +106,7 @@ def sort_references(refs: DataFrame, key: str = "manuscript_id") -> DataFrame:
         F.col("fields")["volume"].asc_nulls_first(),
         F.col("key"),
     ]
-    # only the sort text's collation decides its order, so one article's list is never sliced by it
-    return number_rows(prepared, [key], order, F.lit(0), "position").drop("__who")
+    return number_rows(prepared, [key], order, ci[0], "position").drop("__who")
 
 
 def sort_cluster(citations: DataFrame, cluster: Sequence[str], order: Sequence[Column], slice_by: Column) -> DataFrame:
@@ -140,10 +139,3 @@ def duplicate_dois(refs: DataFrame) -> DataFrame:
 def theme_catalog(meta: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Articles per journal, volume and year (or any other keys)."""
     return meta.groupBy(*keys).agg(F.count(F.lit(1)).alias("articles"))
-
-
-__all__ = [
-    "author_lists", "author_sort_key", "clear_date_parts", "date_group", "duplicate_dois", "duplicate_refs", "reference_order",
-    "resolve_citations", "short_authors", "sort_cluster", "sort_references", "text_rank", "theme_catalog",
-    "uncited_refs", "undefined_citations", "year_suffix",
-]

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from quire.session import broadcast_rows, hot_rows, use_checkpoint_dir
 
@@ -20,12 +21,14 @@ def join_dimension(facts: DataFrame, dimension: DataFrame, on: Sequence[str], ho
     The dimension is broadcast only after its rows were counted against
     ``spark.quire.broadcastRows``. A larger one is joined on (keys, salt): each
     dimension row appears once per salt and the fact rows of a hot key spread
-    over all salts.
+    over all salts, by a hash of the row so that a rerun task gives the same.
     """
     limit = broadcast_rows(facts.sparkSession)
     if dimension.limit(limit + 1).count() <= limit:
         return facts.join(F.broadcast(dimension), list(on), how)
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns]), F.lit(SALTS))
+    # maps and variants cannot be hashed
+    hashable = [f.name for f in facts.schema if not {"map", "variant"} & set(f.dataType.json().split('"'))]
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in hashable]), F.lit(SALTS))
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
     salted = dimension.withColumn("__salt", salts)
     return facts.withColumn("__salt", spread).join(salted, [*on, "__salt"], how).drop("__salt")
@@ -44,31 +47,37 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     return hot.checkpoint()
 
 
+def _bounds(values: DataFrame, slices: int) -> list:
+    """Up to ``slices - 1`` ascending values of column ``__o`` that cut it into about even parts."""
+    kind = values.schema["__o"].dataType
+    if isinstance(kind, NumericType):
+        return sorted(set(values.approxQuantile("__o", [i / slices for i in range(1, slices)], 0.25 / slices)))
+    # any other type, collated text too: a fixed-size random pick, put in order by Spark
+    picked = values.filter(F.col("__o").isNotNull()).orderBy(F.rand(7)).limit(20 * slices)
+    ordered = [row[0] for row in picked.orderBy("__o").collect()]
+    return list(dict.fromkeys(ordered[20::20]))
+
+
 def _sliced(df: DataFrame, keys: Sequence[str], order: Column, hot: DataFrame) -> DataFrame:
     """Tag each row with an order-preserving slice; keys that are not hot keep slice 0.
 
-    ``order`` is a numeric expression that the full ordering refines. The slice
-    bounds are approximate quantiles over the hot rows, so a hot key is cut
-    into even ranges; any bounds give the same numbering.
+    ``order`` is an expression that the full ordering refines. The slice bounds
+    are taken from the hot rows, so a hot key is cut into about even ranges;
+    any bounds give the same numbering. Rows that share one order value share
+    one slice, so the expression must vary within a hot key. A few thousand
+    bounds at most reach the driver.
     """
-    spark = df.sparkSession
     sized = join_dimension(df, hot, keys)
-    hot_part = sized.filter(F.col("__n").isNotNull()).select(order.cast("double").alias("__o"))
     rows = hot.agg(F.sum("__n")).first()[0]
-    slices = min(MAX_SLICES, max(2, math.ceil(2 * rows / hot_rows(spark))))
-    probabilities = [i / slices for i in range(1, slices)]
-    bounds = sorted(set(hot_part.approxQuantile("__o", probabilities, 0.25 / slices)))
-    cuts = F.array(*[F.lit(float(b)) for b in bounds])
-    # rows that share one order value share one slice, so the order column must vary within a hot key
-    slot = F.aggregate(cuts, F.lit(0), lambda n, b: n + F.when(order.cast("double") > b, 1).otherwise(0))
+    slices = min(MAX_SLICES, max(2, math.ceil(2 * rows / hot_rows(df.sparkSession))))
+    bounds = _bounds(sized.filter(F.col("__n").isNotNull()).select(order.alias("__o")), slices)
+    slot = F.lit(0)
+    if bounds:
+        cuts = F.array(*[F.lit(b) for b in bounds])
+        slot = F.aggregate(cuts, F.lit(0), lambda n, b: n + F.when(order > b, 1).otherwise(0))
     return sized.withColumn("__slice", F.when(F.col("__n").isNull(), F.lit(0)).otherwise(slot))
 
 
-def text_rank(text: Column) -> Column:
-    """A number that grows with ``text`` in binary order; ties beyond two characters share it."""
-    return F.ascii(text) * F.lit(1114112.0) + F.ascii(F.substring(text, 2, 1))
-
-
 def number_rows(
     df: DataFrame,
     keys: Sequence[str],

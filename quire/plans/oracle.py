@@ -366,4 +366,50 @@ select user_id, event_id, event_type from events qualify row_number() over (part
 select distinct source, md5(text) as hash from documents d
 where not exists (select 1 from documents e where e.lang = 'en' and e.source = d.source and md5(e.text) = md5(d.text))""",
 }
+ORACLE |= {
+    "canonical_inputs": """
+select doc_id as manuscript_id, 'article.qmd' as file_name, md5(case when lang = 'es' then text else '---' || chr(10) || 'abstract: >' || chr(10)
+  || '  About ' || source || chr(10) || chr(10) || 'bibliography: references.bib' || chr(10) || '---' || chr(10) || chr(10) || text end) as text_md5
+from documents""",
+    "stored_tables": """
+select doc_id as manuscript_id, 'article.qmd' as file_name, md5(text) as content_md5 from documents
+union all select doc_id, case when lang <> 'de' then 'D' || doc_id else 'article' end || '_ojs_import.xml', md5(text) from documents""",
+    "metafile_rewrite": """
+select doc_id as manuscript_id, md5('![](figures/a' || doc_id || '.png) ![](figures/b' || doc_id || case when lang = 'en' then '.png' else '.WMF' end
+  || ') ' || text) as body_md5 from documents""",
+    "bibliography_choice": """
+with f as (select o_custkey, case o_orderstatus when 'F' then 'source/tex/' when 'O' then 'source/tex/sub/' end || 'r' || o_orderkey || '.bib' as path
+  from orders where o_orderpriority = '1-URGENT' and o_orderstatus in ('F', 'O'))
+select o_custkey as manuscript_id, min(path) as bibliography from f join customer on c_custkey = o_custkey where c_mktsegment <> 'BUILDING' group by 1""",
+    "no_bibliography": """
+select c_custkey as manuscript_id, 'warning' as level, 'no-bibliography' as rule, 'No bibliography detected. If the manuscript cites sources, add a references.bib '
+  || '(Word citations must use live Zotero/Mendeley field codes to be extracted automatically).' as message
+from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')""",
+    "declared_bibliography": """
+with d as (select o_orderkey, 1 as n from orders union all select o_orderkey, 5 from orders where o_orderstatus = 'F')
+select o_orderkey as manuscript_id, 'error' as level, 'bibliography' as rule, 'bibliography file not found: l' || n || '.bib' as message,
+  'order-' || o_orderkey as file
+from d where not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_linenumber = n)""",
+    "metadata_findings": """
+with r(lang, level, rule, message) as (values
+  ('en', 'error', 'required', 'Missing required field: pub.volume'), ('en', 'error', 'required', 'Missing required field: pub.discipline'),
+  ('es', 'error', 'required', 'Missing required field: keywords'), ('fr', 'warning', 'recommended', 'Recommended field missing: pub.doi (DOI)'),
+  ('fr', 'warning', 'article-id', 'Article id differs from the folder name.'), ('es', 'warning', 'article-type', 'Unknown article type: Poem'),
+  ('de', 'warning', 'todo', 'Field still holds TODO: title'), ('de', 'warning', 'orcid', 'Author #1 has a blank ORCID.'))
+select 'D' || doc_id as manuscript_id, level, rule, message from documents join r using (lang)
+union all select 'D' || doc_id, 'warning', 'recommended', 'Recommended field missing: pub.lay-summary (plain-language summary)' from documents""",
+    "author_line": f"""
+with {_LINES}, marks as (select l_orderkey, seq, string_agg(cast(number as varchar), ',' order by pos) as m from resolved group by 1, 2),
+a as (select distinct l_orderkey, l_linenumber as seq from lineitem)
+select a.l_orderkey, string_agg('Line ' || (a.seq + 1) || ' ' || coalesce(m, ''), ', ' order by a.seq) as author_line
+from a left join marks on marks.l_orderkey = a.l_orderkey and marks.seq = a.seq group by 1""",
+    "affiliation_line": f"""
+with {_LINES}, s as (select l_orderkey, number, min(name) as name from affs group by 1, 2)
+select l_orderkey, string_agg(number || ' ' || name, '; ' order by number) as affiliation_line from s group by 1""",
+    "sorted_references": """
+select o_custkey as manuscript_id, o_orderkey as key, cast(row_number() over (partition by o_custkey order by
+  case when o_orderstatus in ('F', 'O') then 1 else 2 end, case when o_orderpriority = '5-LOW' then 0 else 1 end,
+  case when o_orderpriority <> '5-LOW' then year(o_orderdate) end nulls first, o_orderpriority, o_orderkey) as integer) as position from orders""",
+    "publish_stream": "select distinct source, md5(text) as hash from documents",
+}
 ORACLE["latest_revision_stream"] = ORACLE["latest_revision"]

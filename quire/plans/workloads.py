@@ -7,6 +7,8 @@ ordered list of people, a folder with files, a journal with its articles.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from quire.functions import text as T
 from quire.functions import values as V
 from quire.operators import badges, canonical, findings, jats, layers, package, people, references, sections, skew, sources
 from quire.profile import Profile
-from quire.session import spread
+from quire.session import checkpoint_dir, spread
 from quire.sources import sinks
 from quire.sources.files import bibliography_rows, encode_galleys
 from quire.streaming import submissions
@@ -187,6 +189,79 @@ def undefined_links(spark: SparkSession, sf: str) -> DataFrame:
     return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
 
 
+def canonical_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    """Markdown goes through unchanged, the other formats are put together; one schema at the end."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("manuscript_id"), "lang", "source", "text")
+    markdown = docs.filter(F.col("lang") == "es")
+    converted = docs.filter(F.col("lang") != "es").select(
+        "manuscript_id", "text", _text("About ", F.col("source")).alias("abstract"), F.lit(None).cast("string").alias("keywords")
+    )
+    both = sources.union_inputs(sources.passthrough(markdown), canonical.assemble_canonical(converted))
+    return both.select("manuscript_id", "file_name", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def stored_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Canonical texts and packages written as tables and read back."""
+    folder = f"{checkpoint_dir(spark)}/quire-stored-{uuid.uuid4().hex}"
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("manuscript_id"), "lang", "text")
+    sinks.write_canonical(docs, f"{folder}/canonical")
+    article = F.when(F.col("lang") != "de", _text("D", F.col("manuscript_id")))
+    sinks.write_packages(docs.select("manuscript_id", article.alias("article_id"), F.col("text").alias("xml")), f"{folder}/packages")
+    texts = spark.read.parquet(f"{folder}/canonical").withColumnRenamed("text", "content")
+    packages = spark.read.parquet(f"{folder}/packages").withColumnRenamed("xml", "content")
+    stored = texts.unionByName(packages)
+    return stored.select("manuscript_id", "file_name", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+def metafile_rewrite(spark: SparkSession, sf: str) -> DataFrame:
+    """Links to converted figures, for documents with two kinds of metafile."""
+    doc = F.col("doc_id")
+    docs = table(spark, sf, "documents").select(doc.alias("manuscript_id"), "lang", "doc_id", "text")
+    paths = F.array(
+        _text("figures/a", doc, ".emf"), F.when(F.col("lang") == "en", _text("figures/b", doc, ".WMF")), F.lit("figures/c.png")
+    )
+    files = docs.select("manuscript_id", F.lit("figures").alias("area"), F.explode(F.array_compact(paths)).alias("path"))
+    files = files.withColumn("ext", F.lower(F.regexp_extract("path", r"(\.[^.]+)$", 1)))
+    body = _text("![](figures/a", doc, ".emf) ![](figures/b", doc, ".WMF) ", F.col("text"))
+    joined = docs.select("manuscript_id", body.alias("body")).join(sources.metafile_links(files), ["manuscript_id"], "left")
+    text = T.rewrite_links(F.col("body"), F.col("replacements"))
+    return joined.select("manuscript_id", F.md5(text.cast("binary")).alias("body_md5"))
+
+
+def _bib_files(spark: SparkSession, sf: str) -> DataFrame:
+    """One folder per customer; every urgent order is a bibliography file, in one of three places."""
+    key = F.col("o_orderkey")
+    place = F.when(F.col("o_orderstatus") == "F", "source/tex/").when(F.col("o_orderstatus") == "O", "source/tex/sub/").otherwise("source/other/")
+    name = _text("r", key, F.when(F.col("o_orderpriority") == "1-URGENT", ".bib").otherwise(".png"))
+    files = table(spark, sf, "orders").select(F.col("o_custkey").alias("manuscript_id"), F.concat(place, name).alias("path"))
+    return files.withColumn("ext", F.regexp_extract("path", r"(\.[^.]+)$", 1))
+
+
+def bibliography_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """The bibliography below the LaTeX source; customers of one segment have a Word source."""
+    ext = F.when(F.col("c_mktsegment") == "BUILDING", ".docx").otherwise(".tex")
+    source = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("manuscript_id"), ext.alias("ext"), F.concat(F.lit("source/tex/main"), ext).alias("path")
+    )
+    return sources.choose_bibliography(_bib_files(spark, sf), source)
+
+
+def no_bibliography(spark: SparkSession, sf: str) -> DataFrame:
+    customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("manuscript_id"))
+    return sources.no_bibliography(customers, _bib_files(spark, sf)).select("manuscript_id", "level", "rule", "message")
+
+
+def declared_bibliography(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders name two files each; those of the line items are there."""
+    key = F.col("o_orderkey")
+    declared = F.array(F.lit("l1.bib"), F.when(F.col("o_orderstatus") == "F", "l5.bib"))
+    meta = table(spark, sf, "orders").select(key.alias("manuscript_id"), F.array_compact(declared).alias("bibliography"))
+    files = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("manuscript_id"), _text("l", F.col("l_linenumber"), ".bib").alias("path")
+    )
+    return findings.missing_bibliography(meta, files, _text("order-", F.col("manuscript_id")))
+
+
 # --- metadata -----------------------------------------------------------------
 
 
@@ -225,6 +300,33 @@ def yaml_layers(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def metadata_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Required, recommended and convention rules over the merged YAML of each document."""
+    doc, lang = F.col("doc_id"), F.col("lang")
+
+    def by_lang(special: str, value: str, other: str) -> Column:
+        return F.when(lang == special, value).otherwise(other)
+
+    text = _text(
+        by_lang("de", 'title: "TODO: a title"', "title: A title"), "\nabstract: About ", F.col("source"),
+        "\nkeywords: ", by_lang("es", "[]", "[k]"), "\npub:\n  volume: ", by_lang("en", "0", "3"), "\n  year: ", F.col("n_chars"),
+        "\n  article-id: ", by_lang("fr", "X", "D"), doc, "\n  article-type: ", by_lang("es", "Poem", "Editorial"),
+        "\n  discipline: ", by_lang("en", "''", "Art"), "\n  journal: J\n  lay-summary:\n",
+        by_lang("fr", "", "  doi: 10.1/x\n"), "  recommended-citation: c\n",
+        "author:\n  - {name: A B, orcid: ", by_lang("de", "''", "0000"), "}\n",
+    )
+    docs = table(spark, sf, "documents").select(_text("D", doc).alias("manuscript_id"), text.alias("y"))
+    parsed = layers.parse_layer(docs, "y", "manuscript_id")
+    merged = parsed.select("manuscript_id", F.lit("t").alias("theme"), layers.merge_nodes(F.col("nodes")).alias("nodes"))
+    file = F.lit(None)
+    found = findings.union_findings(
+        findings.validate_required(merged, PROFILE, file),
+        findings.validate_recommended(merged, PROFILE, file),
+        findings.validate_conventions(merged, layers.project_meta(merged, PROFILE), people.authors(people.author_items(merged)), file),
+    )
+    return found.drop("file")
+
+
 def _node(rank: int, path: str, kind: str, value: Column | None, when: Column | None = None) -> Column:
     row = F.struct(
         F.lit(rank).alias("rank"),
@@ -322,6 +424,21 @@ def affiliation_marks(spark: SparkSession, sf: str) -> DataFrame:
     return people.affiliation_marks(author_affiliations(spark, sf), "l_orderkey")
 
 
+def author_line(spark: SparkSession, sf: str) -> DataFrame:
+    """Each order's lines with their marks as one author line."""
+    authors = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("seq")).distinct()
+    numbered = people.author_numbers(authors)
+    named = numbered.withColumn("name", _text("Line ", F.col("id"), " "))
+    return people.author_line(named, affiliation_marks(spark, sf), "l_orderkey")
+
+
+def affiliation_line(spark: SparkSession, sf: str) -> DataFrame:
+    """Each order's affiliations as one line; repeated numbers are told apart by name."""
+    listed = _affiliations(_order_lines(spark, sf))
+    single = listed.groupBy("l_orderkey", "number").agg(F.min("name").alias("name"))
+    return people.affiliation_line(single, "l_orderkey")
+
+
 def dangling_refs(spark: SparkSession, sf: str) -> DataFrame:
     lines = _order_lines(spark, sf)
     lost = people.dangling_affiliations(_affiliation_refs(lines), _affiliations(lines), "l_orderkey")
@@ -643,6 +760,19 @@ def bib_entries(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def sorted_references(spark: SparkSession, sf: str) -> DataFrame:
+    """The orders of a customer as a reference list, sorted by author text, date and title."""
+    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    author = F.struct(F.when(status == "F", "adams").when(status == "O", "Adams").otherwise("Zed").alias("family"), F.lit("J.").alias("given"))
+    year = F.when(F.col("o_orderpriority") != "5-LOW", F.year("o_orderdate").cast("string"))
+    fields = F.create_map(F.lit("volume"), F.substring("o_orderpriority", 1, 1))
+    refs = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("manuscript_id"), key.alias("key"), fields.alias("fields"), F.array(author).alias("authors"),
+        year.alias("year"), F.lower("o_orderpriority").alias("title"),
+    )
+    return references.sort_references(refs).select("manuscript_id", "key", "position")
+
+
 def year_suffix(spark: SparkSession, sf: str) -> DataFrame:
     """Orders of one customer and year get letters by date."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", F.year("o_orderdate").alias("y"))
@@ -745,3 +875,13 @@ def incremental_publish(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("lang", F.md5(F.col("text").cast("binary")).alias("hash"), "source")
     published = docs.filter(F.col("lang") == "en")
     return submissions.new_content(docs, published, ["source", "hash"]).select("source", "hash")
+
+
+def publish_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents published by a stream, and the stream started again: contents appear once."""
+    base = f"{checkpoint_dir(spark)}/quire-publish-{uuid.uuid4().hex}"
+    for _ in range(2):
+        docs = _event_stream(spark, sf, "documents").select("source", F.md5(F.col("text").cast("binary")).alias("hash"))
+        query = submissions.publish_incremental(docs, f"{base}/table", ["source", "hash"], f"{base}/state")
+        query.awaitTermination()
+    return spark.read.parquet(f"{base}/table").drop("batch")

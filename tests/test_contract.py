@@ -27,7 +27,7 @@ def test_query_agrees_with_sql(spark, db, name):
     assert compare(spark, db, FOLDER, name, contract.queries()[name], contract.oracle_sql()[name]) is None
 
 
-@pytest.mark.parametrize("name", ["adjacent_runs", "year_suffix", "short_author", "reference_order", "cluster_order", "author_affiliations"])
+@pytest.mark.parametrize("name", ["adjacent_runs", "year_suffix", "short_author", "sorted_references", "reference_order", "cluster_order", "author_affiliations"])
 def test_split_hot_keys_give_the_same_rows(spark, db, name):
     spark.conf.set("spark.quire.hotRows", "3")
     spark.conf.set("spark.quire.broadcastRows", "2")
