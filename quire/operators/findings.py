@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.values import is_blank, is_missing
-from quire.operators.layers import node_at
+from quire.operators.layers import get_path, node_at
 from quire.profile import ARTICLE_TYPES, NO_AUTHORS, NO_EMAIL, Profile
 
 PLACEHOLDER = "TODO"
@@ -27,6 +27,18 @@ def finding(
     )
 
 
+def _hit(level: str, rule: str, holds: Column, message: Column) -> Column:
+    """A (level, rule, message) struct where the condition holds, else null."""
+    row = F.struct(F.lit(level).alias("level"), F.lit(rule).alias("rule"), message.cast("string").alias("message"))
+    return F.when(F.coalesce(holds, F.lit(False)), row)
+
+
+def _one_pass(records: DataFrame, hits: Column, file: Column, key: str) -> DataFrame:
+    """Findings from an array of hits per record: all rules in one pass, without a join."""
+    rows = records.select(key, file.cast("string").alias("file"), F.inline(F.array_compact(hits)))
+    return rows.select(key, "level", "rule", "message", "file")
+
+
 def missing_fields(
     records: DataFrame,
     checks: Sequence[tuple[str, Column]],
@@ -36,35 +48,70 @@ def missing_fields(
     file: Column,
     key: str = "manuscript_id",
 ) -> DataFrame:
-    """One finding per record and (label, is missing) check that holds, in check order.
+    """One finding per record and (label, is missing) check that holds, in check order."""
+    hits = F.array(*[_hit(level, rule, missing, F.lit(message + label)) for label, missing in checks])
+    return _one_pass(records, hits, file, key)
 
-    All checks of a record are evaluated in one pass, without a join.
-    """
-    labels = F.array(*[F.when(missing, F.lit(label)) for label, missing in checks])
-    hits = records.select(key, file.alias("file"), F.explode(F.array_compact(labels)).alias("label"))
-    return finding(hits, level, rule, F.concat(F.lit(message), "label"), F.col("file"), key)
 
+def _absent(path: str) -> Column:
+    node = node_at(F.col("nodes"), path)
+    return is_missing(node["kind"], node["value_json"])
 
-def _field_checks(paths: Sequence[tuple[str, str]]) -> list[tuple[str, Column]]:
-    checks = []
-    for path, label in paths:
-        node = node_at(F.col("nodes"), path)
-        checks.append((label, is_missing(node["kind"], node["value_json"])))
-    return checks
+
+def _required(profile: Profile) -> list[Column]:
+    return [
+        _hit("error", "required", _absent(path), F.lit(f"Missing required field: {label}"))
+        for path, label in profile.required
+    ]
+
+
+def _recommended(profile: Profile) -> list[Column]:
+    return [
+        _hit("warning", "recommended", _absent(path), F.lit(f"Recommended field missing: {label}"))
+        for path, label in profile.recommended
+    ]
 
 
 def validate_required(merged: DataFrame, profile: Profile, file: Column) -> DataFrame:
     """One error per missing or falsy required field of the merged metadata."""
-    return missing_fields(
-        merged, _field_checks(profile.required), "error", "required", "Missing required field: ", file
-    )
+    return _one_pass(merged, F.array(*_required(profile)), file, "manuscript_id")
 
 
 def validate_recommended(merged: DataFrame, profile: Profile, file: Column) -> DataFrame:
     """One warning per missing or falsy recommended field."""
-    return missing_fields(
-        merged, _field_checks(profile.recommended), "warning", "recommended", "Recommended field missing: ", file
-    )
+    return _one_pass(merged, F.array(*_recommended(profile)), file, "manuscript_id")
+
+
+def validate_fields(merged: DataFrame, profile: Profile, file: Column, conventions: bool = False) -> DataFrame:
+    """Required and recommended fields in one pass; ``conventions`` adds the rules that are only written down.
+
+    Those are warnings: the article id equals the folder name, the article type
+    is one of seven, no field still holds a ``TODO``.
+    """
+    rules = F.array(*_required(profile), *_recommended(profile))
+    if conventions:
+        article_id = get_path(F.col("nodes"), f"{profile.namespace}.article-id")
+        kind = get_path(F.col("nodes"), f"{profile.namespace}.article-type")
+        unfinished = F.filter("nodes", lambda n: F.coalesce(n["value_json"].rlike(rf"\b{PLACEHOLDER}\b"), F.lit(False)))
+        marks = F.transform(
+            unfinished,
+            lambda n: _hit(
+                "warning", "todo", F.lit(True), F.concat(F.lit("Field still holds TODO: "), F.array_join(n["path"], "."))
+            ),
+        )
+        named = F.array(
+            _hit("warning", "article-id", article_id != F.col("manuscript_id"), F.lit("Article id differs from the folder name.")),
+            _hit("warning", "article-type", ~kind.isin(*ARTICLE_TYPES), F.concat(F.lit("Unknown article type: "), kind)),
+        )
+        rules = F.concat(rules, named, marks)
+    return _one_pass(merged, rules, file, "manuscript_id")
+
+
+def blank_orcids(authors: DataFrame, file: Column, key: str = "manuscript_id") -> DataFrame:
+    """Opt-in warning for authors whose ORCID is given but blank."""
+    blank = authors.filter(F.col("orcid_given") & is_blank(F.col("orcid")))
+    number = F.concat(F.lit("Author #"), F.col("seq") + 1, F.lit(" has a blank ORCID."))
+    return finding(blank, "warning", "orcid", number, file, key)
 
 
 def any_email(authors: DataFrame, key: str = "manuscript_id") -> DataFrame:
@@ -101,28 +148,6 @@ def placeholders(
     return bodies.filter(F.col(text).rlike(rf"\b{mark}\b")).select(key)
 
 
-def validate_conventions(merged: DataFrame, meta: DataFrame, authors: DataFrame, file: Column) -> DataFrame:
-    """Opt-in warnings for rules that are only written down: id, article type, ORCID, TODO marks."""
-    ns = F.col("pub")
-    wrong_id = meta.filter(F.coalesce(ns["article_id"] != F.col("manuscript_id"), F.lit(False)))
-    wrong_type = meta.filter(F.coalesce(~ns["article_type"].isin(*ARTICLE_TYPES), F.lit(False)))
-    blank_orcid = authors.filter(F.col("orcid_given") & is_blank(F.col("orcid")))
-    marks = merged.select(
-        "manuscript_id",
-        F.explode(F.filter("nodes", lambda n: F.coalesce(n["value_json"].rlike(r"\bTODO\b"), F.lit(False)))).alias("n"),
-    )
-    return union_findings(
-        finding(wrong_id, "warning", "article-id", F.lit("Article id differs from the folder name."), file),
-        finding(wrong_type, "warning", "article-type", F.concat(F.lit("Unknown article type: "), ns["article_type"]), file),
-        finding(
-            blank_orcid, "warning", "orcid", F.concat(F.lit("Author #"), F.col("seq") + 1, F.lit(" has a blank ORCID.")), file
-        ),
-        finding(
-            marks, "warning", "todo", F.concat(F.lit("Field still holds TODO: "), F.array_join("n.path", ".")), file
-        ),
-    )
-
-
 def union_findings(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from quire.session import broadcast_rows, hot_rows, use_checkpoint_dir
+from quire.session import broadcast_rows, hot_rows, settled
 
 SALTS = 64
 MAX_SLICES = 4096
@@ -41,10 +41,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     hot = counts.filter(F.col("__n") > hot_rows(df.sparkSession))
-    if hot.isEmpty():
-        return None
-    use_checkpoint_dir(df.sparkSession)
-    return hot.checkpoint()
+    return None if hot.isEmpty() else settled(hot)
 
 
 def _bounds(values: DataFrame, slices: int) -> list:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import has_latex_document, unix_newlines
 from quire.operators import badges, canonical, findings, jats, layers, package, people, sections, sources
 from quire.profile import CANONICAL_NAME, REGISTRY_NAME, SOURCE_SUFFIXES, Profile
-from quire.session import use_checkpoint_dir
+from quire.session import settled
 from quire.sources import files as scans
 
 
@@ -103,8 +103,7 @@ class Corpus:
         themes = layers.parse_layer(scans.scan_theme(self.spark, self.root), "text", "theme")
         registry = layers.parse_layer(scans.scan_registry(self.spark, self.root, self.files), "text", "manuscript_id")
         front = layers.parse_layer(self.canonical, "front_matter", "manuscript_id")
-        use_checkpoint_dir(self.spark)
-        return layers.merge_metadata(self.manuscripts, themes, registry, front).checkpoint()
+        return settled(layers.merge_metadata(self.manuscripts, themes, registry, front))
 
     @cached_property
     def meta(self) -> DataFrame:
@@ -141,16 +140,17 @@ class Corpus:
         registry, article = self._file(REGISTRY_NAME), self._file(CANONICAL_NAME)
         unreadable = self.merged.filter(F.col("error").isNotNull())
         return findings.union_findings(
-            findings.validate_required(self.merged, self.profile, registry),
+            findings.validate_fields(self.merged, self.profile, registry),
             findings.validate_authors(self.manuscripts, self.authors, article),
             findings.missing_bibliography(self.meta, self.files, article),
-            findings.validate_recommended(self.merged, self.profile, registry),
             findings.finding(unreadable, "error", "metadata", F.col("error"), registry),
         )
 
     @cached_property
     def conventions(self) -> DataFrame:
-        return findings.validate_conventions(self.merged, self.meta, self.authors, self._file(REGISTRY_NAME))
+        """All field rules with the unwritten ones, and blank ORCIDs."""
+        fields = findings.validate_fields(self.merged, self.profile, self._file(REGISTRY_NAME), conventions=True)
+        return findings.union_findings(fields, findings.blank_orcids(self.authors, self._file(CANONICAL_NAME)))
 
     @cached_property
     def verdict(self) -> DataFrame:

@@ -16,7 +16,7 @@ from quire.functions import text as T
 from quire.functions import values as V
 from quire.operators import badges, canonical, findings, jats, layers, package, people, references, sections, skew, sources
 from quire.profile import Profile
-from quire.session import checkpoint_dir, spread
+from quire.session import checkpoint_dir, settled, spread
 from quire.sources import sinks
 from quire.sources.files import bibliography_rows, encode_galleys
 from quire.streaming import submissions
@@ -317,12 +317,10 @@ def metadata_findings(spark: SparkSession, sf: str) -> DataFrame:
     )
     docs = table(spark, sf, "documents").select(_text("D", doc).alias("manuscript_id"), text.alias("y"))
     parsed = layers.parse_layer(docs, "y", "manuscript_id")
-    merged = parsed.select("manuscript_id", F.lit("t").alias("theme"), layers.merge_nodes(F.col("nodes")).alias("nodes"))
-    file = F.lit(None)
+    merged = settled(parsed.select("manuscript_id", layers.merge_nodes(F.col("nodes")).alias("nodes")))
     found = findings.union_findings(
-        findings.validate_required(merged, PROFILE, file),
-        findings.validate_recommended(merged, PROFILE, file),
-        findings.validate_conventions(merged, layers.project_meta(merged, PROFILE), people.authors(people.author_items(merged)), file),
+        findings.validate_fields(merged, PROFILE, F.lit(None), conventions=True),
+        findings.blank_orcids(people.authors(people.author_items(merged)), F.lit(None)),
     )
     return found.drop("file")
 
@@ -417,7 +415,8 @@ def _affiliation_refs(lines: DataFrame) -> DataFrame:
 
 def author_affiliations(spark: SparkSession, sf: str) -> DataFrame:
     lines = _order_lines(spark, sf)
-    return people.resolve_affiliations(_affiliation_refs(lines), _affiliations(lines), "l_orderkey")
+    sizes = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("seq"))
+    return people.resolve_affiliations(_affiliation_refs(lines), _affiliations(lines), "l_orderkey", sizes)
 
 
 def affiliation_marks(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,10 +60,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def use_checkpoint_dir(spark: SparkSession) -> None:
-    """Point ``DataFrame.checkpoint`` at the configured folder, unless it already has one."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+def settled(df: DataFrame) -> DataFrame:
+    """Compute once into a table below the shared checkpoint folder; later uses read it from there.
+
+    One pass over the data, where ``DataFrame.checkpoint`` takes two, and later
+    reads are pruned to the columns they need.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/quire-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def hot_rows(spark: SparkSession) -> int:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import decoded
-from quire.operators import badges, people, references, sections, sources
+from quire.operators import badges, findings, people, references, sections, sources
 from quire.plans.corpus import Corpus
 from quire.sources import files as scans
 from quire.sources import sinks
@@ -99,6 +99,11 @@ def test_findings_and_verdict(corpus):
     verdict = {r.manuscript_id: r.passed for r in corpus.verdict.collect()}
     assert verdict == {"JT.1": True, "bad one": False, "zip": False}
     assert rows(corpus.conventions.filter("manuscript_id = 'JT.1'"), "message") == []
+    required = findings.validate_required(corpus.merged, corpus.profile, F.lit(None))
+    recommended = findings.validate_recommended(corpus.merged, corpus.profile, F.lit(None))
+    both = rows(findings.union_findings(required, recommended), "manuscript_id", "message")
+    fields = corpus.findings.filter("rule in ('required', 'recommended')")
+    assert both == rows(fields, "manuscript_id", "message")
 
 
 def test_badges(corpus):
