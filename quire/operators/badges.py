@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.values import is_missing, join_names
+from quire.functions.values import is_missing, join_names, let
 from quire.profile import BADGES, LINKED_BADGES
 
 FLAGS = "array<struct<key:string,kind:string,value_json:string>>"
@@ -18,7 +18,8 @@ def _flag(flags: Column, key: str) -> Column:
 
 def _shown(flag: Column) -> Column:
     """A flag switches its badge on unless it is absent, null or false; empty text counts as on."""
-    return F.coalesce((flag["kind"] != "null") & ~((flag["kind"] == "bool") & (flag["value_json"] == "false")), F.lit(False))
+    off = (flag["kind"] == "bool") & (flag["value_json"] == "false")
+    return F.coalesce((flag["kind"] != "null") & ~off, F.lit(False))
 
 
 def _exactly_true(flag: Column) -> Column:
@@ -26,9 +27,11 @@ def _exactly_true(flag: Column) -> Column:
 
 
 def _link(links: Column, key: str) -> Column:
-    link = _flag(links, key)
-    text = F.get_json_object(F.concat(F.lit('{"v":'), link["value_json"], F.lit("}")), "$.v")
-    return F.coalesce(F.when(link["kind"] != "null", text), F.lit(""))
+    def shown(link: Column) -> Column:
+        text = F.get_json_object(F.concat(F.lit('{"v":'), link["value_json"], F.lit("}")), "$.v")
+        return F.coalesce(F.when(link["kind"] != "null", text), F.lit(""))
+
+    return let(_flag(links, key), shown)
 
 
 def reprocert_variant(ai: Column, human: Column) -> Column:
@@ -44,11 +47,12 @@ def active_badges(meta: DataFrame, flags: Column, links: Column, key: str = "man
     The nine possible badges are tested inside the row, so nothing is joined
     and the order needs no sort.
     """
-    variant = reprocert_variant(_exactly_true(_flag(flags, "reprocert-ai")), _exactly_true(_flag(flags, "reprocert-human")))
+    ai, human = (let(_flag(flags, f"reprocert-{who}"), _exactly_true) for who in ("ai", "human"))
+    variant = reprocert_variant(ai, human)
     entries = []
     for badge, (place, label, png, svg) in _BY_KEY.items():
         certificate = badge.startswith("reprocert-")
-        on = F.coalesce(variant == badge, F.lit(False)) if certificate else _shown(_flag(flags, badge))
+        on = F.coalesce(variant == badge, F.lit(False)) if certificate else let(_flag(flags, badge), _shown)
         link = _link(links, "reprocert" if certificate else badge)
         entry = F.struct(
             F.lit(place).alias("ord"),

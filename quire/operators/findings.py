@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.values import is_blank, is_missing
-from quire.operators.layers import get_path, node_at
+from quire.functions.values import is_blank, is_missing, let
+from quire.operators.layers import get_path, node_key
 from quire.profile import ARTICLE_TYPES, NO_AUTHORS, NO_EMAIL, Profile
 
 PLACEHOLDER = "TODO"
@@ -53,33 +54,42 @@ def missing_fields(
     return _one_pass(records, hits, file, key)
 
 
-def _absent(path: str) -> Column:
-    node = node_at(F.col("nodes"), path)
-    return is_missing(node["kind"], node["value_json"])
+_RULES = "array<struct<level:string,rule:string,message:string,key:string>>"
 
 
-def _required(profile: Profile) -> list[Column]:
+def _required(profile: Profile) -> list[dict]:
     return [
-        _hit("error", "required", _absent(path), F.lit(f"Missing required field: {label}"))
+        {"level": "error", "rule": "required", "message": f"Missing required field: {label}", "key": node_key(path)}
         for path, label in profile.required
     ]
 
 
-def _recommended(profile: Profile) -> list[Column]:
+def _recommended(profile: Profile) -> list[dict]:
     return [
-        _hit("warning", "recommended", _absent(path), F.lit(f"Recommended field missing: {label}"))
+        {"level": "warning", "rule": "recommended", "message": f"Recommended field missing: {label}", "key": node_key(path)}
         for path, label in profile.recommended
     ]
 
 
+def _absent(rules: list[dict]) -> Column:
+    """Hits of the rules whose field is missing or falsy; the rule list is a constant of the plan."""
+
+    def missing(rule: Column) -> Column:
+        node = F.try_element_at(F.filter("nodes", lambda n: n["key"] == rule["key"]), F.lit(1))
+        return let(node, lambda n: is_missing(n["kind"], n["value_json"]))
+
+    hits = F.filter(F.from_json(F.lit(json.dumps(rules)), _RULES), missing)
+    return F.transform(hits, lambda r: F.struct(r["level"].alias("level"), r["rule"].alias("rule"), r["message"].alias("message")))
+
+
 def validate_required(merged: DataFrame, profile: Profile, file: Column) -> DataFrame:
     """One error per missing or falsy required field of the merged metadata."""
-    return _one_pass(merged, F.array(*_required(profile)), file, "manuscript_id")
+    return _one_pass(merged, _absent(_required(profile)), file, "manuscript_id")
 
 
 def validate_recommended(merged: DataFrame, profile: Profile, file: Column) -> DataFrame:
     """One warning per missing or falsy recommended field."""
-    return _one_pass(merged, F.array(*_recommended(profile)), file, "manuscript_id")
+    return _one_pass(merged, _absent(_recommended(profile)), file, "manuscript_id")
 
 
 def validate_fields(merged: DataFrame, profile: Profile, file: Column, conventions: bool = False) -> DataFrame:
@@ -88,7 +98,7 @@ def validate_fields(merged: DataFrame, profile: Profile, file: Column, conventio
     Those are warnings: the article id equals the folder name, the article type
     is one of seven, no field still holds a ``TODO``.
     """
-    rules = F.array(*_required(profile), *_recommended(profile))
+    rules = _absent(_required(profile) + _recommended(profile))
     if conventions:
         article_id = get_path(F.col("nodes"), f"{profile.namespace}.article-id")
         kind = get_path(F.col("nodes"), f"{profile.namespace}.article-type")

@@ -199,9 +199,13 @@ def theme_rank(nodes: DataFrame, key: str = "manuscript_id") -> DataFrame:
 # --- lookups -----------------------------------------------------------------
 
 
+def node_key(dotted: str) -> str:
+    return SEP.join(dotted.split("."))
+
+
 def node_at(nodes: Column, dotted: str) -> Column:
     """The merged node at ``a.b.c`` or null; parts are map keys, so a dot inside a key never matches."""
-    wanted = SEP.join(dotted.split("."))
+    wanted = node_key(dotted)
     return F.try_element_at(F.filter(nodes, lambda n: n["key"] == wanted), F.lit(1))
 
 
@@ -227,8 +231,7 @@ def json_text(kind: Column, value_json: Column) -> Column:
 
 def get_path(nodes: Column, dotted: str) -> Column:
     """Scalar text at a dotted path."""
-    node = node_at(nodes, dotted)
-    return json_text(node["kind"], node["value_json"])
+    return let(node_at(nodes, dotted), lambda n: json_text(n["kind"], n["value_json"]))
 
 
 def children(nodes: Column, parent: Sequence[str]) -> Column:
@@ -239,11 +242,31 @@ def children(nodes: Column, parent: Sequence[str]) -> Column:
 
 def list_texts(node: Column) -> Column:
     """Items of a list node as text; a single scalar counts as a one-item list."""
-    scalar = json_text(node["kind"], node["value_json"])
-    return (
-        F.when(node["kind"] == "list", F.from_json(node["value_json"], "array<string>"))
-        .when(F.coalesce(scalar, F.lit("")) != "", F.array(scalar))
-        .otherwise(F.array().cast("array<string>"))
+
+    def texts(n: Column) -> Column:
+        scalar = F.coalesce(json_text(n["kind"], n["value_json"]), F.lit(""))
+        return F.when(n["kind"] == "list", F.from_json(n["value_json"], "array<string>")).otherwise(
+            F.array_compact(F.array(F.when(scalar != "", scalar)))
+        )
+
+    return let(node, texts)
+
+
+_OWN = (
+    "journal", "issn", "publisher", "homepage", "volume", "year", "article-id", "doi", "article-type",
+    "discipline", "running-head", "lay-summary", "recommended-citation", "license", "license-url",
+    "accent", "card-bg", "card-border",
+)
+_OJS = ("journal-path", "section-ref", "user-group-ref", "uploader", "schema-version")
+
+
+def scalar_texts(nodes: Column) -> Column:
+    """Map from path key to text of every scalar node, to look many fields up at once."""
+    scalars = F.filter(nodes, lambda n: ~n["kind"].isin("map", "list"))
+    return F.map_from_entries(
+        F.transform(
+            scalars, lambda n: F.struct(n["key"].alias("key"), json_text(n["kind"], n["value_json"]).alias("value"))
+        )
     )
 
 
@@ -252,46 +275,38 @@ def project_meta(merged: DataFrame, profile: Profile) -> DataFrame:
     ns = profile.namespace
     nodes = F.col("nodes")
 
-    def own(name: str) -> Column:
-        return get_path(nodes, f"{ns}.{name}").alias(name.replace("-", "_"))
-
-    def ojs(name: str) -> Column:
-        return get_path(nodes, f"ojs.{name}").alias(name.replace("-", "_"))
-
     def flags(name: str) -> Column:
-        under = children(nodes, [ns, name])
         return F.transform(
-            under,
+            children(nodes, [ns, name]),
             lambda n: F.struct(
                 F.element_at(n["path"], -1).alias("key"), n["kind"].alias("kind"), n["value_json"].alias("value_json")
             ),
-        ).alias(name.replace("-", "_"))
+        )
 
-    return merged.select(
+    def text(dotted: str) -> str:
+        return f"try_element_at(__t, '{node_key(dotted)}')"
+
+    def fields(parent: str, names: Sequence[str]) -> str:
+        return ", ".join(f"{text(f'{parent}.{n}')} as {n.replace('-', '_')}" for n in names)
+
+    staged = merged.withColumns(
+        {
+            "__t": scalar_texts(nodes),
+            "__k": list_texts(node_at(nodes, "keywords")),
+            "__b": list_texts(node_at(nodes, "bibliography")),
+            "__f": flags("badges"),
+            "__l": flags("badge-links"),
+        }
+    )
+    return staged.selectExpr(
         "manuscript_id",
         "theme",
-        get_path(nodes, "title").alias("title"),
-        get_path(nodes, "abstract").alias("abstract"),
-        get_path(nodes, "lang").alias("lang"),
-        get_path(nodes, "date").alias("date"),
-        list_texts(node_at(nodes, "keywords")).alias("keywords"),
-        list_texts(node_at(nodes, "bibliography")).alias("bibliography"),
-        F.struct(
-            *[
-                own(f)
-                for f in (
-                    "journal", "issn", "publisher", "homepage", "volume", "year", "article-id", "doi", "article-type",
-                    "discipline", "running-head", "lay-summary", "recommended-citation", "license", "license-url",
-                    "accent", "card-bg", "card-border",
-                )
-            ],
-            flags("badges"),
-            flags("badge-links"),
-        ).alias("pub"),
-        F.struct(
-            *[ojs(f) for f in ("journal-path", "section-ref", "user-group-ref", "uploader", "schema-version")]
-        ).alias("ojs"),
-        get_path(nodes, "footer-template").alias("footer_template"),
+        *[f"{text(n)} as {n}" for n in ("title", "abstract", "lang", "date")],
+        "__k as keywords",
+        "__b as bibliography",
+        f"struct({fields(ns, _OWN)}, __f as badges, __l as badge_links) as pub",
+        f"struct({fields('ojs', _OJS)}) as ojs",
+        f"{text('footer-template')} as footer_template",
     )
 
 

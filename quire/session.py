@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # the per-row work is heavy, so small stages should still use every core
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    # no Python call site per Column: large expressions build several times faster
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Arrow batches carry whole documents, so count rows conservatively
