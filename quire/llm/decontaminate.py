@@ -1,6 +1,6 @@
 """Benchmark decontamination: an FM-index for each training shard, searched backward for every test phrase.
 
-A shard is what a task holds of an Arrow batch. Its words become symbols of the test phrases' vocabulary; a word outside
+A shard is a run of texts of about ``SHARD_BYTES``, or one that is longer. Its words become symbols of the test phrases' vocabulary; a word outside
 the vocabulary is a separator, and stretches between separators that are shorter than the shortest phrase are left out,
 since no phrase fits into them. Over the rest stand a suffix array (prefix doubling), the Burrows-Wheeler transform, a
 wavelet matrix for ranks, and sampled suffix positions. All phrases are searched at once, word by word from their end;
@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.tables import column, fresh, settled, table
-from quire.llm.words import ALNUM, SLICE_BYTES, Texts, runs, slices, texts_of, window_codes, words
+from quire.llm.words import ALNUM, runs, slices, texts_of, window_codes, words
 
 WINDOW = 13
 BLOCK_CHARS = 4_000_000
-SHARD_SYMBOLS = 1_000_000
+SHARD_BYTES = 4_000_000
 _SAMPLE = 8  # every so many text positions, the index keeps the suffix's place
 
 
@@ -181,11 +181,6 @@ def _search(codes: np.ndarray, text: np.ndarray, n_texts: int, phrases: Phrases)
     return hit, pairs // len(phrases.ids), pairs % len(phrases.ids)
 
 
-def _shards(texts: Texts) -> Iterator[tuple[int, int, Texts]]:
-    """A few slices at a time, so that an index stays within ``SHARD_SYMBOLS`` symbols, or one text."""
-    yield from slices(texts, 2 * SLICE_BYTES)
-
-
 def _list_array(values: pa.Array, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
 
@@ -195,7 +190,7 @@ def _scan(column_: pa.Array, phrases: Phrases) -> tuple[np.ndarray, pa.Array, pa
     texts = texts_of(column_)
     n_words = np.zeros(len(texts), np.int64)
     spans, items = [], []
-    for first, last, part in _shards(texts):
+    for first, last, part in slices(texts, SHARD_BYTES):
         found = words(part, ALNUM)
         n_words[first:last] = found.counts
         text = found.text_of()

@@ -1,9 +1,10 @@
 """The queries of this package and their SQL."""
 
-from quire.llm import decontaminate
+from quire.llm import decontaminate, packing
 
 QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_best_fit": packing.op10_best_fit,
 }
 
 ORACLE = {**decontaminate.SQL}
