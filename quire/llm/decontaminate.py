@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.tables import column, fresh, settled, table
+from quire.llm.tables import column, extended, fresh, settled, table
 from quire.llm.words import ALNUM, runs, slices, texts_of, window_codes, words
 
 WINDOW = 13
@@ -221,16 +221,12 @@ _SPANS = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("sta
 def _pass(docs: DataFrame, text: str, phrases: Phrases, names: tuple[str, str, str]) -> DataFrame:
     """One block of items against every document; appends columns (words, spans, items)."""
     shared = docs.sparkSession.sparkContext.broadcast(phrases)
-    place = docs.columns.index(text)
-    types = (T.LongType(), _SPANS, T.ArrayType(T.StringType()))
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(names, types, strict=True))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, spans, items = _scan(batch.column(place), shared.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), spans, items], names=[*batch.schema.names, *names])
+    def compute(batch: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
+        n, spans, items = _scan(batch, shared.value)
+        yield 0, len(batch), [pa.array(n), spans, items]
 
-    return docs.mapInArrow(run, schema)
+    return extended(docs, text, list(zip(names, (T.LongType(), _SPANS, T.ArrayType(T.StringType())), strict=True)), compute)
 
 
 def item_blocks(items: DataFrame, item_id: str, text: str, window: int) -> Iterator[Phrases]:

@@ -1,8 +1,9 @@
 """The queries of this package and their SQL."""
 
-from quire.llm import decontaminate, packing
+from quire.llm import decontaminate, language, packing
 
 QUERIES = {
+    "op4_language": language.op4_language,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_best_fit": packing.op10_best_fit,
 }

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.session import checkpoint_dir
 
+Compute = Callable[[pa.Array], Iterable[tuple[int, int, list[pa.Array]]]]
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -35,3 +40,27 @@ def quoted(name: str) -> str:
 
 def column(name: str):
     return F.col(quoted(name))
+
+
+def extended(df: DataFrame, text: str, fields: list[tuple[str, T.DataType]], compute: Compute) -> DataFrame:
+    """``df`` with columns that ``compute`` makes of a text column, batch by batch; others of those names are replaced.
+
+    ``compute`` gets a batch's texts and gives, for consecutive ranges of them, (first, last + 1, a column per field).
+    Column names don't matter on the way, so any are allowed.
+    """
+    new = {n.lower() for n, _ in fields}
+    safe = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    kept = [i for i, c in enumerate(df.columns) if c.lower() not in new]
+    safe = safe.select(*[f"c{i}" for i in kept])
+    place = kept.index(df.columns.index(text))
+    added = [T.StructField(f"n{i}", t) for i, (_, t) in enumerate(fields)]
+    schema = T.StructType([*safe.schema.fields, *added])
+    names = [f.name for f in schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, columns in compute(batch.column(place)):
+                rows = batch.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([*rows.columns, *columns], names=names)
+
+    return safe.mapInArrow(run, schema).toDF(*[df.columns[i] for i in kept], *[n for n, _ in fields])
