@@ -1,11 +1,12 @@
 """The queries of this package and their SQL."""
 
-from quire.llm import decontaminate, language, packing
+from quire.llm import decontaminate, jaccard, language, packing
 
 QUERIES = {
+    "op2_jaccard": jaccard.op2_jaccard,
     "op4_language": language.op4_language,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_best_fit": packing.op10_best_fit,
 }
 
-ORACLE = {**decontaminate.SQL}
+ORACLE = {**jaccard.SQL, **decontaminate.SQL}
