@@ -62,20 +62,22 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = settled(links.where("a <> b").mapInArrow(_contracted, "a long, b long"))
     while True:
-        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = _pairs(links, ("a", "b"), ("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = settled(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        large = both.where("b > a").join(least, "a")
+        large = settled(_pairs(large, ("b", "m")).where("a <> b").distinct())
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(lower, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(lower.select("a", F.col("m").alias("b")))
-        small = settled(small.where("a <> b").distinct())
-        roots = small.select("b").distinct()
+        small = settled(_pairs(large.join(lower, "a"), ("b", "m"), ("a", "m")).where("a <> b").distinct())
         # done when each node has one link and no node linked to is itself linked further
-        many = small.groupBy("a").count().where("count > 1").select("a")
-        chained = small.join(roots.withColumnRenamed("b", "a"), "a", "left_semi").select("a")
-        if many.union(chained).isEmpty():
+        chained = small.join(small.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+        if chained.isEmpty() and small.groupBy("a").count().where("count > 1").isEmpty():
             break
         links = small
-    return small.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-        roots.select(F.col("b").alias("node"), F.col("b").alias("component"))
-    )
+    named = _pairs(small, ("a", "b"), ("b", "b")).distinct()
+    return named.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+def _pairs(rows: DataFrame, *columns: tuple[str, str]) -> DataFrame:
+    """Rows (a, b) of each of these pairs of columns."""
+    pairs = F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in columns])
+    return rows.select(F.explode(pairs).alias("p")).select("p.a", "p.b")

@@ -210,7 +210,7 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _rest(candidates: DataFrame, bad: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between members of the bad buckets that are in different components so far."""
     rows = candidates.join(bad, "sig", "left_semi")
-    members = rows.select("sig", F.col("a").alias("key")).union(rows.select("sig", F.col("b").alias("key"))).distinct()
+    members = rows.select("sig", F.explode(F.array("a", "b")).alias("key")).distinct()
     members = members.join(groups, members["key"] == groups["node"], "left").select("sig", "key", F.coalesce("component", "key").alias("component"))
     mixed = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     members = settled(members.join(mixed.where("lo <> hi").select("sig", "m"), "sig"))
@@ -245,7 +245,7 @@ def _rest(candidates: DataFrame, bad: DataFrame, groups: DataFrame, sets: DataFr
         a, b = forest(key[x], key[y])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("sig", "i", "j").applyInArrow(compare, "a long, b long")
+    return settled(dealt.groupBy("sig", "i", "j").applyInArrow(compare, "a long, b long"))
 
 
 def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -261,7 +261,7 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     usable = docs.where(column(doc_id).isNotNull())
     candidates = _candidates(usable, text)
     pairs = settled(candidates.select("a", "b").distinct())
-    needed = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     sets = _fetched(usable, doc_id, text, keys, needed)
     checked = settled(_compared(pairs, sets))
     links = checked.where("ok").select("a", "b")
