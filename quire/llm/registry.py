@@ -1,8 +1,9 @@
 """The queries of this package and their SQL."""
 
-from quire.llm import decontaminate, jaccard, language, packing
+from quire.llm import decontaminate, disclosure, jaccard, language, packing
 
 QUERIES = {
+    "op1_disclosure": disclosure.op1_disclosure,
     "op2_jaccard": jaccard.op2_jaccard,
     "op4_language": language.op4_language,
     "op9_decontaminate": decontaminate.op9_decontaminate,
