@@ -163,15 +163,15 @@ def _document_counts(docs: DataFrame, text: str) -> DataFrame:
 
 def disclosing(docs: DataFrame, text: str, near: DataFrame, held: DataFrame) -> DataFrame:
     """(entity, word, disclosure, replacement) of the words that give an entity away."""
-    total = docs.agg(F.count(F.lit(1)).alias("total"))  # one row
+    total = F.lit(docs.count())
     entities = held.select("h", "copies", F.explode("base").alias("s")).select("h", "copies", _entity(F.col("s")).alias("entity")).distinct()
     entities = entities.groupBy("entity").agg(F.sum("copies").alias("n_entity"))
     both = near.select("h", "copies", "entity", "word").union(near.select("h", "copies", "entity", _class(F.col("word"))))
     joint = both.distinct().groupBy("entity", "word").agg(F.sum("copies").alias("n_both"), F.count(F.lit(1)).alias("texts"))
     joint = joint.where((F.col("texts") >= SUPPORT) | F.col("word").isin(_WORDS, _NUMBERS))
-    scored = joint.join(entities, "entity").join(_document_counts(docs, text), "word").crossJoin(F.broadcast(total))
-    shared = F.log(F.col("total") * F.col("n_both") / (F.col("n_entity") * F.col("n")))
-    content = F.log(F.col("total") / F.col("n_entity"))
+    scored = joint.join(entities, "entity").join(_document_counts(docs, text), "word")
+    shared = F.log(total * F.col("n_both") / (F.col("n_entity") * F.col("n")))
+    content = F.log(total / F.col("n_entity"))
     scored = settled(scored.select("entity", "word", F.when(content > 0, shared / content).otherwise(0.0).alias("disclosure")))
     is_class = F.col("word").isin(_WORDS, _NUMBERS)
     words = scored.where(~is_class & (F.col("disclosure") >= THRESHOLD)).withColumn("class", _class(F.col("word")))

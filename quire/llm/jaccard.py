@@ -10,7 +10,11 @@ without enough of them give their single shingles as signatures, too; if neither
 Sets that are equal share a 64-bit key and are one from the start. Where several sets share a signature, each is compared
 with the least of them only, and the signatures are pre-aggregated in every batch, so a large group costs one row per member.
 A bucket in which all comparisons succeed is connected. In the others, members that the links so far leave apart are
-compared with one another, in blocks; only links leave a task.
+compared with one another, in blocks; buckets with the same members count once.
+
+Before two sets are compared, their sketches are: counts of their shingles in a few hash cells, an eighth of a byte of the
+sets' own bytes or less. The sum of the differences is a lower bound of the number of shingles that one set lacks, so
+pairs beyond the allowed number need no look at the sets, and no link is lost.
 """
 
 from __future__ import annotations
@@ -53,6 +57,28 @@ def linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 100 * inter >= 80 * (a + b - inter)
 
 
+def sketches(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Of each set, the counts of its shingles in a power of two of cells, about four in each; one byte a cell."""
+    size = np.diff(bounds)
+    cells = np.maximum(16, 1 << np.ceil(np.log2(np.maximum(size, 1) / 4)).clip(0).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(cells)])
+    owner = np.repeat(np.arange(len(size)), size)
+    spot = base[owner] + (mix(values, 12) % cells[owner].astype(np.uint64)).astype(np.int64)
+    counts = np.minimum(np.bincount(spot, minlength=base[-1]), 255).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(base.astype(np.int32)), pa.py_buffer(counts.tobytes())])
+
+
+def folded(sketch: pa.Scalar, cells: int) -> np.ndarray:
+    """A sketch with its cells added up to fewer ones; full cells stay full, which keeps differences lower bounds."""
+    counts = np.frombuffer(sketch.as_buffer(), np.uint8).astype(np.int32)
+    return np.minimum(counts.reshape(-1, cells).sum(axis=0), 255)
+
+
+def possible(n: np.ndarray, m: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes n and m that differ in at least ``apart`` shingles can link."""
+    return (10 * np.minimum(n, m) >= 8 * np.maximum(n, m)) & (9 * apart <= n + m)
+
+
 def _bands() -> np.ndarray:
     """Upper ends of the bands."""
     ends = [4]
@@ -102,9 +128,10 @@ def signatures(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, key, n) of every document; key is null without words."""
+    """(doc_id, key, n, sketch) of every document; key is null without words."""
     source = docs.select(column(doc_id).alias("doc_id"), column(text).cast("string").alias("t"))
-    schema = T.StructType([source.schema[0], T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
+    added = [T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType())]
+    schema = T.StructType([source.schema[0], *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +139,8 @@ def _keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 values, bounds = shingle_sets(part)
                 n = np.diff(bounds)
                 key = pa.array(set_keys(values, bounds), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), key, pa.array(n)], names=["doc_id", "key", "n"])
+                rows = [batch.column(0).slice(first, last - first), key, pa.array(n), sketches(values, bounds)]
+                yield pa.RecordBatch.from_arrays(rows, names=schema.names)
 
     return settled(source.mapInArrow(run, schema))
 
@@ -188,8 +216,28 @@ def _fetched(docs: DataFrame, doc_id: str, text: str, keys: DataFrame, needed: D
     return settled(source.mapInArrow(run, "key long, items binary").join(ids.select("key"), "key", "left_semi").dropDuplicates(["key"]))
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, ok) of pairs (a, b): whether they are similar enough."""
+def _sketched(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b, maybe) of pairs (a, b): whether their sketches allow a link."""
+    x = known.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
+    y = known.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
+    joined = pairs.join(y, "b").join(x, "a").select("a", "b", "na", "nb", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("x"), batch.column("y")
+            apart = np.zeros(len(batch), np.int64)
+            for i in range(len(batch)):
+                cells = min(len(x[i].as_buffer()), len(y[i].as_buffer()))
+                apart[i] = np.abs(folded(x[i], cells) - folded(y[i], cells)).sum()
+            maybe = possible(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), apart)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(maybe)], names=["a", "b", "maybe"])
+
+    return joined.mapInArrow(run, "a long, b long, maybe boolean")
+
+
+def _links(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, keys: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are similar enough."""
+    sets = _fetched(docs, doc_id, text, keys, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
     joined = pairs.join(sets.select(F.col("key").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("key").alias("a"), F.col("items").alias("x")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,54 +246,80 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             ok = np.zeros(len(batch), bool)
             for i in range(len(batch)):
                 p, q = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
-                if 10 * min(len(p), len(q)) >= 8 * max(len(p), len(q)):
-                    both = np.concatenate([p, q])
-                    both.sort(kind="stable")  # two ascending runs: one merge
-                    ok[i] = linked(np.count_nonzero(both[1:] == both[:-1]), len(p), len(q))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok)], names=["a", "b", "ok"])
+                both = np.concatenate([p, q])
+                both.sort(kind="stable")  # two ascending runs: one merge
+                ok[i] = linked(np.count_nonzero(both[1:] == both[:-1]), len(p), len(q))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], names=["a", "b"])
 
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, ok boolean")
+    return settled(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
-def _rest(candidates: DataFrame, bad: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between members of the bad buckets that are in different components so far."""
+def _rest(candidates: DataFrame, bad: DataFrame, groups: DataFrame, known: DataFrame, done: DataFrame) -> DataFrame:
+    """Further pairs to compare: in the bad buckets, of different components so far, and possible by their sketches."""
     rows = candidates.join(bad, "sig", "left_semi")
     members = rows.select("sig", F.explode(F.array("a", "b")).alias("key")).distinct()
     members = members.join(groups, members["key"] == groups["node"], "left").select("sig", "key", F.coalesce("component", "key").alias("component"))
-    mixed = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    members = settled(members.join(mixed.where("lo <> hi").select("sig", "m"), "sig"))
+    mixed = members.groupBy("sig").agg(
+        F.count(F.lit(1)).alias("m"),
+        F.min("component").alias("lo"),
+        F.max("component").alias("hi"),
+        F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("who"),
+    )
+    # the two members of a bucket have been compared; and the same members need it once
+    once = mixed.where("lo <> hi and m > 2").groupBy("m", "who").agg(F.min("sig").alias("sig"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("key"), blocks).cast("int")
     dealt = (
-        members.join(sets, "key")
-        .withColumn("own", own)
+        members.join(once.select("sig", "m"), "sig")
+        .join(known, "key")
+        .withColumn("own", F.pmod(F.xxhash64("key"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "component", "items")
+        .select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "component", "n", "sketch")
     )
 
-    def compare(group: pa.Table) -> pa.Table:
-        """Links within a block, or between two."""
-        group = group.sort_by("key")
-        key, part = group.column("key").to_numpy(), group.column("component").to_numpy()
-        sets_ = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("items").combine_chunks()] if len(key) else []
-        size = np.array([len(s) for s in sets_])
-        row = np.repeat(np.arange(len(key)), size)
-        _, at, often = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
-        shared = often[at] > 1
-        row, at = row[shared], np.unique(at[shared], return_inverse=True)[1]
-        inter = np.zeros((len(key), len(key)), np.float32)
-        order = np.argsort(at, kind="stable")
-        row, at = row[order], at[order]
-        for low in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
-            s, e = np.searchsorted(at, [low, low + 4096])
-            dense = np.zeros((len(key), 4096), np.float32)
-            dense[row[s:e], at[s:e] - low] = 1
-            inter += dense @ dense.T
-        x, y = np.nonzero(np.triu(linked(inter.astype(np.int64), size[:, None], size[None, :]) & (part[:, None] != part[None, :]), 1))
-        a, b = forest(key[x], key[y])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return settled(dealt.groupBy("sig", "i", "j").applyInArrow(compare, "a long, b long"))
+    def pairs(rows: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The possible pairs of one bucket's block, or of two."""
+        key, part, n, own = (rows.column(c).to_numpy() for c in ("key", "component", "n", "own"))
+        across = own.min() != own.max() or rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+        sketch = rows.column("sketch").combine_chunks()
+        cells = min(len(x.as_buffer()) for x in sketch)
+        counts = np.array([folded(x, cells) for x in sketch])
+        a, b = [], []
+        for r in range(len(key) - 1):
+            more = np.arange(r + 1, len(key))
+            more = more[(part[more] != part[r]) & ((own[more] != own[r]) | (not across))]
+            more = more[possible(n[more], n[r], np.abs(counts[more] - counts[r]).sum(axis=1))]
+            a.append(np.minimum(key[more], key[r]))
+            b.append(np.maximum(key[more], key[r]))
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def emitted(rows: pa.Table, whole: bool) -> tuple[pa.Table, pa.RecordBatch]:
+            at = np.stack([rows.column(c).to_numpy() for c in ("sig", "i", "j")])
+            edges = np.concatenate([[0], np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1, [len(rows)]])
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            last = len(edges) - 1 if whole else len(edges) - 2
+            for g in range(last):
+                if edges[g + 1] - edges[g] > 1:
+                    x, y = pairs(rows.slice(edges[g], edges[g + 1] - edges[g]))
+                    a += x
+                    b += y
+            out = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+            return rows.slice(edges[last]), pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], names=["a", "b"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(len(h) for h in held) > 4 * BLOCK:
+                rest, out = emitted(pa.Table.from_batches(held), False)
+                held = rest.to_batches()
+                yield out
+        if held:
+            yield emitted(pa.Table.from_batches(held), True)[1]
+
+    sorted_ = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    found = sorted_.mapInArrow(run, "a long, b long").distinct()
+    return settled(found.join(done, ["a", "b"], "left_anti"))
 
 
 def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -259,15 +333,13 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     """
     keys = _keys(docs, doc_id, text)
     usable = docs.where(column(doc_id).isNotNull())
+    known = settled(keys.where("key is not null and doc_id is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     candidates = _candidates(usable, text)
-    pairs = settled(candidates.select("a", "b").distinct())
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = _fetched(usable, doc_id, text, keys, needed)
-    checked = settled(_compared(pairs, sets))
-    links = checked.where("ok").select("a", "b")
-    bad = candidates.join(checked.where("not ok").select("a", "b"), ["a", "b"], "left_semi").select("sig").distinct()
-    more = _rest(candidates, bad, components(links), sets)
-    groups = components(links.union(more))
+    checked = settled(_sketched(candidates.select("a", "b").distinct(), known))
+    links = _links(checked.where("maybe").select("a", "b"), usable, doc_id, text, keys)
+    failed = candidates.join(links, ["a", "b"], "left_anti").select("sig").distinct()
+    more = _rest(candidates, failed, components(links), known, checked.select("a", "b"))
+    groups = components(links.union(_links(more, usable, doc_id, text, keys)))
     placed = keys.join(groups, keys["key"] == groups["node"], "left")
     placed = placed.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "key")).alias("c"))
     least = placed.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
