@@ -12,14 +12,14 @@ with the least of them only, and the signatures are pre-aggregated in every batc
 A bucket in which all comparisons succeed is connected. In the others, members that the links so far leave apart are
 compared with one another, in blocks; buckets with the same members count once.
 
-Before two sets are compared, their sketches are: counts of their shingles in a few hash cells, an eighth of a byte of the
-sets' own bytes or less. The sum of the differences is a lower bound of the number of shingles that one set lacks, so
-pairs beyond the allowed number need no look at the sets, and no link is lost.
+Before two sets are compared, their sketches are: the parities of their shingles in hash cells, of at most a quarter of the
+sets' own size. The number of parities that differ is a lower bound, and a close one, of the number of shingles that one
+of the sets lacks, so pairs beyond the allowed number need no look at the sets, and no link is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -58,20 +58,19 @@ def linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sketches(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """Of each set, the counts of its shingles in a power of two of cells, about four in each; one byte a cell."""
+    """Of each set, the parity of its shingles in a power of two of hash cells, 8 to 16 a shingle; one bit a cell."""
     size = np.diff(bounds)
-    cells = np.maximum(16, 1 << np.ceil(np.log2(np.maximum(size, 1) / 4)).clip(0).astype(np.int64))
+    cells = np.maximum(64, 1 << np.ceil(np.log2(8 * np.maximum(size, 1))).astype(np.int64))
     base = np.concatenate([[0], np.cumsum(cells)])
     owner = np.repeat(np.arange(len(size)), size)
     spot = base[owner] + (mix(values, 12) % cells[owner].astype(np.uint64)).astype(np.int64)
-    counts = np.minimum(np.bincount(spot, minlength=base[-1]), 255).astype(np.uint8)
-    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(base.astype(np.int32)), pa.py_buffer(counts.tobytes())])
+    parity = (np.bincount(spot, minlength=base[-1]) & 1).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((base // 8).astype(np.int32)), pa.py_buffer(np.packbits(parity, bitorder="little").tobytes())])
 
 
-def folded(sketch: pa.Scalar, cells: int) -> np.ndarray:
-    """A sketch with its cells added up to fewer ones; full cells stay full, which keeps differences lower bounds."""
-    counts = np.frombuffer(sketch.as_buffer(), np.uint8).astype(np.int32)
-    return np.minimum(counts.reshape(-1, cells).sum(axis=0), 255)
+def folded(sketch: pa.Scalar, size: int) -> np.ndarray:
+    """A sketch as if it had been made with fewer cells, in ``size`` bytes."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch.as_buffer(), np.uint8).reshape(-1, size), axis=0)
 
 
 def possible(n: np.ndarray, m: np.ndarray, apart: np.ndarray) -> np.ndarray:
@@ -228,7 +227,7 @@ def _sketched(pairs: DataFrame, known: DataFrame) -> DataFrame:
             apart = np.zeros(len(batch), np.int64)
             for i in range(len(batch)):
                 cells = min(len(x[i].as_buffer()), len(y[i].as_buffer()))
-                apart[i] = np.abs(folded(x[i], cells) - folded(y[i], cells)).sum()
+                apart[i] = np.bitwise_count(folded(x[i], cells) ^ folded(y[i], cells)).sum()
             maybe = possible(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), apart)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(maybe)], names=["a", "b", "maybe"])
 
@@ -282,12 +281,12 @@ def _rest(candidates: DataFrame, bad: DataFrame, groups: DataFrame, known: DataF
         across = own.min() != own.max() or rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
         sketch = rows.column("sketch").combine_chunks()
         cells = min(len(x.as_buffer()) for x in sketch)
-        counts = np.array([folded(x, cells) for x in sketch])
+        parity = np.array([folded(x, cells) for x in sketch])
         a, b = [], []
         for r in range(len(key) - 1):
             more = np.arange(r + 1, len(key))
             more = more[(part[more] != part[r]) & ((own[more] != own[r]) | (not across))]
-            more = more[possible(n[more], n[r], np.abs(counts[more] - counts[r]).sum(axis=1))]
+            more = more[possible(n[more], n[r], np.bitwise_count(parity[more] ^ parity[r]).sum(axis=1, dtype=np.int64))]
             a.append(np.minimum(key[more], key[r]))
             b.append(np.maximum(key[more], key[r]))
         return a, b
@@ -322,6 +321,18 @@ def _rest(candidates: DataFrame, bad: DataFrame, groups: DataFrame, known: DataF
     return settled(found.join(done, ["a", "b"], "left_anti"))
 
 
+def joined_up(candidates: DataFrame, known: DataFrame, links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) of all sets that links lead to.
+
+    ``candidates`` (sig, a, b) is written, ``known`` has (key, n, sketch), and ``links_of`` keeps the linked ones of pairs.
+    """
+    checked = settled(_sketched(candidates.select("a", "b").distinct(), known))
+    links = links_of(checked.where("maybe").select("a", "b"))
+    failed = candidates.join(links, ["a", "b"], "left_anti").select("sig").distinct()
+    more = _rest(candidates, failed, components(links), known, checked.select("a", "b"))
+    return components(links.union(links_of(more)))
+
+
 def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``.
 
@@ -334,12 +345,7 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     keys = _keys(docs, doc_id, text)
     usable = docs.where(column(doc_id).isNotNull())
     known = settled(keys.where("key is not null and doc_id is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    candidates = _candidates(usable, text)
-    checked = settled(_sketched(candidates.select("a", "b").distinct(), known))
-    links = _links(checked.where("maybe").select("a", "b"), usable, doc_id, text, keys)
-    failed = candidates.join(links, ["a", "b"], "left_anti").select("sig").distinct()
-    more = _rest(candidates, failed, components(links), known, checked.select("a", "b"))
-    groups = components(links.union(_links(more, usable, doc_id, text, keys)))
+    groups = joined_up(_candidates(usable, text), known, lambda pairs: _links(pairs, usable, doc_id, text, keys))
     placed = keys.join(groups, keys["key"] == groups["node"], "left")
     placed = placed.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "key")).alias("c"))
     least = placed.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
