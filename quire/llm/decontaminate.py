@@ -141,6 +141,8 @@ class Phrases:
 
 def _symbols(codes: np.ndarray, text: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of the stretches that can hold a phrase, a separator (1) after each, and the word each stands for."""
+    if not len(phrases.vocabulary):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     at = np.minimum(np.searchsorted(phrases.vocabulary, codes), len(phrases.vocabulary) - 1)
     known = phrases.vocabulary[at] == codes
     begins = known.copy()

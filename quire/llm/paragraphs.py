@@ -3,7 +3,8 @@
 A paragraph is a line. Lines of fewer than ``MIN_WORDS`` words are left alone. Lines with equal sets of five-word shingles
 share a key and need no comparison. The others meet where all rows of a band of MinHash values agree; the number of bands
 is tuned so that of two lines at the threshold at least ``RECALL`` meet. In a bucket each line is compared with the least
-one, by exact Jaccard similarity, and links are joined up. Buckets are pre-aggregated in every batch.
+one, by exact Jaccard similarity, and where that fails with those that links leave apart, as in the join of whole documents.
+Links are joined up. Buckets are pre-aggregated in every batch.
 """
 
 from __future__ import annotations
@@ -17,8 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.graph import components
-from quire.llm.jaccard import _starred, linked, set_keys, shingle_sets
+from quire.llm.jaccard import _starred, joined_up, linked, set_keys, shingle_sets, sketches
 from quire.llm.tables import column, settled, table
 from quire.llm.words import SPACED, Texts, mix, slices, texts_of, words
 
@@ -49,9 +49,10 @@ def _long(part: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, Texts, np.nd
 
 
 def _paragraphs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, start, end, key) of the lines that are long enough, in code points."""
+    """(doc_id, start, end, key, n, sketch) of the lines that are long enough, in code points."""
     source = docs.select(column(doc_id).alias("doc_id"), column(text).cast("string").alias("t")).where("doc_id is not null")
-    schema = T.StructType([source.schema[0], *(T.StructField(n, T.LongType()) for n in ("start", "end", "key"))])
+    added = [*(T.StructField(n, T.LongType()) for n in ("start", "end", "key", "n")), T.StructField("sketch", T.BinaryType())]
+    schema = T.StructType([source.schema[0], *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,8 +64,9 @@ def _paragraphs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 stop = rows.offsets[at + 1]
                 stop = np.where(part.data[stop - 1] == 10, stop - 1, stop) if len(at) else stop
                 ids = batch.column(0).slice(first, last - first).take(pa.array(owner[at]))
-                columns = [points[rows.offsets[at]] - origin, points[stop] - origin, set_keys(values, bounds)[at]]
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c) for c in columns)], names=schema.names)
+                columns = [points[rows.offsets[at]] - origin, points[stop] - origin, set_keys(values, bounds)[at], np.diff(bounds)[at]]
+                sketch = sketches(values, bounds).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c) for c in columns), sketch], names=schema.names)
 
     return settled(source.mapInArrow(run, schema))
 
@@ -150,9 +152,10 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     gives none; other columns are ignored. Texts are compared whole.
     """
     found = _paragraphs(docs, doc_id, text)
-    pairs = settled(_candidates(docs.where(column(doc_id).isNotNull()), text).select("a", "b").distinct())
-    groups = settled(components(_links(pairs, docs, doc_id, text, found)))
-    named = found.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("cluster", F.coalesce("component", "key"))
+    known = settled(found.groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    usable = docs.where(column(doc_id).isNotNull())
+    groups = settled(joined_up(settled(_candidates(usable, text)), known, lambda pairs: _links(pairs, usable, doc_id, text, found)))
+    named = found.select("doc_id", "start", "end", "key").join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("cluster", F.coalesce("component", "key"))
     place = F.struct("doc_id", "start")
     sizes = named.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
     out = named.join(sizes, "cluster")
