@@ -122,3 +122,14 @@ def escape_xml(text: Column) -> Column:
     for mark, entity in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         out = F.replace(out, F.lit(mark), F.lit(entity))
     return out
+
+
+def normal_path(path: Column) -> Column:
+    """A relative path without ``.`` and ``..`` steps, doubled slashes and percent codes."""
+    plain = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+
+    def step(done: Column, part: Column) -> Column:
+        up = (part == "..") & (F.size(done) > 0) & (F.coalesce(F.get(done, F.size(done) - 1), F.lit("..")) != "..")
+        return F.when(part.isin("", "."), done).when(up, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(F.concat(done, F.array(part)))
+
+    return F.aggregate(F.split(plain, "/"), F.array().cast("array<string>"), step, lambda parts: F.array_join(parts, "/"))

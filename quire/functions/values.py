@@ -126,10 +126,20 @@ def bibliography_authors(names: Column) -> Column:
 
 
 def year_letters(position: Column) -> Column:
-    """a..z for 1..26, then aa, ab, ..."""
-    low = F.char(F.lit(97) + F.pmod(position - 1, F.lit(26)))
-    high = F.char(F.lit(96) + F.floor((position - 1) / 26).cast("int"))
-    return F.when(position <= 26, low).otherwise(F.concat(high, low))
+    """a..z for 1..26, then aa, ab, ..., zz, aaa and so on, of any length."""
+
+    def letter(n: Column) -> Column:
+        return F.char(F.lit(97) + F.pmod(n - 1, F.lit(26)))
+
+    def step(done: Column, _: Column) -> Column:
+        left = done["left"]
+        text = F.when(left > 0, F.concat(letter(left), done["text"])).otherwise(done["text"])
+        return F.struct(F.when(left > 0, (left - 1 - F.pmod(left - 1, F.lit(26))) / 26).otherwise(0).cast("long").alias("left"), text.alias("text"))
+
+    start = F.struct(position.cast("long").alias("left"), F.lit("").alias("text"))
+    # fourteen letters hold every long
+    long_ = F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda d: d["text"])
+    return F.when(position <= 26, letter(position)).otherwise(long_)
 
 
 def is_blank(text: Column) -> Column:

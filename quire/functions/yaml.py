@@ -33,9 +33,16 @@ def _kind(value: object) -> str:
     return "str"
 
 
+def _texted(value: object) -> object:
+    """Maps with text keys throughout; of keys with one text the last counts."""
+    if isinstance(value, dict):
+        return {str(k): _texted(v) for k, v in value.items()}
+    return [_texted(v) for v in value] if isinstance(value, list) else value
+
+
 def _walk(tree: dict, path: tuple, out: list) -> None:
     for key, value in tree.items():
-        here = (*path, str(key))
+        here = (*path, key)
         kind = _kind(value)
         if kind == "map":
             text = None if value else "{}"
@@ -51,16 +58,16 @@ def _parse(text: str | None) -> tuple[list, str | None]:
 
     if text is None:
         return [], None
+    nodes: list = []
     try:
         tree = yaml.load(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
-    except (yaml.YAMLError, ValueError) as problem:
-        return [], " ".join(str(problem).split())
-    if not tree:
-        return [], None
-    if not isinstance(tree, dict):
-        return [], f"top level is a {_kind(tree)}, not a map"
-    nodes: list = []
-    _walk(tree, (), nodes)
+        if not tree:
+            return [], None
+        if not isinstance(tree, dict):
+            return [], f"top level is a {_kind(tree)}, not a map"
+        _walk(_texted(tree), (), nodes)
+    except Exception as problem:  # whatever is wrong with one text is a finding of that text
+        return [], " ".join(str(problem).split()) or type(problem).__name__
     return nodes, None
 
 

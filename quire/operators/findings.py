@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.text import normal_path
 from quire.functions.values import is_blank, is_missing, let
 from quire.operators.layers import get_path, node_key
 from quire.profile import ARTICLE_TYPES, NO_AUTHORS, NO_EMAIL, Profile
@@ -144,10 +145,11 @@ def validate_authors(manuscripts: DataFrame, authors: DataFrame, file: Column, k
 
 def missing_bibliography(meta: DataFrame, files: DataFrame, file: Column) -> DataFrame:
     """One error per declared bibliography file that is not in the folder."""
-    declared = meta.select("manuscript_id", F.explode("bibliography").alias("path"))
-    present = files.select("manuscript_id", "path")
+    declared = meta.select("manuscript_id", F.explode("bibliography").alias("written"))
+    declared = declared.withColumn("path", normal_path(F.col("written")))
+    present = files.select("manuscript_id", normal_path(F.col("path")).alias("path"))
     lost = declared.join(present, ["manuscript_id", "path"], "left_anti")
-    message = F.concat(F.lit("bibliography file not found: "), "path")
+    message = F.concat(F.lit("bibliography file not found: "), "written")
     return finding(lost, "error", "bibliography", message, file)
 
 

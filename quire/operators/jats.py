@@ -153,10 +153,10 @@ def missing_elements(existing: DataFrame, wanted: DataFrame, key: str = "manuscr
         key,
         "parent",
         "tag",
-        F.explode(F.concat(F.array(F.lit("")), F.map_values(F.coalesce("attrs", F.create_map().cast("map<string,string>"))))).alias("attr_value"),
-    ).distinct()
-    lookup = wanted.withColumn("attr_value", F.coalesce("attr_value", F.lit("")))
-    return lookup.join(have, [key, "parent", "tag", "attr_value"], "left_anti")
+        F.explode(F.concat(F.array(F.struct(F.lit("").alias("key"), F.lit("").alias("value"))), F.map_entries(F.coalesce("attrs", F.create_map().cast("map<string,string>"))))).alias("attr"),
+    ).select(key, "parent", "tag", F.col("attr.key").alias("attr_name"), F.col("attr.value").alias("attr_value")).distinct()
+    lookup = wanted.withColumns({c: F.coalesce(c, F.lit("")) for c in ("attr_name", "attr_value")})
+    return lookup.join(have, [key, "parent", "tag", "attr_name", "attr_value"], "left_anti")
 
 
 # --- whole documents ----------------------------------------------------------

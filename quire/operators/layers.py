@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from quire.functions.values import let
 from quire.functions.yaml import yaml_nodes
-from quire.operators.skew import join_dimension
 from quire.profile import Profile
 
 SEP = "\x1f"
@@ -110,8 +109,8 @@ def merge_nodes(*layers: Column) -> Column:
 
 
 def theme_for(manuscripts: DataFrame, themes: DataFrame) -> DataFrame:
-    """Attach the journal's default nodes; the theme table is broadcast after a size check."""
-    return join_dimension(manuscripts, themes.withColumnRenamed("nodes", "theme_nodes"), ["theme"])
+    """Attach the journal's default nodes; Spark broadcasts the themes if their size in bytes allows it."""
+    return manuscripts.join(themes.withColumnRenamed("nodes", "theme_nodes"), ["theme"], "left")
 
 
 def merge_metadata(manuscripts: DataFrame, themes: DataFrame, registry: DataFrame, front: DataFrame) -> DataFrame:

@@ -109,19 +109,16 @@ def affiliation_refs(items: DataFrame) -> DataFrame:
     return refs.select("manuscript_id", "seq", "pos", ref.alias("ref"), inline.alias("inline_name"))
 
 
-def resolve_affiliations(
-    refs: DataFrame, affiliations: DataFrame, key: str = "manuscript_id", sized_by: DataFrame | None = None
-) -> DataFrame:
+def resolve_affiliations(refs: DataFrame, affiliations: DataFrame, key: str = "manuscript_id") -> DataFrame:
     """(key, seq, pos, number, name) of each reference: listed affiliation, else inline name, else dropped.
 
     An inline affiliation is numbered after those its author already has, which
-    may repeat a number of the list. ``sized_by`` may be a cheaper table with at
-    least as many rows per (key, seq) as ``refs``.
+    may repeat a number of the list.
     """
     listed = affiliations.select(key, F.col("aff_id").alias("ref"), F.col("number").alias("listed"), F.col("name").alias("listed_name"))
     found = refs.join(listed, [key, "ref"], "left")
     kept = found.filter(F.col("listed").isNotNull() | F.col("inline_name").isNotNull())
-    numbered = number_rows(kept, [key, "seq"], [F.col("pos")], F.col("pos"), "n", sized_by=refs if sized_by is None else sized_by)
+    numbered = number_rows(kept, [key, "seq"], [F.col("pos")], "n")
     return numbered.select(
         key,
         "seq",

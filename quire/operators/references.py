@@ -42,7 +42,7 @@ def author_lists(people: DataFrame, key: str, seq: str, family: str) -> DataFram
     No list longer than 21 names is ever collected: the first twenty and the
     last decide both forms.
     """
-    numbered = number_rows(people, [key], [F.col(seq)], F.col(seq), "__rn")
+    numbered = number_rows(people, [key], [F.col(seq)], "__rn")
     sizes = people.groupBy(key).agg(F.count(F.lit(1)).alias("n_authors"))
     name = F.col(family)
     shown = numbered.join(sizes, [key]).filter((F.col("__rn") <= 20) | (F.col("__rn") == F.col("n_authors")))
@@ -71,25 +71,21 @@ def date_group(year: Column, status: Column) -> Column:
     ).otherwise(0)
 
 
-def year_suffix(
-    refs: DataFrame, keys: Sequence[str], order: Sequence[Column], slice_by: Column, name: str = "year_suffix"
-) -> DataFrame:
+def year_suffix(refs: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "year_suffix") -> DataFrame:
     """Letters a, b, c, ... for entries that share the keys (article, short author, year); null when alone.
 
     Counting is a separate small aggregate, so no task has to hold a whole
     group to know that it has more than one member.
     """
     sizes = refs.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1).drop("__n")
-    shared = number_rows(refs.join(sizes, list(keys), "left_semi"), keys, order, slice_by, "__pos")
+    shared = number_rows(refs.join(sizes, list(keys), "left_semi"), keys, order, "__pos")
     alone = refs.join(sizes, list(keys), "left_anti").withColumn(name, F.lit(None).cast("string"))
     return shared.withColumn(name, year_letters(F.col("__pos"))).drop("__pos").unionByName(alone)
 
 
-def reference_order(
-    refs: DataFrame, keys: Sequence[str], order: Sequence[Column], slice_by: Column, name: str = "position"
-) -> DataFrame:
+def reference_order(refs: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "position") -> DataFrame:
     """1-based place in the reference list of each key; ``order`` must end on a unique column."""
-    return number_rows(refs, keys, order, slice_by, name)
+    return number_rows(refs, keys, order, name)
 
 
 def sort_references(refs: DataFrame, key: str = "manuscript_id") -> DataFrame:
@@ -106,12 +102,12 @@ def sort_references(refs: DataFrame, key: str = "manuscript_id") -> DataFrame:
         F.col("fields")["volume"].asc_nulls_first(),
         F.col("key"),
     ]
-    return number_rows(prepared, [key], order, ci[0], "position").drop("__who")
+    return number_rows(prepared, [key], order, "position").drop("__who")
 
 
-def sort_cluster(citations: DataFrame, cluster: Sequence[str], order: Sequence[Column], slice_by: Column) -> DataFrame:
+def sort_cluster(citations: DataFrame, cluster: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Add ``place``: the order of the keys inside one citation cluster."""
-    return number_rows(citations, cluster, order, slice_by, "place")
+    return number_rows(citations, cluster, order, "place")
 
 
 def clear_date_parts(refs: DataFrame, fields: str = "fields") -> DataFrame:

@@ -14,7 +14,7 @@ _HEADING = r"^#{1,6}[ \t]"
 _UNNUMBERED = r"\{[^}]*(?:\.unnumbered|(?<=\{)-(?=\}))[^}]*\}[ \t]*$"
 
 _CODE = r"(?s)^(?:```|~~~).*?^(?:```|~~~)|(`+)(?!`).+?(?<!`)\1(?!`)"
-_KEY = r"(?<![\\\w.@])@(?:\{([^}\n]+)\}|([\p{L}\p{N}_](?:[:.#$%&\-+?<>~/]*[\p{L}\p{N}_])*))"
+_KEY = r"(?<![\\\w.@])@(?:\{([^}\n]+)\}|([\p{L}\p{N}_](?:[:.#$%&\-+?<>~/]*+[\p{L}\p{N}_])*+))"
 _CLUSTER = r"\[[^\[\]]*?" + _KEY + r"[^\[\]]*\]|" + _KEY
 
 

@@ -1,183 +1,91 @@
-"""Joins and ordered numbering that hold when one key owns a large share of the rows."""
+"""Ordered numbering that holds when one key owns a large share of the rows."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
-from quire.session import broadcast_rows, hot_rows, settled
+from quire.session import settled
 
-SALTS = 64
-MAX_SLICES = 4096
 
+def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Rows in ranges of (keys, order), with the number of their range: one plan for all sizes.
 
-def join_dimension(facts: DataFrame, dimension: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
-    """Join a lookup table whose keys may be very unevenly used.
-
-    The dimension is broadcast only after its rows were counted against
-    ``spark.quire.broadcastRows``. A larger one is joined on (keys, salt): each
-    dimension row appears once per salt and the fact rows of a hot key spread
-    over all salts, by a hash of the row so that a rerun task gives the same.
+    A key with many rows lies in several consecutive ranges, so no task gets more than its share. The ranges come from a
+    sample, so the rows are written with them and read again.
     """
-    limit = broadcast_rows(facts.sparkSession)
-    if dimension.limit(limit + 1).count() <= limit:
-        return facts.join(F.broadcast(dimension), list(on), how)
-    # maps and variants cannot be hashed
-    hashable = [f.name for f in facts.schema if not {"map", "variant"} & set(f.dataType.json().split('"'))]
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in hashable]), F.lit(SALTS))
-    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-    salted = dimension.withColumn("__salt", salts)
-    return facts.withColumn("__salt", spread).join(salted, [*on, "__salt"], how).drop("__salt")
-
+    return settled(df.repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id()))
 
-def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    """Keys with more rows than ``spark.quire.hotRows``, or None when there are none.
 
-    There are at most ``rows / hotRows`` of them, whatever the key count.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    hot = counts.filter(F.col("__n") > hot_rows(df.sparkSession))
-    return None if hot.isEmpty() else settled(hot)
-
-
-def _bounds(values: DataFrame, slices: int) -> list:
-    """Up to ``slices - 1`` ascending values of column ``__o`` that cut it into about even parts."""
-    kind = values.schema["__o"].dataType
-    if isinstance(kind, NumericType):
-        return sorted(set(values.approxQuantile("__o", [i / slices for i in range(1, slices)], 0.25 / slices)))
-    # any other type, collated text too: a fixed-size random pick, put in order by Spark
-    picked = values.filter(F.col("__o").isNotNull()).orderBy(F.rand(7)).limit(20 * slices)
-    ordered = [row[0] for row in picked.orderBy("__o").collect()]
-    return list(dict.fromkeys(ordered[20::20]))
-
-
-def _sliced(df: DataFrame, keys: Sequence[str], order: Column, hot: DataFrame) -> DataFrame:
-    """Tag each row with an order-preserving slice; keys that are not hot keep slice 0.
-
-    ``order`` is an expression that the full ordering refines. The slice bounds
-    are taken from the hot rows, so a hot key is cut into about even ranges;
-    any bounds give the same numbering. Rows that share one order value share
-    one slice, so the expression must vary within a hot key. A few thousand
-    bounds at most reach the driver.
-    """
-    sized = join_dimension(df, hot, keys)
-    rows = hot.agg(F.sum("__n")).first()[0]
-    slices = min(MAX_SLICES, max(2, math.ceil(2 * rows / hot_rows(df.sparkSession))))
-    bounds = _bounds(sized.filter(F.col("__n").isNotNull()).select(order.alias("__o")), slices)
-    slot = F.lit(0)
-    if bounds:
-        cuts = F.array(*[F.lit(b) for b in bounds])
-        slot = F.aggregate(cuts, F.lit(0), lambda n, b: n + F.when(order > b, 1).otherwise(0))
-    return sized.withColumn("__slice", F.when(F.col("__n").isNull(), F.lit(0)).otherwise(slot))
-
-
-def number_rows(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    slice_by: Column,
-    name: str,
-    sized_by: DataFrame | None = None,
-) -> DataFrame:
-    """``row_number()`` per key, splitting hot keys over tasks.
-
-    Without hot keys this is the plain window. A hot key is numbered per slice
-    and each slice starts where the slices before it ended. ``sized_by`` is an
-    optional cheaper table whose keys have at least as many rows each.
-    """
-    hot = hot_keys(df if sized_by is None else sized_by, keys)
-    if hot is None:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    sliced = _sliced(df, keys, slice_by, hot)
-    by_slice = [*keys, "__slice"]
-    local = sliced.withColumn("__rn", F.row_number().over(Window.partitionBy(*by_slice).orderBy(*order)))
-    before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        sliced.filter(F.col("__n").isNotNull())
-        .groupBy(*by_slice)
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """``row_number()`` per key: numbered within each range, which starts where the ranges before it ended."""
+    ranged = _ranged(df, keys, order)
+    by_range = [*keys, "__range"]
+    local = ranged.withColumn("__rn", F.row_number().over(Window.partitionBy(*by_range).orderBy(*order)))
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = _keyed(
+        ranged.groupBy(*by_range)
         .agg(F.count(F.lit(1)).alias("__size"))
         .withColumn("__start", F.coalesce(F.sum("__size").over(before), F.lit(0)))
-        .drop("__size")
-    )
-    return (
-        local.join(starts, by_slice, "left")
-        .withColumn(name, (F.col("__rn") + F.coalesce("__start", F.lit(0))).cast("int"))
-        .select(*df.columns, name)
+        .drop("__size"),
+        keys,
     )
+    joined = local.join(starts, _same(local, starts, keys))
+    return joined.select(*[local[f"`{c}`"] for c in df.columns], (F.col("__rn") + F.col("__start")).cast("int").alias(name))
 
 
 def number_runs(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    slice_by: Column,
-    value: str,
-    name: str,
-    blank_breaks: bool = False,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, name: str, blank_breaks: bool = False
 ) -> DataFrame:
     """1-based run number per key: a new run starts where ``value`` differs from the row before.
 
-    With ``blank_breaks`` an empty or null value never joins the run before it.
-    Hot keys are cut into slices; a slice takes over the last value and the
-    number of runs of the slices before it.
+    With ``blank_breaks`` an empty or null value never joins the run before it. A range takes over the last value and the
+    number of runs of the ranges before it.
     """
     current = F.col(value)
 
-    def starts(previous: Column) -> Column:
-        same = current.eqNullSafe(previous)
-        if blank_breaks:
-            same = same & (F.coalesce(current, F.lit("")) != "")
-        return F.when(same, 0).otherwise(1)
-
-    hot = hot_keys(df, keys)
-    if hot is None:
-        ordered = Window.partitionBy(*keys).orderBy(*order)
-        flagged = df.withColumn(
-            "__new", F.when(F.row_number().over(ordered) == 1, 1).otherwise(starts(F.lag(value).over(ordered)))
-        )
-        running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return flagged.withColumn(name, F.sum("__new").over(running).cast("int")).drop("__new")
-
-    sliced = _sliced(df, keys, slice_by, hot)
-    by_slice = [*keys, "__slice"]
-    ordered = Window.partitionBy(*by_slice).orderBy(*order)
+    def joins(first: Column, previous: Column) -> Column:
+        same = first.eqNullSafe(previous)
+        return same & (F.coalesce(first, F.lit("")) != "") if blank_breaks else same
+
+    ranged = _ranged(df, keys, order)
+    by_range = [*keys, "__range"]
+    ordered = Window.partitionBy(*by_range).orderBy(*order)
     running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = F.when(joins(current, F.lag(value).over(ordered)), 0).otherwise(1)
     local = (
-        sliced.withColumn("__rn", F.row_number().over(ordered))
-        .withColumn("__new", F.when(F.col("__rn") == 1, 0).otherwise(starts(F.lag(value).over(ordered))))
+        ranged.withColumn("__rn", F.row_number().over(ordered))
+        .withColumn("__new", F.when(F.col("__rn") == 1, 0).otherwise(starts))
         .withColumn("__local", F.sum("__new").over(running))
     )
-    ends = (
-        local.filter(F.col("__n").isNotNull())
-        .groupBy(*by_slice)
-        .agg(
-            F.min_by(value, "__rn").alias("__first"),
-            F.max_by(value, "__rn").alias("__last"),
-            F.sum("__new").alias("__inside"),
-        )
+    ends = local.groupBy(*by_range).agg(
+        F.min_by(value, "__rn").alias("__first"),
+        F.max_by(value, "__rn").alias("__last"),
+        F.sum("__new").alias("__inside"),
     )
-    slices = Window.partitionBy(*keys).orderBy("__slice")
-    previous = F.lag("__last").over(slices)
-    joined = F.col("__first").eqNullSafe(previous)
-    if blank_breaks:
-        joined = joined & (F.coalesce(F.col("__first"), F.lit("")) != "")
-    border = F.when(F.row_number().over(slices) == 1, 0).when(joined, 0).otherwise(1)
-    so_far = slices.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = slices.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
+    ranges = Window.partitionBy(*keys).orderBy("__range")
+    border = F.when(F.row_number().over(ranges) == 1, 0).when(joins(F.col("__first"), F.lag("__last").over(ranges)), 0).otherwise(1)
+    so_far = ranges.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = ranges.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = _keyed(
         ends.withColumn("__border", border)
-        .withColumn(
-            "__offset",
-            F.sum("__border").over(so_far) + F.coalesce(F.sum("__inside").over(earlier), F.lit(0)),
-        )
-        .select(*by_slice, "__offset")
-    )
-    return (
-        local.join(offsets, by_slice, "left")
-        .withColumn(name, (1 + F.col("__local") + F.coalesce("__offset", F.lit(0))).cast("int"))
-        .select(*df.columns, name)
+        .withColumn("__offset", F.sum("__border").over(so_far) + F.coalesce(F.sum("__inside").over(earlier), F.lit(0)))
+        .select(*by_range, "__offset"),
+        keys,
     )
+    joined = local.join(offsets, _same(local, offsets, keys))
+    return joined.select(*[local[f"`{c}`"] for c in df.columns], (1 + F.col("__local") + F.col("__offset")).cast("int").alias(name))
+
+
+def _keyed(small: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return small.withColumnsRenamed({k: f"__key_{k}" for k in keys}).withColumnRenamed("__range", "__in_range")
+
+
+def _same(rows: DataFrame, small: DataFrame, keys: Sequence[str]) -> Column:
+    """Equal range and keys; a null key is a key."""
+    on = rows["__range"] == small["__in_range"]
+    for k in keys:
+        on &= rows[f"`{k}`"].eqNullSafe(small[f"`__key_{k}`"])
+    return on

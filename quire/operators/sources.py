@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.text import normal_path
 from quire.operators.findings import finding
 from quire.profile import (
     CANONICAL_NAME,
@@ -134,12 +135,15 @@ def metafile_links(files: DataFrame) -> DataFrame:
 
 
 _IMAGE = r"!\[[^\]]*\]\(\s*<?([^)\s>]+)"
+_TAG = r"""(?i)<img\b[^>]*?\ssrc\s*=\s*["']([^"'>]+)["']"""
 
 
 def image_links(bodies: DataFrame) -> DataFrame:
-    """Distinct (manuscript_id, path) of the local images a body shows."""
-    links = bodies.select("manuscript_id", F.explode(F.regexp_extract_all("body", F.lit(_IMAGE), F.lit(1))).alias("path"))
-    return links.filter(~F.col("path").rlike(r"^[a-z][a-z0-9+.-]*:")).distinct()
+    """Distinct (manuscript_id, path) of the local images a body shows, in Markdown or in tags; paths are normalized."""
+    shown = F.concat(*[F.regexp_extract_all("body", F.lit(p), F.lit(1)) for p in (_IMAGE, _TAG)])
+    links = bodies.select("manuscript_id", F.explode(shown).alias("path"))
+    local = links.filter(~F.col("path").rlike(r"^[a-z][a-z0-9+.-]*:"))
+    return local.withColumn("path", normal_path(F.col("path"))).distinct()
 
 
 def figure_integrity(links: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:

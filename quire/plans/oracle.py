@@ -329,10 +329,12 @@ union all
 select o_orderkey, 1, 'b' || o_orderkey, 'misc', 'Note, on ' || o_orderstatus, cast(year(o_orderdate) as varchar), null, 'Note, on ' || o_orderstatus,
   2, 0, null from orders""",
     "year_suffix": """
-with n as (select o_orderkey, year(o_orderdate) as y, count(*) over w as c, row_number() over (partition by o_custkey, year(o_orderdate) order by o_orderdate, o_orderkey) as r
+with a as (select chr(cast(96 + i as integer)) as s from range(1, 27) t(i)),
+words as (select s, 1 as k from a union all select x.s || y.s, 2 from a x, a y union all select x.s || y.s || z.s, 3 from a x, a y, a z),
+letters as (select s, row_number() over (order by k, s) as r from words),
+n as (select o_orderkey, year(o_orderdate) as y, count(*) over w as c, row_number() over (partition by o_custkey, year(o_orderdate) order by o_orderdate, o_orderkey) as r
   from orders window w as (partition by o_custkey, year(o_orderdate)))
-select o_orderkey, cast(y as integer) as y, case when c = 1 then null when r <= 26 then chr(cast(96 + r as integer))
-  else chr(cast(96 + (r - 1) // 26 as integer)) || chr(cast(97 + (r - 1) % 26 as integer)) end as year_suffix from n""",
+select o_orderkey, cast(y as integer) as y, case when c > 1 then s end as year_suffix from n left join letters using (r)""",
     "short_author": """
 with d as (select distinct l_orderkey, l_suppkey from lineitem),
 g as (select l_orderkey, count(*) as n, list('S' || l_suppkey order by l_suppkey) as a from d group by 1)

@@ -16,7 +16,7 @@ from quire.functions import text as T
 from quire.functions import values as V
 from quire.operators import badges, canonical, findings, jats, layers, package, people, references, sections, skew, sources
 from quire.profile import Profile
-from quire.session import checkpoint_dir, settled, spread
+from quire.session import checkpoint_dir, settled
 from quire.sources import sinks
 from quire.sources.files import bibliography_rows, encode_galleys
 from quire.streaming import submissions
@@ -26,7 +26,7 @@ FENCE = "---\n"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def _text(*parts: Column | str) -> Column:
@@ -340,7 +340,7 @@ def meta_merge(spark: SparkSession, sf: str) -> DataFrame:
     nation = table(spark, sf, "nation").withColumnsRenamed({"n_nationkey": "nation", "n_regionkey": "region"})
     region = table(spark, sf, "region").withColumnRenamed("r_regionkey", "region")
     customer = table(spark, sf, "customer").withColumnsRenamed({"c_custkey": "id", "c_nationkey": "nation"})
-    wide = skew.join_dimension(skew.join_dimension(customer, nation, ["nation"], "inner"), region, ["region"], "inner")
+    wide = customer.join(nation, ["nation"]).join(region, ["region"])
     segment = F.col("c_mktsegment")
     nodes = F.array(
         _node(0, "home", "map", None),
@@ -391,7 +391,7 @@ def _order_lines(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus")
     supplier = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name", F.col("s_nationkey").alias("n_nationkey"))
     nation = table(spark, sf, "nation").select("n_nationkey", "n_name")
-    return lines.join(skew.join_dimension(supplier, nation, ["n_nationkey"], "inner"), ["l_suppkey"])
+    return lines.join(supplier.join(nation, ["n_nationkey"]), ["l_suppkey"])
 
 
 def _affiliations(lines: DataFrame) -> DataFrame:
@@ -415,8 +415,7 @@ def _affiliation_refs(lines: DataFrame) -> DataFrame:
 
 def author_affiliations(spark: SparkSession, sf: str) -> DataFrame:
     lines = _order_lines(spark, sf)
-    sizes = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("seq"))
-    return people.resolve_affiliations(_affiliation_refs(lines), _affiliations(lines), "l_orderkey", sizes)
+    return people.resolve_affiliations(_affiliation_refs(lines), _affiliations(lines), "l_orderkey")
 
 
 def affiliation_marks(spark: SparkSession, sf: str) -> DataFrame:
@@ -597,8 +596,7 @@ def earned_list(spark: SparkSession, sf: str) -> DataFrame:
 def adjacent_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Runs of equal event types per user, in time order."""
     events = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
-    when = F.unix_micros(F.col("ts").cast("timestamp"))
-    numbered = skew.number_runs(events, ["user_id"], [F.col("ts"), F.col("event_id")], when, "event_type", "run_no")
+    numbered = skew.number_runs(events, ["user_id"], [F.col("ts"), F.col("event_id")], "event_type", "run_no")
     return numbered.groupBy("user_id", "run_no", "event_type").agg(
         F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event")
     )
@@ -776,8 +774,7 @@ def year_suffix(spark: SparkSession, sf: str) -> DataFrame:
     """Orders of one customer and year get letters by date."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", F.year("o_orderdate").alias("y"))
     order = [F.col("o_orderdate"), F.col("o_orderkey")]
-    day = F.unix_date(F.col("o_orderdate").cast("date"))
-    return references.year_suffix(orders, ["o_custkey", "y"], order, day).select("o_orderkey", "y", "year_suffix")
+    return references.year_suffix(orders, ["o_custkey", "y"], order).select("o_orderkey", "y", "year_suffix")
 
 
 def short_author(spark: SparkSession, sf: str) -> DataFrame:
@@ -795,9 +792,8 @@ def reference_order(spark: SparkSession, sf: str) -> DataFrame:
     year = F.when(F.col("o_orderstatus") == "O", F.year("o_orderdate"))
     group = references.date_group(year, F.when(F.col("o_orderstatus") == "P", "in press"))
     dated = orders.withColumn("date_group", group)
-    day = F.unix_date(F.col("o_orderdate").cast("date"))
     order = [F.col("date_group"), F.col("o_orderdate"), F.col("o_orderpriority"), F.col("o_orderkey")]
-    placed = references.reference_order(dated, ["o_custkey"], order, F.col("date_group") * 1000000 + day)
+    placed = references.reference_order(dated, ["o_custkey"], order)
     return placed.select("o_orderkey", "o_custkey", "date_group", "position")
 
 
@@ -805,7 +801,7 @@ def cluster_order(spark: SparkSession, sf: str) -> DataFrame:
     """The lines of an order as one citation cluster, sorted by supplier and ship date."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_shipdate", "l_partkey", "l_linenumber").distinct()
     order = [F.col("l_suppkey"), F.col("l_shipdate"), F.col("l_partkey"), F.col("l_linenumber")]
-    return references.sort_cluster(lines, ["l_orderkey"], order, F.col("l_suppkey")).drop("l_shipdate")
+    return references.sort_cluster(lines, ["l_orderkey"], order).drop("l_shipdate")
 
 
 def duplicate_refs(spark: SparkSession, sf: str) -> DataFrame:
@@ -883,4 +879,4 @@ def publish_stream(spark: SparkSession, sf: str) -> DataFrame:
         docs = _event_stream(spark, sf, "documents").select("source", F.md5(F.col("text").cast("binary")).alias("hash"))
         query = submissions.publish_incremental(docs, f"{base}/table", ["source", "hash"], f"{base}/state")
         query.awaitTermination()
-    return spark.read.parquet(f"{base}/table").drop("batch")
+    return spark.read.parquet(f"{base}/table").drop("run", "batch")

@@ -56,28 +56,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core when a table is stored in fewer pieces than there are cores; large tables stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def settled(df: DataFrame) -> DataFrame:
     """Compute once into a table below the shared checkpoint folder; later uses read it from there.
 
     One pass over the data, where ``DataFrame.checkpoint`` takes two, and later
-    reads are pruned to the columns they need.
+    reads are pruned to the columns they need. The table stays until whoever owns
+    the checkpoint folder empties it: results read from it when they are used.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/quire-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def hot_rows(spark: SparkSession) -> int:
-    """Rows of one key above which a key is split (``spark.quire.hotRows``)."""
-    return int(spark.conf.get("spark.quire.hotRows", "2000000"))
-
-
-def broadcast_rows(spark: SparkSession) -> int:
-    """Rows up to which a dimension is broadcast (``spark.quire.broadcastRows``)."""
-    return int(spark.conf.get("spark.quire.broadcastRows", "100000"))

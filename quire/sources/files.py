@@ -199,20 +199,48 @@ def scan_jats(spark: SparkSession, root: str) -> DataFrame:
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for row in batch.itertuples(index=False):
-            with zipfile.ZipFile(io.BytesIO(row.content)) as archive:
-                for item in archive.infolist():
-                    if item.is_dir():
-                        continue
-                    yield pd.DataFrame(
-                        {
-                            "manuscript_id": [row.manuscript_id],
-                            "archive": [row.path],
-                            "member": [item.filename],
-                            "length": [item.file_size],
-                            "mtime": [row.mtime],
-                            "content": [archive.read(item)],
-                        }
-                    )
+            for member, length, content, error in _unpacked(row.content):
+                yield pd.DataFrame(
+                    {
+                        "manuscript_id": [row.manuscript_id],
+                        "archive": [row.path],
+                        "member": [member],
+                        "length": [length],
+                        "mtime": [row.mtime],
+                        "content": [content],
+                        "error": [error],
+                    }
+                )
+
+
+def _unpacked(content: bytes) -> Iterator[tuple[str | None, int, bytes | None, str | None]]:
+    """(name, length, bytes, error) of each member; what can't be read has an error and no bytes."""
+    try:
+        archive = zipfile.ZipFile(io.BytesIO(content))
+    except Exception as problem:  # not an archive, or a broken one
+        yield None, 0, None, str(problem) or type(problem).__name__
+        return
+    with archive:
+        for item in archive.infolist():
+            if item.is_dir():
+                continue
+            try:
+                yield item.filename, item.file_size, archive.read(item), None
+            except Exception as problem:  # encrypted, damaged or of an unknown method
+                yield item.filename, item.file_size, None, str(problem) or type(problem).__name__
+
+
+def _archive_members(files: DataFrame) -> DataFrame:
+    archives = files.filter(
+        (F.col("area") == "source") & (F.col("ext") == ARCHIVE_SUFFIX) & (F.size(F.split("path", "/")) == 2)
+    ).select("manuscript_id", "path", "mtime", "content")
+    schema = "manuscript_id string, archive string, member string, length long, mtime timestamp, content binary, error string"
+    return archives.mapInPandas(_members, schema)
+
+
+def broken_archives(files: DataFrame) -> DataFrame:
+    """(manuscript_id, archive, member, error) of archives, or members of them, that can't be read."""
+    return _archive_members(files).filter(F.col("error").isNotNull()).select("manuscript_id", "archive", "member", "error")
 
 
 def explode_archives(files: DataFrame) -> DataFrame:
@@ -223,15 +251,7 @@ def explode_archives(files: DataFrame) -> DataFrame:
     over a loose file of the same path, as unpacking overwrites it; of several
     archives the last in name order wins.
     """
-    archives = files.filter(
-        (F.col("area") == "source")
-        & (F.col("ext") == ARCHIVE_SUFFIX)
-        & (F.size(F.split("path", "/")) == 2)
-    ).select("manuscript_id", "path", "mtime", "content")
-    schema = (
-        "manuscript_id string, archive string, member string, length long, mtime timestamp, content binary"
-    )
-    members = archives.mapInPandas(_members, schema)
+    members = _archive_members(files).filter(F.col("error").isNull()).drop("error")
     path = F.concat(F.lit("/manuscripts/"), "manuscript_id", F.lit("/source/"), "member")
     return located(members.withColumn("path", path), F.col("path")).drop("member")
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -54,26 +56,40 @@ def new_content(batch: DataFrame, published: DataFrame, keys: Sequence[str]) ->
     return batch.dropDuplicates(list(keys)).join(published.select(*keys), list(keys), "left_anti")
 
 
+def _run_of(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the run that a checkpoint belongs to; a new checkpoint gets a new one."""
+    path = f"{checkpoint}-run"
+    try:
+        return spark.read.text(path).first()[0]
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+    run = f"r{uuid.uuid4().hex}"
+    spark.range(1).select(F.lit(run).alias("value")).write.text(path)
+    return run
+
+
 def publish_incremental(
     stream: DataFrame, table: str, keys: Sequence[str], checkpoint: str, query_name: str | None = None
 ) -> StreamingQuery:
     """Append unseen (id, content hash) rows to the Parquet table; unchanged articles write nothing.
 
-    Each batch writes its own ``batch=<n>`` folder in overwrite mode and is
-    compared with the earlier ones only, so a batch that is run again after a
-    failure gives the same folder. The checkpoint holds the batch numbers and
-    belongs to the table.
+    Each batch writes its own ``run=<run>/batch=<n>`` folder in overwrite mode
+    and is compared with all others, so a batch that is run again after a
+    failure gives the same folder. The run is named in the checkpoint, beside
+    the batch numbers: with a new checkpoint everything published stays.
     """
+    run = _run_of(stream.sparkSession, checkpoint)
 
     def publish(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         try:
-            earlier = spark.read.parquet(table).filter(F.col("batch") < number)
+            earlier = spark.read.parquet(table).filter((F.col("run") != run) | (F.col("batch") < number))
         except Exception as problem:  # nothing published yet
             if "PATH_NOT_FOUND" not in str(problem) and "UNABLE_TO_INFER_SCHEMA" not in str(problem):
                 raise
             earlier = batch.limit(0)
-        new_content(batch, earlier, keys).write.mode("overwrite").parquet(f"{table}/batch={number}")
+        new_content(batch, earlier, keys).write.mode("overwrite").parquet(f"{table}/run={run}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
     if query_name:
@@ -89,8 +105,6 @@ def run_available(
     The state and the result live below ``spark.checkpoint.dir``; the result is
     the last complete batch, written by the executors.
     """
-    import uuid
-
     spark = stream.sparkSession
     base = f"{checkpoint_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
 

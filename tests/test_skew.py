@@ -7,12 +7,16 @@ from quire.operators import references, skew
 
 
 @pytest.fixture
-def small_limits(spark):
-    spark.conf.set("spark.quire.hotRows", "20")
-    spark.conf.set("spark.quire.broadcastRows", "3")
+def unmerged(spark):
+    """Spark would keep so few rows in one range."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield
-    spark.conf.unset("spark.quire.hotRows")
-    spark.conf.unset("spark.quire.broadcastRows")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def ranges(df, keys, order):
+    """Ranges that the rows of each key lie in."""
+    return {r.k: r.n for r in skew._ranged(df, keys, order).groupBy("k").agg(F.countDistinct("__range").alias("n")).collect()}
 
 
 def uneven(spark, seed):
@@ -36,11 +40,11 @@ def runs_of(rows, blank_breaks):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_numbering_splits_hot_keys(spark, small_limits, seed):
+def test_numbering_splits_hot_keys(spark, unmerged, seed):
     rows, df = uneven(spark, seed)
-    hot = {r.k for r in skew.hot_keys(df, ["k"]).collect()}
-    assert hot == {"hot", "warm"}
-    got = {(r.k, r.id): r.n for r in skew.number_rows(df, ["k"], [F.col("o"), F.col("id")], F.col("o"), "n").collect()}
+    order = [F.col("o"), F.col("id")]
+    assert ranges(df, ["k"], order)["hot"] > 1
+    got = {(r.k, r.id): r.n for r in skew.number_rows(df, ["k"], order, "n").collect()}
     want = {}
     for k in {r[0] for r in rows}:
         for n, r in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2])), start=1):
@@ -49,33 +53,27 @@ def test_numbering_splits_hot_keys(spark, small_limits, seed):
 
 
 @pytest.mark.parametrize("blank_breaks", [False, True])
-def test_runs_split_hot_keys(spark, small_limits, blank_breaks):
-    rows, df = uneven(spark, 3)
-    out = skew.number_runs(df, ["k"], [F.col("o"), F.col("id")], F.col("o"), "v", "n", blank_breaks)
-    assert {(r.k, r.id): r.n for r in out.collect()} == runs_of(rows, blank_breaks)
-
-
-@pytest.mark.parametrize("blank_breaks", [False, True])
-def test_runs_without_hot_keys_agree(spark, blank_breaks):
+def test_runs_split_hot_keys(spark, unmerged, blank_breaks):
     rows, df = uneven(spark, 3)
-    assert skew.hot_keys(df, ["k"]) is None
-    out = skew.number_runs(df, ["k"], [F.col("o"), F.col("id")], F.col("o"), "v", "n", blank_breaks)
+    out = skew.number_runs(df, ["k"], [F.col("o"), F.col("id")], "v", "n", blank_breaks)
     assert {(r.k, r.id): r.n for r in out.collect()} == runs_of(rows, blank_breaks)
 
 
-def test_dimension_join_salts_beyond_the_size_limit(spark, small_limits):
-    facts = spark.createDataFrame([("a", i) for i in range(50)] + [("z", 99)], "k string, i int")
-    dims = spark.createDataFrame([(c, c.upper()) for c in "abcde"], "k string, u string")
-    joined = skew.join_dimension(facts, dims, ["k"])
-    got = {(r.k, r.i): r.u for r in joined.collect()}
-    assert len(got) == 51 and got[("a", 7)] == "A" and got[("z", 99)] is None
+def test_one_order_value_and_null_keys(spark):
+    rows = [(None if i % 2 else "a", 1, i) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, o int, id int").repartition(3)
+    got = {(r.k, r.id): r.n for r in skew.number_rows(df, ["k"], [F.col("o"), F.col("id")], "n").collect()}
+    assert got == {(k, i): i // 2 + 1 for k, _, i in rows}
 
 
 def test_year_letters_go_past_z(spark):
-    refs = spark.createDataFrame([("Doe", 2020, i) for i in range(54)] + [("Roe", 2020, 0)], "who string, y int, i int")
-    out = references.year_suffix(refs, ["who", "y"], [F.col("i")], F.col("i"))
+    refs = spark.createDataFrame([("Doe", 2020, i) for i in range(20000)] + [("Roe", 2020, 0)], "who string, y int, i int")
+    out = references.year_suffix(refs, ["who", "y"], [F.col("i")])
     got = {(r.who, r.i): r.year_suffix for r in out.collect()}
     assert [got[("Doe", i)] for i in (0, 25, 26, 51, 52)] == ["a", "z", "aa", "az", "ba"]
+    letters = [chr(97 + i) for i in range(26)]
+    words = [*letters, *(a + b for a in letters for b in letters), *(a + b + c for a in letters for b in letters for c in letters)]
+    assert [got[("Doe", i)] for i in range(18278)] == words and got[("Doe", 18278)] == "aaaa"
     assert got[("Roe", 0)] is None
 
 
