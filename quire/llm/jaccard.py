@@ -253,8 +253,11 @@ def _links(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, keys: Data
     return settled(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
-def _rest(candidates: DataFrame, bad: DataFrame, groups: DataFrame, known: DataFrame, done: DataFrame) -> DataFrame:
-    """Further pairs to compare: in the bad buckets, of different components so far, and possible by their sketches."""
+def _rest(candidates: DataFrame, bad: DataFrame, groups: DataFrame, known: DataFrame, done: DataFrame, one_each: bool) -> DataFrame:
+    """Further pairs to compare: in the bad buckets, of different components so far, and possible by their sketches.
+
+    With ``one_each``, of these pairs only the first of each member of a block.
+    """
     rows = candidates.join(bad, "sig", "left_semi")
     members = rows.select("sig", F.explode(F.array("a", "b")).alias("key")).distinct()
     members = members.join(groups, members["key"] == groups["node"], "left").select("sig", "key", F.coalesce("component", "key").alias("component"))
@@ -283,10 +286,13 @@ def _rest(candidates: DataFrame, bad: DataFrame, groups: DataFrame, known: DataF
         cells = min(len(x.as_buffer()) for x in sketch)
         parity = np.array([folded(x, cells) for x in sketch])
         a, b = [], []
+        paired = np.zeros(len(key), bool)
         for r in range(len(key) - 1):
             more = np.arange(r + 1, len(key))
             more = more[(part[more] != part[r]) & ((own[more] != own[r]) | (not across))]
+            more = more[~paired[more]]
             more = more[possible(n[more], n[r], np.bitwise_count(parity[more] ^ parity[r]).sum(axis=1, dtype=np.int64))]
+            paired[more] = one_each
             a.append(np.minimum(key[more], key[r]))
             b.append(np.maximum(key[more], key[r]))
         return a, b
@@ -316,7 +322,7 @@ def _rest(candidates: DataFrame, bad: DataFrame, groups: DataFrame, known: DataF
         if held:
             yield emitted(pa.Table.from_batches(held), True)[1]
 
-    sorted_ = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    sorted_ = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "key")
     found = sorted_.mapInArrow(run, "a long, b long").distinct()
     return settled(found.join(done, ["a", "b"], "left_anti"))
 
@@ -329,8 +335,12 @@ def joined_up(candidates: DataFrame, known: DataFrame, links_of: Callable[[DataF
     checked = settled(_sketched(candidates.select("a", "b").distinct(), known))
     links = links_of(checked.where("maybe").select("a", "b"))
     failed = candidates.join(links, ["a", "b"], "left_anti").select("sig").distinct()
-    more = _rest(candidates, failed, components(links), known, checked.select("a", "b"))
-    return components(links.union(links_of(more)))
+    done = checked.select("a", "b")
+    # most of what is apart belongs together: join that up by a few pairs first, then compare all that are still apart
+    for one_each in (True, False):
+        more = _rest(candidates, failed, components(links), known, done, one_each)
+        links, done = settled(links.union(links_of(more))), settled(done.union(more))
+    return components(links)
 
 
 def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
