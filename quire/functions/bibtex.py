@@ -27,23 +27,30 @@ def entry_key(entry: Column) -> Column:
     return F.regexp_extract(entry, _ENTRY_HEAD, 2)
 
 
-def _value_end(text: str, at: int, closing: str) -> int:
-    """Where the value that starts at ``at`` ends: a comma or the entry's end outside braces and quotes."""
-    depth, quoted = 0, False
-    while at < len(text):
-        mark = text[at]
-        if mark == "\\":
-            at += 1
-        elif mark == '"' and depth == 0:
+_MARK = re.compile(r'\\.|["{},()#]', re.S)
+
+
+def _value(text: str, at: int, closing: str) -> tuple[list[str], int]:
+    """The parts that ``#`` joins to the value at ``at``, and where it ends: a comma or the entry's end outside braces and quotes."""
+    depth, quoted, parts, start = 0, False, [], at
+    for found in _MARK.finditer(text, at):
+        mark = found.group()
+        outside = depth == 0 and not quoted
+        if mark == '"' and depth == 0:
             quoted = not quoted
-        elif mark == closing and depth == 0 and not quoted:
-            break
+        elif outside and mark in (closing, ","):
+            return [*parts, text[start : found.start()]], found.start()
+        elif outside and mark == "#":
+            parts.append(text[start : found.start()])
+            start = found.end()
         elif mark in "{}":
             depth += 1 if mark == "{" else -1
-        elif mark == "," and depth == 0 and not quoted:
-            break
-        at += 1
-    return at
+    return [*parts, text[start:]], len(text)
+
+
+def _plain(part: str) -> str:
+    raw = part.strip()
+    return raw[1:-1] if len(raw) >= 2 and raw[0] + raw[-1] in ("{}", '""') else raw
 
 
 def _fields(entry: str | None) -> dict[str, str]:
@@ -52,12 +59,8 @@ def _fields(entry: str | None) -> dict[str, str]:
     closing = ")" if opening and opening.group() == "(" else "}"
     at = (entry or "").find(",")
     while at >= 0 and (found := _FIELD_START.search(entry, at)):
-        end = _value_end(entry, found.end(), closing)
-        raw = " ".join(entry[found.end() : end].split())
-        if len(raw) >= 2 and raw[0] + raw[-1] in ("{}", '""'):
-            raw = raw[1:-1].strip()
-        fields.setdefault(found.group(1).lower(), raw)
-        at = end
+        parts, at = _value(entry, found.end(), closing)
+        fields.setdefault(found.group(1).lower(), " ".join("".join(map(_plain, parts)).split()))
     return fields
 
 

@@ -124,6 +124,12 @@ def escape_xml(text: Column) -> Column:
     return out
 
 
+def decoded(content: Column) -> Column:
+    """Bytes as text; bytes that aren't UTF-8 are left out."""
+    text = content.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))
+
+
 def normal_path(path: Column) -> Column:
     """A relative path without ``.`` and ``..`` steps, doubled slashes and percent codes."""
     plain = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)

@@ -160,13 +160,8 @@ def merge_rows(nodes: DataFrame, key: str = "manuscript_id") -> DataFrame:
         .withColumn("leaf_rank", _top_rank(lambda v: v["kind"] != "map"))
         .withColumn("map_rank", _top_rank(lambda v: v["kind"] == "map"))
     )
-    leaf, branch = (F.max(F.when(test, F.col("rank"))) for test in (F.col("kind") != "map", F.col("kind") == "map"))
-    cuts = (
-        nodes.groupBy(key, at.alias("above"))
-        .agg(leaf.alias("cut"), branch.alias("branch"))
-        .filter(F.col("cut").isNotNull() & F.col("branch").isNotNull())
-        .drop("branch")
-    )
+    both = F.col("leaf_rank").isNotNull() & F.col("map_rank").isNotNull()
+    cuts = by_path.filter(both).select(key, F.col("at").alias("above"), F.col("leaf_rank").alias("cut"))
     above = F.transform(
         F.when(F.size("path") > 1, F.sequence(F.lit(1), F.size("path") - 1)),
         lambda d: F.concat(F.array_join(F.slice("path", F.lit(1), d), SEP), F.lit(SEP)),

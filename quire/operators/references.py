@@ -27,6 +27,14 @@ def uncited_refs(citations: DataFrame, refs: DataFrame, keys: Sequence[str]) ->
     return refs.select(*keys).join(citations.select(*keys), list(keys), "left_anti")
 
 
+def citation_outcomes(citations: DataFrame, refs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, outcome): resolved, undefined or uncited, of every key once, in one pass over both sides."""
+    cited = citations.select(*keys).distinct().withColumn("__cited", F.lit(True))
+    known = refs.select(*keys).distinct().withColumn("__known", F.lit(True))
+    outcome = F.when(F.col("__cited").isNull(), "uncited").when(F.col("__known").isNull(), "undefined").otherwise("resolved")
+    return cited.join(known, list(keys), "full").select(*keys, outcome.alias("outcome"))
+
+
 def short_authors(refs: DataFrame) -> DataFrame:
     """Add ``short_author`` from the ``authors`` array; the title stands in when there is no author."""
     people = F.col("authors")

@@ -12,38 +12,55 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.text import has_latex_document, unix_newlines
+from quire.functions.text import decoded, has_latex_document, normal_path, unix_newlines
 from quire.operators import badges, canonical, findings, jats, layers, package, people, sections, sources
-from quire.profile import CANONICAL_NAME, REGISTRY_NAME, SOURCE_SUFFIXES, Profile
+from quire.profile import BIBLIOGRAPHY_NAME, CANONICAL_NAME, REGISTRY_NAME, SOURCE_SUFFIXES, Profile
 from quire.session import settled
 from quire.sources import files as scans
 
 
 @dataclass
 class Corpus:
-    """The tables of one corpus. ``theme`` names the journal of every manuscript, unless given per row."""
+    """The tables of one corpus.
+
+    ``theme`` names the journal of every manuscript that ``themes_of`` (manuscript_id, theme) doesn't name one for.
+    ``converted`` (manuscript_id, text) is the Markdown that an outside converter made of Word and LaTeX sources.
+    """
 
     spark: SparkSession
     root: str
     theme: str
     profile: Profile = Profile()
     strict_sources: bool = False
+    themes_of: DataFrame | None = None
+    converted: DataFrame | None = None
 
     # --- scans ---------------------------------------------------------------
 
     @cached_property
     def files(self) -> DataFrame:
-        return scans.scan_files(self.spark, self.root)
+        return settled(scans.scan_files(self.spark, self.root))
 
     @cached_property
     def manuscripts(self) -> DataFrame:
         """(manuscript_id, theme) of every folder."""
         ids = self.files.select("manuscript_id").filter(F.col("manuscript_id") != "").distinct()
-        return ids.withColumn("theme", F.lit(self.theme))
+        if self.themes_of is None:
+            return ids.withColumn("theme", F.lit(self.theme))
+        named = self.themes_of.groupBy("manuscript_id").agg(F.min("theme").alias("theme"))
+        return ids.join(named, ["manuscript_id"], "left").withColumn("theme", F.coalesce("theme", F.lit(self.theme)))
 
     @cached_property
     def canonical(self) -> DataFrame:
-        return scans.scan_canonical(self.spark, self.root)
+        """(manuscript_id, front_matter, body, text): the source's text, else the article that lies in the folder.
+
+        A Markdown source counts as it is, other sources as ``converted``. A placeholder is no source here, whatever
+        ``strict_sources`` says: it would replace a finished article.
+        """
+        new = self._normal(self.real_source, self.converted).select("manuscript_id", unix_newlines(F.col("text")).alias("text"))
+        there = scans.scan_canonical(self.spark, self.root).select("manuscript_id", "text")
+        texts = new.unionByName(there.join(new.select("manuscript_id"), ["manuscript_id"], "left_anti"))
+        return settled(scans.canonical_rows(texts))
 
     # --- sources ---------------------------------------------------------------
 
@@ -51,15 +68,23 @@ class Corpus:
     def unpacked(self) -> DataFrame:
         """Inventory with archives replaced by their members, with the bytes of source files only."""
         raw = scans.scan_bytes(self.spark, self.root)
-        useful = raw.filter(F.col("ext").isin(*SOURCE_SUFFIXES, ".zip", ".bib") & F.col("area").isin("source", "root"))
-        return scans.with_archives(useful)
+        inside = F.col("ext").isin(*SOURCE_SUFFIXES, ".zip") & F.col("area").isin("source", "root")
+        return settled(scans.with_archives(raw.filter(inside | (F.col("ext") == ".bib"))))
+
+    def _candidates(self, strict: bool) -> DataFrame:
+        text = F.when(F.col("ext") == ".tex", decoded(F.col("content")))
+        marked = self.unpacked.withColumn("has_document", F.coalesce(has_latex_document(text), F.lit(False)))
+        return sources.source_fallback(sources.source_candidates(marked.drop("content"), strict=strict))
 
     @cached_property
     def candidates(self) -> DataFrame:
-        text = F.when(F.col("ext") == ".tex", F.try_validate_utf8(F.col("content")))
-        marked = self.unpacked.withColumn("has_document", F.coalesce(has_latex_document(text), F.lit(False)))
-        usable = sources.source_candidates(marked.drop("content"), strict=self.strict_sources)
-        return sources.source_fallback(usable)
+        return self._candidates(self.strict_sources)
+
+    @cached_property
+    def real_source(self) -> DataFrame:
+        """The chosen source of each manuscript, placeholders left out."""
+        chosen = sources.choose_source(self._candidates(True), keep=["ext"])
+        return chosen.withColumn("route", sources.route_format(F.col("ext")))
 
     @cached_property
     def chosen_source(self) -> DataFrame:
@@ -67,40 +92,62 @@ class Corpus:
         chosen = sources.choose_source(self.candidates, keep=["ext"])
         return chosen.withColumn("route", sources.route_format(F.col("ext")))
 
-    @cached_property
-    def latex_macros(self) -> DataFrame:
-        """(manuscript_id, abstract, keywords, recommended_citation) of the chosen LaTeX sources."""
-        latex = self.chosen_source.filter(F.col("route") == "latex").select("manuscript_id", "path")
+    def _macros(self, source: DataFrame) -> DataFrame:
+        latex = source.filter(F.col("route") == "latex").select("manuscript_id", "path")
         texts = self.unpacked.filter(F.col("ext") == ".tex").select("manuscript_id", "path", "content")
-        text = unix_newlines(F.try_validate_utf8(F.col("content")))
+        text = unix_newlines(decoded(F.col("content")))
         chosen = texts.join(latex, ["manuscript_id", "path"], "left_semi").select("manuscript_id", text.alias("text"))
         return canonical.extract_macros(chosen, self.profile).drop("text")
 
+    @cached_property
+    def latex_macros(self) -> DataFrame:
+        """(manuscript_id, abstract, keywords, recommended_citation) of the chosen LaTeX sources."""
+        return self._macros(self.chosen_source)
+
+    def _passed(self, source: DataFrame) -> DataFrame:
+        markdown = source.filter(F.col("route") == "markdown").select("manuscript_id", "path")
+        texts = self.unpacked.join(markdown, ["manuscript_id", "path"], "left_semi")
+        return sources.passthrough(texts.select("manuscript_id", decoded(F.col("content")).alias("text")))
+
     @cached_property
     def passed_through(self) -> DataFrame:
         """Canonical rows of the Markdown-like sources."""
-        markdown = self.chosen_source.filter(F.col("route") == "markdown").select("manuscript_id", "path")
-        texts = self.unpacked.join(markdown, ["manuscript_id", "path"], "left_semi")
-        return sources.passthrough(texts.select("manuscript_id", F.try_validate_utf8(F.col("content")).alias("text")))
+        return self._passed(self.chosen_source)
+
+    def _normal(self, source: DataFrame, converted: DataFrame | None) -> DataFrame:
+        passed = self._passed(source)
+        if converted is None:
+            return passed
+        found = converted.join(self._macros(source), ["manuscript_id"], "left")
+        return sources.union_inputs(passed, canonical.assemble_canonical(found, sources.metafile_links(self.files)))
 
     def normalized(self, converted: DataFrame | None = None) -> DataFrame:
-        """Canonical text of every input format.
+        """Canonical text of every input format, a placeholder's own included unless ``strict_sources`` is set.
 
         ``converted`` (manuscript_id, text) is the Markdown an outside converter
         made of the Word and LaTeX sources; macros and figure links are applied here.
         """
-        if converted is None:
-            return self.passed_through
-        found = converted.join(self.latex_macros, ["manuscript_id"], "left")
-        built = canonical.assemble_canonical(found, sources.metafile_links(self.files))
-        return sources.union_inputs(self.passed_through, built)
+        return self._normal(self.chosen_source, converted)
 
     # --- metadata ----------------------------------------------------------------
 
+    @cached_property
+    def themes(self) -> DataFrame:
+        """(theme, nodes, error) of every journal."""
+        return settled(layers.parse_layer(scans.scan_theme(self.spark, self.root), "text", "theme"))
+
+    @cached_property
+    def theme_errors(self) -> DataFrame:
+        """(manuscript_id, message) of manuscripts whose journal is unknown or can't be read."""
+        known = self.themes.select("theme", F.lit(True).alias("known"), F.col("error").alias("message"))
+        named = self.manuscripts.join(known, ["theme"], "left")
+        unknown = F.concat(F.lit("unknown theme: "), F.coalesce("theme", F.lit("")))
+        return named.select("manuscript_id", F.when(F.col("known"), F.col("message")).otherwise(unknown).alias("message")).where("message is not null")
+
     @cached_property
     def merged(self) -> DataFrame:
         """(manuscript_id, theme, nodes, error): parsed and merged once, then cut off from the scans."""
-        themes = layers.parse_layer(scans.scan_theme(self.spark, self.root), "text", "theme")
+        themes = self.themes
         registry = layers.parse_layer(scans.scan_registry(self.spark, self.root, self.files), "text", "manuscript_id")
         front = layers.parse_layer(self.canonical, "front_matter", "manuscript_id")
         return settled(layers.merge_metadata(self.manuscripts, themes, registry, front))
@@ -139,11 +186,20 @@ class Corpus:
     def findings(self) -> DataFrame:
         registry, article = self._file(REGISTRY_NAME), self._file(CANONICAL_NAME)
         unreadable = self.merged.filter(F.col("error").isNotNull())
-        return findings.union_findings(
-            findings.validate_fields(self.merged, self.profile, registry),
-            findings.validate_authors(self.manuscripts, self.authors, article),
-            findings.missing_bibliography(self.meta, self.files, article),
-            findings.finding(unreadable, "error", "metadata", F.col("error"), registry),
+        placed = self.files.select("manuscript_id", "path").unionByName(self.chosen_bibliography.select("manuscript_id", F.lit(BIBLIOGRAPHY_NAME).alias("path")))
+        broken = scans.broken_archives(scans.scan_bytes(self.spark, self.root, "*.zip"))
+        unpacking = F.concat(F.lit("cannot unpack "), F.coalesce("member", "archive"), F.lit(": "), "error")
+        return settled(
+            findings.union_findings(
+                findings.validate_fields(self.merged, self.profile, registry),
+                findings.validate_authors(self.manuscripts, self.authors, article),
+                findings.missing_bibliography(self.meta, placed, article),
+                findings.finding(unreadable, "error", "metadata", F.col("error"), registry),
+                findings.finding(self.theme_errors, "error", "theme", F.col("message"), registry),
+                findings.finding(broken, "error", "archive", unpacking, F.concat(F.lit("manuscripts/"), "manuscript_id", F.lit("/"), "archive")),
+                sources.unsourced(self.manuscripts, self.candidates),
+                sources.no_bibliography(self.manuscripts, self.unpacked),
+            )
         )
 
     @cached_property
@@ -198,6 +254,22 @@ class Corpus:
 
     @cached_property
     def refs(self) -> DataFrame:
-        return scans.scan_bibliography(self.spark, self.root)
+        """Entries of the bibliographies that an article declares, and of ``references.bib``.
+
+        The file beside a LaTeX source stands for ``references.bib``.
+        """
+        bib = self.unpacked.filter(F.col("ext") == ".bib")
+        chosen = bib.join(self.chosen_bibliography.withColumnRenamed("bibliography", "path"), ["manuscript_id", "path"], "left_semi")
+        chosen = chosen.withColumn("path", F.lit(BIBLIOGRAPHY_NAME))
+        lying = bib.withColumn("path", normal_path(F.col("path"))).join(chosen.select("manuscript_id", "path"), ["manuscript_id", "path"], "left_anti")
+        named = self.meta.select("manuscript_id", F.explode("bibliography").alias("path")).withColumn("path", normal_path(F.col("path")))
+        wanted = named.unionByName(self.manuscripts.select("manuscript_id", F.lit(BIBLIOGRAPHY_NAME).alias("path"))).distinct()
+        texts = chosen.unionByName(lying).join(wanted, ["manuscript_id", "path"], "left_semi")
+        return scans.bibliography_rows(texts.select("manuscript_id", unix_newlines(decoded(F.col("content"))).alias("text")))
+
+    @cached_property
+    def chosen_bibliography(self) -> DataFrame:
+        """(manuscript_id, bibliography): the file beside the LaTeX source."""
+        return sources.choose_bibliography(self.unpacked, self.real_source)
 
 

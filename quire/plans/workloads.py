@@ -178,15 +178,7 @@ def undefined_links(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages").select("page_id", "html")
     english = F.startswith(F.col("html"), F.lit('<!DOCTYPE html><html lang="en">'))
     links = sections.link_keys(pages.withColumn("english", english).withColumn("page", F.struct("english", "page_id")), "page", "html")
-    refs = links.filter("page.english").select("link").distinct()
-    cited = links.filter("not page.english").select("link", "uses")
-    parts = {
-        "resolved": references.resolve_citations(cited, refs, ["link"]).select("link").distinct(),
-        "undefined": references.undefined_citations(cited, refs, ["link"]),
-        "uncited": references.uncited_refs(cited, refs, ["link"]),
-    }
-    tagged = [df.withColumn("outcome", F.lit(name)) for name, df in parts.items()]
-    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+    return references.citation_outcomes(links.filter("not page.english"), links.filter("page.english"), ["link"])
 
 
 def canonical_inputs(spark: SparkSession, sf: str) -> DataFrame:

@@ -119,7 +119,11 @@ def _in_folder_root(texts: DataFrame) -> DataFrame:
 
 def scan_canonical(spark: SparkSession, root: str) -> DataFrame:
     """(manuscript_id, front_matter, body, text) of every canonical article."""
-    texts = _in_folder_root(_scan_text(spark, f"{root}/manuscripts", CANONICAL_NAME))
+    return canonical_rows(_in_folder_root(_scan_text(spark, f"{root}/manuscripts", CANONICAL_NAME)))
+
+
+def canonical_rows(texts: DataFrame) -> DataFrame:
+    """(manuscript_id, front_matter, body, text) of (manuscript_id, text) articles."""
     return texts.withColumn("__fm", split_front_matter(F.col("text"))).select(
         "manuscript_id", "__fm.front_matter", "__fm.body", "text"
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from conftest import decoded
 from quire.operators import badges, findings, people, references, sections, sources
 from quire.plans.corpus import Corpus
+from quire.profile import Profile
 from quire.sources import files as scans
 from quire.sources import sinks
 
@@ -174,7 +175,9 @@ def test_citations_refs_and_sections(corpus):
         (0, 1, "roe2021", False, ""),
         (1, 0, "undefined", True, ""),
     ]
-    refs = corpus.refs
+    # the file beside the LaTeX source counts for its manuscript
+    assert rows(corpus.refs.filter("manuscript_id = 'zip'"), "key") == [("doe2020",), ("roe2021",), ("unused",)]
+    refs = corpus.refs.filter("manuscript_id = 'JT.1'")
     assert rows(refs, "key", "type", "year", "doi") == [
         ("doe2020", "article", "2020", "10.1/abc"),
         ("roe2021", "article", "2021", None),
@@ -232,3 +235,42 @@ def test_sinks(corpus, spark, tmp_path):
 def test_galley_scan_encodes_on_one_line(spark, root):
     got = scans.encode_galleys(scans.scan_galleys(spark, root)).filter("name = 'article.pdf'").first()
     assert got.filesize == 204 and "\n" not in got.b64 and decoded(got.b64) == bytes(got.content)
+
+
+# --- stages follow one another ---------------------------------------------------
+
+
+def test_a_fresh_upload_passes(spark, tmp_path):
+    from conftest import ARTICLE, BIB, REGISTRY, THEME, write
+
+    fine = ARTICLE.replace("bibliography: references.bib", "bibliography: ./refs/../lit.bib")
+    write(tmp_path / "themes/jtt/theme.yml", THEME)
+    write(tmp_path / "themes/broken/theme.yml", "a: [")
+    for name in ("fresh", "packed", "broken", "lost"):
+        write(tmp_path / f"manuscripts/{name}/_metadata.yml", REGISTRY)
+    write(tmp_path / "manuscripts/fresh/source/paper.md", fine)
+    write(tmp_path / "manuscripts/fresh/lit.bib", BIB)
+    packed = tmp_path / "manuscripts/packed"
+    import io
+    import zipfile
+
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as archive:
+        archive.writestr("paper.tex", b"\\begin{document} caf\xe9 \\end{document}")
+        archive.writestr("lib/own.bib", BIB)
+    write(packed / "source/all.zip", buffer.getvalue())
+    write(tmp_path / "manuscripts/broken/source/bad.zip", b"PK no archive")
+    write(tmp_path / "manuscripts/broken/source/paper.md", fine)
+    write(tmp_path / "manuscripts/lost/source/paper.md", ARTICLE)
+    converted = spark.createDataFrame([("packed", ARTICLE)], "manuscript_id string, text string")
+    themes = spark.createDataFrame([("broken", "broken"), ("lost", "nowhere")], "manuscript_id string, theme string")
+    corpus = Corpus(spark, str(tmp_path), theme="jtt", profile=Profile(namespace="pub"), themes_of=themes, converted=converted)
+    assert {r.manuscript_id: (r.rung, r.path) for r in corpus.chosen_source.collect()}["packed"] == (4, "source/paper.tex")
+    passed = {r.manuscript_id: r.passed for r in corpus.verdict.collect()}
+    assert passed["fresh"] and not passed["broken"] and not passed["lost"]
+    keys = {(r.manuscript_id, r.key) for r in corpus.refs.collect()}
+    assert {("fresh", "doe2020"), ("packed", "doe2020")} <= keys
+    found = {(r.manuscript_id, r.rule) for r in corpus.findings.collect()}
+    assert {("broken", "archive"), ("broken", "theme"), ("lost", "theme"), ("lost", "bibliography")} <= found
+    undefined = references.undefined_citations(corpus.citations.select("manuscript_id", F.col("cite_key").alias("key")), corpus.refs, ["manuscript_id", "key"])
+    assert rows(undefined.filter("manuscript_id = 'fresh'"), "key") == [("undefined",)]

@@ -200,3 +200,51 @@ def test_section_pieces_cover_the_body(spark):
     got = sections.sections(df).orderBy("pos").collect()
     assert [(r.level, r.title, r.unnumbered) for r in got] == [(0, None, False), (1, "A", True), (6, "", False)]
     assert got[1].text == "text\n\n```\n# code\n```\n####### seven\n" and got[2].text == "end"
+
+
+# --- records that would stop a job -------------------------------------------------
+
+
+def test_bad_yaml_is_a_finding_of_its_row(spark):
+    from quire.functions.yaml import yaml_nodes
+
+    texts = ["a: &a {b: *a}", "author: [{2024-01-01: x}]", "1: a\n'1': b", "x: {y: [", "k: v"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", yaml_nodes("t").alias("y")).collect()
+    got = {r.i: ([(".".join(n.path), n.value_json) for n in r.y.nodes], r.y.error) for r in rows}
+    assert got[0][1] and got[3][1]
+    assert got[1] == ([("author", '[{"2024-01-01": "x"}]')], None)
+    assert got[2] == ([("1", '"b"')], None) and got[4] == ([("k", '"v"')], None)
+
+
+def test_very_long_citation_key(spark):
+    from quire.operators.sections import extract_citations
+
+    body = "see @" + "k" * 200_000 + ". And @a:b-c."
+    df = spark.createDataFrame([("m", body)], "manuscript_id string, body string")
+    assert {len(r.cite_key) for r in extract_citations(df).collect()} == {200_000, 5}
+
+
+def test_paths_are_normalized(spark):
+    from quire.functions.text import decoded, normal_path
+
+    paths = {"./references.bib": "references.bib", "figures/my%20fig.png": "figures/my fig.png", "a/../b//c": "b/c", "../x": "../x", "a+b.png": "a+b.png", "100%": "100%"}
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert {r.p: r.n for r in df.select("p", normal_path(F.col("p")).alias("n")).collect()} == paths
+    raw = spark.createDataFrame([(b"caf\xe9 \xc3\xa9",), (None,)], "c binary")
+    assert [r.t for r in raw.select(decoded(F.col("c")).alias("t")).collect()] == ["caf é", None]
+
+
+def test_attribute_names_count(spark):
+    from quire.operators.jats import missing_elements
+
+    have = spark.createDataFrame([("m", "p", "article-id", {"pub-id-type": "pmid", "specific-use": "doi"})], "manuscript_id string, parent string, tag string, attrs map<string,string>")
+    want = spark.createDataFrame([("m", "p", "article-id", "pub-id-type", "doi"), ("m", "p", "article-id", "pub-id-type", "pmid")], "manuscript_id string, parent string, tag string, attr_name string, attr_value string")
+    assert [r.attr_value for r in missing_elements(have, want).collect()] == ["doi"]
+
+
+def test_joined_bibliography_values(spark):
+    from quire.functions.bibtex import bib_fields
+
+    entry = '@article{k, title = {A} # " and " # {B \\# C}, month = apr # "~1", note = {x # y}, year = 2020}'
+    df = spark.createDataFrame([(entry,)], "e string")
+    assert df.select(bib_fields("e").alias("f")).first().f == {"title": "A and B \\# C", "month": "apr~1", "note": "x # y", "year": "2020"}
