@@ -309,6 +309,20 @@ select l_orderkey, cast(row_number() over (partition by l_orderkey order by l_li
     "no_galleys": """
 with d as (select l_orderkey, count(distinct l_linenumber) filter (l_linenumber <= 3) as c from lineitem group by 1)
 select o_orderkey, cast(3 - coalesce(c, 0) as integer) as skipped, coalesce(c, 0) > 0 as packaged from orders left join d on l_orderkey = o_orderkey""",
+    "galley_list": """
+with g(file_id, name, label) as (values (1, 'article.pdf', 'PDF'), (2, 'article.html', 'HTML'), (3, 'article.xml', 'JATS XML')),
+d as (select distinct l_orderkey, l_linenumber from lineitem)
+select o_orderkey, file_id, name, label, l_linenumber is not null as found
+from orders cross join g left join d on l_orderkey = o_orderkey and l_linenumber = file_id""",
+    "no_galley_findings": """
+select o_orderkey, 'error' as level, 'no-galleys' as rule, 'No rendered galleys found — run quarto render first.' as message
+from orders where o_orderkey not in (select l_orderkey from lineitem where l_linenumber <= 3)""",
+    "collected_galleys": """
+select doc_id // 3 as article, string_agg((doc_id % 3 + 1) || ':' || case doc_id % 3 when 0 then 'PDF' when 1 then 'HTML' else 'JATS XML' end || ':' || md5(text), ';' order by doc_id) as galleys
+from documents group by 1""",
+    "collected_authors": """
+select c_nationkey as manuscript_id, md5(string_agg(c_custkey || ':' || c_name || ':' || c_mktsegment || ':' || (c_acctbal > 0), ';' order by c_custkey)) as authors
+from customer group by 1""",
     "package_nested": """
 with d as (select l_orderkey, l_linenumber, max(cast(l_quantity as integer)) as q from lineitem group by 1, 2)
 select l_orderkey, cast(count(*) as integer) as n, string_agg(l_linenumber || ':' || q, ';' order by l_linenumber) as items, l_orderkey || '.pdf' as file_name

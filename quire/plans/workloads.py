@@ -685,6 +685,48 @@ def no_galleys(spark: SparkSession, sf: str) -> DataFrame:
     return orders.select("o_orderkey", (3 - found).alias("skipped"), (found > 0).alias("packaged"))
 
 
+def _galley_files(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as manuscripts; their first three lines as rendered files of the galley list."""
+    name = F.element_at(F.transform(package.galley_spec(), lambda g: g["name"]), F.col("l_linenumber"))
+    lines = table(spark, sf, "lineitem").filter("l_linenumber between 1 and 3").select(F.col("l_orderkey").alias("o_orderkey"), name.alias("name"), F.lit("root").alias("area"))
+    return table(spark, sf, "orders").select("o_orderkey"), lines.distinct()
+
+
+def galley_list(spark: SparkSession, sf: str) -> DataFrame:
+    """Every entry of the galley list for every order, found or not."""
+    galleys = package.galleys_of(*_galley_files(spark, sf), "o_orderkey")
+    return galleys.select("o_orderkey", "file_id", "name", "label", "found")
+
+
+def no_galley_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings of the orders without any galley."""
+    galleys = package.galleys_of(*_galley_files(spark, sf), "o_orderkey")
+    return package.has_galleys(galleys, "o_orderkey").select("o_orderkey", "level", "rule", "message")
+
+
+def collected_galleys(spark: SparkSession, sf: str) -> DataFrame:
+    """Three documents each as the galleys of one article, in list order."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    name = F.element_at(F.transform(package.galley_spec(), lambda g: g["name"]), (F.col("doc_id") % 3 + 1).cast("int"))
+    payloads = docs.select(F.floor(F.col("doc_id") / 3).alias("article"), name.alias("name"), F.col("text").cast("binary").alias("content"))
+    packed = package.collect_galleys(payloads, "article")
+    items = F.transform("galleys", lambda g: F.concat_ws(":", g["file_id"].cast("string"), g["label"], F.md5(g["content"])))
+    return packed.select("article", F.array_join(items, ";").alias("galleys"))
+
+
+def collected_authors(spark: SparkSession, sf: str) -> DataFrame:
+    """The customers of a nation and segment as authors, their market segment as first affiliation."""
+    customer = table(spark, sf, "customer")
+    people_ = customer.select(
+        F.col("c_nationkey").alias("manuscript_id"), F.col("c_custkey").alias("seq"), F.lit("C").alias("given"), F.col("c_name").alias("family"),
+        F.lit("").alias("email"), F.lit(None).cast("string").alias("orcid"), (F.col("c_acctbal") > 0).alias("corresponding"),
+    )
+    marks = customer.select(F.col("c_nationkey").alias("manuscript_id"), F.col("c_custkey").alias("seq"), F.lit(1).alias("pos"), F.col("c_mktsegment").alias("name"))
+    packed = package.collect_authors(people_, package.first_affiliation(marks))
+    items = F.transform("authors", lambda a: F.concat_ws(":", a["seq"].cast("string"), a["family"], a["affiliation"], a["corresponding"].cast("string")))
+    return packed.select("manuscript_id", F.md5(F.array_join(items, ";")).alias("authors"))
+
+
 def _order_packages(spark: SparkSession, sf: str) -> DataFrame:
     """Each order with its distinct line numbers (there are seven) as an ordered array."""
     lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
