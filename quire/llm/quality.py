@@ -61,12 +61,14 @@ def slots(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 def _neighbours(slot: np.ndarray, text: np.ndarray, total: np.ndarray) -> None:
     """Add the index vectors of the slots around each slot to its sum."""
+    places, signs = [], []
     for step in range(1, REACH + 1):
         same = text[step:] == text[:-step]
         a, b = slot[:-step][same], slot[step:][same]
         for own, other in ((a, b), (b, a)):
-            for k in range(NONZERO):
-                total += np.bincount(own * WIDTH + _PLACE[k][other], _SIGN[k][other], minlength=SLOTS * WIDTH).astype(np.int64)
+            places += [own * WIDTH + _PLACE[k][other] for k in range(NONZERO)]
+            signs += [_SIGN[k][other] for k in range(NONZERO)]
+    total += np.bincount(np.concatenate(places), np.concatenate(signs), minlength=SLOTS * WIDTH).astype(np.int64)
 
 
 def word_vectors(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -97,21 +99,23 @@ def word_vectors(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     return vectors, 1e-3 / (1e-3 + share)
 
 
-def features(texts: Texts, vectors: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def pooling_table(vectors: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """What each slot adds to a text's sums: its weighted vector, that of its squares, and its weight."""
+    w = weights[:, None]
+    return np.concatenate([vectors * w, vectors**2 * w, w], axis=1).astype(np.float32)
+
+
+def features(texts: Texts, pooling: np.ndarray) -> np.ndarray:
     """One row for each text: pooled words, pooled shapes, and its form."""
     word, shape, bounds, code = slots(texts)
     n = np.diff(bounds)
-    out = []
+    some, out = n > 0, []
     for slot in (word, shape):
-        w = weights[slot]
-        total = np.concatenate([[0], np.cumsum(w)])
-        mass = np.maximum(total[bounds[1:]] - total[bounds[:-1]], 1e-9)[:, None]
-        pooled = []
-        for power in (1, 2):
-            sums = np.zeros((len(slot) + 1, WIDTH))
-            np.cumsum(vectors[slot] ** power * w[:, None], axis=0, out=sums[1:])
-            pooled.append((sums[bounds[1:]] - sums[bounds[:-1]]) / mass)
-        out += [pooled[0], np.sqrt(np.maximum(pooled[1] - pooled[0] ** 2, 0))]
+        sums = np.zeros((len(n), 2 * WIDTH + 1), np.float32)
+        if len(slot):
+            sums[some] = np.add.reduceat(pooling[slot], bounds[:-1][some], axis=0)
+        mean, square = (sums[:, k * WIDTH : (k + 1) * WIDTH] / np.maximum(sums[:, -1:], 1e-9) for k in (0, 1))
+        out += [mean, np.sqrt(np.maximum(square - mean**2, 0))]
     different = np.diff(distinct(code, bounds)[1])
     size = np.diff(texts.offsets)
     lines = np.concatenate([[0], np.cumsum(texts.data == 10)])[texts.offsets]
@@ -172,15 +176,14 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
     each. Null and empty texts are scored as texts without words. Without rows to learn from, every score is 0.5, and if all
     have one label, that label. Very long texts count whole; an empty table gives no rows; other columns are ignored.
     """
-    vectors, weights = word_vectors(docs, text)
-    model = docs.sparkSession.sparkContext.broadcast((vectors, weights))  # of fixed size
+    model = docs.sparkSession.sparkContext.broadcast(pooling_table(*word_vectors(docs, text)))  # of fixed size
     source = docs.select(column(doc_id).alias("doc_id"), column(text).cast("string").alias("t"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, part in slices(texts_of(batch.column(1)), 1 << 20):
-                x = features(part, *model.value)
+                x = features(part, model.value)
                 rows = pa.array([r.tobytes() for r in x], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), rows], names=["doc_id", "x"])
 
