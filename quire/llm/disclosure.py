@@ -7,9 +7,12 @@ share of the entity's information content, says how far the word gives the entit
     disclosure = ln(N * n(entity, word) / (n(entity) * n(word))) / ln(N / n(entity))
 
 where N counts documents, n(word) and n(entity) those that hold them, n(entity, word) those in which the word stands in
-the entity's context. A word of disclosure ``THRESHOLD`` or more, seen in the contexts of at least ``SUPPORT`` different
-texts, is replaced next to mentions of that entity: by its class (word or number) if the class stays below the threshold,
-else by nothing. Documents without personal data stay as they are.
+the entity's context. Every pair is scored, also that of a single mention. A word of disclosure ``THRESHOLD`` or more is
+replaced next to mentions of that entity, if it was seen so in ``SUPPORT`` different texts, or if the disclosure stays there
+with n(word) raised by ``DEVIATIONS`` standard deviations: so words that are rare in the corpus give single mentions away,
+once the corpus is large enough to tell that they are rare (about 120 documents for a word that one document holds). It
+becomes its class (word or number) if the class stays below the threshold, else nothing. Documents without personal data
+stay as they are.
 
 Contexts are built for each different text once, whatever the number of its copies. Word counts of the corpus are
 aggregated in every task before they are shuffled, and texts are never shuffled but those that hold personal data.
@@ -26,6 +29,7 @@ KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 CONTEXT = 8  # rows of words and spans on either side
 SUPPORT = 3
+DEVIATIONS = 3
 THRESHOLD = 0.5
 
 # \G and the look-behinds keep starts within a run of characters from being tried one by one: long runs stay linear
@@ -168,13 +172,17 @@ def disclosing(docs: DataFrame, text: str, near: DataFrame, held: DataFrame) ->
     entities = entities.groupBy("entity").agg(F.sum("copies").alias("n_entity"))
     both = near.select("h", "copies", "entity", "word").union(near.select("h", "copies", "entity", _class(F.col("word"))))
     joint = both.distinct().groupBy("entity", "word").agg(F.sum("copies").alias("n_both"), F.count(F.lit(1)).alias("texts"))
-    joint = joint.where((F.col("texts") >= SUPPORT) | F.col("word").isin(_WORDS, _NUMBERS))
     scored = joint.join(entities, "entity").join(_document_counts(docs, text), "word")
-    shared = F.log(total * F.col("n_both") / (F.col("n_entity") * F.col("n")))
     content = F.log(total / F.col("n_entity"))
-    scored = settled(scored.select("entity", "word", F.when(content > 0, shared / content).otherwise(0.0).alias("disclosure")))
+    most = F.col("n") + DEVIATIONS**2 / 2 + DEVIATIONS * F.sqrt(F.col("n") + DEVIATIONS**2 / 4)  # upper bound of a count
+
+    def share(n: Column) -> Column:
+        return F.when(content > 0, F.log(total * F.col("n_both") / (F.col("n_entity") * n)) / content).otherwise(0.0)
+
+    told = (F.col("texts") >= SUPPORT) | (share(most) >= THRESHOLD)
+    scored = settled(scored.select("entity", "word", share(F.col("n")).alias("disclosure"), told.alias("told")))
     is_class = F.col("word").isin(_WORDS, _NUMBERS)
-    words = scored.where(~is_class & (F.col("disclosure") >= THRESHOLD)).withColumn("class", _class(F.col("word")))
+    words = scored.where(~is_class & F.col("told") & (F.col("disclosure") >= THRESHOLD)).withColumn("class", _class(F.col("word")))
     safe = scored.where(is_class & (F.col("disclosure") < THRESHOLD)).select("entity", F.col("word").alias("class"), F.lit(True).alias("safe"))
     label = F.when(F.col("safe"), F.col("class")).otherwise("")
     return words.join(safe, ["entity", "class"], "left").select("entity", "word", "disclosure", label.alias("replacement"))

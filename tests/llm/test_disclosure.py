@@ -122,6 +122,15 @@ def test_disclosure_agrees_with_plain_counts(spark, documents, corpus):
     assert got["email:zz@corp.example", "zorblax"] == pytest.approx(want)
 
 
+def test_a_name_beside_a_single_mention_is_taken_out(spark, documents, corpus):
+    docs = documents(corpus + ["c1 c2 Quillfeather writes from qf@home.example c3 c4", "c5 Tamsin c6 +1 (555) 010-4477 c7", "c1 c2 without mention"])
+    rows = {r.doc_id: r for r in sanitise(docs).collect()}
+    one, two = rows[len(corpus)], rows[len(corpus) + 1]
+    assert "quillfeather" not in one.clean_text.lower() and "tamsin" not in two.clean_text.lower()
+    assert {"c1", "c2", "c3", "c4"} <= set(one.clean_text.split()) and {"c5", "c6", "c7"} <= set(two.clean_text.split())
+    assert rows[len(corpus) + 2].terms == []
+
+
 def test_empty_table(spark, documents):
     assert sanitise(documents([])).count() == 0
 
