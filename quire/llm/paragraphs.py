@@ -1,6 +1,6 @@
 """Repeated paragraphs: MinHash bands of word shingles, exact verification, and clusters by components.
 
-A paragraph is a line. Lines of fewer than ``MIN_WORDS`` words are left alone. Lines with equal sets of five-word shingles
+A paragraph is a line. Lines of fewer than ``MIN_WORDS`` words, which hold no whole shingle, are left alone. Lines with equal sets of five-word shingles
 share a key and need no comparison. The others meet where all rows of a band of MinHash values agree; the number of bands
 is tuned so that of two lines at the threshold at least ``RECALL`` meet. In a bucket each line is compared with the least
 one, by exact Jaccard similarity, and where that fails with those that links leave apart, as in the join of whole documents.
@@ -22,7 +22,7 @@ from quire.llm.jaccard import _starred, joined_up, linked, set_keys, shingle_set
 from quire.llm.tables import column, settled, table
 from quire.llm.words import SPACED, Texts, mix, slices, texts_of, words
 
-MIN_WORDS = 20
+MIN_WORDS = 5
 ROWS = 2
 RECALL = 0.9995
 SIMILARITY = 0.8

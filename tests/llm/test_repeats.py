@@ -89,3 +89,13 @@ def test_lines_agree_with_all_pairs(spark, documents):
         expect = None if t is None else "".join(t[m.start() : m.end()] for m in re.finditer(r"[^\n]*\n?", t) if (r.doc_id, m.start(), m.start() + len(m[0].rstrip("\n"))) not in gone)
         assert r.text == expect
     assert repeated_lines(documents([])).count() == 0 and bands() == 8
+
+
+def test_lines_of_five_words_and_more_are_compared(spark, documents):
+    rng = random.Random(10)
+    five, wrapped = words(rng, 5), [words(rng, 12) for _ in range(5)]
+    near = " ".join([*wrapped[4].split(), "tail"])  # 8 of 9 shingles
+    texts = [f"{words(rng, 9)}\n{five}\n" + "\n".join(wrapped), f"{five.upper()}\n{words(rng, 14)}", "\n".join([*wrapped[:4], near]), "only four words here\nonly four words here"]
+    got = {(r.doc_id, texts[r.doc_id][r.start : r.end], r.kept) for r in repeated_lines(documents(texts)).collect()}
+    want = {(0, five, True), (1, five.upper(), False)} | {(0, w, True) for w in wrapped} | {(2, w, False) for w in [*wrapped[:4], near]}
+    assert got == want
