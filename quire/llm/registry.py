@@ -1,6 +1,6 @@
 """The queries of this package and their SQL."""
 
-from quire.llm import decontaminate, disclosure, jaccard, language, packing, paragraphs, quality, suffixes, tools, vectors
+from quire.llm import decontaminate, disclosure, jaccard, language, lines, packing, paragraphs, quality, suffixes, tools, vectors
 
 QUERIES = {
     "op1_disclosure": disclosure.op1_disclosure,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_paragraphs": paragraphs.op8_paragraphs,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_best_fit": packing.op10_best_fit,
+    "op13_lines": lines.op13_lines,
 }
 
-ORACLE = {**jaccard.SQL, **tools.SQL, **vectors.SQL, **decontaminate.SQL}
+ORACLE = {**jaccard.SQL, **tools.SQL, **vectors.SQL, **decontaminate.SQL, **lines.SQL}
