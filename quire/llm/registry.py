@@ -1,6 +1,6 @@
 """The queries of this package and their SQL."""
 
-from quire.llm import collocations, decontaminate, disclosure, jaccard, language, lines, packing, paragraphs, quality, suffixes, tools, vectors
+from quire.llm import clusters, collocations, decontaminate, disclosure, jaccard, language, lines, packing, paragraphs, quality, suffixes, tools, vectors
 
 QUERIES = {
     "op1_disclosure": disclosure.op1_disclosure,
@@ -13,8 +13,9 @@ QUERIES = {
     "op8_paragraphs": paragraphs.op8_paragraphs,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_best_fit": packing.op10_best_fit,
+    "op11_clusters": clusters.op11_clusters,
     "op12_collocations": collocations.op12_collocations,
     "op13_lines": lines.op13_lines,
 }
 
-ORACLE = {**jaccard.SQL, **tools.SQL, **vectors.SQL, **decontaminate.SQL, **collocations.SQL, **lines.SQL}
+ORACLE = {**jaccard.SQL, **tools.SQL, **vectors.SQL, **decontaminate.SQL, **clusters.SQL, **collocations.SQL, **lines.SQL}
