@@ -21,6 +21,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
+_local_folder: str | None = None  # of local sessions that name none; the setting itself can't be changed later
+
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g", name: str = "quire") -> SparkSession:
     """A session for tests and benches; a cluster brings its own."""
@@ -51,9 +53,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="spark-quire-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    global _local_folder
+    if _local_folder is None:
+        _local_folder = tempfile.mkdtemp(prefix="spark-quire-")
+    return _local_folder
 
 
 def settled(df: DataFrame) -> DataFrame:

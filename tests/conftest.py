@@ -1,4 +1,3 @@
-import base64
 import io
 import zipfile
 
@@ -148,7 +147,3 @@ def root(tmp_path_factory):
     write(packed / "source/export.zip", buffer.getvalue())
     write(packed / "_metadata.yml", "- not\n- a map\n")
     return str(root)
-
-
-def decoded(text):
-    return base64.b64decode(text)

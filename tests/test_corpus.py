@@ -3,7 +3,7 @@ import xml.etree.ElementTree as ET
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import decoded
+from helpers import decoded
 from quire.operators import badges, findings, people, references, sections, sources
 from quire.plans.corpus import Corpus
 from quire.profile import Profile
