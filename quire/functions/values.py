@@ -82,6 +82,15 @@ def package_filename(article_id: Column) -> Column:
     return F.concat(F.coalesce(article_id.cast("string"), F.lit(DEFAULT_ARTICLE_ID)), F.lit("_ojs_import.xml"))
 
 
+def safe_name(name: Column) -> Column:
+    """A name that stays in its folder: ``/``, ``\\`` and null characters as percent codes, names of dots only too; null if empty."""
+    text = name.cast("string")
+    for mark, code in (("/", "%2F"), ("\\", "%5C"), ("\0", "%00")):
+        text = F.replace(text, F.lit(mark), F.lit(code))
+    dots = F.when(text.rlike(r"^\.+$"), F.replace(text, F.lit("."), F.lit("%2E"))).otherwise(text)
+    return F.when(dots != "", dots)
+
+
 def noreply(journal_path: Column) -> Column:
     path = F.coalesce(journal_path.cast("string"), F.lit(DEFAULT_JOURNAL_PATH))
     return F.concat(F.lit("noreply@"), path, F.lit(".invalid"))

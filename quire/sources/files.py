@@ -7,12 +7,12 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyarrow import fs
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.bibtex import bib_authors, bib_fields, entry_key, entry_type, split_entries
-from quire.functions.text import normalize_doi, split_front_matter, unix_newlines
+from quire.functions.text import decoded, normalize_doi, split_front_matter, unix_newlines
 from quire.profile import (
     ARCHIVE_SUFFIX,
     BIBLIOGRAPHY_NAME,
@@ -21,6 +21,7 @@ from quire.profile import (
     REGISTRY_NAME,
     THEME_NAME,
 )
+from quire.sources.folders import filesystem, read_folders
 
 _ID = r"/manuscripts/([^/]+)/(.+)$"
 FILE_COLUMNS = ("manuscript_id", "area", "path", "name", "ext", "length", "mtime")
@@ -42,50 +43,15 @@ def located(files: DataFrame, path: Column) -> DataFrame:
     )
 
 
-def _filesystem(root: str) -> tuple[fs.FileSystem, str]:
-    if "://" not in root:
-        return fs.LocalFileSystem(), root
-    return fs.FileSystem.from_uri(root.replace("s3a://", "s3://", 1))
-
-
-def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for root in batch["root"]:
-            system, base = _filesystem(root)
-            found = system.get_file_info(fs.FileSelector(f"{base}/manuscripts"))
-            names = [i.base_name for i in found if i.type == fs.FileType.Directory]
-            for start in range(0, len(names), 10000):
-                part = names[start : start + 10000]
-                yield pd.DataFrame({"root": [root] * len(part), "folder": part})
-
-
-def _list_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for root, folder in zip(batch["root"], batch["folder"], strict=True):
-            system, base = _filesystem(root)
-            top = f"{base}/manuscripts/{folder}"
-            found = [i for i in system.get_file_info(fs.FileSelector(top, recursive=True)) if i.is_file]
-            yield pd.DataFrame(
-                {
-                    "path": [f"/manuscripts/{folder}/{i.path[len(top) + 1 :]}" for i in found],
-                    "length": [i.size for i in found],
-                    "mtime": [i.mtime for i in found],
-                }
-            )
-
-
-def scan_files(spark: SparkSession, root: str) -> DataFrame:
+def scan_files(spark: SparkSession, root: str, shares: int | None = None) -> DataFrame:
     """Inventory of every file below ``root/manuscripts``, without reading any.
 
     Spark's own file sources leave out empty files and names that start with
-    an underscore, which are part of a manuscript folder. The folders are
-    therefore listed by tasks, a share of the folders each; nothing passes
-    through the driver.
+    an underscore, which are part of a manuscript folder. ``shares`` tasks list
+    the folders, each those whose names fall into its share; nothing passes
+    through the driver, and nothing is shuffled.
     """
-    roots = spark.createDataFrame([(root,)], "root string")
-    folders = roots.mapInPandas(_list_folders, "root string, folder string").repartition("folder")
-    listed = folders.mapInPandas(_list_files, "path string, length long, mtime timestamp")
-    return located(listed, F.col("path"))
+    return located(read_folders(spark, root, shares=shares), F.col("path"))
 
 
 def scan_bytes(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
@@ -129,24 +95,42 @@ def canonical_rows(texts: DataFrame) -> DataFrame:
     )
 
 
-def _read_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contents of the files (root, manuscript_id, path), several in one batch of bounded bytes."""
+
+    def made(keys: list[str], texts: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(texts, pa.string())], names=["manuscript_id", "text"])
+
     for batch in batches:
-        for root, key, path in zip(batch["root"], batch["manuscript_id"], batch["path"], strict=True):
-            system, base = _filesystem(root)
+        keys, texts, held, systems = [], [], 0, {}
+        for root, key, path in zip(*[batch.column(c).to_pylist() for c in ("root", "manuscript_id", "path")], strict=True):
+            if root not in systems:
+                systems[root] = filesystem(root)
+            system, base = systems[root]
             with system.open_input_stream(f"{base}/manuscripts/{key}/{path}") as source:
-                yield pd.DataFrame({"manuscript_id": [key], "text": [source.read().decode("utf-8", "replace")]})
+                texts.append(source.read().decode("utf-8", "replace"))
+            keys.append(key)
+            held += len(texts[-1])
+            if held >= 16 << 20:
+                yield made(keys, texts)
+                keys, texts, held = [], [], 0
+        yield made(keys, texts)
 
 
 def scan_registry(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:
     """(manuscript_id, text) of the editors' metadata files; a folder without one has no row.
 
-    The file name starts with an underscore, so the tasks open the files that
-    the inventory names instead of going through a Spark file source.
+    The file name starts with an underscore, so Spark's file sources don't see
+    it: the tasks that list the folders read these files, or, given an
+    inventory, tasks open those that it names.
     """
-    inventory = scan_files(spark, root) if files is None else files
-    found = inventory.filter((F.col("area") == "root") & (F.col("name") == REGISTRY_NAME))
-    named = found.select(F.lit(root).alias("root"), "manuscript_id", "path")
-    texts = named.mapInPandas(_read_texts, "manuscript_id string, text string")
+    if files is None:
+        found = located(read_folders(spark, root, content=True, pattern=REGISTRY_NAME), F.col("path")).filter(F.col("area") == "root")
+        texts = found.select("manuscript_id", decoded(F.col("content")).alias("text"))
+    else:
+        found = files.filter((F.col("area") == "root") & (F.col("name") == REGISTRY_NAME))
+        named = found.select(F.lit(root).alias("root"), "manuscript_id", "path")
+        texts = named.mapInArrow(_read_texts, "manuscript_id string, text string")
     return texts.withColumn("text", unix_newlines(F.col("text")))
 
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.values import package_filename
 from quire.profile import CANONICAL_NAME, GALLEYS
+from quire.sources.exact import write_exact
 
 
 def _write_table(df: DataFrame, path: str) -> None:
@@ -41,19 +39,6 @@ def write_findings(findings: DataFrame, path: str) -> None:
     annotations(findings).write.mode("overwrite").text(path)
 
 
-def export_files(table: DataFrame, folder: str, text: str) -> None:
-    """Write ``text`` of each row to ``folder/<manuscript_id>/<file_name>``, from the executors.
-
-    ``folder`` must be mounted on every executor. A rerun task writes the same
-    bytes under the same name, so losing an executor does no harm.
-    """
-
-    def save(rows: Iterator[Row]) -> None:
-        for row in rows:
-            target = os.path.join(folder, row["manuscript_id"], row["file_name"])
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            with open(target + ".part", "w", encoding="utf-8") as out:
-                out.write(row[text])
-            os.replace(target + ".part", target)
-
-    table.select("manuscript_id", "file_name", text).foreachPartition(save)
+def export_files(table: DataFrame, folder: str, text: str) -> int:
+    """Write ``text`` of each row to ``folder/<manuscript_id>/<file_name>``: all files or none (``write_exact``)."""
+    return write_exact(table.select(F.col("manuscript_id").alias("folder"), "file_name", F.col(text).alias("content")), folder)

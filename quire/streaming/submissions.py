@@ -12,23 +12,21 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quire.session import checkpoint_dir
 from quire.sources.files import located
+from quire.sources.folders import stream_folders
 
-BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
+def stream_submissions(
+    spark: SparkSession, root: str, content: bool = True, lag: float = 2, every: float = 0, shares: int | None = None
+) -> DataFrame:
+    """New and changed files below ``root/manuscripts`` as micro-batches of inventory rows, metadata and empty files included.
 
-def stream_submissions(spark: SparkSession, root: str, content: bool = True, max_files: int = 10000) -> DataFrame:
-    """New and changed files below ``root/manuscripts`` as micro-batches of inventory rows."""
-    raw = (
-        spark.readStream.format("binaryFile")
-        .schema(BINARY_FILE)
-        .option("recursiveFileLookup", True)
-        .option("maxFilesPerTrigger", max_files)
-        .load(f"{root}/manuscripts")
-        .withColumnRenamed("modificationTime", "mtime")
-    )
-    if not content:
-        raw = raw.drop("content")
-    return located(raw, F.col("path"))
+    A file that is rewritten in place arrives again. ``lag`` is the time in seconds
+    after which a modified file counts as finished; batches start at least ``every``
+    seconds apart. Modification times must be those of the upload, as object
+    stores give them: a file that is put there with an older time than the last
+    batch's mark is not seen.
+    """
+    return located(stream_folders(spark, root, content, shares=shares, lag=lag, every=every), F.col("path"))
 
 
 def latest_revision(rows: DataFrame, keys: Sequence[str], version: Sequence[Column], keep: Sequence[str]) -> DataFrame:

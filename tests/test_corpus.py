@@ -241,7 +241,7 @@ def test_galley_scan_encodes_on_one_line(spark, root):
 
 
 def test_a_fresh_upload_passes(spark, tmp_path):
-    from conftest import ARTICLE, BIB, REGISTRY, THEME, write
+    from helpers import ARTICLE, BIB, REGISTRY, THEME, write
 
     fine = ARTICLE.replace("bibliography: references.bib", "bibliography: ./refs/../lit.bib")
     write(tmp_path / "themes/jtt/theme.yml", THEME)
