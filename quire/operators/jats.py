@@ -9,52 +9,30 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import escape_xml, strip
 from quire.functions.values import article_type_attr, license_sentence, optional
+from quire.functions.xml import front_tokens
 
-_ELEMENT = r"""<([A-Za-z_][\w:.-]*)((?:\s+[\w:.-]+\s*=\s*(?:"[^"]*"|'[^']*'))*)\s*/?>([^<]*)"""
-_COMMENT = r"(?s)<!--.*?-->"
 SCOPES = ("journal-meta", "article-meta")
 
 
-def _scope_body(xml: Column, scope: str) -> Column:
-    """Inside of the first element of that name; null when there is none, empty when it is empty."""
-    pattern = rf"(?s)<{scope}(?:\s[^>]*?)?(?:/>|(?<!/)>(.*?)</{scope}\s*>)"
-    return F.when(F.regexp_extract(xml, pattern, 0) != "", F.regexp_extract(xml, pattern, 1))
-
+def jats_elements(articles: DataFrame, key: str = "manuscript_id", xml: str = "xml") -> DataFrame:
+    """(key, parent, tag, attrs, text, ord, namespace): one row per element inside the two metadata scopes.
 
-def scope_elements(xml: Column, scope: str) -> Column:
-    """Array of ``struct(tag, attrs, text)`` of every element inside a scope, at any depth, in order."""
-    inside = F.regexp_replace(_scope_body(xml, scope), _COMMENT, "")
-    return F.transform(
-        F.regexp_extract_all(inside, F.lit(_ELEMENT), F.lit(0)),
-        lambda e: F.struct(
-            F.regexp_extract(e, _ELEMENT, 1).alias("tag"),
-            _attributes(F.regexp_extract(e, _ELEMENT, 2)).alias("attrs"),
-            F.regexp_extract(e, _ELEMENT, 3).alias("text"),
-        ),
-    )
+    An XML parser reads them, so quotes, entities, CDATA and comments count for what they are; articles that are not
+    well-formed have no rows here and one in ``jats_errors``.
+    """
+    parsed = articles.select(key, front_tokens(F.col(xml), SCOPES).alias("t"))
+    flat = parsed.select(key, F.posexplode("t.elements").alias("ord", "e"))
+    return flat.select(key, "e.parent", "e.tag", "e.attrs", "e.text", "ord", "e.namespace")
 
 
-def _attributes(text: Column) -> Column:
-    one = r"""([\w:.-]+)\s*=\s*["']([^"']*)["']"""
-    pairs = F.regexp_extract_all(text, F.lit(one), F.lit(0))
-    return F.map_from_entries(
-        F.transform(
-            pairs,
-            lambda p: F.struct(F.regexp_extract(p, one, 1).alias("key"), F.regexp_extract(p, one, 2).alias("value")),
-        )
-    )
+def jats_errors(articles: DataFrame, key: str = "manuscript_id", xml: str = "xml") -> DataFrame:
+    """(key, error) of articles that can't be read or hold no ``article`` element."""
+    parsed = articles.select(key, front_tokens(F.col(xml), SCOPES).alias("t"))
+    return parsed.select(key, _error(F.col("t")).alias("error")).where("error is not null")
 
 
-def jats_elements(articles: DataFrame, key: str = "manuscript_id", xml: str = "xml") -> DataFrame:
-    """(key, parent, tag, attrs, text, ord): one row per element inside the two metadata scopes."""
-    scoped = articles.select(
-        key,
-        F.explode(
-            F.array(*[F.struct(F.lit(s).alias("parent"), scope_elements(F.col(xml), s).alias("e")) for s in SCOPES])
-        ).alias("s"),
-    )
-    flat = scoped.select(key, F.col("s.parent").alias("parent"), F.posexplode("s.e").alias("ord", "e"))
-    return flat.select(key, "parent", "e.tag", "e.attrs", "e.text", "ord")
+def _error(tokens: Column) -> Column:
+    return F.coalesce(tokens["error"], F.when(tokens.isNotNull() & tokens["article"].isNull(), "No <article> element found — not a JATS file?"))
 
 
 # --- wanted elements ---------------------------------------------------------
@@ -162,40 +140,56 @@ def missing_elements(existing: DataFrame, wanted: DataFrame, key: str = "manuscr
 # --- whole documents ----------------------------------------------------------
 
 
-def _has(inside: Column, tag: str, attr: tuple[str, str] | None) -> Column:
-    if attr is None:
-        return inside.rlike(rf"<{tag}[\s/>]")
-    return inside.rlike(rf"""<{tag}\s(?:[^>]*\s)?{attr[0]}\s*=\s*["']{attr[1]}["']""")
+def _edit(start: Column, end: Column, rank: int, text: Column) -> Column:
+    return F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), text.cast("binary").alias("text"))
+
+
+def _like(elements: Column, tag: str, attr: tuple[str, str] | None = None) -> Column:
+    """The elements of a name, and of an attribute's value where one is given."""
 
+    def same(e: Column) -> Column:
+        named = e["tag"] == tag
+        return named if attr is None else named & F.coalesce(F.element_at(e["attrs"], F.lit(attr[0])) == attr[1], F.lit(False))
 
-def _spliced(tag: str, piece: Column) -> Column:
-    """``__in`` with ``piece`` in front of the first such element, or unchanged."""
-    text = F.col("__in")
-    at = F.regexp_instr(text, F.lit(rf"<{tag}[\s/>]"))
-    around = F.concat(F.substring(text, F.lit(1), at - 1), piece, F.substring(text, at, F.length(text)))
-    return F.when(at > 0, around).otherwise(text)
+    return F.filter(elements, same)
 
 
-def _grow(staged: DataFrame, wanted: dict[str, Column], scope: str) -> DataFrame:
-    """Add ``__new``: the scope's inside ``__in`` with the missing elements put in their places."""
+def _edits(wanted: dict[str, Column], tokens: Column, scope: str) -> list[Column]:
+    """Edits that put the missing elements of a scope in their places; null where there is nothing to do."""
     own = {tag: (attr, place) for tag, (parent, attr, place) in _PLACES.items() if parent == scope}
-    pieces, head, tail, before = {}, [], [], {}
-    for i, (tag, (attr, place)) in enumerate(own.items()):
-        new = F.when(wanted[tag].isNotNull() & ~_has(F.col("__seen"), tag, attr), wanted[tag])
-        pieces[f"__p_{i}"] = F.coalesce(new, F.lit(""))
-        piece = F.col(f"__p_{i}")
+    there = F.get(F.filter(tokens["scopes"], lambda s: s["name"] == scope), 0)
+    inside = F.filter(tokens["elements"], lambda e: e["parent"] == scope)
+    edits, head, tail = [], [], []
+    for tag, (attr, place) in own.items():
+        piece = F.when(F.size(_like(inside, tag, attr)) == 0, wanted[tag])
         if place.startswith("before:"):
             target, place = place.removeprefix("before:").split("/")
-            before[target] = piece
-            piece = F.when(F.col("__seen").rlike(rf"<{target}[\s/>]"), "").otherwise(piece)
-        if place == "first":
-            head.insert(0, piece)
-        else:
-            tail.append(piece)
-    grown = staged.withColumn("__seen", F.regexp_replace("__in", _COMMENT, "")).withColumns(pieces)
-    for target, piece in before.items():
-        grown = grown.withColumn("__in", _spliced(target, piece))
-    return grown.withColumn("__new", F.concat(*head, F.col("__in"), *tail))
+            at = F.get(_like(inside, target), 0)["start"]
+            edits.append(F.when(at.isNotNull() & piece.isNotNull(), _edit(at, at, 1, piece)))
+            piece = F.when(at.isNull(), piece)
+        head, tail = ([piece, *head], tail) if place == "first" else (head, [*tail, piece])
+    first, last = F.concat_ws("", *head), F.concat_ws("", *tail)
+    whole = F.concat(F.lit(">"), first, last, F.lit(f"</{scope}>"))
+    closed, new = there["closed"], F.concat(first, last) != ""
+    return [
+        *edits,
+        F.when(~closed & (first != ""), _edit(there["inside"], there["inside"], 0, first)),
+        F.when(~closed & (last != ""), _edit(there["until"], there["until"], 2, last)),
+        F.when(closed & new, _edit(there["inside"] - 2, there["inside"], 0, whole)),
+    ]
+
+
+def _applied(text: Column, edits: Column) -> Column:
+    """The text with all edits made; they don't overlap."""
+    data = text.cast("binary")
+
+    def step(done: Column, e: Column) -> Column:
+        before = F.substring(data, done["at"] + 1, e["start"] - done["at"])
+        return F.struct(F.concat(done["out"], before, e["text"]).alias("out"), e["end"].alias("at"))
+
+    start = F.struct(F.lit(b"").alias("out"), F.lit(0).alias("at"))
+    rest = lambda done: F.concat(done["out"], F.substring(data, done["at"] + 1, F.octet_length(data)))
+    return F.aggregate(F.array_sort(edits), start, step, rest).cast("string")
 
 
 def enrich_jats(articles: DataFrame, earned: Column, xml: str = "xml", pub: str = "pub") -> DataFrame:
@@ -203,40 +197,24 @@ def enrich_jats(articles: DataFrame, earned: Column, xml: str = "xml", pub: str
 
     Elements that are there are never touched, also the closing badge group, so
     a second run changes nothing. Without ``journal-meta`` its part is skipped,
-    without ``article-meta`` the rest; ``jats_error`` marks a text that has no
-    ``<article>``. One pass inside the row; the text is never shuffled.
+    without ``article-meta`` the rest; a text that is not well-formed, or has no
+    ``<article>``, stays as it is and ``jats_error`` says why. The XML parser gives
+    offsets only; the text is put together by expressions and never shuffled.
     """
     wanted_cols = _wanted_xml(F.col(pub), earned)
     names = {tag: f"__w_{i}" for i, tag in enumerate(wanted_cols)}
     lay = F.coalesce(F.col(pub)["lay_summary"] != "", F.lit(False))
-    staged = articles.withColumn("__lay", lay).withColumns({names[t]: c for t, c in wanted_cols.items()})
-    wanted = {t: F.col(names[t]) for t in wanted_cols}
-    source = F.col(xml)
+    staged = articles.withColumn("__t", front_tokens(F.col(xml), SCOPES)).withColumn("__lay", lay)
+    staged = staged.withColumns({names[t]: c for t, c in wanted_cols.items()})
+    wanted, tokens = {t: F.col(names[t]) for t in wanted_cols}, F.col("__t")
     kind = escape_xml(article_type_attr(F.col(pub)["article_type"]))
-    opening = F.regexp_extract(source, r"<article(?:\s[^>]*)?>", 0)
-    bare = F.regexp_replace(opening, r"""\s+article-type\s*=\s*(?:"[^"]*"|'[^']*')""", "")
-    typed = F.concat(F.lit("<article article-type=\""), kind, F.lit('"'), F.substring(bare, F.lit(9), F.length(bare)))
-    out = F.when((opening != "") & kind.isNotNull(), _splice(source, opening, typed)).otherwise(source)
-    staged = staged.withColumn("__xml", out)
+    typed = _edit(tokens["article"], tokens["article"], 0, F.concat(F.lit(' article-type="'), kind, F.lit('"')))
+    untyped = _edit(tokens["kind_start"], tokens["kind_end"], 1, F.lit(""))
+    edits = [F.when(kind.isNotNull(), typed), F.when(kind.isNotNull() & tokens["kind_start"].isNotNull(), untyped)]
     for scope in SCOPES:
-        whole = F.regexp_extract("__xml", rf"(?s)<{scope}(?:\s[^>]*?)?(?:/>|(?<!/)>.*?</{scope}\s*>)", 0)
-        inside = _scope_body(F.col("__xml"), scope)
-        staged = staged.withColumns({"__whole": whole, "__in": inside, "__old": inside})
-        staged = _grow(staged, wanted, scope)
-        head = F.regexp_replace(F.regexp_extract("__whole", r"^<[^>]*>", 0), r"\s*/?>$", "")
-        rebuilt = F.concat(head, F.lit(">"), F.col("__new"), F.lit(f"</{scope}>"))
-        changed = F.coalesce(F.col("__new") != F.col("__old"), F.lit(False))
-        staged = staged.withColumn(
-            "__xml", F.when(changed, _splice(F.col("__xml"), F.col("__whole"), rebuilt)).otherwise(F.col("__xml"))
-        )
-    error = F.when(opening == "", "No <article> element found — not a JATS file?")
-    kept = [c for c in articles.columns if c != xml]
-    return staged.select(*kept, F.col("__xml").alias(xml), error.alias("jats_error"))
-
-
-def _splice(text: Column, old: Column, new: Column) -> Column:
-    """Replace the first occurrence of ``old`` only."""
-    at = F.position(old, text)
-    return F.concat(
-        F.substring(text, F.lit(1), at - 1), new, F.substring(text, at + F.length(old), F.length(text))
-    )
+        edits += _edits(wanted, tokens, scope)
+    error = _error(tokens)
+    staged = staged.withColumn("__e", F.array_compact(F.array(*edits)))
+    out = F.when(error.isNull() & (F.size("__e") > 0), _applied(F.col(xml), F.col("__e"))).otherwise(F.col(xml))
+    kept = [c for c in articles.columns if c not in (xml, "jats_error")]
+    return staged.select(*kept, out.alias(xml), error.alias("jats_error"))

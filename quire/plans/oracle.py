@@ -149,6 +149,36 @@ from documents"""
 
 _ENRICHED, _MISSING = _jats()
 
+_JATS_ELEMENTS = """
+select doc_id, 0 as ord, 'article-meta' as parent, 'issn' as tag, '1&' || source || '!' as text, cast(null as varchar) as namespace,
+  'note,kind' as names, 'L''avenir > ' || doc_id || '|a "b"' as vals, cast(null as varchar) as error from documents where lang = 'en'
+union all select doc_id, 0, 'article-meta', 'volume', '<v>&' || source || ' end', null, '', '', null from documents where lang = 'de'
+union all select doc_id, 1, 'article-meta', 'title-group', '', null, '', '', null from documents where lang = 'de'
+union all select doc_id, 0, 'article-meta', 'x:part', 'p', 'urn:' || source, 'xmlns:x,x:n', 'urn:' || source || '|' || doc_id, null from documents where lang = 'es'
+union all select doc_id, 1, 'article-meta', 'x:sub', '', 'urn:' || source, '', '', null from documents where lang = 'es'
+union all select doc_id, 2, 'article-meta', 'plain', 'q', 'urn:d', 'xmlns', 'urn:d', null from documents where lang = 'es'
+union all select doc_id, null, null, null, null, null, null, null, 'duplicate attribute' from documents where lang = 'fr'
+"""
+
+_JATS_SPLICE = """
+with parts as (
+  select doc_id, lang, source, '<article-categories><subj-group subj-group-type="heading"><subject>Review</subject></subj-group>'
+    || '<subj-group subj-group-type="subject"><subject>D</subject></subj-group></article-categories>' as cats from documents),
+inside as (
+  select *, case lang
+    when 'en' then cats || '<issn note="L''avenir > ' || doc_id || '" kind=''a "b"''>1&amp;' || source || '&#33;</issn><volume>3</volume>'
+    when 'de' then '<!-- <title-group> ' || doc_id || ' --><volume><![CDATA[<v>&]]>' || source || '<!-- in --> end</volume>' || cats || '<title-group/>'
+    when 'es' then cats || '<x:part xmlns:x="urn:' || source || '" x:n="' || doc_id || '">p<x:sub/>tail</x:part><plain xmlns="urn:d">q</plain><volume>3</volume>'
+    else '<volume a="1" a="' || doc_id || '"/>' end as part from parts)
+select doc_id, '<?xml version=''1.0''?>' || chr(10)
+  || case when lang = 'fr' then '<article xml:lang=''de'' article-type = ''other'' ><front><journal-meta />'
+     else '<article article-type="review" xml:lang=''de'' ><front><journal-meta ><journal-title-group><journal-title>J' || source
+       || '</journal-title></journal-title-group><issn>2</issn></journal-meta>' end
+  || '<article-meta>' || part || '</article-meta></front><body><issn/></body></article>' as xml,
+  case when lang = 'fr' then 'duplicate attribute' end as jats_error
+from inside
+"""
+
 _JOINED = "case when count(*) = 1 then min(n_name) when count(*) = 2 then min(n_name) || ' and ' || max(n_name) else string_agg(n_name, ', ' order by n_name) end"
 
 ORACLE: dict[str, str] = {
@@ -292,6 +322,8 @@ r as (select *, sum(new) over (partition by user_id order by ts, event_id) as ru
 select user_id, cast(run_no as integer) as run_no, event_type, count(*) as n, min(event_id) as first_event from r group by 1, 2, 3""",
     "jats_enrich": _ENRICHED,
     "jats_missing": _MISSING,
+    "jats_elements": _JATS_ELEMENTS,
+    "jats_splice": _JATS_SPLICE,
     "insert_if_absent": """
 with e as (select distinct page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) as tag from pages),
 w as (select page_id, unnest(['title', 'img', 'abstract', 'style']) as tag from pages)

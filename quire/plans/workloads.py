@@ -644,6 +644,38 @@ def jats_missing(spark: SparkSession, sf: str) -> DataFrame:
     return missing.select("doc_id", "ord", "parent", "tag", "xml")
 
 
+def _shaped(spark: SparkSession, sf: str) -> DataFrame:
+    """Article XML that only a parser reads right, one shape a language, with document values inside."""
+    doc, source, lang = F.col("doc_id"), F.col("source"), F.col("lang")
+    quoted = _text("<issn note=\"L'avenir > ", doc, "\" kind='a \"b\"'>1&amp;", source, "&#33;</issn>")
+    hidden = _text("<!-- <title-group> ", doc, " --><volume><![CDATA[<v>&]]>", source, "<!-- in --> end</volume><title-group/>")
+    spaced = _text('<x:part xmlns:x="urn:', source, '" x:n="', doc, '">p<x:sub/>tail</x:part><plain xmlns="urn:d">q</plain>')
+    body = F.when(lang == "en", quoted).when(lang == "de", hidden).when(lang == "es", spaced).otherwise(_text('<volume a="1" a="', doc, '"/>'))
+    xml = _text("<?xml version='1.0'?>\n<article xml:lang='de' article-type = 'other' ><front><journal-meta /><article-meta>", body, "</article-meta></front><body><issn/></body></article>")
+    return table(spark, sf, "documents").select("doc_id", "lang", "source", xml.alias("xml"))
+
+
+def jats_elements(spark: SparkSession, sf: str) -> DataFrame:
+    """Elements with attributes, text and namespace; articles that aren't well-formed with their error."""
+    articles = _shaped(spark, sf)
+    found = jats.jats_elements(articles, "doc_id").select(
+        "doc_id", "ord", "parent", "tag", "text", "namespace", F.array_join(F.map_keys("attrs"), ",").alias("names"), F.array_join(F.map_values("attrs"), "|").alias("vals"), F.lit(None).cast("string").alias("error")
+    )
+    broken = jats.jats_errors(articles, "doc_id")
+    none = [F.lit(None).cast("string").alias(c) for c in ("parent", "tag", "text", "namespace", "names", "vals")]
+    return found.unionByName(broken.select("doc_id", F.lit(None).cast("int").alias("ord"), *none, F.regexp_extract("error", r"^[^:]*", 0).alias("error")))
+
+
+def jats_splice(spark: SparkSession, sf: str) -> DataFrame:
+    """The same articles enriched, twice: comments, quotes and CDATA are left alone, broken ones as they are."""
+    fields = "journal issn publisher volume doi article_type discipline article_id license license_url lay_summary recommended_citation".split()
+    given = {"issn": F.lit("2"), "volume": F.lit("3"), "discipline": F.lit("D"), "journal": _text("J", F.col("source"))}
+    pub = F.struct(*[(given.get(f, F.lit("Review") if f == "article_type" else F.lit(None)).cast("string")).alias(f) for f in fields])
+    articles = _shaped(spark, sf).withColumn("pub", pub)
+    twice = jats.enrich_jats(jats.enrich_jats(articles, F.lit("")), F.lit(""))
+    return twice.select("doc_id", "xml", F.regexp_extract("jats_error", r"^[^:]*", 0).alias("jats_error"))
+
+
 def _page_elements(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     pages = table(spark, sf, "pages")
     tags = F.array_distinct(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), F.lit(1)))
