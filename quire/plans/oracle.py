@@ -460,4 +460,7 @@ select o_custkey as manuscript_id, o_orderkey as key, cast(row_number() over (pa
   case when o_orderpriority <> '5-LOW' then year(o_orderdate) end nulls first, o_orderpriority, o_orderkey) as integer) as position from orders""",
     "publish_stream": "select distinct source, md5(text) as hash from documents",
 }
-ORACLE["latest_revision_stream"] = ORACLE["latest_revision"]
+ORACLE["latest_revision_stream"] = ORACLE["bounded_latest_stream"] = ORACLE["latest_revision"]
+ORACLE["changed_files_stream"] = """
+select 'u' || user_id as manuscript_id, '_metadata.yml' as name, 'event: ' || arg_max(event_id, (ts, event_id)) as text,
+  case when count(*) > 1 then 2 else 1 end as revisions from events group by user_id"""

@@ -18,8 +18,9 @@ from quire.operators import badges, canonical, findings, jats, layers, package,
 from quire.profile import Profile
 from quire.session import checkpoint_dir, settled
 from quire.sources import sinks
+from quire.sources.exact import write_exact
 from quire.sources.files import bibliography_rows, encode_galleys
-from quire.streaming import submissions
+from quire.streaming import bounded, submissions
 
 PROFILE = Profile()
 FENCE = "---\n"
@@ -914,8 +915,13 @@ def latest_revision(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _event_stream(spark: SparkSession, sf: str, name: str = "events") -> DataFrame:
-    schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table as a stream, be it one file or a folder of part files."""
+    rows = table(spark, sf, name)
+    one = rows.select("_metadata.file_path").first()
+    stream = spark.readStream.schema(rows.schema)
+    if one is None or one[0].endswith(f"/{name}.parquet"):
+        return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return stream.parquet(f"{sf}/{name}.parquet")
 
 
 def latest_revision_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -923,6 +929,37 @@ def latest_revision_stream(spark: SparkSession, sf: str) -> DataFrame:
     return submissions.run_available(_latest(_event_stream(spark, sf)), "latest", "complete")
 
 
+def bounded_latest_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The latest event of each user from pushes out of order, with state for recent users only."""
+    events = table(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    pushes = f"{checkpoint_dir(spark)}/quire-pushes-{uuid.uuid4().hex}"
+    # a push covers about a week; one event in three comes with the push after; files arrive in the order of the pushes
+    push = F.floor(F.dayofmonth("at") / 8) + F.when(F.col("event_id") % 3 == 0, 1).otherwise(0)
+    for number in range(5):
+        events.where(push == number).write.mode("append").parquet(pushes)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(pushes)
+    changes = bounded.latest_bounded(stream, ["user_id"], "at", ["event_id", "event_type"], "20 days", version="event_id")
+    arrived = submissions.run_available(changes, "bounded", "update")
+    return submissions.latest_revision(arrived, ["user_id"], [F.col("at"), F.col("event_id")], ["event_id", "event_type"])
+
+
+def changed_files_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's first event as a file, then rewritten by the last one: both revisions arrive, the later one stays."""
+    root = f"{checkpoint_dir(spark)}/quire-files-{uuid.uuid4().hex}"
+    out, order = f"{root}-arrived", F.struct("ts", "event_id")
+    ends = table(spark, sf, "events").groupBy("user_id").agg(F.min_by("event_id", order).alias("first"), F.max_by("event_id", order).alias("last"), F.count(F.lit(1)).alias("n"))
+    for revision, rows in (("first", ends), ("last", ends.where("n > 1"))):
+        files = rows.select(_text("u", F.col("user_id")).alias("folder"), F.lit("_metadata.yml").alias("file_name"), _text("event: ", F.col(revision)).alias("content"))
+        write_exact(files, f"{root}/manuscripts")
+        stream = submissions.stream_submissions(spark, root, lag=0).select("manuscript_id", "name", "mtime", F.col("content").cast("string").alias("text"))
+        query = stream.writeStream.format("parquet").option("checkpointLocation", f"{root}-state").option("path", out).trigger(availableNow=True).start()
+        query.awaitTermination()
+    arrived = spark.read.parquet(out)
+    latest = submissions.latest_revision(arrived, ["manuscript_id"], [F.col("mtime")], ["name", "text"])
+    times = arrived.groupBy("manuscript_id").agg(F.count(F.lit(1)).alias("revisions"))
+    return latest.join(times, "manuscript_id").select("manuscript_id", "name", "text", "revisions")
+
+
 def redelivered_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Every event delivered twice, kept once."""
     events = _event_stream(spark, sf).select("event_id", "user_id", F.col("ts").cast("timestamp").alias("at"))
@@ -943,6 +980,6 @@ def publish_stream(spark: SparkSession, sf: str) -> DataFrame:
     base = f"{checkpoint_dir(spark)}/quire-publish-{uuid.uuid4().hex}"
     for _ in range(2):
         docs = _event_stream(spark, sf, "documents").select("source", F.md5(F.col("text").cast("binary")).alias("hash"))
-        query = submissions.publish_incremental(docs, f"{base}/table", ["source", "hash"], f"{base}/state")
+        query = submissions.publish_incremental(docs, f"{base}/table", ["source", "hash"], f"{base}/state", digits=1)
         query.awaitTermination()
     return spark.read.parquet(f"{base}/table").drop("run", "batch")

@@ -67,28 +67,74 @@ def _run_of(spark: SparkSession, checkpoint: str) -> str:
     return run
 
 
+def _prefix(keys: Sequence[str], digits: int) -> Column:
+    return F.lower(F.substring(F.lpad(F.hex(F.xxhash64(*[F.col(k) for k in keys])), 16, "0"), 1, digits))
+
+
+def published_keys(spark: SparkSession, index: str, prefixes: Sequence[str]) -> DataFrame | None:
+    """Rows of the key index below these prefixes; only their folders are listed and read. None if there are none."""
+    if not prefixes:
+        return None
+    try:
+        return spark.read.option("basePath", index).parquet(f"{index}/prefix={{{','.join(sorted(prefixes))}}}")
+    except AnalysisException as problem:
+        if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def _write_index(rows: DataFrame, index: str, keys: Sequence[str], digits: int) -> None:
+    keyed = rows.select(*keys, "run", "batch", _prefix(keys, digits).alias("prefix"))
+    files = keyed.repartition("prefix").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    files.partitionBy("prefix", "run", "batch").parquet(index)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        return bool(spark.read.parquet(path).columns)
+    except AnalysisException as problem:
+        if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return False
+
+
 def publish_incremental(
-    stream: DataFrame, table: str, keys: Sequence[str], checkpoint: str, query_name: str | None = None
+    stream: DataFrame, table: str, keys: Sequence[str], checkpoint: str, query_name: str | None = None, digits: int = 2
 ) -> StreamingQuery:
     """Append unseen (id, content hash) rows to the Parquet table; unchanged articles write nothing.
 
-    Each batch writes its own ``run=<run>/batch=<n>`` folder in overwrite mode
-    and is compared with all others, so a batch that is run again after a
-    failure gives the same folder. The run is named in the checkpoint, beside
-    the batch numbers: with a new checkpoint everything published stays.
+    Each batch writes its own ``run=<run>/batch=<n>`` folder in overwrite mode, so
+    a batch that is run again after a failure gives the same folder. The run is
+    named in the checkpoint, beside the batch numbers: with a new checkpoint
+    everything published stays.
+
+    What is published already is looked up in ``<table>-keys``, the keys alone in
+    folders by the first ``digits`` hex digits of their hash: a batch lists and
+    reads the folders of its own prefixes (at most ``16 ** digits`` short texts on
+    the driver), so its cost follows the batch and not the table. A table without
+    such an index gets one before the first batch.
     """
-    run = _run_of(stream.sparkSession, checkpoint)
+    run, index = _run_of(stream.sparkSession, checkpoint), f"{table}-keys"
 
     def publish(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        mine = (F.lit(run).alias("run"), F.lit(number).cast("int").alias("batch"))
+        rows = batch.persist()
         try:
-            earlier = spark.read.parquet(table).filter((F.col("run") != run) | (F.col("batch") < number))
-        except Exception as problem:  # nothing published yet
-            if "PATH_NOT_FOUND" not in str(problem) and "UNABLE_TO_INFER_SCHEMA" not in str(problem):
-                raise
-            earlier = batch.limit(0)
-        new_content(batch, earlier, keys).write.mode("overwrite").parquet(f"{table}/run={run}/batch={number}")
-
+            hit = [r[0] for r in rows.select(_prefix(keys, digits)).distinct().collect()]
+            earlier = published_keys(spark, index, hit)
+            new = rows.dropDuplicates(list(keys))
+            if earlier is not None:
+                earlier = earlier.filter((F.col("run") != run) | (F.col("batch") < number))
+                new = new_content(rows, earlier, keys)
+            new.write.mode("overwrite").parquet(f"{table}/run={run}/batch={number}")
+        finally:
+            rows.unpersist()
+        written = spark.read.schema(batch.schema).parquet(f"{table}/run={run}/batch={number}")
+        _write_index(written.select(*keys, *mine), index, keys, digits)
+
+    if not _exists(stream.sparkSession, index) and _exists(stream.sparkSession, table):
+        _write_index(stream.sparkSession.read.parquet(table), index, keys, digits)
     writer = stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
     if query_name:
         writer = writer.queryName(query_name)

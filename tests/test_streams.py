@@ -1,9 +1,12 @@
 import datetime
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
+from quire.plans import workloads
 from quire.streaming import submissions
+from quire.streaming.bounded import latest_bounded
 
 
 def push(folder, name, rows, spark):
@@ -56,3 +59,66 @@ def test_submission_stream_reads_new_files(spark, root):
     assert stream.isStreaming and "content" not in stream.columns
     got = submissions.run_available(stream.filter("area = 'source'"), "files", "append").collect()
     assert {(r.manuscript_id, r.path) for r in got} >= {("zip", "source/export.zip")}
+
+
+def changes(spark, folder, state, out, **options):
+    """Run what has arrived; (id, v, hash) given out so far."""
+    stream = latest_bounded(read(spark, folder), ["id"], "at", ["v", "hash"], "2 days", version="v", **options)
+
+    def save(batch, number):
+        batch.write.mode("overwrite").parquet(f"{out}/b={number}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return sorted(((r.id, r.v, r.hash) for r in spark.read.parquet(out).collect()), key=str)
+
+
+def test_late_pushes_do_not_overwrite_and_state_falls(spark, tmp_path):
+    folder, state, out = (str(tmp_path / x) for x in ("in", "state", "out"))
+    push(folder, "p0", [("a", 3, 3, "x"), ("a", 1, 3, "w"), ("b", 1, 1, "y"), (None, 1, 2, "n")], spark)
+    push(folder, "p1", [("a", 2, 2, "late"), ("b", 4, 4, "y2"), ("a", 3, 3, "again")], spark)
+    got = changes(spark, folder, state, out)
+    want = [("a", 3, "x"), ("b", 1, "y"), ("b", 4, "y2"), (None, 1, "n")]
+    assert got == sorted(want, key=str)
+    push(folder, "p2", [("c", 1, 20, "z")], spark)  # the watermark passes all that went before
+    push(folder, "p3", [("a", 9, 2, "too late"), ("c", 2, 21, "z2")], spark)
+    got = changes(spark, folder, state, out)
+    assert got == sorted([*want, ("c", 1, "z"), ("c", 2, "z2")], key=str)
+    kept = spark.read.format("statestore").option("stateVarName", "best").load(state).select("key.c0").distinct().collect()
+    assert [r.c0 for r in kept] == ["c"]
+    best = submissions.latest_revision(spark.read.parquet(out).join(spark.read.parquet(folder).where("hash <> 'too late'"), ["id", "v", "hash", "at"]), ["id"], [F.col("at"), F.col("v")], ["v"])
+    assert sorted(map(tuple, best.collect())) == [("a", 3), ("b", 4), ("c", 2)]
+
+
+def test_a_batch_reads_the_prefixes_of_its_own_keys(spark, tmp_path):
+    folder, table = str(tmp_path / "in"), str(tmp_path / "table")
+    push(folder, "p0", [(f"k{i}", 1, 1, "h") for i in range(300)], spark)
+
+    def publish(checkpoint):
+        submissions.publish_incremental(read(spark, folder), table, ["id", "hash"], checkpoint, digits=2).awaitTermination()
+        return spark.read.parquet(table)
+
+    assert publish(str(tmp_path / "c")).count() == 300
+    index = f"{table}-keys"
+    everything = spark.read.parquet(index)
+    assert everything.count() == 300 and everything.select("prefix").distinct().count() > 100
+    prefix = everything.where("id = 'k7'").first().prefix
+    part = submissions.published_keys(spark, index, [prefix, "zz"])
+    assert all(f"/prefix={prefix}/" in f for f in part.inputFiles()) and len(part.inputFiles()) < 10
+    assert submissions.published_keys(spark, index, ["zz"]) is None and submissions.published_keys(spark, index, []) is None
+    push(folder, "p1", [("k7", 1, 2, "h"), ("k7", 1, 2, "new")], spark)
+    assert publish(str(tmp_path / "c")).count() == 301
+    # a table from before there was an index gets one
+    os.rename(index, f"{index}-away")
+    assert publish(str(tmp_path / "other")).count() == 301
+
+
+@pytest.mark.parametrize("name", ["latest_revision_stream", "redelivered_stream", "publish_stream"])
+def test_streams_of_tables_that_are_folders(spark, tmp_path, name):
+    source = "/root/testdata/sf0.001"
+    if not os.path.isdir(source):
+        pytest.skip("benchmark tables are not here")
+    for table in ("events", "documents"):
+        spark.read.parquet(f"{source}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    query = getattr(workloads, name)
+    assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == sorted(map(tuple, query(spark, source).collect()))
