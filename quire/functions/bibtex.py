@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,19 +50,37 @@ def _value(text: str, at: int, closing: str) -> tuple[list[str], int]:
     return [*parts, text[start:]], len(text)
 
 
-def _plain(part: str) -> str:
+def _plain(part: str, strings: dict[str, str]) -> str:
     raw = part.strip()
-    return raw[1:-1] if len(raw) >= 2 and raw[0] + raw[-1] in ("{}", '""') else raw
+    if len(raw) >= 2 and raw[0] + raw[-1] in ("{}", '""'):
+        return raw[1:-1]
+    return strings.get(raw.lower(), raw)
 
 
-def _fields(entry: str | None) -> dict[str, str]:
+# a field whose value is one braced, quoted or bare piece without further marks: most are
+_BRACED = r"\{([^{}\\]*(?:\{[^{}\\]*\}[^{}\\]*)*)\}"
+_COMMON = {c: re.compile(rf',\s*([A-Za-z][\w-]*)\s*=\s*(?:{_BRACED}|"([^"{{}}\\]*)"|([^\s{{}}(),"#=\\]+))\s*(?=[,{c}])') for c in "})"}
+
+
+def _fields(entry: str | None, strings: dict[str, str] | None = None, at: int | None = None) -> dict[str, str]:
     fields: dict[str, str] = {}
-    opening = re.search(r"[{(]", entry or "")
+    entry, strings = entry or "", strings or {}
+    opening = re.search(r"[{(]", entry)
     closing = ")" if opening and opening.group() == "(" else "}"
-    at = (entry or "").find(",")
-    while at >= 0 and (found := _FIELD_START.search(entry, at)):
-        parts, at = _value(entry, found.end(), closing)
-        fields.setdefault(found.group(1).lower(), " ".join("".join(map(_plain, parts)).split()))
+    common, at = _COMMON[closing], entry.find(",") if at is None else at
+    while at >= 0:
+        if found := common.match(entry, at):
+            name, braced, quoted, bare = found.groups()
+            value, at = braced if braced is not None else quoted if quoted is not None else strings.get(bare.lower(), bare), found.end()
+        elif found := _FIELD_START.search(entry, at):
+            name = found.group(1)
+            parts, at = _value(entry, found.end(), closing)
+            value = "".join([_plain(p, strings) for p in parts])
+        else:
+            break
+        name = name.lower()
+        if name not in fields:
+            fields[name] = " ".join(value.split())
     return fields
 
 
@@ -70,6 +90,49 @@ def bib_fields(entries: pd.Series) -> pd.Series:
     return entries.map(_fields)
 
 
+_START = re.compile(r"^[ \t]*@\s*(\w+)\s*[{(]\s*([^,\s})]*)", re.M)
+_FIELDS = T.MapType(T.StringType(), T.StringType())
+_ENTRIES = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("type", T.StringType()), T.StructField("fields", _FIELDS)]))
+
+
+def _entries(text: str | None) -> tuple[list[str], list[str], list[list[tuple[str, str]]]]:
+    """(keys, types, fields) of a bibliography; ``@string`` names are replaced in what follows them."""
+    keys, kinds, fields, strings = [], [], [], {}
+    starts = [*_START.finditer(text or ""), None]
+    for found, following in itertools.pairwise(starts):
+        kind = found.group(1).lower()
+        piece = text[found.start() : following.start() if following else len(text)]
+        if kind == "string":
+            strings |= {k: v for k, v in _fields(piece, strings, 0).items() if k not in strings}
+        elif kind not in ("comment", "preamble"):
+            keys.append(found.group(2))
+            kinds.append(kind)
+            fields.append(list(_fields(piece, strings).items()))
+    return keys, kinds, fields
+
+
+@F.arrow_udf(_ENTRIES)
+def bib_entries(texts: pa.Array) -> pa.Array:
+    """All entries of each bibliography in order, as flat arrays of a whole batch.
+
+    An entry opens with ``@`` at the start of a line. Abbreviations that an ``@string`` defines stand for their text in all
+    entries and abbreviations after it, alone or in a value joined with ``#``; unknown names stay as they are.
+    """
+    keys, kinds, names, values, per_text, per_entry = [], [], [], [], [0], [0]
+    for text in texts.to_pylist():
+        found = _entries(text)
+        keys += found[0]
+        kinds += found[1]
+        for fields in found[2]:
+            names += [k for k, _ in fields]
+            values += [v for _, v in fields]
+            per_entry.append(len(names))
+        per_text.append(len(keys))
+    maps = pa.MapArray.from_arrays(pa.array(per_entry, pa.int32()), pa.array(names, pa.string()), pa.array(values, pa.string()))
+    rows = pa.StructArray.from_arrays([pa.array(keys, pa.string()), pa.array(kinds, pa.string()), maps], names=["key", "type", "fields"])
+    return pa.ListArray.from_arrays(pa.array(per_text, pa.int32()), rows)
+
+
 def bib_authors(field: Column) -> Column:
     """``array<struct<family,given>>`` of an author field; a braced name is one family name."""
     people = F.filter(F.split(F.coalesce(field, F.lit("")), r"\s+and\s+(?![^{}]*\})", -1), lambda p: F.trim(p) != "")

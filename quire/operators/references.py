@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import normalize_doi
 from quire.functions.values import bibliography_authors, short_author, year_letters
 from quire.operators.skew import number_rows
+from quire.session import settled
 
 
 def resolve_citations(citations: DataFrame, refs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -124,6 +125,58 @@ def clear_date_parts(refs: DataFrame, fields: str = "fields") -> DataFrame:
     return refs.withColumn(fields, F.map_filter(fields, lambda k, _: ~k.isin(*gone)))
 
 
+def _over(first: Column, second: Column) -> Column:
+    """Both maps; of a key in both the first map's value."""
+    return F.map_concat(first, F.map_filter(second, lambda k, _: ~F.map_contains_key(first, k)))
+
+
+def inherit_fields(refs: DataFrame, key: str = "manuscript_id", fields: str = "fields", link: str = "crossref") -> DataFrame:
+    """Entries with the fields they lack taken from the entry that their ``crossref`` names, and from that entry's, and so on.
+
+    The nearest entry that has a field gives it; entries whose type starts with "in" take an inherited title as
+    ``booktitle`` where they have none. Adds ``parent_state``: null without a link, ``found``, ``unknown`` where some link of
+    the chain names no entry (what comes before it is inherited), ``ring`` where the chain runs into a ring (nothing is
+    inherited). Of entries with one key the first counts as parent. Columns: (key, pos, key, type, fields).
+
+    Pointer doubling: each round joins every open chain with the chain where it ends so far, so rounds grow with the
+    logarithm of the longest chain, and each is a join by (article, entry), written below the checkpoint folder.
+    """
+    up = F.nullif(F.col(fields)[link], F.lit(""))
+    bare = F.map_filter(fields, lambda k, _: k != link)
+    nodes = settled(
+        refs.groupBy(F.col(key).alias("__id"), F.col("key").alias("__key"))
+        .agg(F.min_by(F.struct(up.alias("up"), bare.alias("own")), "pos").alias("n"))
+        .select("__id", "__key", F.col("n.up").alias("__up"), F.col("n.own").alias("__own"))
+    )
+    parents = nodes.select("__id", F.col("__key").alias("__up"), F.col("__own").alias("__got"), F.lit(True).alias("__there"))
+    linked = nodes.where("__up is not null").join(parents, ["__id", "__up"], "left")
+    none = F.create_map().cast("map<string,string>")
+    chains = linked.select(
+        "__id", "__key", F.when(F.col("__there"), F.col("__up")).alias("__up"), F.coalesce("__got", none).alias("__got"), F.col("__there").isNull().alias("__lost")
+    )
+    open_before = None
+    while True:
+        chains = settled(chains)
+        still = chains.where("__up is not null").count()
+        if still in (0, open_before):  # only rings, and what leads to them, no longer get shorter
+            break
+        open_before = still
+        further = chains.select("__id", F.col("__key").alias("__up"), F.col("__up").alias("__next"), F.col("__got").alias("__more"), F.col("__lost").alias("__lost2"))
+        joined = chains.join(further, ["__id", "__up"], "left")
+        more = F.coalesce("__more", none)
+        chains = joined.select("__id", "__key", F.col("__next").alias("__up"), _over(F.col("__got"), more).alias("__got"), (F.col("__lost") | F.coalesce("__lost2", F.lit(False))).alias("__lost"))
+    state = F.when(F.col("__up").isNotNull(), "ring").when(F.col("__lost"), "unknown").otherwise("found")
+    ends = chains.select("__id", "__key", state.alias("parent_state"), F.when(F.col("__up").isNull(), F.col("__got")).alias("__got"))
+    old = F.col(fields)
+    booked = F.when(
+        F.startswith("type", F.lit("in")) & F.map_contains_key("__got", "title") & ~F.map_contains_key("__got", "booktitle"),
+        F.map_concat("__got", F.create_map(F.lit("booktitle"), F.col("__got")["title"])),
+    ).otherwise(F.col("__got"))
+    rows = refs.join(ends, (F.col(key).eqNullSafe(F.col("__id"))) & (F.col("key") == F.col("__key")) & up.isNotNull(), "left")
+    filled = F.coalesce(_over(old, booked), old).alias(fields)
+    return rows.select(*[filled if c == fields else refs[f"`{c}`"] for c in refs.columns], "parent_state")
+
+
 def duplicate_refs(refs: DataFrame, identity: Column, key: Column) -> DataFrame:
     """(identity, copies, first_key) of entries that occur more than once in the corpus.
 

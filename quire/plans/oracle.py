@@ -374,6 +374,29 @@ select o_orderkey as manuscript_id, 0 as pos, 'a' || o_orderkey as key, 'article
 union all
 select o_orderkey, 1, 'b' || o_orderkey, 'misc', 'Note, on ' || o_orderstatus, cast(year(o_orderdate) as varchar), null, 'Note, on ' || o_orderstatus,
   2, 0, null from orders""",
+    "bib_strings": """
+select o_orderkey as manuscript_id, 'k' || o_orderkey as key, 'Order ' || o_orderkey || ' of the {List} in year2' as title, 'Order ' || o_orderkey as note, 'apr' as month from orders
+union all select o_orderkey, 'l' || o_orderkey, '2020late', 'src', null from orders""",
+    "bib_inherited": """
+with recursive o as (
+  select o_custkey as c, o_orderkey as k, case when o_orderstatus = 'F' then cast(o_orderkey as varchar) end as title,
+    case when o_orderpriority = '1-URGENT' then cast(year(o_orderdate) as varchar) end as y, 'n' || o_orderkey as note, o_orderpriority = '5-LOW' as inside,
+    case when o_orderstatus <> 'P' then coalesce(lag(o_orderkey) over w, case o_custkey % 3 when 0 then last_value(o_orderkey) over (w rows between unbounded preceding and unbounded following) when 1 then -1 end) end as up
+  from orders window w as (partition by o_custkey order by o_orderkey)),
+walk as (
+  select c, k, up as tip, 1 as d, [k] as seen, false as ring from o where up is not null
+  union all
+  select walk.c, walk.k, o.up, d + 1, list_append(seen, walk.tip), list_contains(seen, o.up) or walk.tip = walk.k
+  from walk join o on o.c = walk.c and o.k = walk.tip where not ring and o.up is not null),
+rings as (select distinct c, k from walk where ring or tip = k),
+lost as (select distinct walk.c, walk.k from walk left join o on o.c = walk.c and o.k = walk.tip where o.k is null),
+above as (select walk.c, walk.k, d, o.title, o.y, o.note from walk join o on o.c = walk.c and o.k = walk.tip
+  where not exists (select 1 from rings r where r.c = walk.c and r.k = walk.k)),
+got as (select c, k, arg_min(title, d) filter (where title is not null) as title, arg_min(y, d) filter (where y is not null) as y from above group by c, k)
+select o.c as manuscript_id, cast(o.k as varchar) as key,
+  case when o.up is null then null when rings.k is not null then 'ring' when lost.k is not null then 'unknown' else 'found' end as parent_state,
+  coalesce(o.title, got.title) as title, case when inside then got.title end as booktitle, coalesce(o.y, got.y) as year, o.note
+from o left join got using (c, k) left join rings using (c, k) left join lost using (c, k)""",
     "year_suffix": """
 with a as (select chr(cast(96 + i as integer)) as s from range(1, 27) t(i)),
 words as (select s, 1 as k from a union all select x.s || y.s, 2 from a x, a y union all select x.s || y.s || z.s, 3 from a x, a y, a z),

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -824,6 +824,33 @@ def bib_entries(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def bib_strings(spark: SparkSession, sf: str) -> DataFrame:
+    """Abbreviations made of earlier abbreviations, used alone, joined and before they are defined."""
+    order = F.col("o_orderkey")
+    text = _text(
+        '@string{src = "Order ', order, '"}\n@STRING(long = src # " of " # {the {List}})\n@comment{@string{src = {no}}}\n',
+        "@misc{k", order, ",\n title = long # { in } # year2,\n note = SRC,\n month = apr\n}\n@string{year2 = 2020}\n@misc{l", order, ", title = year2 # late, note = {src}}\n",
+    )
+    rows = bibliography_rows(table(spark, sf, "orders").select(order.alias("manuscript_id"), text.alias("text")))
+    field = F.col("fields")
+    return rows.select("manuscript_id", "key", "title", field["note"].alias("note"), field["month"].alias("month"))
+
+
+def bib_inherited(spark: SparkSession, sf: str) -> DataFrame:
+    """Each order of a customer takes fields from the one before it; some chains end in a ring or in nothing."""
+    by_customer = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    before, last = F.lag("o_orderkey").over(by_customer), F.last("o_orderkey").over(by_customer.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    end = F.when(F.col("o_custkey") % 3 == 0, last).when(F.col("o_custkey") % 3 == 1, F.lit(-1))
+    link = F.when(F.col("o_orderstatus") != "P", F.coalesce(before, end)).cast("string")
+    status = F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey").cast("string"))
+    own = {"crossref": link, "note": _text("n", F.col("o_orderkey")), "title": status, "year": F.when(F.col("o_orderpriority") == "1-URGENT", F.year("o_orderdate").cast("string"))}
+    fields = F.map_filter(F.map_from_arrays(F.array(*[F.lit(k) for k in own]), F.array(*own.values())), lambda _, v: v.isNotNull())
+    kind = F.when(F.col("o_orderpriority") == "5-LOW", "inbook").otherwise("book")
+    refs = table(spark, sf, "orders").select(F.col("o_custkey").alias("manuscript_id"), F.lit(0).alias("pos"), F.col("o_orderkey").cast("string").alias("key"), kind.alias("type"), fields.alias("fields"))
+    field = F.col("fields")
+    return references.inherit_fields(refs).select("manuscript_id", "key", "parent_state", *[field[c].alias(c) for c in ("title", "booktitle", "year", "note")])
+
+
 def sorted_references(spark: SparkSession, sf: str) -> DataFrame:
     """The orders of a customer as a reference list, sorted by author text, date and title."""
     key, status = F.col("o_orderkey"), F.col("o_orderstatus")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.bibtex import bib_authors, bib_fields, entry_key, entry_type, split_entries
+from quire.functions.bibtex import bib_authors, bib_entries
 from quire.functions.text import decoded, normalize_doi, split_front_matter, unix_newlines
 from quire.profile import (
     ARCHIVE_SUFFIX,
@@ -142,14 +142,8 @@ def scan_theme(spark: SparkSession, root: str) -> DataFrame:
 
 def bibliography_rows(texts: DataFrame) -> DataFrame:
     """(manuscript_id, key, type, fields, authors, year, title, doi) of (manuscript_id, text) BibTeX rows."""
-    entries = texts.select("manuscript_id", F.posexplode(split_entries(F.col("text"))).alias("pos", "entry"))
-    parsed = entries.select(
-        "manuscript_id",
-        "pos",
-        entry_key(F.col("entry")).alias("key"),
-        entry_type(F.col("entry")).alias("type"),
-        bib_fields(F.col("entry")).alias("fields"),
-    )
+    entries = texts.select("manuscript_id", F.posexplode(bib_entries(F.col("text"))).alias("pos", "e"))
+    parsed = entries.select("manuscript_id", "pos", "e.key", "e.type", "e.fields")
     year = F.coalesce(F.col("fields")["year"], F.substring(F.col("fields")["date"], 1, 4))
     return parsed.select(
         "*",
