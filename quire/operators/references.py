@@ -92,6 +92,82 @@ def year_suffix(refs: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     return shared.withColumn(name, year_letters(F.col("__pos"))).drop("__pos").unionByName(alone)
 
 
+def initials(given: Column) -> Column:
+    """``Jean-Luc Marie`` as ``J.-L. M.``; empty for none."""
+
+    def dotted(part: Column) -> Column:
+        return F.array_join(F.transform(F.filter(F.split(part, "-"), lambda p: p != ""), lambda p: F.concat(F.upper(F.left(p, F.lit(1))), F.lit("."))), "-")
+
+    words = F.filter(F.split(F.coalesce(given, F.lit("")), r"(?U)\s+"), lambda w: w != "")
+    return F.array_join(F.transform(words, dotted), " ")
+
+
+def _cited(names: Column, title: Column, shown: Column) -> Column:
+    """In-text author with ``shown`` names; from three names on, fewer than all end in ``et al.``"""
+    n, last = F.size(names), F.element_at(names, -1)
+    all_ = F.concat(F.array_join(F.slice(names, F.lit(1), n - 1), ", "), F.lit(", & "), last)
+    some = F.concat(F.array_join(F.slice(names, F.lit(1), shown), ", "), F.lit(", et al."))
+    return (
+        F.when(F.coalesce(n, F.lit(0)) <= 0, title)
+        .when(n <= 2, short_author(n, F.get(names, F.lit(0)), F.get(names, F.lit(1))))
+        .when(shown <= 1, short_author(n, F.get(names, F.lit(0)), F.lit("")))
+        .when(shown < n, some)
+        .otherwise(all_)
+    )
+
+
+def disambiguate(refs: DataFrame, scope: Sequence[str], order: Sequence[Column], given: str = "initials") -> DataFrame:
+    """Add ``cite_form``, ``names_shown`` and ``year_suffix``, so that different entries of a scope are cited differently.
+
+    In this order, each only as far as it is needed:
+
+    1. First authors of one family name with different initials show their initials, in all their citations; with
+       ``given="full"`` those whose initials agree too, but not their given names, show these.
+    2. Entries of one year cited as ``First et al.`` show more names, as few as set an entry apart from all that more
+       names could set it apart from: prefixes of the name lists refine the set until they refine it no further.
+    3. What is still cited alike in one year gets letters in the given order, which must end on a unique column.
+
+    Entries without authors are cited by title. ``names_shown`` is 0 for them. No task holds a set: prefixes are rows, counted
+    by an aggregate that combines before the shuffle.
+    """
+    scope = list(scope)
+    first = F.get("authors", F.lit(0))
+    rows = refs.withColumns({
+        "__ref": F.monotonically_increasing_id(), "__year": F.coalesce(F.col("year").cast("string"), F.lit("")),
+        "__family": first["family"], "__given": F.coalesce(first["given"], F.lit("")), "__initials": initials(first["given"]),
+    })
+    rows = settled(rows)
+    people = rows.where("__family is not null").select(*scope, "__family", "__initials", "__given").distinct()
+    families = people.select(*scope, "__family", "__initials").distinct().groupBy(*scope, "__family").agg((F.count(F.lit(1)) > 1).alias("__several"))
+    named = rows.join(families, [*scope, "__family"], "left")
+    shown = F.when(F.col("__several") & (F.col("__initials") != ""), F.concat_ws(" ", "__initials", "__family"))
+    if given == "full":
+        alike = people.groupBy(*scope, "__family", "__initials").agg((F.count(F.lit(1)) > 1).alias("__alike"))
+        named = named.join(alike, [*scope, "__family", "__initials"], "left")
+        shown = F.coalesce(F.when(F.col("__alike") & (F.col("__given") != ""), F.concat_ws(" ", "__given", "__family")), shown)
+    names = F.transform("authors", lambda a, i: F.when(i == 0, F.coalesce(shown, a["family"])).otherwise(a["family"]))
+    named = named.withColumn("__names", names).withColumn("__base", _cited(F.col("__names"), F.col("title"), F.lit(1)))
+    named = settled(named)
+    sets = [*scope, "__base", "__year"]
+    crowded = named.groupBy(*sets).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    many = named.where(F.size("__names") > 2).join(crowded, sets, "left_semi")
+    codes = F.aggregate(
+        "__names",
+        F.array().cast("array<string>"),
+        lambda done, name: F.concat(done, F.array(F.sha1(F.concat_ws("\x1f", F.coalesce(F.get(done, F.size(done) - 1), F.lit("")), F.coalesce(name, F.lit("")))))),
+    )
+    prefixes = many.select("__ref", *sets, F.size("__names").alias("n"), F.posexplode(codes).alias("k", "code"))
+    prefixes = prefixes.select("__ref", *sets, (F.col("k") + 1).alias("k"), "code", (F.col("k") + 1 < F.col("n")).alias("more"))
+    by = [*sets, "k", "code", "more"]
+    sizes = prefixes.groupBy(*by).agg(F.count(F.lit(1)).alias("size"))
+    least = prefixes.join(sizes, by).groupBy("__ref").agg(F.min(F.struct("size", "k"))["k"].alias("__shown"))
+    extra = ["__family", "__given", "__initials", "__several", "__alike", "__names", "__base", "__ref", "__shown"]
+    k = F.when(F.size("__names") > 2, F.coalesce("__shown", F.lit(1))).otherwise(F.greatest(F.size("__names"), F.lit(0)))
+    cited = named.join(least, "__ref", "left").withColumn("names_shown", F.coalesce(k, F.lit(0)))
+    cited = cited.withColumn("cite_form", _cited(F.col("__names"), F.col("title"), F.col("names_shown"))).drop(*extra)
+    return year_suffix(settled(cited), [*scope, "cite_form", "__year"], order).drop("__year").select(*refs.columns, "cite_form", "names_shown", "year_suffix")
+
+
 def reference_order(refs: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "position") -> DataFrame:
     """1-based place in the reference list of each key; ``order`` must end on a unique column."""
     return number_rows(refs, keys, order, name)

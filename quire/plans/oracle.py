@@ -397,6 +397,31 @@ select o.c as manuscript_id, cast(o.k as varchar) as key,
   case when o.up is null then null when rings.k is not null then 'ring' when lost.k is not null then 'unknown' else 'found' end as parent_state,
   coalesce(o.title, got.title) as title, case when inside then got.title end as booktitle, coalesce(o.y, got.y) as year, o.note
 from o left join got using (c, k) left join rings using (c, k) left join lost using (c, k)""",
+    "cite_forms": """
+with recursive l as (
+  select l_orderkey as k, count(*) as n, list('S' || l_suppkey % 3 order by l_linenumber, l_suppkey % 3) as fam,
+    first(chr(cast(65 + l_suppkey % 2 as integer)) || '.' order by l_linenumber, l_suppkey % 3, l_suppkey % 2) as ini
+  from lineitem group by 1),
+o as (select o_custkey % 20 as m, o_orderkey as k, cast(year(o_orderdate) as varchar) as y, 'T' || o_orderpriority as title, coalesce(n, 0) as n, fam, ini from orders left join l on k = o_orderkey),
+several as (select m, fam[1] as f from o where n > 0 group by 1, 2 having count(distinct ini) > 1),
+named as (select o.*, case when several.f is not null then list_concat([ini || ' ' || fam[1]], fam[2:]) else fam end as names from o left join several on o.m = several.m and o.fam[1] = several.f),
+based as (select *, case when n = 0 then title when n = 1 then names[1] when n = 2 then names[1] || ' & ' || names[2] else names[1] || ' et al.' end as base from named),
+refine as (
+  select m, k, y, base, n, names, 1 as d, names[1] as prefix from based where n > 2 and (m, base, y) in (select (m, base, y) from based group by m, base, y having count(*) > 1)
+  union all
+  select m, k, y, base, n, names, d + 1, prefix || '|' || names[d + 1] from refine where d < n),
+sized as (select m, k, d, count(*) over (partition by m, base, y, d, prefix, d < n) as c from refine),
+least as (select m, k, arg_min(d, c * 1000 + d) as shown from sized group by m, k),
+formed as (
+  select b.m, b.k, y, case when n > 2 then coalesce(shown, 1) else n end as shown,
+    case when n <= 2 or coalesce(shown, 1) = 1 then base when shown < n then array_to_string(names[:shown], ', ') || ', et al.'
+      else array_to_string(names[:n - 1], ', ') || ', & ' || names[n] end as form
+  from based b left join least using (m, k)),
+a as (select chr(cast(96 + i as integer)) as s from range(1, 27) t(i)),
+words as (select s, 1 as w from a union all select x.s || y.s, 2 from a x, a y union all select x.s || y.s || z.s, 3 from a x, a y, a z),
+letters as (select s, row_number() over (order by w, s) as r from words),
+placed as (select *, count(*) over (partition by m, form, y) as c, row_number() over (partition by m, form, y order by k) as r from formed)
+select m as manuscript_id, k as key, form as cite_form, cast(shown as integer) as names_shown, case when c > 1 then s end as year_suffix from placed left join letters using (r)""",
     "year_suffix": """
 with a as (select chr(cast(96 + i as integer)) as s from range(1, 27) t(i)),
 words as (select s, 1 as k from a union all select x.s || y.s, 2 from a x, a y union all select x.s || y.s || z.s, 3 from a x, a y, a z),

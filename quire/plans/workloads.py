@@ -871,6 +871,18 @@ def year_suffix(spark: SparkSession, sf: str) -> DataFrame:
     return references.year_suffix(orders, ["o_custkey", "y"], order).select("o_orderkey", "y", "year_suffix")
 
 
+def cite_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as references of twenty articles, the suppliers of their lines as authors with colliding names."""
+    family, given = _text("S", F.col("l_suppkey") % 3), _text(F.char(65 + F.col("l_suppkey") % 2), "ob")
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", family.alias("family"), given.alias("given")))).alias("l"))
+    people = F.transform("l", lambda a: F.struct(a["family"].alias("family"), a["given"].alias("given")))
+    refs = table(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+        (F.col("o_custkey") % 20).alias("manuscript_id"), F.col("o_orderkey").alias("key"), people.alias("authors"),
+        F.year("o_orderdate").cast("string").alias("year"), _text("T", F.col("o_orderpriority")).alias("title"),
+    )
+    return references.disambiguate(refs, ["manuscript_id"], [F.col("key")]).select("manuscript_id", "key", "cite_form", "names_shown", "year_suffix")
+
+
 def short_author(spark: SparkSession, sf: str) -> DataFrame:
     """The suppliers of an order as its authors."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey").distinct()

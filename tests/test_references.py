@@ -54,3 +54,35 @@ def test_no_rows(spark):
     assert inherited(spark, [("m", "a", "misc", {"b": "c"})]) == {("m", "a", 0): (None, {"b": "c"})}
     refs = spark.createDataFrame([], "manuscript_id string, pos int, key string, type string, fields map<string,string>")
     assert references.inherit_fields(refs).select(F.col("parent_state")).count() == 0
+
+
+def cited(spark, rows, **options):
+    made = [(m, k, [{"family": f, "given": g} for f, g in people] if people is not None else None, y, t) for m, k, people, y, t in rows]
+    refs = spark.createDataFrame(made, "m string, key string, authors array<struct<family:string,given:string>>, year string, title string")
+    got = references.disambiguate(refs, ["m"], [F.col("key")], **options)
+    assert got.columns == ["m", "key", "authors", "year", "title", "cite_form", "names_shown", "year_suffix"]
+    return {r.key: (r.cite_form, r.names_shown, r.year_suffix) for r in got.collect()}
+
+
+def test_initials_then_names_then_letters(spark):
+    a, b, c, d, e = [(x, None) for x in "ABCDE"]
+    got = cited(spark, [
+        ("m", "1", [("Smith", "Jane")], "2020", "t"), ("m", "2", [("Smith", "Paul-Émile Q.")], "2019", "t"),
+        ("n", "3", [("Smith", "Jane")], "2020", "t"),  # alone in its article
+        ("m", "4", [a, b, c], "2001", "t"), ("m", "5", [a, b, d], "2001", "t"), ("m", "6", [a, e, d], "2001", "t"),
+        ("m", "7", [b, a, c, d], "2001", "t"), ("m", "8", [b, a, c, d], "2001", "t"), ("m", "9", [b, e, c, d], "2001", "t"), ("m", "9b", [b, a, c], "2001", "t"),
+        ("m", "a1", [c, d, e], "2001", "t"), ("m", "a2", [c, d, e], "2001", "t"), ("m", "a3", [c, d, e], "2002", "t"),
+        ("m", "b1", None, "2001", "Title"), ("m", "b2", [], "2001", "Title"), ("m", "b3", [], None, "Title"), ("m", "b4", [], None, "Title"),
+    ])
+    assert got["1"] == ("J. Smith", 1, None) and got["2"] == ("P.-É. Q. Smith", 1, None) and got["3"] == ("Smith", 1, None)
+    assert got["4"] == ("A, B, & C", 3, None) and got["5"] == ("A, B, & D", 3, None) and got["6"] == ("A, E, et al.", 2, None)
+    assert got["7"] == ("B, A, C, et al.", 3, "a") and got["8"] == ("B, A, C, et al.", 3, "b") and got["9"] == ("B, E, et al.", 2, None)
+    assert got["9b"] == ("B, A, & C", 3, None)
+    assert got["a1"] == ("C et al.", 1, "a") and got["a2"] == ("C et al.", 1, "b") and got["a3"] == ("C et al.", 1, None)
+    assert [got[k] for k in ("b1", "b2", "b3", "b4")] == [("Title", 0, "a"), ("Title", 0, "b"), ("Title", 0, "a"), ("Title", 0, "b")]
+
+
+def test_given_names_where_initials_agree(spark):
+    rows = [("m", "1", [("Smith", "Jane")], "2020", "t"), ("m", "2", [("Smith", "John")], "2020", "t"), ("m", "3", [("Smith", None)], "2020", "t")]
+    assert cited(spark, rows) == {"1": ("J. Smith", 1, "a"), "2": ("J. Smith", 1, "b"), "3": ("Smith", 1, None)}
+    assert cited(spark, rows, given="full") == {"1": ("Jane Smith", 1, None), "2": ("John Smith", 1, None), "3": ("Smith", 1, None)}
