@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.profile import DOCUMENT_START, WHITESPACE
+from quire.profile import DOCUMENT_START, WHITESPACE, WHITESPACE_CHARACTERS
 
 _WS = WHITESPACE
-_FRONT_MATTER = rf"(?sU)^---{_WS}*\n(.*?)\n---{_WS}*\n"
-_EDGES = rf"(?U)^{_WS}+|{_WS}+$"
+_FRONT_MATTER = rf"(?s)^---{_WS}*\n(.*?)\n---{_WS}*\n"
+# runs that are more than one space, so that most spaces of a text are no match
+_RUNS = rf"[{_WS}&&[^ ]]{_WS}*| {_WS}+"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, also where lambdas inside use it many times."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def strip(text: Column) -> Column:
     """Remove Unicode white space at both ends (``trim`` only knows the space)."""
-    return F.regexp_replace(text, _EDGES, "")
+    return F.btrim(text, F.lit(WHITESPACE_CHARACTERS))
 
 
 def collapse_ws(text: Column) -> Column:
     """Every run of white space becomes one space; none at the ends."""
-    return F.trim(F.regexp_replace(text, rf"(?U){_WS}+", " "))
+    return F.trim(F.regexp_replace(text, _RUNS, " "))
 
 
 def unix_newlines(text: Column) -> Column:
@@ -47,35 +55,34 @@ def has_latex_document(text: Column) -> Column:
 def macro_argument(tex: Column, macro: str) -> Column:
     """Brace-balanced argument of the first ``\\macro{...}``, white space collapsed; null when absent.
 
-    The rest of the text is cut at its braces, so the fold only counts pieces
-    and never rebuilds strings. A brace that never closes takes everything up
-    to the character before the last.
+    The text is cut at its closing braces: the argument ends at the first cut by
+    which as many braces have closed as have opened. Most arguments end within a
+    few cuts, so the rest of the text is left in one piece unless they don't. A
+    brace that never closes takes everything up to the character before the last.
     """
     opening = f"\\{macro}{{"
     at = F.instr(tex, opening)
-    rest = F.substring(tex, at + len(opening), F.length(tex))
-    pieces = F.regexp_extract_all(rest, F.lit(r"[{}]|[^{}]+"), F.lit(0))
 
-    def step(state: Column, piece: Column) -> Column:
-        depth, used = state["depth"], state["used"]
-        moved = depth + F.when(piece == "{", 1).when(piece == "}", -1).otherwise(0)
-        return F.when(depth == 0, state).otherwise(F.struct(moved.alias("depth"), (used + 1).alias("used")))
+    def within(rest: Column, cuts: int) -> Column:
+        """Characters of the argument if it ends within so many cuts, else null."""
+
+        def step(state: Column, piece: Column) -> Column:
+            length = F.length(piece)
+            depth = state["depth"] + length - F.length(F.replace(piece, F.lit("{"), F.lit(""))) - 1
+            used = state["used"] + length
+            more = F.struct(depth.alias("depth"), F.when(depth > 0, used + 1).otherwise(used).alias("used"))
+            return F.when(state["depth"] == 0, state).otherwise(more)
 
-    def argument(found: Column) -> Column:
         start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("used"))
-        all_pieces = F.array_join(found, "")
-        return F.aggregate(
-            found,
-            start,
-            step,
-            lambda s: F.when(
-                s["depth"] == 0, F.array_join(F.slice(found, F.lit(1), F.greatest(s["used"] - 1, F.lit(0))), "")
-            ).otherwise(F.substring(all_pieces, F.lit(1), F.greatest(F.length(all_pieces) - 1, F.lit(0)))),
-        )
+        # the last piece is what follows the last cut, not something that a brace closes
+        closed = let(F.split(rest, r"\}", cuts), lambda p: F.slice(p, F.lit(1), F.size(p) - 1))
+        return F.aggregate(closed, start, step, lambda s: F.when(s["depth"] == 0, s["used"]))
+
+    def argument(rest: Column) -> Column:
+        size = F.coalesce(within(rest, 64), within(rest, -1), F.greatest(F.length(rest) - 1, F.lit(0)))
+        return collapse_ws(F.substring(rest, F.lit(1), size))
 
-    # bound once: the fold and its result both walk the pieces
-    bound = F.element_at(F.transform(F.array(pieces), argument), 1)
-    return F.when(at > 0, collapse_ws(bound))
+    return F.when(at > 0, let(F.substring(tex, at + len(opening), F.length(tex)), argument))
 
 
 def split_keywords(text: Column) -> Column:
@@ -85,7 +92,7 @@ def split_keywords(text: Column) -> Column:
 
 def split_name(name: Column) -> Column:
     """``struct(given, family, name)`` of a one-string name: the last token is the family name."""
-    tokens = F.split(strip(name), rf"(?U){_WS}+", -1)
+    tokens = F.split(strip(name), rf"{_WS}+", -1)
     several = F.size(tokens) >= 2
     return F.struct(
         F.when(several, F.array_join(F.slice(tokens, F.lit(1), F.size(tokens) - 1), " ")).otherwise("").alias("given"),

@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions.text import let as let
 from quire.functions.text import strip
 from quire.profile import DEFAULT_ARTICLE_ID, DEFAULT_JOURNAL_PATH, DEFAULT_LOCALE
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once, also where lambdas inside use it many times."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def is_missing(kind: Column, value_json: Column) -> Column:
     """True for absent, null, false, zero, empty text, empty list and empty map."""
     return (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import strip
@@ -21,7 +21,8 @@ _CLUSTER = r"\[[^\[\]]*?" + _KEY + r"[^\[\]]*\]|" + _KEY
 def split_sections(body: Column) -> Column:
     """Array of ``struct(level, title, unnumbered, text)``; text before the first heading has level 0.
 
-    Heading marks inside fenced code do not count.
+    Heading marks inside fenced code do not count. A body without fences is cut
+    at its headings; only one with fences is taken apart line by line.
     """
 
     def cut(pieces: Column) -> Column:
@@ -34,7 +35,26 @@ def split_sections(body: Column) -> Column:
             ),
         )
 
-    return let(F.regexp_extract_all(body, F.lit(_PIECES), F.lit(0)), cut)
+    plain = F.transform(F.filter(F.split(body, r"(?m)^(?=#{1,6}[ \t])", -1), lambda p: p != ""), _piece)
+    fenced = F.contains(body, F.lit("```")) | F.contains(body, F.lit("~~~"))
+    return F.when(fenced, let(F.regexp_extract_all(body, F.lit(_PIECES), F.lit(0)), cut)).otherwise(plain)
+
+
+def _piece(piece: Column) -> Column:
+    """A section that is one text: its first line is the heading, if it is one."""
+    first = F.substring_index(piece, "\n", 1)
+    level = F.length(F.regexp_extract(first, r"^(#{1,6})[ \t]", 1))
+    headed = level > 0
+    return F.struct(
+        level.alias("level"),
+        F.when(headed, _title(first)).alias("title"),
+        (headed & first.rlike(_UNNUMBERED)).alias("unnumbered"),
+        F.when(headed, F.substring(piece, F.length(first) + 2, F.length(piece))).otherwise(piece).alias("text"),
+    )
+
+
+def _title(line: Column) -> Column:
+    return strip(F.regexp_replace(F.regexp_replace(line, r"^#{1,6}[ \t]+", ""), r"\{[^}]*\}[ \t]*$", ""))
 
 
 def _section(pieces: Column, at: Column, until: Column) -> Column:
@@ -42,10 +62,9 @@ def _section(pieces: Column, at: Column, until: Column) -> Column:
     level = F.length(F.regexp_extract(first, r"^(#{1,6})[ \t]", 1))
     headed = level > 0
     line = F.regexp_replace(first, r"\n$", "")
-    title = strip(F.regexp_replace(F.regexp_replace(line, r"^#{1,6}[ \t]+", ""), r"\{[^}]*\}[ \t]*$", ""))
     return F.struct(
         level.alias("level"),
-        F.when(headed, title).alias("title"),
+        F.when(headed, _title(line)).alias("title"),
         (headed & line.rlike(_UNNUMBERED)).alias("unnumbered"),
         F.array_join(
             F.when(headed, F.slice(pieces, at + 1, until - at - 1)).otherwise(F.slice(pieces, at, until - at)), ""
@@ -59,6 +78,38 @@ def sections(bodies: DataFrame, key: str = "manuscript_id", body: str = "body")
     return cut.select(key, "pos", "s.level", "s.title", "s.unnumbered", "s.text")
 
 
+def section_tree(cut: DataFrame, key: str = "manuscript_id") -> DataFrame:
+    """Headings of ``sections`` as a contents tree: adds ``parent``, ``number`` and ``path``.
+
+    A heading's parent is the nearest one before it of a smaller level, by ``pos``; null at the top. ``path`` holds the titles
+    from the top down to the heading. ``number`` counts numbered siblings, below the parent's number (``1.2.3``); headings
+    marked unnumbered, and all below them, have none and aren't counted. What stands before the first heading is no row.
+
+    The last heading of each of the six levels, as of a row, is all that its ancestors can be: each is one running maximum,
+    the stack of a left-to-right walk. The three windows share one shuffle by article.
+    """
+    heads = cut.where(F.col("level") > 0)
+    before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    levels = range(1, 7)
+    above = [F.max(F.when(F.col("level") == n, F.col("pos"))).over(before) for n in levels]
+    placed = heads.select("*", *[a.alias(f"__p{n}") for n, a in zip(levels, above, strict=True)])
+    # a level's last heading is above this one if it is smaller and no smaller one came after it
+    closed = {n: F.greatest(F.lit(-1), F.lit(-1), *[F.coalesce(F.col(f"__p{m}"), F.lit(-1)) for m in range(1, n)]) for n in levels}
+    open_ = {n: (F.col("level") > n) & (F.coalesce(F.col(f"__p{n}"), F.lit(-2)) > closed[n]) for n in levels}
+    parent = F.array_max(F.array(*[F.when(open_[n], F.col(f"__p{n}")) for n in levels]))
+    placed = placed.withColumn("parent", parent)
+    siblings = Window.partitionBy(key, "parent").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = F.when(~F.col("unnumbered"), 1)
+    placed = placed.withColumn("__n", F.when(~F.col("unnumbered"), F.count(numbered).over(siblings)))
+    last = {n: F.max(F.when(F.col("level") == n, F.struct("pos", F.col("title").alias("title"), F.col("__n").alias("n")))).over(before) for n in levels}
+    chain = F.array_compact(F.array(*[F.when(open_[n], last[n]) for n in levels]))
+    placed = placed.withColumn("__chain", chain)
+    whole = F.col("__n").isNotNull() & F.forall("__chain", lambda c: c["n"].isNotNull())
+    numbers = F.concat(F.transform("__chain", lambda c: c["n"].cast("string")), F.array(F.col("__n").cast("string")))
+    path = F.concat(F.transform("__chain", lambda c: c["title"]), F.array("title"))
+    return placed.select(*cut.columns, "parent", F.when(whole, F.array_join(numbers, ".")).alias("number"), path.alias("path"))
+
+
 def extract_citations(bodies: DataFrame, key: str = "manuscript_id", body: str = "body") -> DataFrame:
     """(key, cluster_no, pos_in_cluster, cite_key, narrative, prefix) of every cited key.
 
@@ -66,7 +117,10 @@ def extract_citations(bodies: DataFrame, key: str = "manuscript_id", body: str =
     narrative citation. Code is masked first, and the ``@`` of an email address
     does not count.
     """
-    masked = F.regexp_replace(F.col(body), "(?m)" + _CODE, " ")
+    text = F.col(body)
+    coded = F.contains(text, F.lit("`")) | F.contains(text, F.lit("~~~"))
+    text = F.when(F.contains(text, F.lit("@")), text).otherwise("")  # nothing is cited without one
+    masked = F.when(coded, F.regexp_replace(text, "(?m)" + _CODE, " ")).otherwise(text)
     clusters = bodies.select(
         key, F.posexplode(F.regexp_extract_all(masked, F.lit("(?U)" + _CLUSTER), F.lit(0))).alias("cluster_no", "c")
     )

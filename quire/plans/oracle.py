@@ -367,6 +367,17 @@ select l_orderkey, '<article id="' || l_orderkey || '"><title locale="en">' || o
 from g join orders on o_orderkey = l_orderkey""",
     "package_manifest": "select doc_id, 1 as galleys, octet_length(encode(text)) // 1024 as kilobytes from documents",
     "galley_base64": "select doc_id, octet_length(encode(text)) as filesize, md5(to_base64(encode(text))) as b64_md5 from documents",
+    "section_tree": """
+with recursive h as (
+  select l_orderkey as k, cast(row_number() over (partition by l_orderkey order by l_partkey, l_suppkey) as integer) as pos, cast(1 + l_suppkey % 5 as integer) as level,
+    'P' || l_partkey as title, l_partkey % 7 = 0 as plain from lineitem),
+p as (select h.*, (select max(g.pos) from h g where g.k = h.k and g.pos < h.pos and g.level < h.level) as parent from h),
+n as (select *, case when not plain then count(*) filter (where not plain) over (partition by k, parent order by pos rows unbounded preceding) end as i from p),
+t as (
+  select k, pos, level, title, parent, cast(i as varchar) as number, title as path from n where parent is null
+  union all
+  select n.k, n.pos, n.level, n.title, n.parent, t.number || '.' || n.i, t.path || '/' || n.title from n join t on t.k = n.k and t.pos = n.parent)
+select k as l_orderkey, pos, level, title, parent, number, path from t""",
     "bib_entries": """
 select o_orderkey as manuscript_id, 0 as pos, 'a' || o_orderkey as key, 'article' as type, 'The {Order} ' || o_orderkey as title,
   cast(year(o_orderdate) as varchar) as year, '10.1/x' || o_orderkey as doi, 'Cust et al.' as short_author, 4 as n_fields, 3 as n_authors,

@@ -80,7 +80,11 @@ keywords: [TODO]
 bibliography: references.bib"""
 
 # Pandoc's whitespace (Unicode, plus the four ASCII separators)
-WHITESPACE = r"[\s\x1c-\x1f]"
+WHITESPACE_CHARACTERS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+# the outer ranges rule most characters out by two comparisons
+WHITESPACE = r"[\t-\x20\x85-\u3000&&[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
 
 # --- names a journal chooses for itself -------------------------------------
 
