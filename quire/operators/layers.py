@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.values import let
 from quire.functions.yaml import yaml_nodes
+from quire.operators.skew import number_rows
 from quire.profile import Profile
 
 SEP = "\x1f"
@@ -152,11 +153,19 @@ def merge_rows(nodes: DataFrame, key: str = "manuscript_id") -> DataFrame:
     else in another can cut nodes off, which leaves a short table to look
     prefixes up in; the aggregate after that look-up keeps the partitioning of
     the first one.
+
+    With a column ``ord``, each layer's own node order, the result has an ``ord``
+    too: the merged key order, from 0. A path stands where the first layer that
+    has it, and isn't cut off from above, put it, also where a later layer
+    replaced it. Places are numbered range by range (``number_rows``), so a key
+    with very many nodes is numbered by many tasks.
     """
+    ordered = "ord" in nodes.columns
+    place = F.col("ord") if ordered else F.lit(0)
     at = F.concat(F.array_join("path", SEP), F.lit(SEP))
     by_path = (
         nodes.groupBy(key, at.alias("at"))
-        .agg(F.first("path").alias("path"), F.collect_set(F.struct("rank", "kind", "value_json")).alias("versions"))
+        .agg(F.first("path").alias("path"), F.collect_set(F.struct("rank", "kind", "value_json", place.alias("ord"))).alias("versions"))
         .withColumn("leaf_rank", _top_rank(lambda v: v["kind"] != "map"))
         .withColumn("map_rank", _top_rank(lambda v: v["kind"] == "map"))
     )
@@ -175,10 +184,15 @@ def merge_rows(nodes: DataFrame, key: str = "manuscript_id") -> DataFrame:
         replaced = (v["kind"] != "map") & (v["rank"] < F.col("map_rank"))
         return ~F.coalesce(hidden, F.lit(False)) & ~F.coalesce(replaced, F.lit(False))
 
-    merged = masked.withColumn("best", F.array_max(F.filter("versions", survives)))
-    return merged.filter(F.col("best").isNotNull()).select(
-        key, "path", F.col("best.rank").alias("rank"), F.col("best.kind").alias("kind"), F.col("best.value_json").alias("value_json")
-    )
+    placed = F.filter("versions", lambda v: v["rank"] >= F.coalesce("cut", v["rank"]))
+    seen = F.array_min(F.transform(placed, lambda v: F.struct(v["rank"].alias("r"), v["ord"].alias("o"))))
+    merged = masked.withColumn("best", F.array_max(F.filter("versions", survives))).withColumn("seen", seen)
+    alive = merged.filter(F.col("best").isNotNull())
+    out = [key, "path", F.col("best.rank").alias("rank"), F.col("best.kind").alias("kind"), F.col("best.value_json").alias("value_json")]
+    if not ordered:
+        return alive.select(*out)
+    numbered = number_rows(alive.select(*out, "seen", "at"), [key], [F.col("seen.r"), F.col("seen.o"), F.col("at")], "__place")
+    return numbered.withColumn("ord", F.col("__place") - 1).drop("__place", "seen", "at")
 
 
 def _top_rank(which: Callable[[Column], Column]) -> Column:

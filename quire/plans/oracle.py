@@ -149,6 +149,13 @@ from documents"""
 
 _ENRICHED, _MISSING = _jats()
 
+_JATS_INPUT = """
+select doc_id, lang, '<article article-type="other"><front><journal-meta>' || case when lang = 'de' then '<issn>0000-0000</issn>' else '' end || '</journal-meta><article-meta>'
+  || case when lang = 'fr' then '<article-id pub-id-type="doi">old</article-id>' else '<article-id pub-id-type="pii">p</article-id>' end
+  || '<title-group><article-title>D' || doc_id || '</article-title></title-group><abstract>x</abstract>'
+  || case when lang = 'es' then '<kwd-group/><permissions/>' else '' end || '</article-meta></front><body/></article>' as xml from documents
+"""
+
 _JATS_ELEMENTS = """
 select doc_id, 0 as ord, 'article-meta' as parent, 'issn' as tag, '1&' || source || '!' as text, cast(null as varchar) as namespace,
   'note,kind' as names, 'L''avenir > ' || doc_id || '|a "b"' as vals, cast(null as varchar) as error from documents where lang = 'en'
@@ -252,6 +259,38 @@ alive as (
       (h.kind <> 'map' and (h.path = n.path or starts_with(n.path, h.path || '.')))
       or (h.kind = 'map' and n.kind <> 'map' and h.path = n.path))))
 select id, path, rank, kind, v as value_json from alive qualify row_number() over (partition by id, path order by rank desc) = 1""",
+    "merge_order": f"""
+with {_MASK_NODES},
+places(rank, path, kind, ord) as (values (0, 'home', 'map', 0), (0, 'home.region', 'str', 1), (0, 'home.zone', 'str', 2), (0, 'tier', 'str', 3), (0, 'contact', 'map', 4),
+  (0, 'contact.desk', 'str', 5), (1, 'home', 'map', 6), (1, 'home.nation', 'str', 7), (1, 'home.zone', 'null', 8), (1, 'tier', 'map', 9), (1, 'tier.level', 'str', 10),
+  (2, 'tier', 'str', 11), (2, 'contact', 'null', 12), (2, 'contact', 'map', 13), (2, 'contact.name', 'str', 14), (2, 'home', 'map', 15)),
+placed as (
+  select n.*, ord from nodes n join places using (rank, path, kind)
+  where not exists (select 1 from nodes h where h.id = n.id and h.rank > n.rank and h.kind <> 'map' and starts_with(n.path, h.path || '.'))),
+seen as (select id, path, min(rank * 100 + ord) as place from placed group by id, path),
+alive as (
+  select * from placed n where not exists (
+    select 1 from nodes h where h.id = n.id and h.rank > n.rank and h.path = n.path and (h.kind <> 'map' or n.kind <> 'map'))),
+best as (select * from alive qualify row_number() over (partition by id, path order by rank desc) = 1)
+select id, cast(row_number() over (partition by id order by place) - 1 as integer) as ord, path, rank, kind, v as value_json from best join seen using (id, path)""",
+    "theme_ranks": f"with {_MASK_NODES} select id, path, max(rank) as rank from nodes group by id, path",
+    "scanned_files": """
+select 'd' || doc_id as manuscript_id, 'root' as area, '_metadata.yml' as path, '.yml' as ext, strlen('doc: ' || doc_id || '  lang: ' || lang) as length from documents
+union all select 'd' || doc_id, 'root', 'article.qmd', '.qmd', strlen('---ntitle: D' || doc_id || 'n---n' || text) from documents
+union all select 'd' || doc_id, 'source', 'source/empty.docx', '.docx', 0 from documents where lang = 'fr'
+union all select 'd' || doc_id, 'source', 'source/upload.ZIP', '.zip', null from documents where lang = 'de'""",
+    "scanned_texts": """
+select 'd' || doc_id as manuscript_id, 'article' as kind, 'title: D' || doc_id as front_matter, md5(text) as content_md5 from documents
+union all select 'd' || doc_id, 'registry', null, md5('doc: ' || doc_id || chr(10) || 'lang: ' || lang) from documents
+union all select source, 'theme', null, md5('journal: ' || count(*) || chr(10)) from documents group by source""",
+    "unpacked_archives": """
+with m as (
+  select doc_id, 'source/parts/one.tex' as path, text as t from documents where lang = 'de'
+  union all select doc_id, 'source/refs.bib', '@misc{k' || doc_id || '}' from documents where lang = 'de')
+select 'd' || doc_id as manuscript_id, path, strlen(t) as length, way, md5(t) as content_md5 from m, (values ('opened'), ('loaded')) w(way)""",
+    "exported_jats": """
+select lang || '%2F..%2F' || doc_id as manuscript_id, 'article.xml' as name, md5(xml) as content_md5 from (""" + _JATS_INPUT + """)""",
+    "latex_documents": "select doc_id, 2 as cited, 'b' || n_chars % 2 as last_key from documents where lang = 'en'",
     "dotted_lookup": "select event_id, cast(json_extract_string(props, '$.k') as integer) as k from events",
     "default_fill": """
 select doc_id, case when toxic is null then lang || '_' || upper(lang) else 'en' end as locale,

@@ -19,7 +19,10 @@ from quire.profile import Profile
 from quire.session import checkpoint_dir, settled
 from quire.sources import sinks
 from quire.sources.exact import write_exact
-from quire.sources.files import bibliography_rows, encode_galleys
+from quire.sources import files as scans
+from quire.sources.archives import archived
+from quire.sources.files import bibliography_rows, encode_galleys, located
+from quire.sources.folders import read_folders
 from quire.streaming import bounded, submissions
 
 PROFILE = Profile()
@@ -339,8 +342,8 @@ def _node(rank: int, path: str, kind: str, value: Column | None, when: Column |
     return row if when is None else F.when(when, row)
 
 
-def meta_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """Region, nation and customer as three layers of nodes, merged per customer."""
+def _layer_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Region, nation and customer as three layers of nodes, each node with its place: rows per customer."""
     nation = table(spark, sf, "nation").withColumnsRenamed({"n_nationkey": "nation", "n_regionkey": "region"})
     region = table(spark, sf, "region").withColumnRenamed("r_regionkey", "region")
     customer = table(spark, sf, "customer").withColumnsRenamed({"c_custkey": "id", "c_nationkey": "nation"})
@@ -364,11 +367,31 @@ def meta_merge(spark: SparkSession, sf: str) -> DataFrame:
         _node(2, "contact.name", "str", F.col("c_name"), segment == "MACHINERY"),
         _node(2, "home", "map", None),
     )
-    rows = wide.select("id", F.inline(F.array_compact(nodes)))
-    merged = layers.merge_rows(rows, "id")
+    return wide.select("id", F.posexplode(nodes).alias("ord", "n")).where("n is not null").select("id", "n.*", "ord")
+
+
+def meta_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """The three layers merged per customer."""
+    merged = layers.merge_rows(_layer_rows(spark, sf).drop("ord"), "id")
     return merged.select("id", F.array_join("path", ".").alias("path"), "rank", "kind", "value_json")
 
 
+def _ranked_layers(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _layer_rows(spark, sf)
+    return layers.union_layers(*[rows.where(F.col("rank") == k).drop("rank") for k in range(3)])
+
+
+def merge_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Layers put together from their rows, merged in key order."""
+    merged = layers.merge_rows(_ranked_layers(spark, sf), "id")
+    return merged.select("id", "ord", F.array_join("path", ".").alias("path"), "rank", "kind", "value_json")
+
+
+def theme_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    ranked = layers.theme_rank(_ranked_layers(spark, sf), "id")
+    return ranked.select("id", F.array_join("path", ".").alias("path"), "rank")
+
+
 def dotted_lookup(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events")
     return events.select("event_id", layers.json_lookup(F.col("props"), "k").cast("int").alias("k"))
@@ -469,6 +492,76 @@ def _correspondents(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _tree(spark: SparkSession, sf: str) -> str:
+    """The documents as a folder of manuscripts and themes; German ones with an archive in ``source/``."""
+    root = f"{checkpoint_dir(spark)}/quire-tree-{uuid.uuid4().hex}"
+    doc, lang, text = _text("d", F.col("doc_id")), F.col("lang"), F.col("text")
+    docs = table(spark, sf, "documents")
+
+    def files(rows: DataFrame, folder: Column, name: str, content: Column) -> DataFrame:
+        return rows.select(folder.alias("folder"), F.lit(name).alias("file_name"), content.cast("binary").alias("content"))
+
+    german = docs.where(lang == "de")
+    packed = archived(F.create_map(F.lit("parts/one.tex"), text, F.lit("refs.bib"), _text("@misc{k", F.col("doc_id"), "}")))
+    manuscripts = (
+        files(docs, doc, "_metadata.yml", _text("doc: ", F.col("doc_id"), "\r\nlang: ", lang))
+        .unionByName(files(docs, doc, "article.qmd", _text("---\ntitle: D", F.col("doc_id"), "\n---\n", text)))
+        .unionByName(files(docs.where(lang == "fr"), F.concat(doc, F.lit("/source")), "empty.docx", F.lit("")))
+        .unionByName(files(german, F.concat(doc, F.lit("/source")), "upload.ZIP", packed))
+    )
+    write_exact(manuscripts, f"{root}/manuscripts")
+    themes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    write_exact(files(themes, F.col("source"), "theme.yml", _text("journal: ", F.col("n"), "\n")), f"{root}/themes")
+    return root
+
+
+def scanned_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The inventory; an archive's size depends on its compression, so it is left out."""
+    length = F.when(F.col("ext") != ".zip", F.col("length"))
+    return scans.scan_files(spark, _tree(spark, sf)).select("manuscript_id", "area", "path", "ext", length.alias("length"))
+
+
+def scanned_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Canonical articles, editors' metadata and themes, read from their files."""
+    root = _tree(spark, sf)
+    found = [
+        scans.scan_canonical(spark, root).select("manuscript_id", F.lit("article").alias("kind"), "front_matter", F.col("body").alias("content")),
+        scans.scan_registry(spark, root).select("manuscript_id", F.lit("registry"), F.lit(None).cast("string"), "text"),
+        scans.scan_theme(spark, root).select("theme", F.lit("theme"), F.lit(None).cast("string"), "text"),
+    ]
+    rows = found[0].union(found[1]).union(found[2])
+    return rows.select("manuscript_id", "kind", "front_matter", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+def unpacked_archives(spark: SparkSession, sf: str) -> DataFrame:
+    """Members of the archives, opened where they lie, and the same from their bytes."""
+    root = _tree(spark, sf)
+    opened = scans.unpack_archives(root, scans.scan_files(spark, root))
+    loaded = scans.explode_archives(located(read_folders(spark, root, content=True, pattern="*.ZIP"), F.col("path")))
+    both = opened.select("manuscript_id", "path", "length", "content", F.lit("opened").alias("way")).unionByName(loaded.select("manuscript_id", "path", "length", "content", F.lit("loaded").alias("way")))
+    return both.select("manuscript_id", "path", "length", "way", F.md5("content").alias("content_md5"))
+
+
+def exported_jats(spark: SparkSession, sf: str) -> DataFrame:
+    """Article XML written as a table, exported under exact names, and read from the files."""
+    base = f"{checkpoint_dir(spark)}/quire-export-{uuid.uuid4().hex}"
+    articles = _articles(spark, sf).select(F.concat(F.col("lang"), F.lit("/../"), F.col("doc_id").cast("string")).alias("manuscript_id"), "xml")
+    sinks.write_jats(articles, f"{base}/table")
+    sinks.export_files(spark.read.parquet(f"{base}/table"), f"{base}/manuscripts", "xml")
+    files = located(read_folders(spark, base, content=True), F.col("path"))
+    return files.select("manuscript_id", "name", F.md5("content").alias("content_md5"))
+
+
+def latex_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold a LaTeX document, and how many keys they cite."""
+    docs = table(spark, sf, "documents")
+    tex = _text(F.when(F.col("lang") == "en", "\\begin{document}\n").when(F.col("lang") == "de", "\\begin {document}").otherwise(""), "@a [@a; @b", F.col("n_chars") % 2, "]\n")
+    texts = docs.select("doc_id", tex.alias("text"))
+    cited = sections.cited_set(sections.extract_citations(texts, key="doc_id", body="text"), key="doc_id")
+    keys = cited.groupBy("doc_id").agg(F.count(F.lit(1)).alias("cited"), F.max("cite_key").alias("last_key"))
+    return texts.where(T.has_latex_document(F.col("text"))).join(keys, "doc_id").select("doc_id", "cited", "last_key")
+
+
 def fallback_email(spark: SparkSession, sf: str) -> DataFrame:
     authors = _correspondents(spark, sf)
     journals = table(spark, sf, "documents").select(F.col("source").alias("manuscript_id")).distinct()

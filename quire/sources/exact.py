@@ -103,14 +103,15 @@ def _moved(folder: str, job: str):
 def write_exact(files: DataFrame, folder: str) -> int:
     """Put ``content`` (text or bytes) of each row at ``folder/<folder>/<file_name>``; returns the number of files.
 
-    Names are made safe first: a slash, a backslash or a null character within one is written as a percent code, as are names
-    of dots only, so that no name leads out of its folder; null and empty names, and null contents, write no file. Two rows
-    of the same place are an error, found before anything is written. Files that are there already are replaced. If the
+    Names are made safe first (``safe_name``), those of ``folder`` each by itself where it is a path of several, so that none
+    leads out of ``folder``; null and empty names, and null contents, write no file. Two rows of the same place are an error, found before anything is written. Files that are there already are replaced. If the
     first job fails nothing is in place; if the second fails the files stay in staging, and none is ever in place in part.
     """
     spark = files.sparkSession
     spark.dataSource.register(ExactFiles)
-    named = files.select(safe_name(F.col("folder")).alias("folder"), safe_name(F.col("file_name")).alias("file_name"), F.col("content").cast("binary").alias("content"))
+    steps = F.filter(F.split(F.col("folder").cast("string"), "/"), lambda p: p != "")
+    path = F.nullif(F.array_join(F.transform(steps, safe_name), "/"), F.lit(""))
+    named = files.select(path.alias("folder"), safe_name(F.col("file_name")).alias("file_name"), F.col("content").cast("binary").alias("content"))
     named = named.where("folder is not null and file_name is not null and content is not null")
     twice = named.groupBy("folder", "file_name").count().where("count > 1").first()
     if twice is not None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 import pyarrow as pa
@@ -23,7 +24,7 @@ from quire.profile import (
 )
 from quire.sources.folders import filesystem, read_folders
 
-_ID = r"/manuscripts/([^/]+)/(.+)$"
+_ID = r"/manuscripts/([^/]+)/(.*)$"
 FILE_COLUMNS = ("manuscript_id", "area", "path", "name", "ext", "length", "mtime")
 
 
@@ -195,10 +196,10 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 )
 
 
-def _unpacked(content: bytes) -> Iterator[tuple[str | None, int, bytes | None, str | None]]:
+def _unpacked(content: bytes | BinaryIO, largest: int | None = None) -> Iterator[tuple[str | None, int, bytes | None, str | None]]:
     """(name, length, bytes, error) of each member; what can't be read has an error and no bytes."""
     try:
-        archive = zipfile.ZipFile(io.BytesIO(content))
+        archive = zipfile.ZipFile(io.BytesIO(content) if isinstance(content, bytes) else content)
     except Exception as problem:  # not an archive, or a broken one
         yield None, 0, None, str(problem) or type(problem).__name__
         return
@@ -206,6 +207,9 @@ def _unpacked(content: bytes) -> Iterator[tuple[str | None, int, bytes | None, s
         for item in archive.infolist():
             if item.is_dir():
                 continue
+            if largest is not None and item.file_size > largest:
+                yield item.filename, item.file_size, None, f"larger than {largest} bytes"
+                continue
             try:
                 yield item.filename, item.file_size, archive.read(item), None
             except Exception as problem:  # encrypted, damaged or of an unknown method
@@ -220,6 +224,32 @@ def _archive_members(files: DataFrame) -> DataFrame:
     return archives.mapInPandas(_members, schema)
 
 
+def unpack_archives(root: str, files: DataFrame, largest: int = 1 << 30) -> DataFrame:
+    """(manuscript_id, area, path, name, ext, archive, length, mtime, content, error): members of the archives that an inventory names.
+
+    Tasks open the archives where they lie and give one member after the other,
+    so an archive may be larger than a worker's memory. A member of more than
+    ``largest`` bytes, or one that can't be read, has an error and no content; an
+    archive that can't be opened is one such row without a path.
+    """
+    schema = "manuscript_id string, archive string, member string, length long, mtime timestamp, content binary, error string"
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["manuscript_id", "archive", "member", "length", "mtime", "content", "error"]
+        for batch in batches:
+            for i, (key, path) in enumerate(zip(batch.column("manuscript_id").to_pylist(), batch.column("path").to_pylist(), strict=True)):
+                system, base = filesystem(root)
+                with system.open_input_file(f"{base}/manuscripts/{key}/{path}") as source:
+                    for member, length, content, error in _unpacked(source, largest):
+                        fields = [pa.array([x], t) for x, t in ((key, pa.string()), (path, pa.string()), (member, pa.string()), (length, pa.int64()))]
+                        yield pa.RecordBatch.from_arrays([*fields, batch.column("mtime").slice(i, 1), pa.array([content], pa.binary()), pa.array([error], pa.string())], names=names)
+
+    archives = files.filter((F.col("area") == "source") & (F.col("ext") == ARCHIVE_SUFFIX) & (F.size(F.split("path", "/")) == 2))
+    found = archives.select("manuscript_id", "path", "mtime").mapInArrow(members, schema)
+    path = F.concat(F.lit("/manuscripts/"), "manuscript_id", F.lit("/source/"), "member")
+    return located(found.withColumn("path", F.coalesce(path, F.concat(F.lit("/manuscripts/"), "manuscript_id", F.lit("/")))), F.col("path")).drop("member")
+
+
 def broken_archives(files: DataFrame) -> DataFrame:
     """(manuscript_id, archive, member, error) of archives, or members of them, that can't be read."""
     return _archive_members(files).filter(F.col("error").isNotNull()).select("manuscript_id", "archive", "member", "error")

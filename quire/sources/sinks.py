@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.values import package_filename
+from quire.functions.values import package_filename, safe_name
 from quire.profile import CANONICAL_NAME, GALLEYS
 from quire.sources.exact import write_exact
 
@@ -41,4 +41,4 @@ def write_findings(findings: DataFrame, path: str) -> None:
 
 def export_files(table: DataFrame, folder: str, text: str) -> int:
     """Write ``text`` of each row to ``folder/<manuscript_id>/<file_name>``: all files or none (``write_exact``)."""
-    return write_exact(table.select(F.col("manuscript_id").alias("folder"), "file_name", F.col(text).alias("content")), folder)
+    return write_exact(table.select(safe_name(F.col("manuscript_id")).alias("folder"), "file_name", F.col(text).alias("content")), folder)

@@ -1,5 +1,7 @@
+import io
 import os
 import time
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,7 +68,7 @@ def test_exact_names_stay_in_their_folder(spark, tmp_path):
     frame = spark.createDataFrame(rows, "folder string, file_name string, content string").repartition(3)
     folder = tmp_path / "out"
     assert write_exact(frame, str(folder)) == 4
-    assert listed(tmp_path) == ["out/%2E%2E/%2E", "out/..%2F..%2Fa%2Fb/x%2Fy.xml", "out/b%5Cc/a%2Fb", "out/ok/é ü.txt"]
+    assert listed(tmp_path) == ["out/%2E%2E/%2E", "out/%2E%2E/%2E%2E/a/b/x%2Fy.xml", "out/b%5Cc/a%2Fb", "out/ok/é ü.txt"]
     assert (folder / "ok/é ü.txt").read_text() == "ünï"
     again = spark.createDataFrame([("ok", "é ü.txt", "new")], frame.schema)
     assert write_exact(again, str(folder)) == 1 and (folder / "ok/é ü.txt").read_text() == "new"
@@ -95,3 +97,21 @@ def test_only_committed_attempts_count(spark, tmp_path):
     good = writer.write(iter(rows))
     writer.commit([good])
     assert f'["{good.folder}"]' == (tmp_path / ".staging-j/committed.json").read_text()
+
+
+def test_archives_are_opened_where_they_lie(spark, tmp_path):
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("a/one.tex", "1" * 10)
+        archive.writestr("big.bin", bytes(3 << 20))
+        archive.mkdir("empty")
+        archive.writestr("two.tex", "")
+    write(tmp_path / "manuscripts/m/source/x.zip", buffer.getvalue())
+    write(tmp_path / "manuscripts/m/source/broken.zip", b"PK no archive")
+    write(tmp_path / "manuscripts/m/deep/source/y.zip", buffer.getvalue())
+    files = scans.scan_files(spark, str(tmp_path))
+    rows = scans.unpack_archives(str(tmp_path), files, largest=1 << 20)
+    got = sorted((r.path or "", r.length, r.content and bytes(r.content), bool(r.error)) for r in rows.collect())
+    assert got == [("", 0, None, True), ("source/a/one.tex", 10, b"1" * 10, False), ("source/big.bin", 3 << 20, None, True), ("source/two.tex", 0, b"", False)]
+    whole = scans.unpack_archives(str(tmp_path), files).where("error is null")
+    assert {r.path: len(r.content) for r in whole.collect()} == {"source/a/one.tex": 10, "source/big.bin": 3 << 20, "source/two.tex": 0}

@@ -50,14 +50,16 @@ def test_both_merges_agree_with_a_recursive_merge(spark):
     merged = df.select("id", layers.merge_nodes(F.col("a"), F.col("b"), F.col("c")).alias("m"))
     in_row = {r.id: [(n.path, n.kind, n.value_json) for n in r.m] for r in merged.collect()}
     exploded = layers.union_layers(*[df.select("id", F.inline(c)) for c in "abc"])
-    as_rows = {}
-    for r in layers.merge_rows(exploded, "id").collect():
+    as_rows, row_order = {}, {}
+    for r in sorted(layers.merge_rows(exploded, "id").collect(), key=lambda r: (r.id, r.ord)):
         as_rows.setdefault(r.id, set()).add((tuple(r.path), r.kind, r.value_json if r.kind != "map" else None))
+        row_order.setdefault(r.id, []).append((r.path, r.ord))
     for i, (theme, registry, front) in enumerate(triples):
         want = nodes_of(merge(merge(theme, registry), front))
         flat = [(p, k, v) for p, k, v, _ in want]
         assert sorted(in_row[i], key=str) == sorted(flat, key=str)
         assert key_order(in_row[i]) == key_order(flat)
+        assert key_order(row_order.get(i, [])) == key_order(flat) and [o for _, o in row_order.get(i, [])] == list(range(len(flat)))
         assert as_rows.get(i, set()) == {(tuple(p), k, v if k != "map" else None) for p, k, v in flat}
 
 
