@@ -7,10 +7,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.values import let
+from quire import profile as fixed
+from quire.functions.text import fill_template
+from quire.functions.values import footer_line, let, locale_of, or_default
 from quire.functions.yaml import yaml_nodes
 from quire.operators.skew import number_rows
-from quire.profile import Profile
+from quire.profile import DEFAULT_HOMEPAGE, Profile
 
 SEP = "\x1f"
 
@@ -315,15 +317,28 @@ def project_meta(merged: DataFrame, profile: Profile) -> DataFrame:
         f"struct({fields(ns, _OWN)}, __f as badges, __l as badge_links) as pub",
         f"struct({fields('ojs', _OJS)}) as ojs",
         f"{text('footer-template')} as footer_template",
+        "map(" + ", ".join(f"'{name}', {text(f'{ns}.{name}')}" for name, _ in _links(profile)) + ") as links",
     )
 
 
+def _links(profile: Profile) -> tuple[tuple[str, str], ...]:
+    """Link fields with their fall-backs: the journal's home page, and the theme's own."""
+    return (("homepage", DEFAULT_HOMEPAGE), *profile.project_links)
+
+
 def with_defaults(meta: DataFrame, profile: Profile) -> DataFrame:
-    """Fill the fields that have a fall-back: license, colours, running head, footer id, OJS names."""
-    from quire import profile as fixed
-    from quire.functions.values import locale_of, or_default
+    """Fill the fields that have a fall-back: license, colours, running head, footer, links, OJS names.
 
-    pub, ojs = F.col("pub"), F.col("ojs")
+    ``footer`` is the footer template with its marks filled, ``{doi}`` by the
+    article id where there is no DOI; ``{page}`` stays for whoever sets pages.
+    Without a template it is the usual line. ``links`` holds the home page and
+    the profile's ``project_links``, each with its fall-back.
+    """
+    pub, ojs, links = F.col("pub"), F.col("ojs"), F.col("links")
+    footer_id = or_default(pub["doi"], pub["article_id"])
+    marks = {"journal": pub["journal"], "year": pub["year"], "volume": pub["volume"], "doi": footer_id}
+    filled = F.when(F.col("footer_template") != "", fill_template(F.col("footer_template"), marks))
+    filled_links = [x for name, default in _links(profile) for x in (F.lit(name), or_default(links[name], default))]
     return meta.withColumns(
         {
             "locale": locale_of(F.col("lang")),
@@ -332,7 +347,9 @@ def with_defaults(meta: DataFrame, profile: Profile) -> DataFrame:
             "card_bg": or_default(pub["card_bg"], fixed.DEFAULT_CARD_BACKGROUND),
             "card_border": or_default(pub["card_border"], fixed.DEFAULT_CARD_BORDER),
             "running_head": or_default(pub["running_head"], F.col("title")),
-            "footer_id": or_default(pub["doi"], pub["article_id"]),
+            "footer_id": footer_id,
+            "footer": F.coalesce(filled, footer_line(pub["journal"], pub["year"], pub["volume"], pub["doi"], pub["article_id"])),
+            "links": F.create_map(*filled_links),
             "section_ref": F.coalesce(ojs["section_ref"], F.lit(fixed.DEFAULT_SECTION)),
             "user_group_ref": F.coalesce(ojs["user_group_ref"], F.lit(fixed.DEFAULT_USER_GROUP)),
             "uploader": F.coalesce(ojs["uploader"], F.lit(fixed.DEFAULT_UPLOADER)),

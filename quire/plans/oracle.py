@@ -292,6 +292,12 @@ select 'd' || doc_id as manuscript_id, path, strlen(t) as length, way, md5(t) as
 select lang || '%2F..%2F' || doc_id as manuscript_id, 'article.xml' as name, md5(xml) as content_md5 from (""" + _JATS_INPUT + """)""",
     "latex_documents": "select doc_id, 2 as cited, 'b' || n_chars % 2 as last_key from documents where lang = 'en'",
     "dotted_lookup": "select event_id, cast(json_extract_string(props, '$.k') as integer) as k from events",
+    "meta_defaults": """
+select 'D' || doc_id as manuscript_id,
+  case when lang = 'de' then 'J ' || source || ', ' || n_chars || ', vol 3, A' || doc_id
+    else 'J ' || source || ' | ' || n_chars || ' | ' || case when lang = 'en' then '10.1/' else 'A' end || doc_id || ' | p. {page}' end as footer,
+  'CC-BY 4.0' as license, case when lang = 'fr' then 'https://h.test' else '#' end as homepage, 'https://forum.test' as forum_url,
+  case when lang = 'fr' then 'https://hub.test' else 'https://own.test' end as hub_url from documents""",
     "default_fill": """
 select doc_id, case when toxic is null then lang || '_' || upper(lang) else 'en' end as locale,
   case when quality = 1 then 'CC0' else 'CC-BY 4.0' end as license,

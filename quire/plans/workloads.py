@@ -397,6 +397,22 @@ def dotted_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return events.select("event_id", layers.json_lookup(F.col("props"), "k").cast("int").alias("k"))
 
 
+def meta_defaults(spark: SparkSession, sf: str) -> DataFrame:
+    """Footers and links of documents' metadata, by template or not, given or by their fall-backs."""
+    lang, doc = F.col("lang"), F.col("doc_id")
+    profile = Profile(project_links=(("forum-url", "https://forum.test"), ("hub-url", "https://hub.test")))
+    text = _text(
+        "pub:\n  journal: J ", F.col("source"), "\n  year: ", F.col("n_chars"), "\n  volume: 3\n  article-id: A", doc,
+        F.when(lang == "en", _text("\n  doi: 10.1/", doc)).otherwise(""), F.when(lang == "fr", "\n  homepage: https://h.test\n  hub-url: ''").otherwise("\n  hub-url: https://own.test"),
+        F.when(lang != "de", '\nfooter-template: "{journal} | {year} | {doi} | p. {page}"').otherwise(""), "\n",
+    )
+    docs = table(spark, sf, "documents").select(_text("D", doc).alias("manuscript_id"), F.lit("t").alias("theme"), text.alias("y"))
+    parsed = layers.parse_layer(docs, "y", "manuscript_id").select("manuscript_id", F.lit("t").alias("theme"), layers.merge_nodes(F.col("nodes")).alias("nodes"))
+    meta = layers.with_defaults(layers.project_meta(parsed, profile), profile)
+    links = F.col("links")
+    return meta.select("manuscript_id", "footer", "license", *[links[k].alias(k.replace("-", "_")) for k in ("homepage", "forum-url", "hub-url")])
+
+
 def default_fill(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "lang", "source")
     joined = docs.join(table(spark, sf, "labels"), ["doc_id"], "left")

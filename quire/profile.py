@@ -45,6 +45,7 @@ BADGES = (
 # badges whose masthead icon links to a report
 LINKED_BADGES = ("preregistered", "codecheck", "reprocert", "openreview")
 
+DEFAULT_HOMEPAGE = "#"
 DEFAULT_LICENSE = "CC-BY 4.0"
 DEFAULT_ACCENT = "009CCF"
 DEFAULT_CARD_BACKGROUND = "FEFDF6"
