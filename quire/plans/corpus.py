@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import decoded, has_latex_document, normal_path, unix_newlines
 from quire.operators import badges, canonical, findings, jats, layers, package, people, sections, sources
-from quire.profile import BIBLIOGRAPHY_NAME, CANONICAL_NAME, REGISTRY_NAME, SOURCE_SUFFIXES, Profile
+from quire.profile import ARCHIVE_SUFFIX, BIBLIOGRAPHY_NAME, CANONICAL_NAME, REGISTRY_NAME, SOURCE_SUFFIXES, Profile
 from quire.session import settled
 from quire.sources import files as scans
 
@@ -67,8 +67,11 @@ class Corpus:
     @cached_property
     def unpacked(self) -> DataFrame:
         """Inventory with archives replaced by their members, with the bytes of source files only."""
-        raw = scans.scan_bytes(self.spark, self.root)
-        inside = F.col("ext").isin(*SOURCE_SUFFIXES, ".zip") & F.col("area").isin("source", "root")
+        suffixes = [*SOURCE_SUFFIXES, ARCHIVE_SUFFIX, ".bib"]
+        # any case, by name: galleys and figures are listed but not read
+        named = ",".join("*" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in x) for x in suffixes)
+        raw = scans.scan_bytes(self.spark, self.root, f"{{{named}}}")
+        inside = F.col("ext").isin(*SOURCE_SUFFIXES, ARCHIVE_SUFFIX) & F.col("area").isin("source", "root")
         return settled(scans.with_archives(raw.filter(inside | (F.col("ext") == ".bib"))))
 
     def _candidates(self, strict: bool) -> DataFrame:
@@ -187,7 +190,7 @@ class Corpus:
         registry, article = self._file(REGISTRY_NAME), self._file(CANONICAL_NAME)
         unreadable = self.merged.filter(F.col("error").isNotNull())
         placed = self.files.select("manuscript_id", "path").unionByName(self.chosen_bibliography.select("manuscript_id", F.lit(BIBLIOGRAPHY_NAME).alias("path")))
-        broken = scans.broken_archives(scans.scan_bytes(self.spark, self.root, "*.zip"))
+        broken = scans.broken_archives(scans.scan_bytes(self.spark, self.root, "*.[zZ][iI][pP]"))
         unpacking = F.concat(F.lit("cannot unpack "), F.coalesce("member", "archive"), F.lit(": "), "error")
         return settled(
             findings.union_findings(

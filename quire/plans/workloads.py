@@ -457,7 +457,7 @@ def _affiliation_refs(lines: DataFrame) -> DataFrame:
 
 
 def author_affiliations(spark: SparkSession, sf: str) -> DataFrame:
-    lines = _order_lines(spark, sf)
+    lines = settled(_order_lines(spark, sf))  # joined once, read for both sides
     return people.resolve_affiliations(_affiliation_refs(lines), _affiliations(lines), "l_orderkey")
 
 
