@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quire.functions.text import collapse_ws
 from quire.functions.values import galley_filename, optional, orcid_url
 from quire.operators.findings import finding
 from quire.profile import GALLEYS, NO_GALLEYS
+from quire.sources.folders import filesystem
 
 _SWORD = "http://pkp.sfu.ca/SWORD"
 _XSI = "http://www.w3.org/2001/XMLSchema-instance"
+_BYTES = 32 << 20  # of galleys in one batch, or those of one article
 _SCHEMA = "http://pkp.sfu.ca/SWORD native.xsd"
 
 
@@ -95,6 +102,51 @@ def collect_galleys(payloads: DataFrame, key: str = "manuscript_id") -> DataFram
     )
 
 
+def listed_galleys(galleys: DataFrame, key: str = "manuscript_id") -> DataFrame:
+    """(key, galleys): the rendered files of ``galleys_of``, in list order, by name only."""
+    one = F.struct("file_id", "label", "genre", "mimetype", "name")
+    return galleys.filter("found").groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("galleys"))
+
+
+def open_galleys(articles: DataFrame, root: str, key: str = "manuscript_id", galleys: str = "galleys") -> DataFrame:
+    """``articles`` with the ``content`` of each listed galley, read from ``root/manuscripts/<key>/``.
+
+    To be called last: joins before it carry names, and the bytes go from the
+    file to the package without a shuffle. A batch holds one article, or several
+    of together at most ``_BYTES``. A file that is gone has null content.
+    """
+    schema = T.StructType([
+        T.StructField(f.name, T.ArrayType(T.StructType([*f.dataType.elementType.fields, T.StructField("content", T.BinaryType())]))) if f.name == galleys else f
+        for f in articles.schema.fields
+    ])
+    target = to_arrow_schema(schema)
+    at, place = articles.columns.index(key), articles.columns.index(galleys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = filesystem(root)
+
+        def opened(path: str) -> bytes | None:
+            try:
+                with system.open_input_stream(path, compression=None) as source:
+                    return source.read()
+            except FileNotFoundError:
+                return None
+
+        for batch in batches:
+            keys, first, held, rows = batch.column(at).to_pylist(), 0, 0, []
+            for i, listed in enumerate(batch.column(place).to_pylist()):
+                filled = [g | {"content": opened(f"{base}/manuscripts/{keys[i]}/{g['name']}")} for g in listed or ()]
+                rows.append(None if listed is None else filled)
+                held += sum(len(g["content"] or b"") for g in filled)
+                if held >= _BYTES or i + 1 == len(keys):
+                    columns = list(batch.slice(first, i + 1 - first).columns)
+                    columns[place] = pa.array(rows, target.field(place).type)
+                    yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+                    first, held, rows = i + 1, 0, []
+
+    return articles.mapInArrow(run, schema)
+
+
 def _text(locale: Column, value: Column) -> Column:
     return F.struct(locale.alias("_locale"), value.alias("_VALUE"))
 

@@ -228,7 +228,7 @@ class Corpus:
     def packages(self) -> DataFrame:
         """(manuscript_id, article_id, galleys, xml) of the articles that passed and have a galley.
 
-        Ids and metadata are joined first; the rendered bytes come last.
+        Ids, metadata and names are joined; the rendered bytes are read last and not shuffled.
         """
         meta = layers.with_defaults(findings.renderable(self.meta, self.findings), self.profile)
         path, journal = F.col("ojs.journal_path"), F.coalesce(F.col("pub.journal"), F.lit(""))
@@ -238,8 +238,8 @@ class Corpus:
             .join(people.fallback_email(meta, self.authors, path), ["manuscript_id"])
             .join(people.copyright_holder(meta, self.authors, journal), ["manuscript_id"])
         )
-        payloads = scans.scan_galleys(self.spark, self.root).select("manuscript_id", "name", "content")
-        return package.render_packages(described.join(package.collect_galleys(payloads), ["manuscript_id"]))
+        listed = package.listed_galleys(package.galleys_of(meta.select("manuscript_id"), self.files))
+        return package.render_packages(package.open_galleys(described.join(listed, ["manuscript_id"]), self.root))
 
     @cached_property
     def package_findings(self) -> DataFrame:

@@ -291,6 +291,10 @@ select 'd' || doc_id as manuscript_id, path, strlen(t) as length, way, md5(t) as
     "exported_jats": """
 select lang || '%2F..%2F' || doc_id as manuscript_id, 'article.xml' as name, md5(xml) as content_md5 from (""" + _JATS_INPUT + """)""",
     "latex_documents": "select doc_id, 2 as cited, 'b' || n_chars % 2 as last_key from documents where lang = 'en'",
+    "opened_galleys": """
+select cast(doc_id as varchar) as manuscript_id, 0 as pos, 1 as file_id, 'PDF' as label, strlen(text) as size, md5(text) as content_md5 from documents where lang = 'en'
+union all select cast(doc_id as varchar), 1, 3, 'JATS XML', strlen(text), md5(text) from documents where lang = 'en'
+union all select cast(doc_id as varchar), 0, 2, 'HTML', null, null from documents where lang = 'de'""",
     "dotted_lookup": "select event_id, cast(json_extract_string(props, '$.k') as integer) as k from events",
     "meta_defaults": """
 select 'D' || doc_id as manuscript_id,

@@ -890,6 +890,20 @@ def _order_packages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def opened_galleys(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents rendered to files; names are listed first, then the files are opened; one kind is taken away in between."""
+    root = f"{checkpoint_dir(spark)}/quire-galleys-{uuid.uuid4().hex}"
+    docs = table(spark, sf, "documents")
+    names = F.when(F.col("lang") == "en", F.array(F.lit("article.xml"), F.lit("article.pdf"))).when(F.col("lang") == "de", F.array(F.lit("article.html"), F.lit("other.pdf"))).otherwise(F.array(F.lit("notes.txt")))
+    files = docs.select(F.col("doc_id").cast("string").alias("folder"), F.explode(names).alias("file_name"), F.col("text").alias("content"))
+    write_exact(files, f"{root}/manuscripts")
+    ids = docs.select(F.col("doc_id").cast("string").alias("manuscript_id"))
+    listed = package.listed_galleys(package.galleys_of(ids, scans.scan_files(spark, root)))
+    gone = F.transform("galleys", lambda g: g.withField("name", F.when(g["name"] == "article.html", "gone.html").otherwise(g["name"])))
+    opened = package.open_galleys(listed.withColumn("galleys", gone), root)
+    return opened.select("manuscript_id", F.posexplode("galleys").alias("pos", "g")).select("manuscript_id", "pos", "g.file_id", "g.label", F.octet_length("g.content").alias("size"), F.md5("g.content").alias("content_md5"))
+
+
 def package_nested(spark: SparkSession, sf: str) -> DataFrame:
     packed = _order_packages(spark, sf)
     items = F.transform("galleys", lambda g: F.concat_ws(":", g["l_linenumber"].cast("string"), g["quantity"].cast("string")))
