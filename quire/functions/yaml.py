@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import datetime
+import itertools
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,16 +22,12 @@ NODES = T.ArrayType(NODE)
 PARSED = T.StructType([T.StructField("nodes", NODES), T.StructField("error", T.StringType())])
 
 
+_KINDS = {type(None): "null", dict: "map", list: "list", bool: "bool", int: "int", float: "float", str: "str", datetime.date: "date", datetime.datetime: "date"}
+_json = json.JSONEncoder(ensure_ascii=False, default=str).encode
+
+
 def _kind(value: object) -> str:
-    if value is None:
-        return "null"
-    for kind, types in (
-        ("map", dict), ("list", list), ("bool", bool), ("int", int), ("float", float), ("str", str),
-        ("date", (datetime.date, datetime.datetime)),
-    ):
-        if isinstance(value, types):
-            return kind
-    return "str"
+    return _KINDS.get(type(value), "str")
 
 
 def _texted(value: object) -> object:
@@ -41,16 +38,14 @@ def _texted(value: object) -> object:
 
 
 def _walk(tree: dict, path: tuple, out: list) -> None:
+    """Append (path, kind, value as JSON) of every node in document order."""
     for key, value in tree.items():
-        here = (*path, key)
-        kind = _kind(value)
-        if kind == "map":
-            text = None if value else "{}"
-        else:
-            text = json.dumps(value, ensure_ascii=False, default=str)
-        out.append({"path": list(here), "kind": kind, "value_json": text, "ord": len(out)})
+        here, kind = (*path, key), _kind(value)
         if kind == "map":
+            out.append((here, kind, None if value else "{}"))
             _walk(value, here, out)
+        else:
+            out.append((here, kind, _json(value)))
 
 
 def _parse(text: str | None) -> tuple[list, str | None]:
@@ -71,10 +66,23 @@ def _parse(text: str | None) -> tuple[list, str | None]:
     return nodes, None
 
 
-@F.pandas_udf(PARSED)
-def yaml_nodes(texts: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(PARSED)
+def yaml_nodes(texts: pa.Array) -> pa.Array:
     """One row per YAML text: its nodes in document order, or the reason it cannot be read.
 
     Maps are nodes too (``value_json`` is ``{}`` when empty, else null); lists are leaves.
+    The nodes of a whole batch are built as flat arrays.
     """
-    return pd.DataFrame([_parse(t) for t in texts], columns=["nodes", "error"])
+    errors, nodes, places, ends = [], [], [], [0]
+    for text in texts.to_pylist():
+        found, error = _parse(text)
+        nodes += found
+        places += range(len(found))
+        ends.append(len(nodes))
+        errors.append(error)
+    paths = [n[0] for n in nodes]
+    steps = pa.array([step for path in paths for step in path], pa.string())
+    edges = pa.array(itertools.accumulate((len(path) for path in paths), initial=0), pa.int32())
+    fields = [pa.ListArray.from_arrays(edges, steps), *[pa.array([n[k] for n in nodes], pa.string()) for k in (1, 2)], pa.array(places, pa.int32())]
+    flat = pa.StructArray.from_arrays(fields, names=[f.name for f in NODE.fields])
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(errors, pa.string())], names=["nodes", "error"])

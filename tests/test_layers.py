@@ -31,7 +31,7 @@ def merge(base, override):
 def nodes_of(value):
     out = []
     reader._walk(value, (), out)
-    return [(n["path"], n["kind"], n["value_json"], n["ord"]) for n in out]
+    return [(list(path), kind, value, i) for i, (path, kind, value) in enumerate(out)]
 
 
 def key_order(nodes):
