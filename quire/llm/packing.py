@@ -191,8 +191,8 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
 
 
 def placed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``cut`` without ids, task and rank, with ``sequence_id`` and ``offset``."""
-    light = cut.drop("ids")
+    """``cut`` without ids, with ``sequence_id`` and ``offset``; (task, length, rank) still tells every piece apart."""
+    light = cut.drop("ids").withColumn("place", F.col("rank"))
     sizes = settled(light.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
@@ -200,7 +200,7 @@ def placed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     totals = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     rules = cut.sparkSession.sparkContext.broadcast(best_fit(totals, capacity))
     joined = light.join(starts, ["task", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
-    out = joined.drop("task", "before")
+    out = joined.drop("before")
     schema = T.StructType([*out.drop("rank").schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +215,7 @@ def placed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             names = [n for n in batch.schema.names if n != "rank"]
             yield pa.RecordBatch.from_arrays([*[batch[n] for n in names], pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    return out.mapInArrow(run, schema)
+    return out.mapInArrow(run, schema).withColumnRenamed("place", "rank")
 
 
 def pack(
@@ -238,9 +238,13 @@ def pack(
     return cut, placed(digest, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-def sequences(cut: DataFrame, places: DataFrame) -> DataFrame:
-    """The training sequences: sequence_id, ids (bytes), doc_ids in order. A sequence holds at most ``capacity`` pieces."""
-    rows = cut.select("doc_id", "piece", "ids").join(places, ["doc_id", "piece"])
+def sequences(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """The training sequences of ``pack``'s pieces: sequence_id, ids (bytes), doc_ids in order; repeated and null ids included.
+
+    A sequence holds at most ``capacity`` pieces.
+    """
+    key = ["task", "length", "rank"]
+    rows = cut.select(*key, "doc_id", "ids").join(placed(cut, capacity).select(*key, "sequence_id", "offset"), key)
     ordered = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids")))
     packed = rows.groupBy("sequence_id").agg(ordered.alias("p"))
     joined = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))

@@ -73,8 +73,12 @@ def test_pieces_places_and_sequences(spark, documents):
             at += r.length
         assert at == len(ids)
     assert rows.doc_id.nunique() == len(texts)
-    for r in sequences(cut, places).collect():
+    for r in sequences(cut).collect():
         own = rows[rows.sequence_id == r.sequence_id].sort_values("offset")
         assert own.offset.tolist() == [0, *own.length.cumsum().tolist()[:-1]] and len(r.ids) == 4 * own.length.sum() <= 8192
+    again, _ = pack(documents([(1, "a b", "en"), (1, "a b", "en"), (1, "c", "en"), (None, "d", "en"), (None, None, "en")]))
+    found = sequences(again).collect()
+    assert sorted(str(i) for r in found for i in r.doc_ids) == ["1", "1", "1", "None", "None"]
+    assert sum(len(r.ids) for r in found) == 4 * sum(r.length for r in again.select("length").collect())
     assert pack(documents([]))[1].count() == 0
     assert [r.length for r in pack(documents([(None, None, None)]))[1].collect()] == [1]
