@@ -502,7 +502,7 @@ EMAIL = r"[A-Za-z0-9.]+@[A-Za-z0-9.]+\.[a-z]+"
 
 def _correspondents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as the authors of their source, with the first email in the text."""
-    email = F.regexp_extract("text", EMAIL, 0)
+    email = F.when(F.contains("text", F.lit("@")), F.regexp_extract("text", EMAIL, 0)).otherwise("")
     return table(spark, sf, "documents").select(
         F.col("source").alias("manuscript_id"), F.col("doc_id").alias("seq"), email.alias("email"), F.col("lang").alias("family")
     )
