@@ -54,29 +54,53 @@ def positions(calls: DataFrame) -> DataFrame:
     return at.select("id", F.when(F.col("up").isNull(), F.col("d")).alias("position"))
 
 
+def _json_of(fields: dict[str, Column]) -> Column:
+    """One JSON object of keys, given in order, with values that are JSON texts."""
+    parts = [F.concat(F.lit(("{" if i == 0 else ",") + f'"{k}":'), v) for i, (k, v) in enumerate(fields.items())]
+    return F.concat(*parts, F.lit("}"))
+
+
 def linked_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
-    """One row per call identifier: id, name, position, valid, n_results, json.
+    """id, kind, name, position, valid, n_results, json: every call and every result, linked by identifier.
 
     ``calls`` has id, name, arguments (JSON text) and after (the id of the call it follows, or null); ``results`` has id
-    and content. Calls with a null id are left out; of calls with one id the least (by name, arguments, after) counts;
-    of several results the least; results without a call are left out. Arguments that aren't JSON are invalid and written
-    as null. An unknown or null name is invalid. A call that follows an unknown one is first. Empty tables give no rows.
+    and content. Kinds of rows:
+
+    * ``call``, one per identifier, with the least of its results: of calls with one id the least (by name, arguments, after);
+      ``n_results`` counts all results of the id;
+    * ``conflict``: another call of an id that is taken, without position and results, never valid;
+    * ``further``: another result of a call; ``orphan``: a result without a call. ``n_results`` counts its copies.
+
+    Equal calls, and equal results of an id, are one. Arguments that aren't JSON are invalid and written as null;
+    those of an unknown or null name are invalid but written. A call that follows an unknown one is first, one on or behind a ring
+    has no position. Calls and results with a null id link with nothing and are left out. Other columns are ignored, texts
+    may be of any length, and empty tables give no rows.
     """
     least = F.min(F.struct("name", "arguments", "after")).alias("c")
     one = settled(calls.where("id is not null").groupBy("id").agg(least).select("id", "c.name", "c.arguments", "c.after"))
-    given = results.where("id is not null").groupBy("id").agg(F.min("content").alias("content"), F.count(F.lit(1)).alias("n_results"))
-    rows = one.join(positions(one), "id").join(given, "id", "left").withColumn("v", F.try_parse_json("arguments"))
-    fields = {
-        "arguments": F.coalesce(F.to_json("v"), F.lit("null")),
-        "id": quoted_json(F.col("id")),
-        "name": quoted_json(F.col("name")),
-        "position": F.coalesce(F.col("position").cast("string"), F.lit("null")),
-        "result": quoted_json(F.col("content")),
-    }
-    parts = [F.concat(F.lit(("{" if i == 0 else ",") + f'"{k}":'), v) for i, (k, v) in enumerate(fields.items())]
-    return rows.select(
-        "id", "name", "position", validated(F.col("v"), F.col("name"), schemas).alias("valid"), F.coalesce("n_results", F.lit(0)).alias("n_results"), F.concat(*parts, F.lit("}")).alias("json")
-    )
+    taken = one.select("id", F.struct("name", "arguments", "after").alias("c"))
+    same = F.struct("name", "arguments", "after").eqNullSafe(F.col("c"))
+    conflicts = calls.select("id", "name", "arguments", "after").distinct().join(taken, "id").where(~same).drop("c")
+    given = settled(results.where("id is not null").groupBy("id", "content").agg(F.count(F.lit(1)).alias("n")))
+    firsts = given.groupBy("id").agg(F.min("content").alias("content"), F.sum("n").alias("n_results"))
+
+    def written(rows: DataFrame, kind: str) -> DataFrame:
+        rows = rows.withColumn("v", F.try_parse_json("arguments"))
+        arguments, place = F.coalesce(F.to_json("v"), F.lit("null")), F.coalesce(F.col("position").cast("string"), F.lit("null"))
+        text = {"arguments": arguments, "id": quoted_json(F.col("id")), "name": quoted_json(F.col("name")), "position": place, "result": quoted_json(F.col("content"))}
+        valid = validated(F.col("v"), F.col("name"), schemas) if kind == "call" else F.lit(False)
+        return rows.select("id", F.lit(kind).alias("kind"), "name", "position", valid.alias("valid"), F.coalesce("n_results", F.lit(0)).alias("n_results"), _json_of(text).alias("json"))
+
+    linked = written(one.join(positions(one), "id").join(firsts, "id", "left"), "call")
+    nothing = conflicts.select("*", F.lit(None).cast("long").alias("position"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("long").alias("n_results"))
+    known = one.select("id", F.lit(True).alias("known"))
+    others = given.join(firsts.select("id", F.col("content").alias("first")), "id").join(known, "id", "left")
+    others = others.where(F.col("known").isNull() | ~F.col("content").eqNullSafe(F.col("first")))
+    kind = F.when(F.col("known"), "further").otherwise("orphan")
+    text = {"id": quoted_json(F.col("id")), "kind": quoted_json(kind), "result": quoted_json(F.col("content"))}
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("name", "string"), ("position", "long"), ("valid", "boolean"))]
+    loose = others.select("id", kind.alias("kind"), *none, F.col("n").alias("n_results"), _json_of(text).alias("json"))
+    return linked.unionByName(written(nothing, "conflict")).unionByName(loose)
 
 
 def chat_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -121,12 +145,19 @@ parents as (
 depth as (
   select id, cast(0 as bigint) "position" from parents where up is null
   union all select p.id, d."position" + 1 from parents p join depth d on p.up = d.id),
-results as (
-  select conv_id || ':' || (turn - 1) id, min(text) content, count(*) n from conversations
-  where conv_id is not null and turn is not null and role = 'assistant' group by 1)
-select c.id, c.name, d."position", c.name in ('user', 'system', 'tool') and not contains(c.arguments, '{"query":null,') valid, coalesce(r.n, 0) n_results,
+given as (
+  select conv_id || ':' || (turn - 1) id, text content, count(*) n from conversations
+  where conv_id is not null and turn is not null and role = 'assistant' group by 1, 2),
+results as (select id, min(content) content, cast(sum(n) as bigint) n from given group by 1),
+conflicts as (
+  select distinct a.id, a.role as name, a.arguments from args a join calls c using (id) where a.role is distinct from c.name or a.arguments is distinct from c.arguments)
+select c.id, 'call' kind, c.name, d."position", c.name in ('user', 'system', 'tool') and not contains(c.arguments, '{"query":null,') valid, coalesce(r.n, 0) n_results,
   '{"arguments":' || c.arguments || ',"id":"' || c.id || '","name":"' || c.name || '","position":' || d."position" || ',"result":'
   || coalesce(cast(to_json(r.content) as varchar), 'null') || '}' json
 from calls c join depth d using (id) left join results r using (id)
+union all select id, 'conflict', name, null, false, 0, '{"arguments":' || arguments || ',"id":"' || id || '","name":"' || name || '","position":null,"result":null}' from conflicts
+union all select g.id, case when c.id is null then 'orphan' else 'further' end, null, null, null, g.n,
+  '{"id":"' || g.id || '","kind":"' || case when c.id is null then 'orphan' else 'further' end || '","result":' || coalesce(cast(to_json(g.content) as varchar), 'null') || '}'
+from given g join results r using (id) left join calls c using (id) where c.id is null or g.content is distinct from r.content
 """
 }

@@ -12,7 +12,9 @@ CALLS = [
 def test_links_order_and_canonical_json(spark):
     calls = spark.createDataFrame(CALLS, "id string, name string, arguments string, after string")
     results = spark.createDataFrame([("c1", 'two "é"\n'), ("c1", "z"), ("c9", "lost"), (None, "x"), ("c2", None)], "id string, content string")
-    rows = {r.id: r for r in linked_calls(calls, results, SCHEMAS).collect()}
+    found = linked_calls(calls, results, SCHEMAS).collect()
+    assert sorted((r.kind, r.id, r.n_results, json.loads(r.json)["result"], r.valid) for r in found if r.kind != "call") == [("further", "c1", 1, "z", None), ("orphan", "c9", 1, "lost", None)]
+    rows = {r.id: r for r in found if r.kind == "call"}
     assert {k: (r.position, r.valid, r.n_results) for k, r in rows.items()} == {
         "c1": (0, True, 2), "c2": (1, False, 1), "c3": (2, False, 0), "c4": (0, False, 0), "c5": (None, False, 0), "c6": (None, True, 0), "c7": (None, False, 0), "c8": (0, False, 0),
     }
@@ -21,6 +23,21 @@ def test_links_order_and_canonical_json(spark):
     assert json.loads(rows["c1"].json) == {"arguments": {"a": 1, "b": 2}, "id": "c1", "name": "add", "position": 0, "result": 'two "é"\n'}
 
 
+def test_no_call_and_no_result_is_lost(spark):
+    calls = spark.createDataFrame(
+        [("a", "add", '{"a":2}', None, "x"), ("a", "add", '{"a":1}', None, "x"), ("a", "add", '{"a":1}', None, "y"), ("b", "add", '{"a":1}', "a", "z"), (None, "add", "{}", None, "")],
+        "id string, name string, arguments string, after string, Kind string",
+    )
+    long = "w " * 200000
+    results = spark.createDataFrame([("a", "2", 1), ("a", "1", 1), ("a", "1", 1), ("a", None, 1), ("o", "p", 1), ("o", "q", 1), ("n", None, 1), ("b", long, 1)], "id string, content string, position int")
+    found = linked_calls(calls, results, SCHEMAS).collect()
+    got = sorted(((r.id, r.kind, r.position, r.valid, r.n_results, json.loads(r.json).get("arguments"), json.loads(r.json)["result"]) for r in found), key=str)
+    assert got == sorted([
+        ("a", "call", 0, True, 4, {"a": 1}, "1"), ("a", "conflict", None, False, 0, {"a": 2}, None), ("a", "further", None, None, 1, None, "2"), ("a", "further", None, None, 1, None, None),
+        ("b", "call", 1, True, 1, {"a": 1}, long), ("o", "orphan", None, None, 1, None, "p"), ("o", "orphan", None, None, 1, None, "q"), ("n", "orphan", None, None, 1, None, None),
+    ], key=str)
+
+
 def test_long_chain_and_empty_tables(spark):
     calls = spark.createDataFrame([(f"k{i}", "add", "{}", f"k{i - 1}" if i else None) for i in range(300)], "id string, name string, arguments string, after string")
     results = spark.createDataFrame([], "id string, content string")
