@@ -18,4 +18,4 @@ QUERIES = {
     "op13_lines": lines.op13_lines,
 }
 
-ORACLE = {**jaccard.SQL, **tools.SQL, **vectors.SQL, **decontaminate.SQL, **clusters.SQL, **collocations.SQL, **lines.SQL}
+ORACLE = {**jaccard.SQL, **tools.SQL, **suffixes.SQL, **vectors.SQL, **decontaminate.SQL, **clusters.SQL, **collocations.SQL, **lines.SQL}

@@ -26,7 +26,7 @@ GRAM = 8
 SPAN = 20
 RIGHT = LENGTH - SPAN + 1
 LEFT, AHEAD = SPAN, LENGTH + 2  # words of context that an entry holds
-NEAR = 2  # neighbours on each side
+NEAR = 2  # neighbours on each side that are compared word by word
 
 
 def text_keys(found: Words) -> np.ndarray:
@@ -119,39 +119,88 @@ def _contexts(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> Dat
     return settled(source.mapInArrow(run, schema))
 
 
-def _compare(c: np.ndarray, g: np.ndarray, context: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(c, words to the left, words to the right) of sorted neighbours that share ``LENGTH`` words or more."""
-    out = []
-    for step in range(1, NEAR + 1):
-        if len(c) <= step:
-            break
-        a, b = context[:-step], context[step:]
-        equal = (a == b) & (a != 0)
-        right = np.cumprod(equal[:, LEFT:], axis=1, dtype=np.int8).sum(axis=1, dtype=np.int64)
-        left = np.cumprod(equal[:, :LEFT][:, ::-1], axis=1, dtype=np.int8).sum(axis=1, dtype=np.int64)
-        hit = (g[:-step] == g[step:]) & (left + right >= LENGTH)
-        out += [(c[:-step][hit], left[hit], right[hit]), (c[step:][hit], left[hit], right[hit])]
-    return out
+def _compare(g: np.ndarray, context: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words that sorted entries share to the left and right with the entry ``step`` further; none with another ``g``."""
+    a, b = context[:-step], context[step:]
+    equal = (a == b) & (a != 0) & (g[:-step] == g[step:])[:, None]
+    right = np.cumprod(equal[:, LEFT:], axis=1, dtype=np.int8).sum(axis=1, dtype=np.int64)
+    left = np.cumprod(equal[:, :LEFT][:, ::-1], axis=1, dtype=np.int8).sum(axis=1, dtype=np.int64)
+    return left, right
+
+
+_POWERS = np.multiply.accumulate(np.full(LEFT + AHEAD, 0x9E3779B97F4A7C13, np.uint64))
+
+
+def _windows(g: np.ndarray, context: np.ndarray, left: np.ndarray, right: np.ndarray, at: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, words before the minimiser, code) of the windows to look up of the entries ``at``.
+
+    ``left`` and ``right`` are what each entry shares with the next; entries in ``edge`` have a neighbour elsewhere.
+    """
+    l = np.arange(SPAN)
+    # what an entry shares with the one before, then with either
+    before_left, before_right = (np.concatenate([[0], x])[: len(g)] for x in (left, right))
+    reach = np.maximum(before_right, np.concatenate([right, [0]]))
+    reach[edge] = AHEAD
+    has = context != 0
+    there_right = np.cumprod(has[at, LEFT:], axis=1, dtype=np.int8).sum(axis=1, dtype=np.int64)
+    there_left = np.cumprod(has[at, :LEFT][:, ::-1], axis=1, dtype=np.int8).sum(axis=1, dtype=np.int64)
+    wanted = (l <= there_left[:, None]) & (LENGTH - l <= np.minimum(there_right, reach[at])[:, None])
+    wanted &= ~((l <= before_left[at][:, None]) & (LENGTH - l <= before_right[at][:, None]))
+    row, words_before = np.nonzero(wanted)
+    some, row_of = np.unique(row, return_inverse=True)
+    total = np.zeros((len(some), LEFT + AHEAD + 1), np.uint64)
+    np.cumsum(mix(context[at[some]], 21) * _POWERS, axis=1, out=total[:, 1:])
+    first = LEFT - words_before
+    inside = total[row_of, first + LENGTH] - total[row_of, first]  # equal places have equal powers
+    code = mix(inside + mix(g[at[row]].view(np.uint64) + words_before.astype(np.uint64), 22), 23)
+    return at[row], words_before, code.view(np.int64)
+
+
+_FOUND = "c long, left long, right long, g long, context binary, code long"
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches of sorted entries; and, with null ``left``, the entries at both ends, for the partitions beside this one."""
-    names = ["c", "left", "right", "g", "context"]
-    carried, edges, ends = None, [], None
+    """Matches of sorted entries; with ``code``, windows to look up; with null ``left``, entries at both ends of the partition."""
+    names = ["c", "left", "right", "g", "context", "code"]
+    carried, edges, done, first = None, [], 0, True
+
+    def made(c: pa.Array, left: pa.Array, right: pa.Array, g: pa.Array | None = None, context: pa.Array | None = None, code: pa.Array | None = None) -> pa.RecordBatch:
+        n = len(c)
+        rest = [x if x is not None else pa.nulls(n, t) for x, t in ((g, pa.int64()), (context, pa.binary()), (code, pa.int64()))]
+        return pa.RecordBatch.from_arrays([c, left, right, *rest], names=names)
+
+    def looked_up(rows: pa.Table, until: int, last: bool) -> Iterator[pa.RecordBatch]:
+        """The windows of the rows from ``done`` to ``until``."""
+        c, g = rows.column("c").to_numpy(), rows.column("g").to_numpy()
+        context = np.frombuffer(b"".join(rows.column("context").to_pylist()), "<u4").reshape(len(rows), LEFT + AHEAD)
+        left, right = _compare(g, context, 1) if len(rows) > 1 else (np.zeros(0, np.int64),) * 2
+        edge = np.array(([0] if first and done == 0 else []) + ([len(rows) - 1] if last else []), np.int64)
+        row, before, code = _windows(g, context, left, right, np.arange(done, until), edge)
+        yield made(pa.array(c[row]), pa.array(before), pa.array(LENGTH - before), code=pa.array(code))
+
     for batch in batches:
         rows = pa.Table.from_batches([batch]) if carried is None else pa.concat_tables([carried, pa.Table.from_batches([batch])])
+        c, g = rows.column("c").to_numpy(), rows.column("g").to_numpy()
         context = np.frombuffer(b"".join(rows.column("context").to_pylist()), "<u4").reshape(len(rows), LEFT + AHEAD)
-        found = _compare(rows.column("c").to_numpy(), rows.column("g").to_numpy(), context)
-        carried, ends = rows.slice(max(0, len(rows) - NEAR)), rows.slice(max(0, len(rows) - NEAR))
+        for step in range(1, min(NEAR + 1, len(rows))):
+            left, right = _compare(g, context, step)
+            hit = left + right >= LENGTH
+            for ends in (c[:-step][hit], c[step:][hit]):
+                yield made(pa.array(ends), pa.array(left[hit]), pa.array(right[hit]))
         if not edges:
             edges.append(rows.slice(0, NEAR))
-        parts = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3)]
-        none = pa.nulls(len(parts[0]), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(parts[0]), pa.array(parts[1]), pa.array(parts[2]), none, pa.nulls(len(none), pa.binary())], names=names)
-    if edges:
-        both = pa.concat_tables([*edges, ends])
+        if len(rows) - 1 > done:  # the next entry of the last row is not known yet
+            yield from looked_up(rows, len(rows) - 1, False)
+            keep = max(0, len(rows) - max(NEAR, 2))
+            first = first and keep == 0
+            done, carried = len(rows) - 1 - keep, rows.slice(keep)
+        else:
+            carried = rows
+    if carried is not None and len(carried):
+        yield from looked_up(carried, len(carried), True)
+        both = pa.concat_tables([*edges, carried.slice(max(0, len(carried) - NEAR))])
         none = pa.nulls(len(both), pa.int64())
-        yield pa.RecordBatch.from_arrays([both.column("c").combine_chunks(), none, none, both.column("g").combine_chunks(), both.column("context").combine_chunks()], names=names)
+        yield made(both.column("c").combine_chunks(), none, none, both.column("g").combine_chunks(), both.column("context").combine_chunks())
 
 
 def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -176,12 +225,15 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     several = entry.where(F.col("several") & (F.col("left") + F.col("right") >= LENGTH)).select("c", F.col("left").cast("long"), F.col("right").cast("long"))
     ahead = F.substring("context", 4 * LEFT + 1, 4 * AHEAD)
     ordered = entry.select("c", "g", "context", ahead.alias("ahead")).repartitionByRange("g", "ahead").sortWithinPartitions("g", "ahead", "context").drop("ahead")
-    schema = "c long, left long, right long, g long, context binary"
-    near = settled(ordered.mapInArrow(_neighbours, schema))
+    near = settled(ordered.mapInArrow(_neighbours, _FOUND))
     # a few entries of each partition
     edges = near.where("left is null").select("c", "g", "context", F.substring("context", 4 * LEFT + 1, 4 * AHEAD).alias("ahead")).distinct()
-    edges = edges.coalesce(1).sortWithinPartitions("g", "ahead", "context").drop("ahead").mapInArrow(_neighbours, schema)
-    hits = settled(several.union(near.select("c", "left", "right")).union(edges.select("c", "left", "right")).where("left is not null").distinct())
+    edges = edges.coalesce(1).sortWithinPartitions("g", "ahead", "context").drop("ahead").mapInArrow(_neighbours, _FOUND)
+    beside = near.unionByName(edges.where("code is null")).where("left is not null and code is null").select("c", "left", "right")
+    windows = near.where("code is not null").select("code", "c", "left", "right")
+    often = windows.groupBy("code").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("code")
+    far = windows.join(often, "code", "left_semi").select("c", "left", "right")
+    hits = settled(several.union(beside).union(far).distinct())
     spans = found.select("key", "pos", "c").join(hits, "c").select("key", (F.col("pos") - F.col("left")).alias("s"), (F.col("pos") + F.col("right")).alias("e")).distinct()
     order = Window.partitionBy("key").orderBy("s", "e")
     reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -197,3 +249,20 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
 
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated(table(spark, sf_dir, "documents"))
+
+
+SQL = {
+    "op5_suffixes": r"""
+with w as (
+  select row_number() over () r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws
+  from documents where doc_id is not null),
+windows as (select r, i s, array_to_string(ws[i + 1:i + 50], ' ') g from (select r, ws, unnest(range(0, len(ws) - 49)) i from w where len(ws) >= 50)),
+often as (select g from windows group by g having count(*) > 1),
+hits as (select r, s from windows semi join often using (g)),
+marked as (select r, s, case when s > lag(s) over (partition by r order by s) + 50 then 1 else 0 end n from hits),
+parts as (select r, s, sum(n) over (partition by r order by s) p from marked),
+spans as (select r, p, min(s) start_word, max(s) + 50 end_word from parts group by r, p),
+copies as (select ws, count(*) n_docs from w group by ws)
+select doc_id, start_word, end_word, n_docs from spans join w using (r) join copies using (ws)
+"""
+}

@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from quire.llm.paragraphs import bands, without_repeats
 from quire.llm.paragraphs import repeated as repeated_lines
 from quire.llm.suffixes import repeated as repeated_passages
@@ -47,6 +49,21 @@ def test_passages_agree_with_plain_windows(spark, documents):
     assert repeated_passages(documents([])).count() == 0
 
 
+@pytest.mark.parametrize("batch", [7, 1000])
+def test_partners_that_are_no_neighbours_are_found(spark, documents, batch):
+    """A common block of 40 words after a header of 12, before other words: partners lie anywhere among all that have the block."""
+    block, heads = " ".join(f"c{i}" for i in range(40)), [" ".join(f"h{k}x{i}" for i in range(12)) for k in range(50)]
+    texts = [f"{' '.join(f'u{i}a{j}' for j in range(20 + i % 9))} {heads[i % 50]} {block} {' '.join(f't{i}b{j}' for j in range(60))}" for i in range(600)]
+    alone = f"{' '.join(f'v{j}' for j in range(40))} {block} {' '.join(f'z{j}' for j in range(40))}"  # 40 common words are too few
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = sorted((r.doc_id, r.start_word, r.end_word) for r in repeated_passages(documents([*texts, alone], 5)).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == [(i, 20 + i % 9, 72 + i % 9) for i in range(600)]
+
+
 def test_lines_agree_with_all_pairs(spark, documents):
     rng = random.Random(9)
     base = [words(rng, n) for n in (20, 25, 60, 120)]
