@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.jaccard import _starred, joined_up, linked, set_keys, shingle_sets, sketches
-from quire.llm.tables import column, settled, table
+from quire.llm.tables import column, fresh, settled, table
 from quire.llm.words import SPACED, Texts, mix, slices, texts_of, words
 
 MIN_WORDS = 5
@@ -148,8 +148,8 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
 
     Positions are code points. ``component_id`` is the least doc_id of the cluster; ``kept`` marks the cluster's first
     line by doc_id and place, the others are to be removed. A line repeated within one document counts. Null, empty and
-    short-lined texts and rows with a null doc_id have no rows here; of repeated rows one line is kept. An empty table
-    gives none; other columns are ignored. Texts are compared whole.
+    short-lined texts and rows with a null doc_id have no rows here. Rows that share a doc_id and text share their places, so
+    the kept line is kept in each of them. An empty table gives none; other columns are ignored. Texts are compared whole.
     """
     found = _paragraphs(docs, doc_id, text)
     known = settled(found.groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")))
@@ -163,10 +163,14 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
 
 
 def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with all but the kept lines of each cluster taken out of their texts."""
-    gone = repeated(docs, text, doc_id).where("not kept").groupBy(F.col("doc_id").alias("__gone_id"))
-    gone = settled(gone.agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__gone")))
-    joined = docs.join(gone, column(doc_id) == F.col("__gone_id"), "left")
+    """``docs`` with all but the kept lines of each cluster taken out of their texts; other columns, of any name, stay.
+
+    Null ids and texts stay as they are; repeated rows all stay, each with the lines that its doc_id keeps.
+    """
+    owner, lost = fresh(docs, "gone_id"), fresh(docs, "gone_lines")
+    gone = repeated(docs, text, doc_id).where("not kept").groupBy(F.col("doc_id").alias(owner))
+    gone = settled(gone.agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(lost)))
+    joined = docs.join(gone, column(doc_id) == column(owner), "left")
     content = column(text)
 
     def step(done, s):
@@ -174,8 +178,8 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         return F.struct(F.concat(done["out"], piece).alias("out"), (s["end"] + 1).alias("at"))
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    rest = F.aggregate("__gone", start, step, lambda d: F.concat(d["out"], F.substring(content, (d["at"] + 1).cast("int"), F.length(content))))
-    cleaned = F.when(F.col("__gone").isNull(), content).otherwise(rest)
+    rest = F.aggregate(lost, start, step, lambda d: F.concat(d["out"], F.substring(content, (d["at"] + 1).cast("int"), F.length(content))))
+    cleaned = F.when(column(lost).isNull(), content).otherwise(rest)
     return joined.select(*[cleaned.alias(c) if c == text else column(c) for c in docs.columns])
 
 

@@ -116,3 +116,14 @@ def test_lines_of_five_words_and_more_are_compared(spark, documents):
     got = {(r.doc_id, texts[r.doc_id][r.start : r.end], r.kept) for r in repeated_lines(documents(texts)).collect()}
     want = {(0, five, True), (1, five.upper(), False)} | {(0, w, True) for w in wrapped} | {(2, w, False) for w in [*wrapped[:4], near]}
     assert got == want
+
+
+def test_lines_of_null_ids_long_texts_repeated_rows_and_clashing_names(spark, documents):
+    line = "one two three four five six"
+    long = "\n".join(["x y z u v w"] * 5000)
+    rows = [(1, f"{line}\nown", "en"), (2, f"{line}\nmine", "en"), (2, f"{line}\nmine", "en"), (None, line, "en"), (3, None, "en"), (4, long, "en")]
+    docs = documents(rows).withColumnsRenamed({"source": "gone_id", "lang": "Gone_Lines", "n_chars": "__gone"})
+    got = without_repeats(docs)
+    assert got.columns == docs.columns
+    found = sorted((str(r.doc_id), str(r.text)) for r in got.collect())
+    assert found == sorted([("1", f"{line}\nown"), ("2", "mine"), ("2", "mine"), ("None", line), ("3", "None"), ("4", "x y z u v w\n")])
