@@ -10,6 +10,7 @@ nothing but two numbers passes through the driver.
 from __future__ import annotations
 
 import datetime
+import os
 import time
 import zlib
 from collections.abc import Iterator, Sequence
@@ -37,6 +38,24 @@ def filesystem(root: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(root.replace("s3a://", "s3://", 1))
 
 
+def _folder_names(system: fs.FileSystem, top: str, number: int, shares: int) -> Iterator[str]:
+    """Names of the folders in ``top`` that fall into a share; those of a local disk one by one, and no others are looked at."""
+
+    def own(name: str) -> bool:
+        return zlib.crc32(name.encode("utf-8", "surrogateescape")) % shares == number
+
+    if not isinstance(system, fs.LocalFileSystem):
+        found = system.get_file_info(fs.FileSelector(top, allow_not_found=True))
+        yield from (f.base_name for f in found if f.type == fs.FileType.Directory and own(f.base_name))
+        return
+    try:
+        entries = os.scandir(top)
+    except FileNotFoundError:
+        return
+    with entries:
+        yield from (e.name for e in entries if own(e.name) and e.is_dir())
+
+
 @dataclass
 class Share(InputPartition):
     """The folders of one task, and the time marks between which files were modified (microseconds)."""
@@ -64,10 +83,8 @@ class _Folders:
     def _found(self, part: Share) -> Iterator[tuple[fs.FileSystem, str, fs.FileInfo]]:
         system, base = filesystem(self.root)
         top = f"{base}/manuscripts"
-        for folder in system.get_file_info(fs.FileSelector(top, allow_not_found=True)):
-            if folder.type != fs.FileType.Directory or zlib.crc32(folder.base_name.encode()) % part.shares != part.number:
-                continue
-            inside = fs.FileSelector(f"{top}/{folder.base_name}", recursive=True, allow_not_found=True)
+        for folder in _folder_names(system, top, part.number, part.shares):
+            inside = fs.FileSelector(f"{top}/{folder}", recursive=True, allow_not_found=True)
             for info in system.get_file_info(inside):
                 if info.is_file and fnmatchcase(info.base_name, self.pattern) and part.after < info.mtime_ns // 1000 <= part.until:
                     yield system, f"/manuscripts/{info.path[len(top) + 1 :]}", info
@@ -153,8 +170,10 @@ class ManuscriptFolders(DataSource):
 
 
 def _options(spark: SparkSession, content: bool, shares: int | None, pattern: str) -> dict[str, str]:
+    """Every share reads the names of the top folder, so their number follows the cores, not the data."""
     spark.dataSource.register(ManuscriptFolders)
-    return {"shares": str(shares or spark.conf.get("spark.sql.shuffle.partitions")), "content": str(content).lower(), "pattern": pattern}
+    usual = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return {"shares": str(shares or usual), "content": str(content).lower(), "pattern": pattern}
 
 
 def read_folders(spark: SparkSession, root: str, content: bool = False, pattern: str = "*", shares: int | None = None) -> DataFrame:
