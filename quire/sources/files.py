@@ -78,15 +78,21 @@ def _scan_text(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return raw.withColumn("text", unix_newlines("text"))
 
 
-def _in_folder_root(texts: DataFrame) -> DataFrame:
-    """One row per manuscript: only files that lie directly in its folder count."""
-    found = located(texts, F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))))
-    return found.filter(F.col("area") == "root").select("manuscript_id", "text")
+def _scan_articles(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """(manuscript_id, text) of each file called ``name`` that lies directly in a manuscript's folder; line ends become ``\\n``.
+
+    The tasks that list the folders read the files, so that no list of files passes through the driver and small files don't
+    cost a task each few. Empty files and hidden folders have no row, as with Spark's own file sources.
+    """
+    found = located(read_folders(spark, root, content=True, pattern=name), F.col("path"))
+    hidden = F.col("manuscript_id").rlike(r"^(_[^=]*$|\.)") | F.endswith("manuscript_id", F.lit("._COPYING_"))
+    found = found.filter((F.col("area") == "root") & (F.col("length") > 0) & ~hidden)
+    return found.select("manuscript_id", unix_newlines(F.col("content").cast("string")).alias("text"))
 
 
 def scan_canonical(spark: SparkSession, root: str) -> DataFrame:
     """(manuscript_id, front_matter, body, text) of every canonical article."""
-    return canonical_rows(_in_folder_root(_scan_text(spark, f"{root}/manuscripts", CANONICAL_NAME)))
+    return canonical_rows(_scan_articles(spark, root, CANONICAL_NAME))
 
 
 def canonical_rows(texts: DataFrame) -> DataFrame:
@@ -157,7 +163,7 @@ def bibliography_rows(texts: DataFrame) -> DataFrame:
 
 def scan_bibliography(spark: SparkSession, root: str) -> DataFrame:
     """One row per entry of every manuscript's bibliography file."""
-    return bibliography_rows(_in_folder_root(_scan_text(spark, f"{root}/manuscripts", BIBLIOGRAPHY_NAME)))
+    return bibliography_rows(_scan_articles(spark, root, BIBLIOGRAPHY_NAME))
 
 
 def encode_galleys(files: DataFrame) -> DataFrame:
@@ -175,7 +181,7 @@ def scan_galleys(spark: SparkSession, root: str) -> DataFrame:
 
 def scan_jats(spark: SparkSession, root: str) -> DataFrame:
     """(manuscript_id, xml) of the rendered article XML."""
-    texts = _in_folder_root(_scan_text(spark, f"{root}/manuscripts", GALLEYS[2][0]))
+    texts = _scan_articles(spark, root, GALLEYS[2][0])
     return texts.withColumnRenamed("text", "xml")
 
 

@@ -115,3 +115,21 @@ def test_archives_are_opened_where_they_lie(spark, tmp_path):
     assert got == [("", 0, None, True), ("source/a/one.tex", 10, b"1" * 10, False), ("source/big.bin", 3 << 20, None, True), ("source/two.tex", 0, b"", False)]
     whole = scans.unpack_archives(str(tmp_path), files).where("error is null")
     assert {r.path: len(r.content) for r in whole.collect()} == {"source/a/one.tex": 10, "source/big.bin": 3 << 20, "source/two.tex": 0}
+
+
+def test_articles_are_read_by_the_tasks_that_list(spark, tmp_path):
+    for i in range(60):
+        write(tmp_path / f"manuscripts/m {i}+%41/article.qmd", "---\r\na: 1\r\n---\r\nx" if i else "")
+    write(tmp_path / "manuscripts/m 1+%41/sub/article.qmd", "not the article")
+    for hidden in ("_T", ".h"):
+        write(tmp_path / f"manuscripts/{hidden}/article.qmd", "hidden")
+    spark.conf.set("spark.sql.shuffle.partitions", "1000")
+    try:
+        inventory, articles = scans.scan_files(spark, str(tmp_path)), scans.scan_canonical(spark, str(tmp_path))
+        for found in (inventory, articles):  # each share reads all names of the top folder; a file source would list on the driver
+            assert found.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+            assert "FileScan" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted((r.manuscript_id, r.front_matter, r.body) for r in articles.collect()) == sorted((f"m {i}+%41", "a: 1", "x") for i in range(1, 60))
+    assert inventory.count() == 63
