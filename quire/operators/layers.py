@@ -202,8 +202,12 @@ def _top_rank(which: Callable[[Column], Column]) -> Column:
 
 
 def theme_rank(nodes: DataFrame, key: str = "manuscript_id") -> DataFrame:
-    """(key, path, rank): the highest layer that sets each path, masks not considered."""
-    return nodes.groupBy(key, "path").agg(F.max("rank").alias("rank"))
+    """(key, path, rank): the highest layer that sets each path, masks not considered.
+
+    Rows are dealt out first: layers lie in different tasks, so combining before the shuffle would only hold nearly all
+    paths of a task in memory.
+    """
+    return nodes.select(key, "path", "rank").repartition(key, "path").groupBy(key, "path").agg(F.max("rank").alias("rank"))
 
 
 # --- lookups -----------------------------------------------------------------

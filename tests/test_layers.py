@@ -98,3 +98,11 @@ def test_lookup_needs_exact_keys(spark):
     assert one.select(layers.get_path(F.col("n"), "a.b").alias("v")).first().v == "1"
     json = spark.createDataFrame([('{"a": {"b": 3}, "a.b": 4}',), ("not json",)], "j string")
     assert [r.v for r in json.select(layers.json_lookup(F.col("j"), "a.b").alias("v")).collect()] == ["3", None]
+
+
+def test_theme_ranks_are_dealt_out_before_they_are_combined(spark):
+    rows = spark.createDataFrame([(1, ["a"], 0), (1, ["a"], 2), (1, ["a", "b"], 1), (2, ["a"], 0)], "id int, path array<string>, rank int")
+    ranked = layers.theme_rank(rows, "id")
+    assert sorted((r.id, r.path, r["rank"]) for r in ranked.collect()) == [(1, ["a"], 2), (1, ["a", "b"], 1), (2, ["a"], 0)]
+    plan = ranked._jdf.queryExecution().sparkPlan().toString()
+    assert plan.rindex("HashAggregate") < plan.index("RepartitionByExpression" if "RepartitionByExpression" in plan else "Exchange")
