@@ -4,46 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _MICROS, _NUMBER = "micros", "number"
 
 
 class _Latest(StatefulProcessor):
-    """Keeps the greatest version of a key; only a greater one is given out. The state goes ``keep`` ms after its time."""
+    """Keeps the greatest version of a key; only a greater one is given out. The state goes ``keep`` ms after its time.
+
+    Every call of the state store is a round trip, so a key has one timer at a time: a newer version leaves it as it is, and
+    a timer that comes too early for the version then held is set anew.
+    """
 
     def __init__(self, keep: int, out: Sequence[str]) -> None:
         self.keep, self.out = keep, list(out)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.best = handle.getValueState("best", "version string, timer long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        held = self.best.get() if self.best.exists() else None
-        version, timer = (held[0], held[1]) if held else (None, None)
-        best = None
-        for part in rows:
-            last = part.sort_values([_MICROS, _NUMBER], kind="stable").iloc[[-1]]
-            found = f"{int(last[_MICROS].iloc[0]):020d}{last[_NUMBER].iloc[0]}"
-            if version is None or found > version:
-                version, best = found, last
-        if best is None:
+        self.handle, self.row = handle, Row(*self.out)
+        self.best = handle.getValueState("best", "version string, due long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        last = max(rows, key=lambda r: (r[_MICROS], r[_NUMBER]))
+        version = f"{last[_MICROS]:020d}{last[_NUMBER]}"
+        held = self.best.get()
+        if held is not None and version <= held[0]:
             return
-        if timer is not None:
-            self.handle.deleteTimer(timer)
-        timer = int(best[_MICROS].iloc[0]) // 1000 + self.keep
-        self.handle.registerTimer(timer)
-        self.best.update((version, timer))
-        yield best[self.out].reset_index(drop=True)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        self.best.clear()
+        due = last[_MICROS] // 1000 + self.keep
+        if held is None:
+            self.handle.registerTimer(due)
+        self.best.update((version, due))
+        yield self.row(*[last[c] for c in self.out])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: object) -> Iterator[Row]:
+        held = self.best.get()
+        if held is not None and held[1] > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(held[1])
+        else:
+            self.best.clear()
         return iter(())
 
     def close(self) -> None:
@@ -72,12 +74,12 @@ def latest_bounded(
     columns = list(dict.fromkeys([*keys, event_time, *keep]))
     rows = stream.where(F.col(event_time).isNotNull()).withWatermark(event_time, delay)
     rows = rows.select(*columns, F.unix_micros(F.col(event_time)), number)
-    # plain names on the way: rows become named tuples there, which rename what is no plain name
+    # plain names on the way: any are allowed, and some may be those of the version's columns
     plain = [f"c{i}" for i in range(len(columns))]
     rows = rows.toDF(*plain, _MICROS, _NUMBER)
     groups = rows.groupBy(*[plain[columns.index(k)] for k in keys])
     schema = T.StructType([rows.schema[c] for c in plain])
-    return groups.transformWithStateInPandas(_Latest(max(late, held), plain), schema, "Update", "EventTime").toDF(*columns)
+    return groups.transformWithState(_Latest(max(late, held), plain), schema, "Update", "EventTime").toDF(*columns)
 
 
 def _milliseconds(stream: DataFrame, delay: str) -> int:

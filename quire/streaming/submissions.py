@@ -142,27 +142,33 @@ def publish_incremental(
 
 
 def run_available(
-    stream: DataFrame, name: str, mode: str, reader: Callable[[str], DataFrame] | None = None
+    stream: DataFrame, name: str, mode: str, reader: Callable[[str], DataFrame] | None = None, partitions: int | None = None
 ) -> DataFrame:
     """Run everything that has arrived through a stream and return the sink's rows.
 
     The state and the result live below ``spark.checkpoint.dir``; the result is
-    the last complete batch, written by the executors.
+    the last complete batch, written by the executors. ``partitions`` is the number
+    of tasks that hold the state, by default that of all shuffles.
     """
     spark = stream.sparkSession
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
     base = f"{checkpoint_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    query = (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(save)
-        .option("checkpointLocation", f"{base}/state")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions or usual)
+        query = (
+            stream.writeStream.outputMode(mode)
+            .foreachBatch(save)
+            .option("checkpointLocation", f"{base}/state")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
     if reader is not None:
         return reader(f"{base}/out")
     rows = spark.read.parquet(f"{base}/out")

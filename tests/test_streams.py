@@ -1,10 +1,12 @@
 import datetime
+import glob
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from quire.plans import workloads
+from quire.session import checkpoint_dir
 from quire.streaming import submissions
 from quire.streaming.bounded import latest_bounded
 
@@ -90,6 +92,18 @@ def test_late_pushes_do_not_overwrite_and_state_falls(spark, tmp_path):
     assert sorted(map(tuple, best.collect())) == [("a", 3), ("b", 4), ("c", 2)]
 
 
+def test_a_push_of_several_files_is_one_batch(spark, tmp_path):
+    source, states = "/root/testdata/sf0.001", f"{checkpoint_dir(spark)}/quire-bounded-*"
+    if not os.path.isdir(source):
+        pytest.skip("benchmark tables are not here")
+    spark.read.parquet(f"{source}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    before = set(glob.glob(states))
+    got = workloads.bounded_latest_stream(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, workloads.latest_revision(spark, source).collect()))
+    (state,) = set(glob.glob(states)) - before
+    assert len(glob.glob(f"{state}/out/batch=*")) < 10  # five pushes, and batches without rows that only let state go
+
+
 def test_a_batch_reads_the_prefixes_of_its_own_keys(spark, tmp_path):
     folder, table = str(tmp_path / "in"), str(tmp_path / "table")
     push(folder, "p0", [(f"k{i}", 1, 1, "h") for i in range(300)], spark)
