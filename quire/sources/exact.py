@@ -1,9 +1,10 @@
 """Files of exact names as a data source: a batch either puts all its files in place or none.
 
-Tasks write below a staging folder of the job, each attempt below a folder of its own. The commit only names the attempts
-that count; files of failed, repeated or speculative attempts are never looked at. A second job then moves the files of
-those attempts to their places, a rename each; it can be repeated, since what is moved is no longer there. The driver sees a
-row a task.
+Tasks write below a staging folder of the job, each attempt below a folder of its own: numbered files, in portions of
+``_PORTION`` with a list of their places. The commit only names the attempts that count; files of failed, repeated or
+speculative attempts are never looked at. A second job then moves the files of those attempts to their places, a rename each,
+portion by portion; it can be repeated, since what is moved is no longer there. The driver sees a row a portion, and staging
+holds few folders, which the driver takes away.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from quire.functions.values import safe_name
 from quire.sources.folders import filesystem
 
 FORMAT = "exact_files"
+_PORTION = 4096  # files
+_PLACES = "places.json"
 
 
 @dataclass
@@ -46,15 +49,24 @@ class _Writer(DataSourceWriter):
         system, staging = self._staging()
         task = TaskContext.get()
         name = f"{task.partitionId() if task else 0}-{task.attemptNumber() if task else 0}-{uuid.uuid4().hex[:8]}"
-        system.create_dir(f"{staging}/{name}", recursive=True)
-        made: set[str] = set()
+        places: list[str] = []
+        portion = 0
+
+        def listed() -> None:
+            with system.open_output_stream(f"{staging}/{name}/{portion}/{_PLACES}", compression=None) as out:
+                out.write(json.dumps(places).encode())
+
         for row in iterator:
-            parent = f"{staging}/{name}/{row['folder']}"
-            if parent not in made:
-                system.create_dir(parent, recursive=True)
-                made = made | {parent} if len(made) < 10000 else {parent}
-            with system.open_output_stream(f"{parent}/{row['file_name']}", compression=None) as out:
+            if not places:
+                system.create_dir(f"{staging}/{name}/{portion}", recursive=True)
+            with system.open_output_stream(f"{staging}/{name}/{portion}/{len(places)}", compression=None) as out:
                 out.write(bytes(row["content"]))
+            places.append(f"{row['folder']}/{row['file_name']}")
+            if len(places) == _PORTION:
+                listed()
+                places, portion = [], portion + 1
+        if places:
+            listed()
         return Attempt(name)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -87,14 +99,23 @@ def _moved(folder: str, job: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = filesystem(folder)
         for batch in batches:
-            for name in batch.column("attempt").to_pylist():
+            for name in batch.column("portion").to_pylist():
+                made: set[str] = set()
                 top, n = f"{base}/.staging-{job}/{name}", 0
-                for info in system.get_file_info(fs.FileSelector(top, recursive=True)):
-                    if info.is_file:
-                        target = f"{base}/{info.path[len(top) + 1 :]}"
-                        system.create_dir(target.rsplit("/", 1)[0], recursive=True)
-                        system.move(info.path, target)
+                with system.open_input_stream(f"{top}/{_PLACES}", compression=None) as source:
+                    places = json.loads(source.read())
+                for i, place in enumerate(places):
+                    target = f"{base}/{place}"
+                    parent = target.rsplit("/", 1)[0]
+                    if parent not in made:
+                        system.create_dir(parent, recursive=True)
+                        made.add(parent)
+                    try:
+                        system.move(f"{top}/{i}", target)
                         n += 1
+                    except FileNotFoundError:  # moved by an attempt before this one
+                        if system.get_file_info(target).type != fs.FileType.File:
+                            raise
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["files"])
 
     return run
@@ -122,9 +143,12 @@ def write_exact(files: DataFrame, folder: str) -> int:
     staging = f"{base}/.staging-{job}"
     with system.open_input_stream(f"{staging}/committed.json", compression=None) as source:
         attempts = json.loads(source.read())
-    n = 0
-    if attempts:
-        rows = spark.createDataFrame([(a,) for a in attempts], "attempt string").repartition(len(attempts), "attempt")
+    n, portions = 0, [f"{a}/{p.base_name}" for a in attempts for p in system.get_file_info(fs.FileSelector(f"{staging}/{a}", allow_not_found=True))]
+    if portions:
+        # dealt out one by one, so that no task gets many of them
+        tasks = min(len(portions), 4 * spark.sparkContext.defaultParallelism)
+        rows = spark.createDataFrame([(i % tasks, p) for i, p in enumerate(portions)], "task int, portion string")
+        rows = rows.repartitionByRange(tasks, "task").select("portion")
         n = rows.mapInArrow(_moved(folder, job), "files long").agg(F.sum("files")).first()[0] or 0
     system.delete_dir(staging)
     return n

@@ -3,10 +3,12 @@ import os
 import time
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import write
+from quire.sources import exact
 from quire.sources import files as scans
 from quire.sources.exact import ExactFiles, _Writer, write_exact
 from quire.sources.folders import read_folders
@@ -99,6 +101,18 @@ def test_only_committed_attempts_count(spark, tmp_path):
     assert f'["{good.folder}"]' == (tmp_path / ".staging-j/committed.json").read_text()
 
 
+def test_staging_holds_few_folders_and_a_repeated_move_changes_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact, "_PORTION", 3)
+    writer = _Writer(str(tmp_path), "j")
+    attempt = writer.write(iter([{"folder": f"f{i}/g", "file_name": "x", "content": b"%d" % i} for i in range(7)])).folder
+    staging = tmp_path / ".staging-j" / attempt
+    assert sorted(os.listdir(staging)) == ["0", "1", "2"] and listed(staging / "2") == ["0", "places.json"]
+    for moved in (7, 0):
+        batch = pa.RecordBatch.from_arrays([pa.array([f"{attempt}/{p}" for p in range(3)])], names=["portion"])
+        assert sum(b.column(0)[0].as_py() for b in exact._moved(str(tmp_path), "j")(iter([batch]))) == moved
+        assert [(tmp_path / f"f{i}/g/x").read_text() for i in range(7)] == list("0123456")
+
+
 def test_archives_are_opened_where_they_lie(spark, tmp_path):
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
