@@ -16,6 +16,7 @@ import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from fnmatch import fnmatchcase
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
@@ -28,6 +29,7 @@ _START = -(1 << 62)
 _END = 1 << 62
 _BYTES = 16 << 20  # of contents in one Arrow batch, or one longer file
 _ROWS = 4096
+_FEW = 64  # folders a share, at most which what lies in them is dealt out
 _EPOCH = datetime.datetime(1970, 1, 1, tzinfo=datetime.timezone.utc)
 
 
@@ -56,14 +58,30 @@ def _folder_names(system: fs.FileSystem, top: str, number: int, shares: int) ->
         yield from (e.name for e in entries if own(e.name) and e.is_dir())
 
 
+def _few(system: fs.FileSystem, top: str, most: int) -> bool:
+    """Whether ``top``, on a local disk, holds at most so many names; no more of them are looked at."""
+    if not isinstance(system, fs.LocalFileSystem):
+        return False
+    try:
+        entries = os.scandir(top)
+    except FileNotFoundError:
+        return False
+    with entries:
+        return sum(1 for _ in islice(entries, most + 1)) <= most
+
+
 @dataclass
 class Share(InputPartition):
-    """The folders of one task, and the time marks between which files were modified (microseconds)."""
+    """What one task lists, and the time marks between which files were modified (microseconds).
+
+    Folders in ``top`` go to shares by name, or, where these are ``few``, what lies in them does.
+    """
 
     number: int
     shares: int
     after: int
     until: int
+    few: bool = False
 
 
 class _Folders:
@@ -78,16 +96,37 @@ class _Folders:
         self.every = float(options.get("every", "0"))
 
     def shared(self, after: int, until: int) -> list[Share]:
-        return [Share(i, self.shares, after, until) for i in range(self.shares)]
+        system, base = filesystem(self.root)
+        few = _few(system, f"{base}/manuscripts", _FEW * self.shares)
+        return [Share(i, self.shares, after, until, few) for i in range(self.shares)]
+
+    def _inside(self, system: fs.FileSystem, top: str, part: Share) -> Iterator[fs.FileInfo]:
+        """Files in the folders of a share."""
+        if not part.few:
+            for folder in _folder_names(system, top, part.number, part.shares):
+                yield from system.get_file_info(fs.FileSelector(f"{top}/{folder}", recursive=True, allow_not_found=True))
+            return
+        for folder in _folder_names(system, top, 0, 1):
+            try:
+                entries = os.scandir(f"{top}/{folder}")
+            except FileNotFoundError:  # taken away since it was listed
+                continue
+            with entries:
+                for e in entries:
+                    if zlib.crc32(f"{folder}/{e.name}".encode("utf-8", "surrogateescape")) % part.shares != part.number:
+                        continue
+                    inside = f"{top}/{folder}/{e.name}"
+                    if e.is_dir():
+                        yield from system.get_file_info(fs.FileSelector(inside, recursive=True, allow_not_found=True))
+                    else:
+                        yield system.get_file_info(inside)
 
     def _found(self, part: Share) -> Iterator[tuple[fs.FileSystem, str, fs.FileInfo]]:
         system, base = filesystem(self.root)
         top = f"{base}/manuscripts"
-        for folder in _folder_names(system, top, part.number, part.shares):
-            inside = fs.FileSelector(f"{top}/{folder}", recursive=True, allow_not_found=True)
-            for info in system.get_file_info(inside):
-                if info.is_file and fnmatchcase(info.base_name, self.pattern) and part.after < info.mtime_ns // 1000 <= part.until:
-                    yield system, f"/manuscripts/{info.path[len(top) + 1 :]}", info
+        for info in self._inside(system, top, part):
+            if info.is_file and fnmatchcase(info.base_name, self.pattern) and part.after < info.mtime_ns // 1000 <= part.until:
+                yield system, f"/manuscripts/{info.path[len(top) + 1 :]}", info
 
     def read(self, part: Share) -> Iterator[pa.RecordBatch]:
         paths, lengths, times, contents, held = [], [], [], [], 0

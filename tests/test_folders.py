@@ -33,6 +33,18 @@ def test_many_tasks_list_many_folders(spark, tmp_path):
     assert texts["m1"] == "a: 1" and texts["m2"] == "" and len(texts) == 300
 
 
+def test_many_tasks_list_what_lies_in_few_folders(spark, tmp_path):
+    for i in range(300):
+        write(tmp_path / f"manuscripts/m{i % 2}/d{i}/article.xml", "x" * i)
+    write(tmp_path / "manuscripts/m0/top.md", "t")
+    write(tmp_path / "manuscripts/m0/d0/a/b/deep.md", "")
+    found = read_folders(spark, str(tmp_path), content=True, shares=7)
+    shares = found.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(shares) == 7 and max(r["count"] for r in shares) < 100
+    want = [(f"/manuscripts/m{i % 2}/d{i}/article.xml", i) for i in range(300)] + [("/manuscripts/m0/top.md", 1), ("/manuscripts/m0/d0/a/b/deep.md", 0)]
+    assert sorted((r.path, len(r.content)) for r in found.collect()) == sorted(want)
+
+
 def test_no_folder_yet(spark, tmp_path):
     assert read_folders(spark, str(tmp_path)).count() == 0
 
