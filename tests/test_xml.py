@@ -1,6 +1,9 @@
+import tracemalloc
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quire.functions.xml import front_of
+from quire.functions.xml import front_of, tokens_of
 from quire.operators import jats
 
 SCOPES = jats.SCOPES
@@ -71,3 +74,17 @@ def test_broken_and_null_articles_stay_as_they_are(spark):
 def test_errors_as_rows(spark):
     df = spark.createDataFrame([("a", "<article/>"), ("b", "<x"), ("c", "<y/>"), ("d", None)], "manuscript_id string, xml string")
     assert sorted(r.manuscript_id for r in jats.jats_errors(df).collect()) == ["b", "c"]
+
+
+def test_objects_of_a_portion_only_are_held():
+    text = "<article><front><article-meta>" + "<volume a='1'>v</volume>" * 10 + "</article-meta></front></article>"
+    texts = pa.array([text, None] * 5000)
+    tracemalloc.start()
+    try:
+        found = tokens_of(texts, ("article-meta",))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found) == 10000 and found[1].as_py() is None and len(found[9998].as_py()["elements"]) == 10
+    assert peak < 10 << 20
+    assert len(tokens_of(pa.array([], pa.string()), ("article-meta",))) == 0
