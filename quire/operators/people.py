@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import split_name, strip
 from quire.functions.values import noreply
 from quire.operators.layers import json_at
-from quire.operators.skew import number_rows
 
 
 def _items(json_list: Column) -> Column:
@@ -113,12 +112,14 @@ def resolve_affiliations(refs: DataFrame, affiliations: DataFrame, key: str = "m
     """(key, seq, pos, number, name) of each reference: listed affiliation, else inline name, else dropped.
 
     An inline affiliation is numbered after those its author already has, which
-    may repeat a number of the list.
+    may repeat a number of the list. The references of one author come from one
+    row, so a window over an author holds few, and it leaves the rows in place for
+    what is grouped by author next.
     """
     listed = affiliations.select(key, F.col("aff_id").alias("ref"), F.col("number").alias("listed"), F.col("name").alias("listed_name"))
     found = refs.join(listed, [key, "ref"], "left")
     kept = found.filter(F.col("listed").isNotNull() | F.col("inline_name").isNotNull())
-    numbered = number_rows(kept, [key, "seq"], [F.col("pos")], "n")
+    numbered = kept.withColumn("n", F.row_number().over(Window.partitionBy(key, "seq").orderBy("pos")))
     return numbered.select(
         key,
         "seq",

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import references, skew
+from quire.operators import people, references, skew
 
 
 @pytest.fixture
@@ -86,3 +86,12 @@ def test_author_lists_up_to_and_past_twenty(spark):
     assert got["three"].bibliography_authors == "N00, N01, & N02"
     assert got["twenty"].bibliography_authors == ", ".join(f"N{i:02d}" for i in range(19)) + ", & N19"
     assert got["many"].bibliography_authors == ", ".join(f"N{i:02d}" for i in range(19)) + ", . . . N24"
+
+
+def test_affiliations_of_an_author_are_numbered_in_place(spark):
+    refs = spark.createDataFrame([("m", 0, 0, "a", None), ("m", 0, 2, None, "In"), ("m", 0, 1, "gone", None), ("m", 1, 0, None, "In"), ("n", 0, 5, "a", "x")], "manuscript_id string, seq int, pos int, ref string, inline_name string")
+    listed = spark.createDataFrame([("m", "a", 7, "A")], "manuscript_id string, aff_id string, number int, name string")
+    found = people.resolve_affiliations(refs, listed)
+    # not written between and read again, and ready for what is grouped by author
+    assert "FileScan" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [("m", 0, 0, 7, "A"), ("m", 0, 2, 2, "In"), ("m", 1, 0, 1, "In"), ("n", 0, 5, 1, "x")]
