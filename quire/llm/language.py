@@ -25,6 +25,8 @@ SAMPLE = 600
 #: A text is rejected below this share of the cosine that 199 of 200 learned texts of the language exceed.
 REJECT = 0.25
 UNKNOWN = "und"
+PORTION_BYTES = 1 << 18
+PORTION_TEXTS = 256
 
 _FOLD = np.full(256, 0x20, np.uint8)  # what isn't a letter separates words
 _FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -35,6 +37,15 @@ _LETTER &= _FOLD != 0x20
 _SALTS = (7, 8)
 
 
+def portions(texts: Texts) -> Iterator[tuple[int, int, Texts]]:
+    """Slices of few bytes and few texts: each byte takes some 100 bytes on the way to ``counts``, and each text several rows of them."""
+    for first, last, part in slices(texts, PORTION_BYTES):
+        for at in range(first, last, PORTION_TEXTS):
+            end = min(last, at + PORTION_TEXTS)
+            start, stop = part.offsets[at - first], part.offsets[end - first]
+            yield at, end, Texts(part.data[start:stop], part.offsets[at - first : end - first + 1] - start)
+
+
 def counts(texts: Texts) -> np.ndarray:
     """Counts of hashed pairs and triples of bytes, one row per text."""
     n = len(texts)
@@ -96,7 +107,7 @@ def _frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DIMENSIONS + 1, np.int64), 0
         for batch in batches:
-            for first, last, part in slices(texts_of(batch.column(0))):
+            for first, last, part in portions(texts_of(batch.column(0))):
                 total[:-1] += (counts(part) > 0).sum(axis=0)
                 n += last - first
         total[-1] = n
@@ -142,7 +153,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, rejec
 
     def cluster(key: tuple, group: pa.Table) -> pa.Table:
         group = group.sort_by([("h", "ascending"), ("t", "ascending")])
-        vectors = np.concatenate([weighted(counts(part), idf) for _, _, part in slices(texts_of(group.column("t")))])
+        vectors = np.concatenate([weighted(counts(part), idf) for _, _, part in portions(texts_of(group.column("t")))])
         vectors = vectors[np.linalg.norm(vectors, axis=1) > 0.5]
         if not len(vectors):
             return pa.table({"lang": pa.array([], pa.string()), "c": pa.array([], pa.binary()), "least": pa.array([], pa.float64())})
@@ -166,7 +177,7 @@ def _own(chosen: DataFrame, idf: np.ndarray, centers: np.ndarray, langs: list[st
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, part in slices(texts_of(batch.column("t"))):
+            for first, last, part in portions(texts_of(batch.column("t"))):
                 best = np.argmax(weighted(counts(part), idf) @ centers.T, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(best), batch.column("lang").slice(first, last - first)], names=["c", "lang"])
 
@@ -197,7 +208,7 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", learn: Col
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few vectors for each language
 
     def compute(batch: pa.Array) -> Iterator[tuple[int, int, list[pa.Array]]]:
-        for first, last, part in slices(texts_of(batch)):
+        for first, last, part in portions(texts_of(batch)):
             found, score, rejected = shared.value.predict(part)
             yield first, last, [pa.array(found.tolist(), pa.string()), pa.array(score), pa.array(rejected)]
 

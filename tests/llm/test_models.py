@@ -1,12 +1,16 @@
 """Language and quality: accuracy on rows held out, and odd inputs."""
 
 import os
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm.language import identify, known, op4_language, remainder
+from quire.llm.language import counts, identify, known, op4_language, portions, remainder
 from quire.llm.quality import op7_quality, score
+from quire.llm.words import texts_of
 
 FOLDER = "/root/testdata/sf0.01"
 here = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="benchmark tables are not here")
@@ -71,3 +75,18 @@ def test_quality_of_odd_rows(spark, documents):
     assert len(rows) == len(ODD) and all(0 <= r.score <= 1 for r in rows)
     one = score(documents(ODD), labels.where("quality = 1"), F.lit(True)).collect()
     assert {r.score for r in one} == {1.0}
+
+
+def test_language_portions_are_small():
+    words = [f"word{i}" for i in range(3000)] + ["long text " * 60000, "", "end"]
+    texts = texts_of(pa.array(words))
+    tracemalloc.start()
+    try:
+        found = [(first, last, counts(part).sum(axis=1)) for first, last, part in portions(texts)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [f for f, _, _ in found] == [0, *[last for _, last, _ in found[:-1]]] and found[-1][1] == len(words)
+    assert peak < 150 << 20
+    whole = np.concatenate([c for _, _, c in found])
+    assert (whole[:3000] == counts(texts_of(pa.array(words[:3000]))).sum(axis=1)).all() and whole[3001] == 0
