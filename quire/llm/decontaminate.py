@@ -25,7 +25,7 @@ from quire.llm.words import ALNUM, runs, slices, texts_of, window_codes, words
 
 WINDOW = 13
 BLOCK_CHARS = 4_000_000
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 1_000_000
 _SAMPLE = 8  # every so many text positions, the index keeps the suffix's place
 
 

@@ -12,7 +12,7 @@ with the least of them only, and the signatures are pre-aggregated in every batc
 A bucket in which all comparisons succeed is connected. In the others, members that the links so far leave apart are
 compared with one another, in blocks; buckets with the same members count once.
 
-Before two sets are compared, their sketches are: the parities of their shingles in hash cells, of at most a quarter of the
+Before two sets are compared, their sketches are: the parities of their shingles in hash cells, of at most a sixteenth of the
 sets' own size. The number of parities that differ is a lower bound, and a close one, of the number of shingles that one
 of the sets lacks, so pairs beyond the allowed number need no look at the sets, and no link is lost.
 """
@@ -58,9 +58,9 @@ def linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sketches(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """Of each set, the parity of its shingles in a power of two of hash cells, 8 to 16 a shingle; one bit a cell."""
+    """Of each set, the parity of its shingles in a power of two of hash cells, 2 to 4 a shingle; one bit a cell."""
     size = np.diff(bounds)
-    cells = np.maximum(64, 1 << np.ceil(np.log2(8 * np.maximum(size, 1))).astype(np.int64))
+    cells = np.maximum(64, 1 << np.ceil(np.log2(2 * np.maximum(size, 1))).astype(np.int64))
     base = np.concatenate([[0], np.cumsum(cells)])
     owner = np.repeat(np.arange(len(size)), size)
     spot = base[owner] + (mix(values, 12) % cells[owner].astype(np.uint64)).astype(np.int64)

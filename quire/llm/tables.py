@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -14,13 +15,26 @@ from quire.session import checkpoint_dir
 
 Compute = Callable[[pa.Array], Iterable[tuple[int, int, list[pa.Array]]]]
 
+#: Bytes of an Arrow batch. A task holds a few batches at a time, in the JVM and in Python, whatever the length of the rows.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of this session hold at most ``BATCH_BYTES``, or one row that is longer; a lower setting stays."""
+    number, unit = re.match(r"(\d+)\s*([kmgtp]?)", spark.conf.get(_BATCH).strip().lower()).groups()
+    if int(number) * 1024 ** ("kmgtp".index(unit) + 1 if unit else 0) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def settled(df: DataFrame) -> DataFrame:
     """Write once below ``spark.checkpoint.dir`` and read from there: cuts lineage, survives lost executors."""
+    bounded(df.sparkSession)
     path = f"{checkpoint_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -48,6 +62,7 @@ def extended(df: DataFrame, text: str, fields: list[tuple[str, T.DataType]], com
     ``compute`` gets a batch's texts and gives, for consecutive ranges of them, (first, last + 1, a column per field).
     Column names don't matter on the way, so any are allowed.
     """
+    bounded(df.sparkSession)
     new = {n.lower() for n, _ in fields}
     safe = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     kept = [i for i, c in enumerate(df.columns) if c.lower() not in new]

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19  # each byte takes some 60 on the way to codes
 
 _P = 0x9E3779B97F4A7C13  # odd, and 3 modulo 8: neighbours that change places keep different codes
 _INVERSE = pow(_P, -1, 1 << 64)
