@@ -147,9 +147,15 @@ def scan_theme(spark: SparkSession, root: str) -> DataFrame:
     return texts.select(F.regexp_extract("path", r"/themes/([^/]+)/", 1).alias("theme"), "text")
 
 
+def dealt(texts: DataFrame) -> DataFrame:
+    """The rows spread evenly over two tasks a core: a small file of many short texts is else one task's work."""
+    spark = texts.sparkSession
+    return texts.repartition(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+
+
 def bibliography_rows(texts: DataFrame) -> DataFrame:
     """(manuscript_id, key, type, fields, authors, year, title, doi) of (manuscript_id, text) BibTeX rows."""
-    entries = texts.select("manuscript_id", F.posexplode(bib_entries(F.col("text"))).alias("pos", "e"))
+    entries = dealt(texts.select("manuscript_id", "text")).select("manuscript_id", F.posexplode(bib_entries(F.col("text"))).alias("pos", "e"))
     parsed = entries.select("manuscript_id", "pos", "e.key", "e.type", "e.fields")
     year = F.coalesce(F.col("fields")["year"], F.substring(F.col("fields")["date"], 1, 4))
     return parsed.select(

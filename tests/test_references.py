@@ -86,3 +86,11 @@ def test_given_names_where_initials_agree(spark):
     rows = [("m", "1", [("Smith", "Jane")], "2020", "t"), ("m", "2", [("Smith", "John")], "2020", "t"), ("m", "3", [("Smith", None)], "2020", "t")]
     assert cited(spark, rows) == {"1": ("J. Smith", 1, "a"), "2": ("J. Smith", 1, "b"), "3": ("Smith", 1, None)}
     assert cited(spark, rows, given="full") == {"1": ("Jane Smith", 1, None), "2": ("John Smith", 1, None), "3": ("Smith", 1, None)}
+
+
+def test_bibliographies_of_one_input_task_are_parsed_by_many(spark):
+    text = F.concat(F.lit("@misc{k"), F.col("id"), F.lit(", title = {T}}"))
+    one = spark.range(0, 400, 1, 1).select(F.col("id").alias("manuscript_id"), text.alias("text"))
+    rows = bibliography_rows(one).select("manuscript_id", "key", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.manuscript_id, r.key) for r in rows) == [(i, f"k{i}") for i in range(400)]
+    assert len({r.task for r in rows}) > 1
