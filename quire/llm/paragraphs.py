@@ -1,10 +1,17 @@
 """Repeated paragraphs: MinHash bands of word shingles, exact verification, and clusters by components.
 
-A paragraph is a line. Lines of fewer than ``MIN_WORDS`` words, which hold no whole shingle, are left alone. Lines with equal sets of five-word shingles
+``repeated`` compares lines, ``passages`` sentences wherever lines end, and joins adjacent repeated ones to passages.
+
+Lines: a paragraph is a line. Lines of fewer than ``MIN_WORDS`` words, which hold no whole shingle, are left alone. Lines with equal sets of five-word shingles
 share a key and need no comparison. The others meet where all rows of a band of MinHash values agree; the number of bands
 is tuned so that of two lines at the threshold at least ``RECALL`` meet. In a bucket each line is compared with the least
 one, by exact Jaccard similarity, and where that fails with those that links leave apart, as in the join of whole documents.
 Links are joined up. Buckets are pre-aggregated in every batch.
+
+Sentences: a unit ends with a sentence or a blank line; what is longer than ``LONG`` words is cut at words that its content
+chooses, so equal passages have equal units whatever is around them and however they are wrapped. All units are compared,
+those of fewer than five words as one sequence. Each of the ``n // 5 + 1`` least MinHash values of a set of ``n`` shingles is a
+band of its own: sets at the threshold share one of them for certain, and sets of fewer than 4 link with equal ones only.
 """
 
 from __future__ import annotations
@@ -14,18 +21,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.jaccard import _starred, joined_up, linked, set_keys, shingle_sets, sketches
+from quire.llm.jaccard import SHINGLE, _starred, joined_up, linked, set_keys, shingle_sets, sketches
 from quire.llm.tables import column, fresh, settled, table
-from quire.llm.words import SPACED, Texts, mix, slices, texts_of, words
+from quire.llm.words import SPACED, Texts, Words, distinct, mix, runs, slices, texts_of, window_codes, words
 
 MIN_WORDS = 5
 ROWS = 2
 RECALL = 0.9995
 SIMILARITY = 0.8
+LONG = 32  # words of a unit beyond which its content chooses where it is cut
+CUT = 8  # one word in so many ends a unit there
+PASSAGE = 40  # words that adjacent repeated units must have together
+FIELD = 1 << 28  # bits of the field of keys to be compared, at most
+PAGE = 1 << 16  # bits of a page of it
+
+_MARKS = np.frombuffer(b".!?", np.uint8)
+_CLOSERS = np.frombuffer(b"\"')]", np.uint8)
+_LEAST = 4  # smaller sets link with none but equal ones
 
 
 def bands(rows: int = ROWS, recall: float = RECALL, similarity: float = SIMILARITY) -> int:
@@ -71,6 +87,21 @@ def _paragraphs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return settled(source.mapInArrow(run, schema))
 
 
+def _bucketed(sigs: list[np.ndarray], keys: list[np.ndarray]) -> pa.RecordBatch:
+    """(sig, a, b) of a batch: each key of a signature beside the least one, whose own b is null."""
+    sig = np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64)
+    key = np.concatenate(keys) if keys else sig
+    order = np.lexsort((key, sig))
+    sig, key = sig[order], key[order]
+    new = np.ones(len(sig), bool)
+    new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
+    sig, key = sig[new], key[new]
+    head = np.ones(len(sig), bool)
+    head[1:] = sig[1:] != sig[:-1]
+    least = key[np.flatnonzero(head)][np.cumsum(head) - 1] if len(sig) else key
+    return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(least), pa.array(key, mask=head)], names=["sig", "a", "b"])
+
+
 def _candidates(docs: DataFrame, text: str) -> DataFrame:
     """(sig, a, b): lines that agree in a band; b is to be compared with a."""
     source = docs.select(column(text).cast("string").alias("t"))
@@ -96,17 +127,7 @@ def _candidates(docs: DataFrame, text: str) -> DataFrame:
                         code = mix(code + np.minimum.reduceat(mix(item, 40 + band * ROWS + row), heads), 2)
                     sigs.append(code)
                     keys.append(key)
-            sig = np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64)
-            key = np.concatenate(keys) if keys else sig
-            order = np.lexsort((key, sig))
-            sig, key = sig[order], key[order]
-            new = np.ones(len(sig), bool)
-            new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
-            sig, key = sig[new], key[new]
-            head = np.ones(len(sig), bool)
-            head[1:] = sig[1:] != sig[:-1]
-            least = key[np.flatnonzero(head)][np.cumsum(head) - 1] if len(sig) else key
-            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(least), pa.array(key, mask=head)], names=["sig", "a", "b"])
+            yield _bucketed(sigs, keys)
 
     rows = source.mapInArrow(run, "sig long, a long, b long")
     return rows.repartition("sig").sortWithinPartitions("sig", "a").mapInArrow(_starred, "sig long, a long, b long")
@@ -128,6 +149,11 @@ def _links(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, found: Dat
                 yield pa.RecordBatch.from_arrays([pa.array(set_keys(values, bounds)).filter(mask), sets.filter(mask)], names=["key", "items"])
 
     sets = settled(source.mapInArrow(run, "key long, items binary").join(places.select("key"), "key", "left_semi").dropDuplicates(["key"]))
+    return _compared(pairs, sets)
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sets (key, items) are similar enough."""
     joined = pairs.join(sets.select(F.col("key").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("key").alias("a"), F.col("items").alias("x")), "a")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,5 +209,146 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return joined.select(*[cleaned.alias(c) if c == text else column(c) for c in docs.columns])
 
 
+def units(texts: Texts) -> tuple[Words, np.ndarray]:
+    """The words of the texts, and the bounds of their units: sentences, or parts of long ones."""
+    found = words(texts, SPACED)
+    n = len(found.start)
+    if not n:
+        return found, np.zeros(1, np.int64)
+    last = texts.data[found.end - 1]
+    closed = np.isin(last, _CLOSERS) & (found.end - found.start > 1)
+    last = np.where(closed, texts.data[found.end - 1 - closed], last)
+    cut = np.isin(last, _MARKS)
+    breaks = np.concatenate([[0], np.cumsum(texts.data == 10)])
+    cut[:-1] |= breaks[found.start[1:]] - breaks[found.end[:-1]] > 1
+    cut[found.bounds[1:][found.bounds[1:] > 0] - 1] = True
+    edges = np.concatenate([[0], np.flatnonzero(cut) + 1])
+    size = np.diff(edges)
+    cut |= np.repeat(size > LONG, size) & (found.code % np.uint64(CUT) == 0)
+    return found, np.concatenate([[0], np.flatnonzero(cut) + 1])
+
+
+def unit_sets(part: Texts) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, bounds of the units, shingles of each, their bounds) of some texts."""
+    found, edges = units(part)
+    first, length, per = runs(edges, SHINGLE)
+    return found, edges, *distinct(window_codes(found.code, first, length, SHINGLE), per)
+
+
+def _units(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, row, at, start, end, w0, w1, key) of every unit: its number, code points and words, and the key of its set."""
+    content = column(text).cast("string")
+    source = docs.select(column(doc_id).alias("doc_id"), F.xxhash64(content).alias("row"), content.alias("t")).where("doc_id is not null")
+    added = [T.StructField(n, T.IntegerType()) for n in ("at", "start", "end", "w0", "w1")]
+    schema = T.StructType([source.schema[0], source.schema[1], *added, T.StructField("key", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, part in slices(texts_of(batch.column(2))):
+                found, edges, values, bounds = unit_sets(part)
+                if len(edges) == 1:
+                    continue
+                owner = np.searchsorted(found.bounds, edges[:-1], "right") - 1
+                points = np.concatenate([[0], np.cumsum((part.data & 0xC0) != 0x80)])
+                origin = points[part.offsets[owner]]
+                ordinal = np.arange(len(owner)) - np.searchsorted(owner, owner)
+                columns = [ordinal, points[found.start[edges[:-1]]] - origin, points[found.end[edges[1:] - 1]] - origin, edges[:-1] - found.bounds[owner], edges[1:] - found.bounds[owner]]
+                rows = batch.slice(first, last - first).select([0, 1]).take(pa.array(owner))
+                yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(c, pa.int32()) for c in columns), pa.array(set_keys(values, bounds))], names=schema.names)
+
+    return settled(source.mapInArrow(run, schema))
+
+
+def _unit_candidates(docs: DataFrame, text: str) -> DataFrame:
+    """(sig, a, b): units of different sets that share one of their least values; b is to be compared with a."""
+    source = docs.select(column(text).cast("string").alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs, keys = [], []
+            for _, _, part in slices(texts_of(batch.column(0))):
+                _, _, values, bounds = unit_sets(part)
+                key, one = np.unique(set_keys(values, bounds), return_index=True)
+                size = np.diff(bounds)[one]
+                several = size >= _LEAST
+                key, one, n = key[several], one[several], size[several] // 5 + 1
+                # shingles are codes in ascending order, so the least values come first
+                sigs.append(values[np.repeat(bounds[one], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
+                keys.append(np.repeat(key, n))
+            yield _bucketed(sigs, keys)
+
+    rows = source.mapInArrow(run, "sig long, a long, b long")
+    return settled(rows.repartition("sig").sortWithinPartitions("sig", "a").mapInArrow(_starred, "sig long, a long, b long"))
+
+
+def _field(keys: DataFrame) -> bytes:
+    """A bit for each of these keys: at most ``FIELD`` bits (32 MB) reach the driver, in pages."""
+    size, n = PAGE, keys.count()
+    while size < min(32 * n, FIELD):
+        size *= 2
+    coded = keys.select(F.pmod("key", F.lit(size)).alias("code")).select("code", F.floor(F.col("code") / PAGE).cast("int").alias("page"))
+
+    def paged(key: tuple, group: pa.Table) -> pa.Table:
+        bits = np.zeros(PAGE, np.uint8)
+        bits[group.column("code").to_numpy() % PAGE] = 1
+        return pa.table({"page": [key[0].as_py()], "bits": [np.packbits(bits, bitorder="little").tobytes()]}, schema=pa.schema([("page", pa.int32()), ("bits", pa.binary())]))
+
+    out = bytearray(size // 8)
+    for r in coded.groupBy("page").applyInArrow(paged, "page int, bits binary").collect():
+        out[r["page"] * (PAGE // 8) : (r["page"] + 1) * (PAGE // 8)] = r["bits"]
+    return bytes(out)
+
+
+def _unit_sets(docs: DataFrame, text: str, needed: DataFrame) -> DataFrame:
+    """(key, n, sketch, items) of the sets that are needed, and of few others: only these are shuffled."""
+    source = docs.select(column(text).cast("string").alias("t"))
+    field = docs.sparkSession.sparkContext.broadcast(_field(needed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(field.value, np.uint8)
+        for batch in batches:
+            for _, _, part in slices(texts_of(batch.column(0))):
+                _, _, values, bounds = unit_sets(part)
+                key, one = np.unique(set_keys(values, bounds), return_index=True)
+                code = key % (8 * len(bits))
+                one = one[(bits[code >> 3] >> (code & 7).astype(np.uint8)) & 1 == 1]
+                one = one[np.diff(bounds)[one] >= _LEAST]
+                n = np.diff(bounds)[one]
+                ends = np.concatenate([[0], np.cumsum(n)])
+                items = values[np.repeat(bounds[one], n) + np.arange(n.sum()) - np.repeat(ends[:-1], n)]
+                sets = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(items.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(set_keys(items, ends)), pa.array(n), sketches(items, ends), sets], names=["key", "n", "sketch", "items"])
+
+    return settled(source.mapInArrow(run, "key long, n long, sketch binary, items binary").dropDuplicates(["key"]))
+
+
+def passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = PASSAGE) -> DataFrame:
+    """(component_id, doc_id, start, end, kept, passage) of every unit of a passage that is repeated.
+
+    A passage is a stretch of adjacent units of one text, of ``least`` words or more together, that each stand, or nearly stand
+    (Jaccard similarity of five-word shingles of 0.8 or more, and what such links lead to), elsewhere too, within the same
+    text or in another. Line ends don't matter. Positions are code points; ``passage`` is where the passage starts.
+    ``component_id`` is the least doc_id of the unit's cluster within passages; ``kept`` marks its first place there. Null,
+    empty and shorter texts and rows with a null doc_id have no rows; rows of one doc_id and text share their places, and each
+    counts. Rows of one doc_id and other texts are told apart. An empty table gives none; other columns are ignored.
+    """
+    found = _units(docs, doc_id, text)
+    usable = docs.where(column(doc_id).isNotNull())
+    candidates = _unit_candidates(usable, text)
+    sets = _unit_sets(usable, text, candidates.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    groups = joined_up(candidates, sets.select("key", "n", "sketch"), lambda pairs: _compared(pairs, sets.select("key", "items")))
+    several = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    several = several.join(groups.withColumnRenamed("node", "key"), "key", "full")
+    named = found.join(several.select("key", F.coalesce("component", "key").alias("cluster")), "key")
+    texts = Window.partitionBy("doc_id", "row")
+    named = named.withColumn("run", F.col("at") - F.dense_rank().over(texts.orderBy("at")))
+    stretch = Window.partitionBy("doc_id", "row", "run")
+    named = named.withColumn("words", F.max("w1").over(stretch) - F.min("w0").over(stretch)).withColumn("passage", F.min("start").over(stretch))
+    whole = settled(named.where(F.col("words") >= least).select("cluster", "doc_id", F.col("start").cast("long"), F.col("end").cast("long"), F.col("passage").cast("long")))
+    place = F.struct("doc_id", "start")
+    firsts = whole.groupBy("cluster").agg(F.min(place).alias("first"))
+    return whole.join(firsts, "cluster").select(F.col("first.doc_id").alias("component_id"), "doc_id", "start", "end", (place == F.col("first")).alias("kept"), "passage")
+
+
 def op8_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated(table(spark, sf_dir, "documents"))
+    return passages(table(spark, sf_dir, "documents"))

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from quire.llm.paragraphs import bands, without_repeats
+from quire.llm.paragraphs import bands, passages, without_repeats
 from quire.llm.paragraphs import repeated as repeated_lines
 from quire.llm.suffixes import repeated as repeated_passages
 
@@ -127,3 +127,90 @@ def test_lines_of_null_ids_long_texts_repeated_rows_and_clashing_names(spark, do
     assert got.columns == docs.columns
     found = sorted((str(r.doc_id), str(r.text)) for r in got.collect())
     assert found == sorted([("1", f"{line}\nown"), ("2", "mine"), ("2", "mine"), ("None", line), ("3", "None"), ("4", "x y z u v w\n")])
+
+
+def plain_passages(texts, least):
+    """Units by regular expressions (no sentence over 32 words), all pairs of sets, stretches by a walk."""
+    units = []
+    for i, t in enumerate(texts):
+        at, own = 0, []
+        for part in re.split(r"((?<=[.!?])[\x20\x09-\x0D]+|(?<=[.!?]['\")\]])[\x20\x09-\x0D]+|[\x20\x09\x0B-\x0D]*\n[\x20\x09\x0B-\x0D]*\n[\x20\x09-\x0D]*)", t or ""):
+            if split(part):
+                own.append((i, at + len(part) - len(part.lstrip()), at + len(part.rstrip()), split(part)))
+            at += len(part)
+        units.append(own)
+    flat = [u for own in units for u in own]
+    sets = [frozenset(tuple(u[3][k : k + 5]) for k in range(max(1, len(u[3]) - 4))) for u in flat]
+    label, changed = list(range(len(flat))), True
+    while changed:
+        changed = False
+        for a in range(len(flat)):
+            for b in range(a):
+                if label[a] != label[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+                    changed = True
+    found, place = [], 0
+    for own in units:
+        runs = [[]]
+        for k, u in enumerate(own):
+            if label.count(label[place + k]) > 1:
+                runs[-1].append((label[place + k], u))
+            else:
+                runs.append([])
+        place += len(own)
+        found += [(c, u, run[0][1][1]) for run in runs if sum(len(u[3]) for _, u in run) >= least for c, u in run]
+    first = {}
+    for c, u, _ in found:
+        first[c] = min(first.get(c, u[:2]), u[:2])
+    return {(first[c][0], *u[:3], u[:2] == first[c], start) for c, u, start in found}
+
+
+def test_passages_agree_with_all_pairs_of_sentences(spark, documents):
+    rng = random.Random(11)
+
+    def sentence(n):
+        return words(rng, n).capitalize() + rng.choice([".", "!", "?", '."'])
+
+    def wrapped(t, width):
+        w = t.split(" ")
+        return "\n".join(" ".join(w[i : i + width]) for i in range(0, len(w), width))
+
+    shared = [[sentence(rng.choice([1, 2, 4, 7, 9, 14, 25])) for _ in range(8)] for _ in range(5)]
+    texts = [None, "", "  \n\n ", "Short. Short. Short."]
+    for k in range(25):
+        own = [sentence(rng.randrange(1, 20)) for _ in range(3)]
+        some = list(shared[k % 5])
+        if k % 3 == 1:
+            some[5] = f"Also {some[5]}"  # a near copy if it is long, a gap if not
+        texts.append(wrapped(" ".join(own[:2]), 9) + rng.choice([" ", "\n\n", "\n"]) + wrapped(" ".join(some), 5 + k % 7) + " " + own[2])
+    texts += ["É ü: ein Wort. " + texts[7], "No mark at its end\n\n" + texts[9], texts[9]]
+    for least in (20, 40):
+        got = [tuple(r) for r in passages(documents(texts, 5), least=least).select("component_id", "doc_id", "start", "end", "kept", "passage").collect()]
+        want = plain_passages(texts, least)
+        assert len(want) > 100 and len(got) == len(want) and set(got) == want
+    assert passages(documents([])).count() == 0
+
+
+def test_passages_across_lines_are_found_and_short_common_lines_are_not(spark, documents):
+    rng = random.Random(12)
+    passage = words(rng, 80).split()  # no marks: cut where its words say
+    wrap = [" ".join(passage[:40]) + "\n" + " ".join(passage[40:]), "\n".join(" ".join(passage[i : i + 4]) for i in range(0, 80, 4))]
+    line = "all of this is free to use"
+    texts = [f"{words(rng, 30)} {wrap[0]} {words(rng, 20)}", f"{words(rng, 11)}.\n{wrap[1]}\n{words(rng, 50)}", f"{line}\n\n{words(rng, 60)}", f"{words(rng, 60)}\n\n{line}"]
+    rows = [*enumerate(texts), (None, texts[0]), (4, texts[2]), (4, words(rng, 70))]
+    docs = documents([(i, t, "en") for i, t in rows])
+    found = {}
+    for r in passages(docs).collect():
+        t = texts[r.doc_id] if r.doc_id < 4 else texts[2]
+        found.setdefault(r.doc_id, []).extend(t[r.start : r.end].split())
+    assert set(found) == {0, 1, 2, 4} and set(found[0]) == set(found[1]) <= set(passage) and len(found[0]) >= 40
+    assert sorted(found[2]) == sorted(found[4]) == sorted(texts[2].split())
+
+
+def test_sets_that_link_share_one_of_their_least_values():
+    rng = random.Random(13)
+    for _ in range(20000):
+        common = [rng.random() for _ in range(rng.randrange(1, 40))]
+        a, b = (sorted(common + [rng.random() for _ in range(rng.randrange(0, 9))]) for _ in range(2))
+        if a != b and 100 * len(common) >= 80 * (len(a) + len(b) - len(common)):
+            assert min(len(a), len(b)) >= 4 and set(a[: len(a) // 5 + 1]) & set(b[: len(b) // 5 + 1])
