@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import strip
@@ -85,29 +85,58 @@ def section_tree(cut: DataFrame, key: str = "manuscript_id") -> DataFrame:
     from the top down to the heading. ``number`` counts numbered siblings, below the parent's number (``1.2.3``); headings
     marked unnumbered, and all below them, have none and aren't counted. What stands before the first heading is no row.
 
-    The last heading of each of the six levels, as of a row, is all that its ancestors can be: each is one running maximum,
-    the stack of a left-to-right walk. The three windows share one shuffle by article.
+    One walk over an article's headings, collected in one row as its text was. ``contents`` gives the same from bodies.
     """
-    heads = cut.where(F.col("level") > 0)
-    before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    levels = range(1, 7)
-    above = [F.max(F.when(F.col("level") == n, F.col("pos"))).over(before) for n in levels]
-    placed = heads.select("*", *[a.alias(f"__p{n}") for n, a in zip(levels, above, strict=True)])
-    # a level's last heading is above this one if it is smaller and no smaller one came after it
-    closed = {n: F.greatest(F.lit(-1), F.lit(-1), *[F.coalesce(F.col(f"__p{m}"), F.lit(-1)) for m in range(1, n)]) for n in levels}
-    open_ = {n: (F.col("level") > n) & (F.coalesce(F.col(f"__p{n}"), F.lit(-2)) > closed[n]) for n in levels}
-    parent = F.array_max(F.array(*[F.when(open_[n], F.col(f"__p{n}")) for n in levels]))
-    placed = placed.withColumn("parent", parent)
-    siblings = Window.partitionBy(key, "parent").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = F.when(~F.col("unnumbered"), 1)
-    placed = placed.withColumn("__n", F.when(~F.col("unnumbered"), F.count(numbered).over(siblings)))
-    last = {n: F.max(F.when(F.col("level") == n, F.struct("pos", F.col("title").alias("title"), F.col("__n").alias("n")))).over(before) for n in levels}
-    chain = F.array_compact(F.array(*[F.when(open_[n], last[n]) for n in levels]))
-    placed = placed.withColumn("__chain", chain)
-    whole = F.col("__n").isNotNull() & F.forall("__chain", lambda c: c["n"].isNotNull())
-    numbers = F.concat(F.transform("__chain", lambda c: c["n"].cast("string")), F.array(F.col("__n").cast("string")))
-    path = F.concat(F.transform("__chain", lambda c: c["title"]), F.array("title"))
-    return placed.select(*cut.columns, "parent", F.when(whole, F.array_join(numbers, ".")).alias("number"), path.alias("path"))
+    rows = cut.where(F.col("level") > 0).groupBy(F.col(key).alias("__key"))
+    heads = F.array_sort(F.collect_list(F.struct(*cut.columns)), lambda a, b: F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0))
+    types = {c: dict(cut.dtypes)[c] for c in cut.columns}
+    return rows.agg(heads.alias("h")).select(F.explode(_tree(F.col("h"), types)).alias("t")).select("t.h.*", "t.parent", "t.number", "t.path")
+
+
+def contents(bodies: DataFrame, key: str = "manuscript_id", body: str = "body") -> DataFrame:
+    """``section_tree`` of the ``sections`` of bodies, made where the bodies are: no shuffle and no sorting."""
+    cut = F.transform(
+        split_sections(F.col(body)),
+        lambda s, i: F.struct(i.alias("pos"), *[s[c].alias(c) for c in ("level", "title", "unnumbered", "text")]),
+    )
+    types = {"pos": "int", "level": "int", "title": "string", "unnumbered": "boolean", "text": "string"}
+    tree = bodies.select(key, F.explode(_tree(F.filter(cut, lambda s: s["level"] > 0), types)).alias("t"))
+    return tree.select(key, "t.h.*", "t.parent", "t.number", "t.path")
+
+
+def _tree(heads: Column, types: dict[str, str]) -> Column:
+    """Array of ``struct(h, parent, number, path)`` of an article's headings ``h`` in order.
+
+    The stack holds the open headings below a root of level 0, each with how many numbered ones it has had so far. Only the
+    start is cast, to types that allow nulls everywhere; in every step a cast would copy all that is there so far.
+    """
+    fields = ", ".join(f"`{c}`: {t}" for c, t in types.items())
+    opened = f"struct<level: int, pos: {types['pos']}, numbered: int, number: string, path: array<string>>"
+    made = f"array<struct<h: struct<{fields}>, parent: {types['pos']}, number: string, path: array<string>>>"
+    root = F.struct(*[F.lit(v).alias(n) for n, v in (("level", 0), ("pos", None), ("numbered", 0), ("number", ""))], F.array().alias("path"))
+    start = F.struct(F.array(root).cast(f"array<{opened}>").alias("stack"), F.array().cast(made).alias("out"))
+
+    def step(done: Column, h: Column) -> Column:
+        def under(stack: Column) -> Column:
+            up = F.element_at(stack, -1)
+            count = up["numbered"] + F.when(h["unnumbered"], 0).otherwise(1)
+            own = F.concat(F.when(up["number"] == "", "").otherwise(F.concat(up["number"], F.lit("."))), count.cast("string"))
+            row = F.struct(F.when(~h["unnumbered"], own).alias("number"), F.concat(up["path"], F.array(h["title"])).alias("path"))
+            parent = F.struct(*[(count if n == "numbered" else up[n]).alias(n) for n in ("level", "pos", "numbered", "number", "path")])
+
+            def grown(r: Column) -> Column:
+                head = F.struct(h["level"].cast("int").alias("level"), h["pos"].alias("pos"), F.lit(0).alias("numbered"), r["number"].alias("number"), r["path"].alias("path"))
+                line = F.struct(h.alias("h"), up["pos"].alias("parent"), r["number"].alias("number"), r["path"].alias("path"))
+                return F.struct(
+                    F.concat(F.slice(stack, 1, F.size(stack) - 1), F.array(parent, head)).alias("stack"),
+                    F.concat(done["out"], F.array(line)).alias("out"),
+                )
+
+            return let(row, grown)
+
+        return let(F.filter(done["stack"], lambda x: x["level"] < h["level"]), under)
+
+    return F.aggregate(heads, start, step, lambda done: done["out"])
 
 
 def extract_citations(bodies: DataFrame, key: str = "manuscript_id", body: str = "body") -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 from quire.functions.text import collapse_ws, macro_argument
 from quire.operators import sections
 
@@ -41,3 +43,25 @@ def test_every_kind_of_white_space_collapses(spark):
     text = "".join(f"a{s}b {s}c{s} d{s}{s}" for s in spaces) + "​᠎"
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(collapse_ws(df["t"]).alias("x")).first().x == " ".join(["a", "b", "c", "d"] * len(spaces)) + " ​᠎"
+
+
+def test_contents_of_bodies_are_those_of_their_sections(spark):
+    rng = random.Random(3)
+    bodies = [(f"m{i}", "pre\n" + "".join(f"{'#' * rng.randrange(1, 7)} T{j}{rng.choice(['', '', ' {-}'])}\nx\n" for j in range(rng.randrange(30)))) for i in range(40)]
+    df = spark.createDataFrame([*bodies, ("null", None), (None, "# A\n## B")], "manuscript_id string, body string")
+    got = sections.contents(df)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and "Window" not in plan  # a task's memory doesn't grow with its rows
+    rows = sections.section_tree(sections.sections(df))
+    assert rows.columns == got.columns and rows.schema.simpleString() == got.schema.simpleString()
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, rows.collect()))
+    found = {(r.manuscript_id, r.pos): (r.parent, r.number) for r in got.collect()}
+    for m, body in bodies:
+        marks = [(i, len(line.split()[0]), "{-}" in line) for i, line in enumerate([x for x in body.split("\n") if x.startswith("#")], 1)]
+        parents = {i: max([j for j, level, _ in marks if j < i and level < own], default=None) for i, own, _ in marks}
+        numbers = {}
+        for i, _, plain in marks:
+            before = sum(1 for j, _, p in marks if j <= i and parents[j] == parents[i] and not p)
+            up = numbers.get(parents[i], "")
+            numbers[i] = None if plain or up is None else f"{up}.{before}".lstrip(".")
+            assert found[m, i] == (parents[i], numbers[i])
