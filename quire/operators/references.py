@@ -127,13 +127,13 @@ def disambiguate(refs: DataFrame, scope: Sequence[str], order: Sequence[Column],
        names could set it apart from: prefixes of the name lists refine the set until they refine it no further.
     3. What is still cited alike in one year gets letters in the given order, which must end on a unique column.
 
-    Entries without authors are cited by title. ``names_shown`` is 0 for them. No task holds a set: prefixes are rows, counted
-    by an aggregate that combines before the shuffle.
+    Entries without authors are cited by title. ``names_shown`` is 0 for them. No task holds a set: equal lists of names are one
+    row, and prefixes of these are rows, counted by an aggregate that combines before the shuffle.
     """
     scope = list(scope)
     first = F.get("authors", F.lit(0))
     rows = refs.withColumns({
-        "__ref": F.monotonically_increasing_id(), "__year": F.coalesce(F.col("year").cast("string"), F.lit("")),
+        "__year": F.coalesce(F.col("year").cast("string"), F.lit("")),
         "__family": first["family"], "__given": F.coalesce(first["given"], F.lit("")), "__initials": initials(first["given"]),
     })
     rows = settled(rows)
@@ -150,20 +150,23 @@ def disambiguate(refs: DataFrame, scope: Sequence[str], order: Sequence[Column],
     named = settled(named)
     sets = [*scope, "__base", "__year"]
     crowded = named.groupBy(*sets).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    many = named.where(F.size("__names") > 2).join(crowded, sets, "left_semi")
+    # entries of a set with the same names show the same: each list of names is taken once, with its number of entries
+    many = named.where(F.size("__names") > 2).join(crowded, sets, "left_semi").groupBy(*sets, "__names").agg(F.count(F.lit(1)).alias("__same"))
+    lists = settled(many.withColumn("__list", F.monotonically_increasing_id()))
     codes = F.aggregate(
         "__names",
         F.array().cast("array<string>"),
         lambda done, name: F.concat(done, F.array(F.sha1(F.concat_ws("\x1f", F.coalesce(F.get(done, F.size(done) - 1), F.lit("")), F.coalesce(name, F.lit("")))))),
     )
-    prefixes = many.select("__ref", *sets, F.size("__names").alias("n"), F.posexplode(codes).alias("k", "code"))
-    prefixes = prefixes.select("__ref", *sets, (F.col("k") + 1).alias("k"), "code", (F.col("k") + 1 < F.col("n")).alias("more"))
+    prefixes = lists.select("__list", "__same", *sets, F.size("__names").alias("n"), F.posexplode(codes).alias("k", "code"))
+    prefixes = prefixes.select("__list", "__same", *sets, (F.col("k") + 1).alias("k"), "code", (F.col("k") + 1 < F.col("n")).alias("more"))
     by = [*sets, "k", "code", "more"]
-    sizes = prefixes.groupBy(*by).agg(F.count(F.lit(1)).alias("size"))
-    least = prefixes.join(sizes, by).groupBy("__ref").agg(F.min(F.struct("size", "k"))["k"].alias("__shown"))
-    extra = ["__family", "__given", "__initials", "__several", "__alike", "__names", "__base", "__ref", "__shown"]
+    sizes = prefixes.groupBy(*by).agg(F.sum("__same").alias("size"))
+    shortest = prefixes.join(sizes, by).groupBy("__list").agg(F.min(F.struct("size", "k"))["k"].alias("__shown"))
+    least = lists.join(shortest, "__list").select(*sets, "__names", "__shown")
+    extra = ["__family", "__given", "__initials", "__several", "__alike", "__names", "__base", "__shown"]
     k = F.when(F.size("__names") > 2, F.coalesce("__shown", F.lit(1))).otherwise(F.greatest(F.size("__names"), F.lit(0)))
-    cited = named.join(least, "__ref", "left").withColumn("names_shown", F.coalesce(k, F.lit(0)))
+    cited = named.join(least, [*sets, "__names"], "left").withColumn("names_shown", F.coalesce(k, F.lit(0)))
     cited = cited.withColumn("cite_form", _cited(F.col("__names"), F.col("title"), F.col("names_shown"))).drop(*extra)
     return year_suffix(settled(cited), [*scope, "cite_form", "__year"], order).drop("__year").select(*refs.columns, "cite_form", "names_shown", "year_suffix")
 

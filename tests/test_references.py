@@ -94,3 +94,15 @@ def test_bibliographies_of_one_input_task_are_parsed_by_many(spark):
     rows = bibliography_rows(one).select("manuscript_id", "key", F.spark_partition_id().alias("task")).collect()
     assert sorted((r.manuscript_id, r.key) for r in rows) == [(i, f"k{i}") for i in range(400)]
     assert len({r.task for r in rows}) > 1
+
+
+def test_equal_lists_of_names_are_refined_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(references, "settled", lambda df, real=references.settled: written.append(real(df)) or written[-1])
+    a, b, c, d, none = [(x, None) for x in ("A", "B", "C", "D", None)]
+    lists = [[a, b, c], [a, b, d], [a, c, none]]
+    got = cited(spark, [("m", f"{i:03}", lists[i % 3], "2001", "t") for i in range(300)])
+    assert [got[k][:2] for k in ("000", "001", "002")] == [("A, B, & C", 3), ("A, B, & D", 3), ("A, C, et al.", 2)]
+    assert [got[k][2] for k in ("000", "003", "002", "299")] == ["a", "b", "a", "cv"]
+    refined = [t for t in written if "__same" in t.columns]
+    assert [t.count() for t in refined] == [3] and refined[0].agg(F.sum("__same")).first()[0] == 300
