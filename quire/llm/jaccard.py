@@ -37,6 +37,7 @@ SUBPARTS = 2
 TOLERATED = 1
 RATIO = 1.75  # of the sizes in a band
 BLOCK = 128  # members of a bucket that are compared at a time
+PAIRS = 1 << 17  # pairs of sketches that a task holds at a time
 
 
 def shingle_sets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -73,6 +74,16 @@ def folded(sketch: pa.Scalar, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(np.frombuffer(sketch.as_buffer(), np.uint8).reshape(-1, size), axis=0)
 
 
+def shortest(sketch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each sketch, and each as if it had been made with 64 cells, as a number."""
+    _, offsets, data = sketch.cast(pa.large_binary()).buffers()
+    if not len(sketch):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    edges = np.frombuffer(offsets, np.int64)[sketch.offset : sketch.offset + len(sketch) + 1]
+    cells = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]].view(np.uint64)
+    return np.diff(edges), np.bitwise_xor.reduceat(cells, (edges[:-1] - edges[0]) // 8)
+
+
 def possible(n: np.ndarray, m: np.ndarray, apart: np.ndarray) -> np.ndarray:
     """Whether sets of sizes n and m that differ in at least ``apart`` shingles can link."""
     return (10 * np.minimum(n, m) >= 8 * np.maximum(n, m)) & (9 * apart <= n + m)
@@ -224,8 +235,9 @@ def _sketched(pairs: DataFrame, known: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column("x"), batch.column("y")
-            apart = np.zeros(len(batch), np.int64)
-            for i in range(len(batch)):
+            (nx, p), (ny, q) = shortest(x), shortest(y)
+            apart = np.bitwise_count(p ^ q).astype(np.int64)
+            for i in np.flatnonzero(np.minimum(nx, ny) > 8).tolist():
                 cells = min(len(x[i].as_buffer()), len(y[i].as_buffer()))
                 apart[i] = np.bitwise_count(folded(x[i], cells) ^ folded(y[i], cells)).sum()
             maybe = possible(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), apart)
@@ -297,21 +309,55 @@ def _rest(candidates: DataFrame, bad: DataFrame, groups: DataFrame, known: DataF
             b.append(np.maximum(key[more], key[r]))
         return a, b
 
+    def small_pairs(rows: pa.Table, m: np.ndarray, edges: np.ndarray, code: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The possible pairs of all groups with more than one of ``m`` whose sketches have 64 cells, some ``PAIRS`` at a time."""
+        key, part, n, own, i, j = (rows.column(c).to_numpy() for c in ("key", "component", "n", "own", "i", "j"))
+        a, b, paired = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(key), bool)
+        if not len(key):
+            return a, b
+        across = (np.minimum.reduceat(own, edges[:-1]) != np.maximum.reduceat(own, edges[:-1])) | (i != j)[edges[:-1]]
+        across = np.repeat(across, np.diff(edges))
+        ends = np.repeat(edges[:-1] + m, np.diff(edges))
+        left = np.maximum(ends - np.arange(len(key)) - 1, 0)  # members of the group after each
+        done, first = np.concatenate([[0], np.cumsum(left)]), 0
+        while first < len(key):
+            last = max(first + 1, int(np.searchsorted(done, done[first] + PAIRS, "right")) - 1)
+            x = np.repeat(np.arange(first, last), left[first:last])
+            y = x + 1 + np.arange(len(x)) - (done[x] - done[first])
+            ok = (part[x] != part[y]) & ((own[x] != own[y]) | ~across[x])
+            x, y = x[ok], y[ok]
+            ok = possible(n[y], n[x], np.bitwise_count(code[x] ^ code[y]).astype(np.int64))
+            x, y = x[ok], y[ok]
+            if one_each:
+                x, y = x[~paired[y]], y[~paired[y]]
+                y, at = np.unique(y, return_index=True)
+                x, paired[y] = x[at], True
+            a.append(np.minimum(key[x], key[y]))
+            b.append(np.maximum(key[x], key[y]))
+            first = last
+        return a, b
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def emitted(rows: pa.Table, whole: bool) -> tuple[pa.Table, pa.RecordBatch]:
             at = np.stack([rows.column(c).to_numpy() for c in ("sig", "i", "j")])
             edges = np.concatenate([[0], np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1, [len(rows)]])
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             last = len(edges) - 1 if whole else len(edges) - 2
-            for g in range(last):
-                if edges[g + 1] - edges[g] > 1:
-                    x, y = pairs(rows.slice(edges[g], edges[g + 1] - edges[g]))
-                    a += x
-                    b += y
-            out = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-            return rows.slice(edges[last]), pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], names=["a", "b"])
+            rest, rows, edges = rows.slice(edges[last]), rows.slice(0, edges[last]), edges[: last + 1]
+            sizes, code = shortest(rows.column("sketch").combine_chunks())
+            least = np.minimum.reduceat(sizes, edges[:-1]) if last else sizes
+            a, b = small_pairs(rows, np.where(least == 8, np.diff(edges), 1), edges, code)
+            for g in np.flatnonzero((least > 8) & (np.diff(edges) > 1)).tolist():
+                x, y = pairs(rows.slice(edges[g], edges[g + 1] - edges[g]))
+                a += x
+                b += y
+            a, b = np.concatenate(a), np.concatenate(b)
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            return rest, pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
 
         for batch in batches:
             held.append(batch)

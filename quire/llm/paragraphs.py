@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,8 +39,7 @@ PASSAGE = 40  # words that adjacent repeated units must have together
 FIELD = 1 << 28  # bits of the field of keys to be compared, at most
 PAGE = 1 << 16  # bits of a page of it
 
-_MARKS = np.frombuffer(b".!?", np.uint8)
-_CLOSERS = np.frombuffer(b"\"')]", np.uint8)
+_MARKS, _CLOSERS = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b".!?", b"\"')]"))
 _LEAST = 4  # smaller sets link with none but equal ones
 
 
@@ -152,18 +151,25 @@ def _links(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, found: Dat
     return _compared(pairs, sets)
 
 
+def _numbers(items: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit numbers of binary values, and the bounds of each value's."""
+    _, offsets, data = items.cast(pa.large_binary()).buffers()
+    edges = np.frombuffer(offsets, np.int64)[items.offset : items.offset + len(items) + 1] if len(items) else np.zeros(1, np.int64)
+    found = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]].view(np.uint64) if edges[-1] > edges[0] else np.zeros(0, np.uint64)
+    return found, (edges - edges[0]) // 8
+
+
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose sets (key, items) are similar enough."""
     joined = pairs.join(sets.select(F.col("key").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("key").alias("a"), F.col("items").alias("x")), "a")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
-            ok = []
-            for i in range(len(batch)):
-                p, q = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
-                ok.append(bool(linked(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q))))
-            mask = pa.array(ok, pa.bool_())
+            (x, ex), (y, ey) = _numbers(batch.column("x")), _numbers(batch.column("y"))
+            both, nx, ny = np.empty(len(x) + len(y), np.uint64), np.diff(ex), np.diff(ey)
+            both[np.arange(len(x)) + np.repeat(ey[:-1], nx)] = x
+            both[np.arange(len(y)) + np.repeat(ex[1:], ny)] = y
+            mask = pa.array(linked(nx + ny - np.diff(distinct(both, ex + ey)[1]), nx, ny))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
     return settled(joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
@@ -216,11 +222,11 @@ def units(texts: Texts) -> tuple[Words, np.ndarray]:
     if not n:
         return found, np.zeros(1, np.int64)
     last = texts.data[found.end - 1]
-    closed = np.isin(last, _CLOSERS) & (found.end - found.start > 1)
-    last = np.where(closed, texts.data[found.end - 1 - closed], last)
-    cut = np.isin(last, _MARKS)
-    breaks = np.concatenate([[0], np.cumsum(texts.data == 10)])
-    cut[:-1] |= breaks[found.start[1:]] - breaks[found.end[:-1]] > 1
+    closed = np.flatnonzero(_CLOSERS[last] & (found.end - found.start > 1))
+    last[closed] = texts.data[found.end[closed] - 2]
+    cut = _MARKS[last]
+    breaks = np.searchsorted(np.flatnonzero(texts.data == 10), found.start)
+    cut[:-1] |= np.diff(breaks) > 1
     cut[found.bounds[1:][found.bounds[1:] > 0] - 1] = True
     edges = np.concatenate([[0], np.flatnonzero(cut) + 1])
     size = np.diff(edges)
@@ -235,50 +241,86 @@ def unit_sets(part: Texts) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
     return found, edges, *distinct(window_codes(found.code, first, length, SHINGLE), per)
 
 
-def _units(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, row, at, start, end, w0, w1, key) of every unit: its number, code points and words, and the key of its set."""
-    content = column(text).cast("string")
-    source = docs.select(column(doc_id).alias("doc_id"), F.xxhash64(content).alias("row"), content.alias("t")).where("doc_id is not null")
-    added = [T.StructField(n, T.IntegerType()) for n in ("at", "start", "end", "w0", "w1")]
-    schema = T.StructType([source.schema[0], source.schema[1], *added, T.StructField("key", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, last, part in slices(texts_of(batch.column(2))):
-                found, edges, values, bounds = unit_sets(part)
-                if len(edges) == 1:
-                    continue
-                owner = np.searchsorted(found.bounds, edges[:-1], "right") - 1
-                points = np.concatenate([[0], np.cumsum((part.data & 0xC0) != 0x80)])
-                origin = points[part.offsets[owner]]
-                ordinal = np.arange(len(owner)) - np.searchsorted(owner, owner)
-                columns = [ordinal, points[found.start[edges[:-1]]] - origin, points[found.end[edges[1:] - 1]] - origin, edges[:-1] - found.bounds[owner], edges[1:] - found.bounds[owner]]
-                rows = batch.slice(first, last - first).select([0, 1]).take(pa.array(owner))
-                yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(c, pa.int32()) for c in columns), pa.array(set_keys(values, bounds))], names=schema.names)
-
-    return settled(source.mapInArrow(run, schema))
-
-
 def _unit_candidates(docs: DataFrame, text: str) -> DataFrame:
-    """(sig, a, b): units of different sets that share one of their least values; b is to be compared with a."""
+    """(sig, a, b): units of different sets that share one of their least values; b is to be compared with a.
+
+    And (null, key, count): sets that may stand more than once, whose counts, up to 2 a batch, are to be added up. Sets that
+    link with equal ones only have a value of their own.
+    """
     source = docs.select(column(text).cast("string").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs, keys = [], []
+            sigs, keys, times = [], [], []
             for _, _, part in slices(texts_of(batch.column(0))):
                 _, _, values, bounds = unit_sets(part)
-                key, one = np.unique(set_keys(values, bounds), return_index=True)
+                key, one, count = np.unique(set_keys(values, bounds), return_index=True, return_counts=True)
                 size = np.diff(bounds)[one]
-                several = size >= _LEAST
-                key, one, n = key[several], one[several], size[several] // 5 + 1
+                n = np.where(size >= _LEAST, size // 5 + 1, 1)
+                head = np.cumsum(n) - n
                 # shingles are codes in ascending order, so the least values come first
-                sigs.append(values[np.repeat(bounds[one], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
+                sig = values[np.repeat(bounds[one], n) + np.arange(n.sum()) - np.repeat(head, n)]
+                sig[head[size < _LEAST]] = mix(key[size < _LEAST], 41)
+                stands = np.zeros(len(sig), np.int32)  # counted at the first signature of a set
+                stands[head] = np.minimum(count, 2)
+                sigs.append(sig)
                 keys.append(np.repeat(key, n))
-            yield _bucketed(sigs, keys)
+                times.append(stands)
+            yield _counted(sigs, keys, times)
 
-    rows = source.mapInArrow(run, "sig long, a long, b long")
-    return settled(rows.repartition("sig").sortWithinPartitions("sig", "a").mapInArrow(_starred, "sig long, a long, b long"))
+    rows = source.mapInArrow(run, "sig long, key long, a long, times int")
+    return settled(rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(_paired, "sig long, a long, b long"))
+
+
+def _counted(sigs: list[np.ndarray], keys: list[np.ndarray], times: list[np.ndarray]) -> pa.RecordBatch:
+    """(sig, key, a, times) of a batch: each key of a signature once, the least one as a, null in its own row."""
+    sig = np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64)
+    key, stands = (np.concatenate(x) if x else sig.astype(t) for x, t in ((keys, np.int64), (times, np.int32)))
+    order = np.lexsort((key, sig))
+    sig, key, stands = sig[order], key[order], stands[order]
+    new = np.ones(len(sig), bool)
+    new[1:] = (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])
+    stands = np.minimum(np.add.reduceat(stands, np.flatnonzero(new)), 2) if len(sig) else stands
+    sig, key = sig[new], key[new]
+    head = np.ones(len(sig), bool)
+    head[1:] = sig[1:] != sig[:-1]
+    least = key[np.flatnonzero(head)][np.cumsum(head) - 1] if len(sig) else key
+    columns = [pa.array(sig), pa.array(key), pa.array(least, mask=head), pa.array(stands, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, names=["sig", "key", "a", "times"])
+
+
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by signature: keys stay with the least of their batch of texts, those go to one of all; and counts of keys."""
+    last = None  # signature of the row before, and the key that others of it go to
+    for batch in batches:
+        sig, key = batch.column("sig").to_numpy(), batch.column("key").to_numpy()
+        if not len(sig):
+            continue
+        order = np.lexsort((key, sig))
+        sig, key, times = sig[order], key[order], batch.column("times").to_numpy()[order]
+        member = batch.column("a").is_valid().to_numpy(zero_copy_only=False)[order]
+        a = batch.column("a").fill_null(0).to_numpy()[order]
+        head = np.ones(len(sig), bool)
+        head[1:] = sig[1:] != sig[:-1]
+        again = np.zeros(len(sig), bool)
+        again[1:] = ~head[1:] & (key[1:] == key[:-1])
+        firsts = key[np.flatnonzero(head)]
+        if last is not None and sig[0] == last[0]:
+            firsts[0] = last[1]
+        to = firsts[np.cumsum(head) - 1]
+        last = sig[-1], to[-1]
+        apart = ~member & (key != to) & ~again
+        one = np.flatnonzero(~again)
+        count = np.add.reduceat(times, one)
+        # the signatures at the ends may go on in other batches
+        told = (count > 1) | ((count > 0) & ((sig[one] == sig[0]) | (sig[one] == sig[-1])))
+        pairs, counts = member.sum() + apart.sum(), told.sum()
+        if not pairs + counts:
+            continue
+        of = pa.array(np.concatenate([sig[member], sig[apart], key[one][told]]), mask=np.arange(pairs + counts) >= pairs)
+        x = np.concatenate([a[member], np.minimum(to, key)[apart], key[one][told]])
+        y = np.concatenate([key[member], np.maximum(to, key)[apart], count[told]])
+        yield pa.RecordBatch.from_arrays([of, pa.array(x), pa.array(y)], names=["sig", "a", "b"])
 
 
 def _field(keys: DataFrame) -> bytes:
@@ -299,19 +341,24 @@ def _field(keys: DataFrame) -> bytes:
     return bytes(out)
 
 
+def _marked(field: bytes, key: np.ndarray) -> np.ndarray:
+    """Whether the field has these keys; some that aren't among its keys seem to be."""
+    bits = np.frombuffer(field, np.uint8)
+    code = key % (8 * len(bits))
+    return (bits[code >> 3] >> (code & 7).astype(np.uint8)) & 1 == 1
+
+
 def _unit_sets(docs: DataFrame, text: str, needed: DataFrame) -> DataFrame:
     """(key, n, sketch, items) of the sets that are needed, and of few others: only these are shuffled."""
     source = docs.select(column(text).cast("string").alias("t"))
     field = docs.sparkSession.sparkContext.broadcast(_field(needed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(field.value, np.uint8)
         for batch in batches:
             for _, _, part in slices(texts_of(batch.column(0))):
                 _, _, values, bounds = unit_sets(part)
                 key, one = np.unique(set_keys(values, bounds), return_index=True)
-                code = key % (8 * len(bits))
-                one = one[(bits[code >> 3] >> (code & 7).astype(np.uint8)) & 1 == 1]
+                one = one[_marked(field.value, key)]
                 one = one[np.diff(bounds)[one] >= _LEAST]
                 n = np.diff(bounds)[one]
                 ends = np.concatenate([[0], np.cumsum(n)])
@@ -322,6 +369,75 @@ def _unit_sets(docs: DataFrame, text: str, needed: DataFrame) -> DataFrame:
     return settled(source.mapInArrow(run, "key long, n long, sketch binary, items binary").dropDuplicates(["key"]))
 
 
+def _stretches(docs: DataFrame, doc_id: str, text: str, several: DataFrame, least: int) -> DataFrame:
+    """(doc_id, row, at, start, end, w0, w1, key) of units in stretches of ``least`` words of these keys, and of few others.
+
+    That is a code of doc_id and text, a unit's number, code points and words, and the key of its set.
+    """
+    content = column(text).cast("string")
+    source = docs.select(column(doc_id).alias("doc_id"), F.xxhash64(column(doc_id), content).alias("row"), content.alias("t")).where("doc_id is not null")
+    added = [T.StructField(n, T.IntegerType()) for n in ("at", "start", "end", "w0", "w1")]
+    schema = T.StructType([source.schema[0], source.schema[1], *added, T.StructField("key", T.LongType())])
+    field = docs.sparkSession.sparkContext.broadcast(_field(several.select("key")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, part in slices(texts_of(batch.column(2))):
+                found, edges, values, bounds = unit_sets(part)
+                key = set_keys(values, bounds)
+                keep, size = _marked(field.value, key), np.diff(edges)
+                owner = np.searchsorted(found.bounds, edges[:-1], "right") - 1
+                opens = keep.copy()
+                opens[1:] &= ~(keep[:-1] & (owner[1:] == owner[:-1]))
+                stretch = np.cumsum(opens) - 1
+                keep[keep] = np.bincount(stretch[keep], size[keep])[stretch[keep]] >= least
+                at = np.flatnonzero(keep)
+                if not len(at):
+                    continue
+                inner = np.flatnonzero((part.data & 0xC0) == 0x80)  # bytes that begin no code point
+                text_of = owner[at]
+                begin, end, base = edges[at], edges[at + 1], found.bounds[text_of]
+                origin, start, stop = (x - np.searchsorted(inner, x) for x in (part.offsets[text_of], found.start[begin], found.end[end - 1]))
+                columns = [at - np.searchsorted(owner, text_of), start - origin, stop - origin, begin - base, end - base]
+                rows = batch.slice(first, last - first).select([0, 1]).take(pa.array(text_of))
+                yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(c, pa.int32()) for c in columns), pa.array(key[at])], names=schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
+def _long_stretches(named: DataFrame, least: int) -> DataFrame:
+    """(cluster, doc_id, start, end, passage) of units whose stretch has that many words; sorted once, a stretch at a time.
+
+    A task holds back only what it has of a stretch that is too short so far.
+    """
+    integers = [T.StructField(n, T.LongType()) for n in ("start", "end", "passage")]
+    schema = T.StructType([named.schema["cluster"], named.schema["doc_id"], *integers])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = last = None  # the rows of a stretch that is too short so far; or the row, unit and passage of the one before
+        for batch in batches:
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            if not len(rows):
+                continue
+            row, at, start, w0, w1 = (rows.column(c).to_numpy() for c in ("row", "at", "start", "w0", "w1"))
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (at[1:] < at[:-1]) | (at[1:] > at[:-1] + 1)
+            heads = np.flatnonzero(new)
+            passage = start[heads].astype(np.int64)
+            long_enough = w1[np.append(heads[1:], len(row)) - 1] - w0[heads] >= least
+            if last is not None and row[0] == last[0] and at[0] in (last[1], last[1] + 1):
+                passage[0], long_enough[0] = last[2], True
+            held, last = (None, (row[-1], at[-1], passage[-1])) if long_enough[-1] else (rows.slice(heads[-1]), None)
+            of = np.cumsum(new) - 1
+            kept = np.flatnonzero(long_enough[of])
+            found = rows.take(pa.array(kept))
+            columns = [found.column("cluster"), found.column("doc_id"), *(found.column(c).cast(pa.int64()) for c in ("start", "end")), pa.array(passage[of[kept]])]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    needed = named.select("cluster", "doc_id", "row", "at", "start", "end", "w0", "w1")
+    return settled(needed.repartition("row").sortWithinPartitions("row", "doc_id", "at").mapInArrow(run, schema))
+
+
 def passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = PASSAGE) -> DataFrame:
     """(component_id, doc_id, start, end, kept, passage) of every unit of a passage that is repeated.
 
@@ -332,19 +448,16 @@ def passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
     empty and shorter texts and rows with a null doc_id have no rows; rows of one doc_id and text share their places, and each
     counts. Rows of one doc_id and other texts are told apart. An empty table gives none; other columns are ignored.
     """
-    found = _units(docs, doc_id, text)
     usable = docs.where(column(doc_id).isNotNull())
-    candidates = _unit_candidates(usable, text)
-    sets = _unit_sets(usable, text, candidates.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    found = _unit_candidates(usable, text)
+    candidates = found.where("sig is not null")
+    copies = found.where("sig is null").groupBy(F.col("a").alias("key")).agg(F.sum("b").alias("n")).where("n > 1").select("key")
+    sets = _unit_sets(usable, text, settled(candidates.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
     groups = joined_up(candidates, sets.select("key", "n", "sketch"), lambda pairs: _compared(pairs, sets.select("key", "items")))
-    several = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    several = several.join(groups.withColumnRenamed("node", "key"), "key", "full")
-    named = found.join(several.select("key", F.coalesce("component", "key").alias("cluster")), "key")
-    texts = Window.partitionBy("doc_id", "row")
-    named = named.withColumn("run", F.col("at") - F.dense_rank().over(texts.orderBy("at")))
-    stretch = Window.partitionBy("doc_id", "row", "run")
-    named = named.withColumn("words", F.max("w1").over(stretch) - F.min("w0").over(stretch)).withColumn("passage", F.min("start").over(stretch))
-    whole = settled(named.where(F.col("words") >= least).select("cluster", "doc_id", F.col("start").cast("long"), F.col("end").cast("long"), F.col("passage").cast("long")))
+    several = copies.join(groups.withColumnRenamed("node", "key"), "key", "full")
+    several = settled(several.select("key", F.coalesce("component", "key").alias("cluster")))
+    named = _stretches(docs, doc_id, text, several, least).join(several, "key")
+    whole = _long_stretches(named, least)
     place = F.struct("doc_id", "start")
     firsts = whole.groupBy("cluster").agg(F.min(place).alias("first"))
     return whole.join(firsts, "cluster").select(F.col("first.doc_id").alias("component_id"), "doc_id", "start", "end", (place == F.col("first")).alias("kept"), "passage")

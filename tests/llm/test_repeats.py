@@ -214,3 +214,34 @@ def test_sets_that_link_share_one_of_their_least_values():
         a, b = (sorted(common + [rng.random() for _ in range(rng.randrange(0, 9))]) for _ in range(2))
         if a != b and 100 * len(common) >= 80 * (len(a) + len(b) - len(common)):
             assert min(len(a), len(b)) >= 4 and set(a[: len(a) // 5 + 1]) & set(b[: len(b) // 5 + 1])
+
+
+def test_only_units_that_may_be_in_passages_are_written(spark, documents, tmp_path, monkeypatch):
+    rng = random.Random(14)
+    shared = " ".join(f"{words(rng, 12)}." for _ in range(4))
+    texts = [" ".join(f"{words(rng, 12)}." for _ in range(20)) for _ in range(100)]
+    texts[7] += f" {shared}"
+    texts[50] += f" {shared}"
+    monkeypatch.setattr("quire.llm.tables.checkpoint_dir", lambda _: str(tmp_path))
+    assert passages(documents(texts)).count() == 8
+    written = sum(spark.read.parquet(str(p)).count() for p in tmp_path.iterdir())
+    assert written < 200  # of 2,008 units
+
+
+def test_passages_do_not_depend_on_batches(spark, documents):
+    rng = random.Random(15)
+    shared = [" ".join(f"{words(rng, rng.choice([2, 5, 9, 14]))}." for _ in range(7)) for _ in range(3)]
+    texts = [f"{words(rng, 11)}. {shared[k % 3]} {words(rng, 7)}. {shared[k % 2]}" for k in range(8)]
+    texts += texts[3:5]
+    twice = [*((i, t, "en") for i, t in enumerate(texts)), (3, texts[3], "en"), (3, texts[5], "en")]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def found(rows):
+        return sorted(tuple(r) for r in passages(documents(rows, 2)).select("component_id", "doc_id", "start", "end", "kept", "passage").collect())
+
+    old, want = spark.conf.get(name), found(twice)
+    spark.conf.set(name, "1")
+    try:
+        assert found(texts) == sorted(plain_passages(texts, 40)) and found(twice) == want
+    finally:
+        spark.conf.set(name, old)

@@ -47,3 +47,11 @@ def test_slices_cover_all_texts_and_sliced_arrays():
         texts = texts_of(column)
         joined = [bytes(p.data[p.offsets[k] : p.offsets[k + 1]]).decode() for _, _, p in slices(texts, 4) for k in range(len(p))]
         assert joined == [x or "" for x in column.to_pylist()]
+
+
+def test_codes_that_differ_in_lower_bits_only_stay_apart():
+    values = np.array([9, 7, 9, 8, 1 << 63, 5, 5, (1 << 63) + 1, 1 << 63], np.uint64)
+    got, bounds = distinct(values, np.array([0, 5, 5, 9]))
+    assert got.tolist() == [7, 8, 9, 1 << 63, 5, 1 << 63, (1 << 63) + 1] and bounds.tolist() == [0, 4, 4, 7]
+    got, bounds = distinct(np.zeros(0, np.uint64), np.zeros(3, np.int64))
+    assert len(got) == 0 and bounds.tolist() == [0, 0, 0]
