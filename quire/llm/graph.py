@@ -65,12 +65,13 @@ def components(links: DataFrame) -> DataFrame:
         both = _pairs(links, ("a", "b"), ("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a")
-        large = settled(_pairs(large, ("b", "m")).where("a <> b").distinct())
+        large = _pairs(large, ("b", "m")).where("a <> b").repartition("a").distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = settled(_pairs(large.join(lower, "a"), ("b", "m"), ("a", "m")).where("a <> b").distinct())
         # done when each node has one link and no node linked to is itself linked further
-        chained = small.join(small.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
-        if chained.isEmpty() and small.groupBy("a").count().where("count > 1").isEmpty():
+        ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"))))
+        ways = small.select(ends.alias("e")).groupBy("e.node").agg(F.sum("e.up").alias("up"), F.min("e.up").alias("least"))
+        if not ways.where("up > 1 or up = 1 and least = 0").count():
             break
         links = small
     named = _pairs(small, ("a", "b"), ("b", "b")).distinct()

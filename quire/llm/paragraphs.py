@@ -37,7 +37,7 @@ LONG = 32  # words of a unit beyond which its content chooses where it is cut
 CUT = 8  # one word in so many ends a unit there
 PASSAGE = 40  # words that adjacent repeated units must have together
 FIELD = 1 << 28  # bits of the field of keys to be compared, at most
-PAGE = 1 << 16  # bits of a page of it
+PAGE = 1 << 15  # bits of a page of it, as many as a bitmap of Spark has
 
 _MARKS, _CLOSERS = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b".!?", b"\"')]"))
 _LEAST = 4  # smaller sets link with none but equal ones
@@ -323,20 +323,14 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([of, pa.array(x), pa.array(y)], names=["sig", "a", "b"])
 
 
-def _field(keys: DataFrame) -> bytes:
-    """A bit for each of these keys: at most ``FIELD`` bits (32 MB) reach the driver, in pages."""
-    size, n = PAGE, keys.count()
-    while size < min(32 * n, FIELD):
-        size *= 2
-    coded = keys.select(F.pmod("key", F.lit(size)).alias("code")).select("code", F.floor(F.col("code") / PAGE).cast("int").alias("page"))
-
-    def paged(key: tuple, group: pa.Table) -> pa.Table:
-        bits = np.zeros(PAGE, np.uint8)
-        bits[group.column("code").to_numpy() % PAGE] = 1
-        return pa.table({"page": [key[0].as_py()], "bits": [np.packbits(bits, bitorder="little").tobytes()]}, schema=pa.schema([("page", pa.int32()), ("bits", pa.binary())]))
-
-    out = bytearray(size // 8)
-    for r in coded.groupBy("page").applyInArrow(paged, "page int, bits binary").collect():
+def _field(keys: DataFrame, size: int) -> bytes:
+    """A bit for each of these keys: ``size`` bits or more, of which at most ``FIELD`` (32 MB) reach the driver, in pages."""
+    bits = PAGE
+    while bits < min(size, FIELD):
+        bits *= 2
+    coded = keys.select(F.pmod("key", F.lit(bits)).alias("code")).select(F.expr(f"code div {PAGE}").alias("page"), (F.col("code") % PAGE).alias("at"))
+    out = bytearray(bits // 8)
+    for r in coded.repartition("page").groupBy("page").agg(F.bitmap_construct_agg("at").alias("bits")).collect():
         out[r["page"] * (PAGE // 8) : (r["page"] + 1) * (PAGE // 8)] = r["bits"]
     return bytes(out)
 
@@ -348,10 +342,12 @@ def _marked(field: bytes, key: np.ndarray) -> np.ndarray:
     return (bits[code >> 3] >> (code & 7).astype(np.uint8)) & 1 == 1
 
 
-def _unit_sets(docs: DataFrame, text: str, needed: DataFrame) -> DataFrame:
-    """(key, n, sketch, items) of the sets that are needed, and of few others: only these are shuffled."""
+def _unit_sets(docs: DataFrame, text: str, candidates: DataFrame) -> DataFrame:
+    """(key, n, sketch, items) of the sets that are candidates, and of few others: only these are shuffled."""
     source = docs.select(column(text).cast("string").alias("t"))
-    field = docs.sparkSession.sparkContext.broadcast(_field(needed))
+    # a key is in many candidates, so these are fewer keys than that
+    needed = candidates.select(F.explode(F.array("a", "b")).alias("key"))
+    field = docs.sparkSession.sparkContext.broadcast(_field(needed, 16 * candidates.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -378,7 +374,7 @@ def _stretches(docs: DataFrame, doc_id: str, text: str, several: DataFrame, leas
     source = docs.select(column(doc_id).alias("doc_id"), F.xxhash64(column(doc_id), content).alias("row"), content.alias("t")).where("doc_id is not null")
     added = [T.StructField(n, T.IntegerType()) for n in ("at", "start", "end", "w0", "w1")]
     schema = T.StructType([source.schema[0], source.schema[1], *added, T.StructField("key", T.LongType())])
-    field = docs.sparkSession.sparkContext.broadcast(_field(several.select("key")))
+    field = docs.sparkSession.sparkContext.broadcast(_field(several.select("key"), 32 * several.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -452,7 +448,7 @@ def passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
     found = _unit_candidates(usable, text)
     candidates = found.where("sig is not null")
     copies = found.where("sig is null").groupBy(F.col("a").alias("key")).agg(F.sum("b").alias("n")).where("n > 1").select("key")
-    sets = _unit_sets(usable, text, settled(candidates.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
+    sets = _unit_sets(usable, text, candidates)
     groups = joined_up(candidates, sets.select("key", "n", "sketch"), lambda pairs: _compared(pairs, sets.select("key", "items")))
     several = copies.join(groups.withColumnRenamed("node", "key"), "key", "full")
     several = settled(several.select("key", F.coalesce("component", "key").alias("cluster")))
