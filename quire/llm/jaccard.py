@@ -37,7 +37,7 @@ SUBPARTS = 2
 TOLERATED = 1
 RATIO = 1.75  # of the sizes in a band
 BLOCK = 128  # members of a bucket that are compared at a time
-PAIRS = 1 << 17  # pairs of sketches that a task holds at a time
+PAIRS = 1 << 15  # pairs of sketches that a task holds at a time
 
 
 def shingle_sets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:

@@ -36,6 +36,7 @@ SIMILARITY = 0.8
 LONG = 32  # words of a unit beyond which its content chooses where it is cut
 CUT = 8  # one word in so many ends a unit there
 PASSAGE = 40  # words that adjacent repeated units must have together
+PORTION = 512  # pairs of sets that a task compares at a time
 FIELD = 1 << 28  # bits of the field of keys to be compared, at most
 PAGE = 1 << 15  # bits of a page of it, as many as a bitmap of Spark has
 
@@ -165,11 +166,15 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (x, ex), (y, ey) = _numbers(batch.column("x")), _numbers(batch.column("y"))
-            both, nx, ny = np.empty(len(x) + len(y), np.uint64), np.diff(ex), np.diff(ey)
-            both[np.arange(len(x)) + np.repeat(ey[:-1], nx)] = x
-            both[np.arange(len(y)) + np.repeat(ex[1:], ny)] = y
-            mask = pa.array(linked(nx + ny - np.diff(distinct(both, ex + ey)[1]), nx, ny))
+            ok = [pa.array([], pa.bool_())]
+            for first in range(0, len(batch), PORTION):
+                rows = batch.slice(first, PORTION)
+                (x, ex), (y, ey) = _numbers(rows.column("x")), _numbers(rows.column("y"))
+                both, nx, ny = np.empty(len(x) + len(y), np.uint64), np.diff(ex), np.diff(ey)
+                both[np.arange(len(x)) + np.repeat(ey[:-1], nx)] = x
+                both[np.arange(len(y)) + np.repeat(ex[1:], ny)] = y
+                ok.append(pa.array(linked(nx + ny - np.diff(distinct(both, ex + ey)[1]), nx, ny)))
+            mask = pa.concat_arrays(ok)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
     return settled(joined.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
