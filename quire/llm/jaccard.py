@@ -76,7 +76,8 @@ def folded(sketch: pa.Scalar, size: int) -> np.ndarray:
 
 def shortest(sketch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of each sketch, and each as if it had been made with 64 cells, as a number."""
-    _, offsets, data = sketch.cast(pa.large_binary()).buffers()
+    sketch = sketch.cast(pa.large_binary())  # which may have another offset
+    _, offsets, data = sketch.buffers()
     if not len(sketch):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     edges = np.frombuffer(offsets, np.int64)[sketch.offset : sketch.offset + len(sketch) + 1]

@@ -154,7 +154,8 @@ def _links(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, found: Dat
 
 def _numbers(items: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The 64-bit numbers of binary values, and the bounds of each value's."""
-    _, offsets, data = items.cast(pa.large_binary()).buffers()
+    items = items.cast(pa.large_binary())  # which may have another offset
+    _, offsets, data = items.buffers()
     edges = np.frombuffer(offsets, np.int64)[items.offset : items.offset + len(items) + 1] if len(items) else np.zeros(1, np.int64)
     found = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]].view(np.uint64) if edges[-1] > edges[0] else np.zeros(0, np.uint64)
     return found, (edges - edges[0]) // 8

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from quire.llm import jaccard
-from quire.llm.jaccard import folded, one_of_each, possible, signatures, similar, sketches
+from quire.llm.jaccard import folded, one_of_each, possible, shortest, signatures, similar, sketches
 from quire.llm.words import mix
 import pyarrow as pa
 
@@ -95,3 +95,15 @@ def test_null_ids_and_repeated_rows(spark, documents):
     kept = one_of_each(documents(rows).withColumnRenamed("source", "component_id"))
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 2, None]
     assert similar(documents([])).count() == 0
+
+
+@pytest.mark.parametrize("first", [0, 1, 7, 30])
+def test_shortest_sketches_of_part_of_an_array(first):
+    rng = random.Random(first)
+    sizes = [rng.randrange(1, 200) for _ in range(30)]
+    values = np.array([rng.getrandbits(64) for _ in range(sum(sizes))], np.uint64)
+    made = sketches(values, np.concatenate([[0], np.cumsum(sizes)]))
+    for part in (made.slice(first), made.slice(first, 9)):
+        length, code = shortest(part)
+        assert length.tolist() == [len(x.as_py()) for x in part]
+        assert code.tolist() == [int(folded(x, 8).view(np.uint64)[0]) for x in part]

@@ -3,9 +3,10 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
-from quire.llm.paragraphs import bands, passages, without_repeats
+from quire.llm.paragraphs import _numbers, bands, passages, without_repeats
 from quire.llm.paragraphs import repeated as repeated_lines
 from quire.llm.suffixes import repeated as repeated_passages
 
@@ -245,3 +246,11 @@ def test_passages_do_not_depend_on_batches(spark, documents):
         assert found(texts) == sorted(plain_passages(texts, 40)) and found(twice) == want
     finally:
         spark.conf.set(name, old)
+
+
+def test_numbers_of_part_of_an_array():
+    sets = [list(range(k, 2 * k)) for k in range(12)]
+    made = pa.array([b"".join(x.to_bytes(8, "little") for x in one) for one in sets], pa.binary())
+    for first, n in ((0, 12), (0, 1), (5, 4), (11, 1), (12, 0)):
+        values, bounds = _numbers(made.slice(first, n))
+        assert [values[i:j].tolist() for i, j in zip(bounds, bounds[1:])] == sets[first : first + n]
